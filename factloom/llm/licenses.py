@@ -13,7 +13,9 @@ is its whole block, and of a block that is the whole text, the smaller unit is.
 
 from __future__ import annotations
 
+import functools
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -22,6 +24,9 @@ from .common import text_of
 
 THRESHOLD = 0.8
 
+# Words too common to be anchors unless nothing else is left.
+COMMON = {"a", "an", "and", "any", "as", "be", "by", "can", "for", "in", "is", "of", "on", "or", "that", "the", "this", "to", "was", "will", "with", "you"}
+
 # Customary short notices and permission texts of public licenses.
 TEMPLATES = {
     "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
@@ -55,7 +60,7 @@ def anchors(text: str, threshold: float) -> list[str]:
     ratio = threshold / (2 - threshold)
     spare = len(grams) - threshold / 2 * (1 + ratio) * len(grams)
     chosen, touched = [], set()
-    for word in sorted(set(template_words(text)), key=lambda w: (-len(w), w)):
+    for word in sorted(set(template_words(text)), key=lambda w: (w.isdigit() or w in COMMON, len(w) < 5, -sum(w in g.split() for g in grams), w)):
         chosen.append(word)
         touched |= {g for g in grams if word in g.split()}
         if len(touched) > spare:
@@ -73,11 +78,27 @@ def bigrams(words_: Column) -> Column:
     return F.array_distinct(F.slice(pairs, F.lit(1), F.greatest(F.size(words_) - 1, F.lit(0))))
 
 
-def _candidates(units: DataFrame, templates: dict[str, str], threshold: float) -> DataFrame:
-    """Units that hold an anchor word and are long enough for some template; their texts as words."""
-    least = min(len(template_bigrams(t)) for t in templates.values()) * threshold / (2 - threshold)
-    needed = sorted({a for t in templates.values() for a in anchors(t, threshold)})
-    return units.withColumn("words", words(F.col("unit_text"))).where(F.size("words") - 1 >= F.lit(least)).where(F.arrays_overlap("words", F.array(*map(F.lit, needed))))
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once, however often it is used and whatever filter is pushed down."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
+def best_license(unit_text: Column, templates: dict[str, str], threshold: float) -> Column:
+    """The template with the greatest Dice: struct<dice, license>; null for units that no template can match."""
+    low, high = threshold / (2 - threshold), (2 - threshold) / threshold
+    least = min(len(template_bigrams(t)) for t in templates.values()) * low
+    needed = F.array(*map(F.lit, sorted({a for t in templates.values() for a in anchors(t, threshold)})))
+    known = F.array(*[F.struct(F.lit(name).alias("license"), F.array(*map(F.lit, template_bigrams(text))).alias("grams")) for name, text in sorted(templates.items())])
+    none = F.struct(F.lit(-1.0).alias("dice"), F.lit("").alias("license"))
+
+    def compared(grams: Column) -> Column:
+        sized = F.filter(known, lambda t: (F.size(t["grams"]) >= F.size(grams) * low) & (F.size(t["grams"]) <= F.size(grams) * high))
+        dice = lambda t: F.lit(2.0) * F.size(F.array_intersect(t["grams"], grams)) / (F.size(t["grams"]) + F.size(grams))
+        scored = F.transform(sized, lambda t: F.struct(dice(t).alias("dice"), t["license"].alias("license")))
+        return F.aggregate(scored, none, lambda a, x: F.when(x["dice"] > a["dice"], x).otherwise(a))
+
+    able = lambda w: (F.size(w) - 1 >= F.lit(least)) & F.arrays_overlap(w, needed)
+    return bound(words(unit_text), lambda w: F.when(able(w), bound(bigrams(w), compared)))
 
 
 def scan(docs: DataFrame, templates: dict[str, str] | None = None, threshold: float = THRESHOLD) -> DataFrame:
@@ -86,7 +107,9 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, threshold: fl
     No exchange: units are taken from each row, pruned and compared where it lies.
     """
     templates = TEMPLATES if templates is None else templates
-    rows = docs.select("doc_id", text_of().alias("text"))
+    needed = sorted({a for t in templates.values() for a in anchors(t, threshold)})
+    holds = bound(F.lower(text_of()), lambda t: functools.reduce(lambda a, b: a | b, [F.contains(t, F.lit(a)) for a in needed]))
+    rows = docs.select("doc_id", text_of().alias("text")).where(holds)
     lines = F.split("text", "\n", -1)
     blocks = F.split("text", r"\n[ \t]*\n\s*", -1)
     # A line that is its block is taken as a line, a block that is the text as a block.
@@ -95,13 +118,8 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, threshold: fl
     whole = F.array(F.struct(F.lit("text").alias("unit"), F.lit(0).cast("long").alias("unit_no"), F.col("text").alias("unit_text")))
     more.append(F.when(F.size(blocks) > 1, whole).otherwise(F.slice(whole, 1, 0)))
     units = rows.select("doc_id", F.explode(F.concat(*more)).alias("u")).select("doc_id", "u.*")
-    near = _candidates(units, templates, threshold).select("doc_id", "unit", "unit_no", bigrams(F.col("words")).alias("grams"))
-    known = F.array(*[F.struct(F.lit(name).alias("license"), F.array(*map(F.lit, template_bigrams(text))).alias("grams")) for name, text in sorted(templates.items())])
-    low, high = threshold / (2 - threshold), (2 - threshold) / threshold
-    bounded = F.filter(known, lambda t: (F.size(t["grams"]) >= F.size("grams") * low) & (F.size(t["grams"]) <= F.size("grams") * high))
-    scored = F.transform(bounded, lambda t: F.struct((F.lit(2.0) * F.size(F.array_intersect(t["grams"], F.col("grams"))) / (F.size(t["grams"]) + F.size("grams"))).alias("dice"), t["license"].alias("license")))
-    best = F.aggregate(scored, F.struct(F.lit(-1.0).alias("dice"), F.lit("").alias("license")), lambda a, x: F.when(x["dice"] > a["dice"], x).otherwise(a))
-    return near.withColumn("best", best).where(F.col("best.dice") >= threshold).select("doc_id", "unit", "unit_no", F.col("best.license").alias("license"), F.col("best.dice").alias("dice"))
+    best = units.select("doc_id", "unit", "unit_no", best_license(F.col("unit_text"), templates, threshold).alias("best"))
+    return best.where(F.col("best.dice") >= threshold).select("doc_id", "unit", "unit_no", F.col("best.license").alias("license"), F.col("best.dice").alias("dice"))
 
 
 def scan_sql(templates: dict[str, str] | None = None, threshold: float = THRESHOLD) -> str:
