@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import salted_lookup, text_of, written
+from .common import free_names, salted_lookup, text_of, written
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SHARD_DIGESTS = 200_000
@@ -160,20 +160,12 @@ def dedup_report(docs: DataFrame, history_share: float = 0.5) -> DataFrame:
 
 def winners_only(docs: DataFrame) -> DataFrame:
     """``docs`` with all its columns, without the rows that repeat an equal text."""
-    report = written(dedup_report(docs).where("kept").select(F.col("doc_id").alias("__id"), F.unhex("text_sha256").alias("__digest")), "kept")
-    return keep_one(docs.withColumn("__d", digest_of()), report, "__d")
-
-
-def keep_one(docs: DataFrame, keep: DataFrame, digest: str) -> DataFrame:
-    """One row of ``docs`` for each row of ``keep`` (__id, __digest; distinct). ``digest`` names a column to drop.
-
-    Rows that repeat both doc_id and text are told apart by nothing, so one of them is taken; the usual case, no
-    such rows, passes without a second exchange.
-    """
-    named = docs.withColumn("__i", F.col("doc_id").cast("long"))
-    repeated = named.groupBy("__i", digest).count().where("count > 1").select("__i", digest)
-    match = F.col("__i").eqNullSafe(F.col("__id")) & (F.col(digest) == F.col("__digest"))
-    kept = named.join(keep, match, "left_semi")
-    if repeated.isEmpty():
-        return kept.drop("__i", digest)
-    return kept.dropDuplicates(["__i", digest]).drop("__i", digest)
+    report = written(dedup_report(docs).where("kept").select("doc_id", F.unhex("text_sha256").alias("digest")), "kept")
+    id_, digest, keep_id, keep_digest = free_names(docs, "__i", "__d", "__ki", "__kd")
+    named = docs.withColumn(id_, F.col("doc_id").cast("long")).withColumn(digest, digest_of())
+    # Rows that repeat both doc_id and text are told apart by nothing, so one of them is taken; the usual case, no such
+    # rows, passes without a second exchange.
+    repeated = named.groupBy(id_, digest).count().where("count > 1")
+    keep = report.select(F.col("doc_id").alias(keep_id), F.col("digest").alias(keep_digest))
+    kept = named.join(keep, F.col(id_).eqNullSafe(F.col(keep_id)) & (F.col(digest) == F.col(keep_digest)), "left_semi")
+    return (kept if repeated.isEmpty() else kept.dropDuplicates([id_, digest])).drop(id_, digest)

@@ -70,14 +70,13 @@ def op6_merge_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(round_trip, "doc_id long, n_tokens long, ids_crc32 long, lossless boolean")
 
 
-def toxicity_scores(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The model is fit on the labelled rows of the input's own documents and labels."""
-    model = toxicity.train(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
-    return toxicity.score(docs, model)
+def toxicity_model(spark: SparkSession, sf_dir: str) -> toxicity.Model:
+    """Fit on the labelled rows of the input's own documents."""
+    return toxicity.train(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = toxicity_scores(spark, table(spark, sf_dir, "documents").select("doc_id", "text"), sf_dir)
+    made = toxicity.score(table(spark, sf_dir, "documents").select("doc_id", "text"), toxicity_model(spark, sf_dir))
     return made.select("doc_id", "expected_severity", "p_toxic", "grade", (F.col("p_toxic") >= TOXIC_FROM).alias("rejected"))
 
 

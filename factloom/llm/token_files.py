@@ -95,15 +95,17 @@ class Shard:
         self.data = self.file
         self.file.seek(0)
         ipc.read_schema(self.file)
-        self.first, self.size = self.file.tell(), self.file.size()
+        self.first, self.size = self.file.tell(), self.file.size()  # of the first batch, of the file
         self.step, self.rows = 0, 1
         if (batch := self._at(self.first)) is not None:
             self.step, self.rows = self.file.tell() - self.first, len(batch)
 
     def _at(self, offset: int) -> pa.RecordBatch | None:
+        if offset + 8 > self.size:  # beyond a last batch of fewer rows
+            return None
         self.file.seek(offset)
         head = self.file.read(8)
-        if len(head) < 8 or struct.unpack("<Ii", head)[1] == 0:
+        if struct.unpack("<Ii", head)[1] == 0:
             return None
         self.file.seek(offset)
         return ipc.read_record_batch(ipc.read_message(self.file), self.schema)

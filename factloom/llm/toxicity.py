@@ -124,3 +124,16 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             yield pa.RecordBatch.from_arrays(arrays, [*b.schema.names, "expected_severity", "p_toxic", "grade"])
 
     return some.mapInArrow(each, schema)
+
+
+def clean(docs: DataFrame, model: Model, below: float) -> DataFrame:
+    """The rows of ``docs``, with their own columns, whose probability of any grade above 0 is under ``below``."""
+    weights = model.weights
+    keys = weights.keys()
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            scores = (sum(weights[w] for w in sorted(keys & words_of(t or ""))) for t in b.column("text").to_pylist())
+            yield b.filter(pa.array([1 - model.probabilities(s)[0] < below for s in scores], pa.bool_()))
+
+    return docs.mapInArrow(each, docs.schema)
