@@ -10,13 +10,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 from factloom.llm import exact_dedup, near_dedup, packing, secrets
 from factloom.llm import queries as llm
+from factloom.llm import toxicity as ops
 from factloom.llm.common import table, written
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows whose probability of any toxic grade is below the limit; scores don't replace columns of the documents."""
-    scored = llm.toxicity_scores(spark, docs, sf_dir)
-    return scored.where(scored["p_toxic"] < llm.TOXIC_FROM).select(*docs.columns)
+    """Documents stay whose probability of any toxic grade is below the limit."""
+    return ops.clean(docs, llm.toxicity_model(spark, sf_dir), llm.TOXIC_FROM)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
