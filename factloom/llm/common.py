@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 BYTE_CHUNKS = r"[ \n]*[^ \n]+|[ \n]+"
 WORD_CHUNKS = r"[^ \n]+"
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 150_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
