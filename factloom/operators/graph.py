@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+import tempfile
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import DataFrame, Window
@@ -28,9 +29,12 @@ class Hop:
     reverse: bool = False
 
 
-@dataclass
-class Gaps:
-    found: list[tuple[str, str]] = field(default_factory=list)
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Cuts lineage in the folder of ``spark.checkpoint.dir``; one is made only where the session names none (tests)."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="factloom-"))
+    return df.checkpoint()
 
 
 def nodes_of(table: DataFrame, key: str, type_: str, base: int = 0, label: str | None = None) -> DataFrame:
@@ -39,7 +43,7 @@ def nodes_of(table: DataFrame, key: str, type_: str, base: int = 0, label: str |
     Ids are numbered by ranges: a range's rows by themselves, plus the sizes of the ranges before it.
     """
     keyed = table.select(F.col(key).alias("key"), (F.col(label) if label else F.lit(None)).cast("int").alias("label")).where("key is not null")
-    ranged = keyed.repartitionByRange("key").withColumn("part", F.spark_partition_id())
+    ranged = checkpointed(keyed.repartitionByRange("key").withColumn("part", F.spark_partition_id()))  # read twice, with the same ranges
     sizes = ranged.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
     before = sizes.withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")
     number = F.row_number().over(Window.partitionBy("part").orderBy("key"))
@@ -126,13 +130,14 @@ def closure(edges: DataFrame, rounds: int = 30) -> DataFrame:
     Least labels spread along edges and through the labels themselves until nothing changes; each round is written
     to the checkpoint folder, so that lineage stays short.
     """
-    both = edges.select("a", "b").union(edges.select("b", "a")).distinct().checkpoint()
-    roots = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("root")).withColumnRenamed("a", "id").checkpoint()
+    both = edges.select("a", "b").union(edges.select("b", "a")).distinct()
+    both = checkpointed(both)
+    roots = checkpointed(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("root")).withColumnRenamed("a", "id"))
     for _ in range(rounds):
         near = both.join(roots.select(F.col("id").alias("b"), "root"), "b").groupBy(F.col("a").alias("id")).agg(F.min("root").alias("near"))
         spread = roots.join(near, "id").select("id", F.least("root", "near").alias("root"))
         jump = spread.join(roots.select(F.col("id").alias("root"), F.col("root").alias("far")), "root", "left").select("id", F.least("root", F.coalesce("far", "root")).alias("root"))
-        after = jump.checkpoint()
+        after = checkpointed(jump)
         changed = after.join(roots.withColumnRenamed("root", "old"), "id").where("root != old")
         roots, done = after, changed.isEmpty()
         if done:
