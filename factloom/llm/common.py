@@ -2,19 +2,23 @@
 
 from __future__ import annotations
 
+import json
 import os
 import re
+import string
 import tempfile
 import uuid
 from array import array
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-BYTE_CHUNKS = r"[ \n]*[^ \n]+|[ \n]+"
-WORD_CHUNKS = r"[^ \n]+"
-CACHE_ENTRIES = 150_000
+LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"  # each a letter to any tokenizer, and its own composed form
+WORD = rf"[{LETTERS}]+(?=[ \n!-&(-/:-@\[-`{{-~]|\Z)"  # up to white space or ASCII punctuation other than an apostrophe
+BYTE_CHUNKS = rf"[ \n]*{WORD}|[ \n]*[^ \n]+|[ \n]+"
+WORD_CHUNKS = rf"{WORD}|[^ \n]+"
+CACHE_ENTRIES = 200_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -72,13 +76,21 @@ def salted_lookup(rows: DataFrame, lookup: DataFrame, key: str, counts: DataFram
     return left.join(right, [key, "__salt"], how).drop("__salt")
 
 
+# The steps before the model, as types of normalizers and of pre-tokenizers, that keep a word whole.
+_WORD_STEPS = ([[], ["ByteLevel"]], [["NFC", "Replace", "Lowercase"], ["Split", "ByteLevel"]])
+_PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves in byte-level models
+_BYTE_LETTERS = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _PRINTED)}
+
+
 class ChunkEncoder:
     """Ids of whole texts from a tokenizer file, with the ids of each distinct chunk kept.
 
     Texts are cut only where the tokenizer's own pre-tokenizer always cuts: before a run of spaces and line feeds
-    (``BYTE_CHUNKS``), or around it if the tokenizer drops white space (``WORD_CHUNKS``). With ``BYTE_CHUNKS`` a
-    text with other white space is encoded whole, as runs of mixed white space are cut by what follows them.
-    Strings of special tokens are ordinary text. The kept chunks are bounded by ``CACHE_ENTRIES``.
+    (``BYTE_CHUNKS``), or around it if the tokenizer drops white space (``WORD_CHUNKS``), and between a word and
+    punctuation. With ``BYTE_CHUNKS`` a text with other white space is encoded whole, as runs of mixed white space are
+    cut by what follows them. Strings of special tokens are ordinary text. A chunk that is one word goes to the
+    tokenizer's model at once, if the steps before it (``_WORD_STEPS``) would do no more than map its bytes.
+    Chunks are kept in two generations of ``CACHE_ENTRIES``, so that frequent ones outlive the rest.
     """
 
     def __init__(self, path: str, chunks: str | None, typecode: str):
@@ -91,10 +103,43 @@ class ChunkEncoder:
         self.odd = re.compile(r"[^\S \n]").search if chunks == BYTE_CHUNKS else None
         self.typecode = typecode
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.model = self.tokenizer.model
+        self.one_word, self.lower = self._words() if chunks else (None, False)
+
+    def _words(self) -> tuple[Callable | None, bool]:
+        """What tells chunks of one word, and whether they are lower-cased; nothing for steps that aren't known."""
+        steps = json.loads(self.tokenizer.to_str())
+        kind = [[x["type"] for x in (step or {}).get(name, [step] if step else [])] for step, name in ((steps["normalizer"], "normalizers"), (steps["pre_tokenizer"], "pretokenizers"))]
+        if any(set(x["content"]) <= set(string.ascii_letters) for x in steps["added_tokens"]) or kind not in _WORD_STEPS:
+            return None, False
+        split = [x["pattern"] for x in (steps["pre_tokenizer"].get("pretokenizers") or []) if x["type"] == "Split"]
+        if split and "[\\p{L}]+" not in split[0].get("Regex", "").split("|"):
+            return None, False
+        space = "" if split else " ?"
+        return re.compile(f"{space}[{LETTERS}]+").fullmatch, "Lowercase" in kind[0]
 
     def whole(self, texts: Iterable[str]) -> list[bytes]:
         return [array(self.typecode, e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(list(texts), add_special_tokens=False)]
 
+    def _word(self, chunk: str) -> bytes:
+        mapped = (chunk.lower() if self.lower else chunk).encode().decode("latin-1").translate(_BYTE_LETTERS)
+        return array(self.typecode, [x.id for x in self.model.tokenize(mapped)]).tobytes()
+
+    def _learn(self, chunks: list[str]) -> None:
+        if len(self.known) > CACHE_ENTRIES:
+            self.known, self.older = {}, self.known
+        rest = []
+        for c in set(chunks).difference(self.known):
+            if c in self.older:
+                self.known[c] = self.older[c]
+            elif self.one_word and self.one_word(c):
+                self.known[c] = self._word(c)
+            else:
+                rest.append(c)
+        if rest:
+            self.known.update(zip(rest, self.whole(rest)))
+
     def encode(self, text: str) -> bytes:
         if self.find is None or (self.odd and self.odd(text)):
             return self.whole([text])[0]
@@ -102,10 +147,7 @@ class ChunkEncoder:
         try:
             return b"".join(map(self.known.__getitem__, chunks))
         except KeyError:
-            if len(self.known) > CACHE_ENTRIES:
-                self.known.clear()
-            new = [c for c in dict.fromkeys(chunks) if c not in self.known]
-            self.known.update(zip(new, self.whole(new)))
+            self._learn(chunks)
             return b"".join(map(self.known.__getitem__, chunks))
 
 
