@@ -1,7 +1,7 @@
 """Token-ID output: Arrow stream files of fixed-size-list batches, read back by position without copies.
 
 A shard is two stream files: ``shard-N.tokens.arrows`` with ``tokens`` and ``mask`` (both fixed-size lists of
-``sequence_length``; mask 1 where a token is real), and ``shard-N.docs.arrows`` with each document's id, start in
+``sequence_length``; the mask has a bit for each token, set where it is real), and ``shard-N.docs.arrows`` with each document's id, start in
 the shard and number of tokens. All batches of a tokens file but the last have equal sizes, so a sequence's place
 in the file is computed, and its values are views of the mapped file.
 
@@ -31,7 +31,7 @@ MANIFEST = "shard int, path string, n_tokens long, n_sequences long, n_documents
 
 
 def _schema(length: int, value: pa.DataType) -> pa.Schema:
-    return pa.schema([("tokens", pa.list_(value, length)), ("mask", pa.list_(pa.uint8(), length))])
+    return pa.schema([("tokens", pa.list_(value, length)), ("mask", pa.list_(pa.bool_(), length))])
 
 
 def _place(uri: str) -> tuple[pafs.FileSystem, str]:
@@ -69,8 +69,7 @@ class ShardWriter:
             self.held, self.n_held = [values[whole:].tobytes()], len(values) - whole
 
     def _batch(self, values: np.ndarray, real: int) -> None:
-        mask = np.zeros(len(values), np.uint8)
-        mask[:real] = 1
+        mask = np.arange(len(values)) < real
         self.tokens.write_batch(pa.record_batch([pa.FixedSizeListArray.from_arrays(pa.array(x), self.length) for x in (values, mask)], schema=self.schema))
 
     def close(self) -> tuple[int, int, int]:
@@ -85,7 +84,8 @@ class ShardWriter:
 
 
 class Shard:
-    """A tokens file opened by mapping it: ``sequence(i)`` and ``mask(i)`` are views of the file."""
+    """A tokens file opened by mapping it: ``sequence(i)`` and ``mask_bits(i)`` (Arrow booleans) are views of the file;
+    ``mask(i)`` is the mask unpacked for numpy, which has no arrays of bits."""
 
     def __init__(self, path: str):
         fs, place = _place(path)
@@ -113,20 +113,23 @@ class Shard:
     def batch(self, k: int) -> pa.RecordBatch | None:
         return self._at(self.first + k * self.step) if self.step else None
 
-    def _row(self, column: str, i: int) -> np.ndarray:
+    def _row(self, column: str, i: int) -> pa.Array:
         batch = self.batch(i // self.rows) if i >= 0 else None
         if batch is None or i % self.rows >= len(batch):
             raise IndexError(i)
         values = batch.column(column).values
         at = (batch.column(column).offset + i % self.rows) * self.length
-        return values.slice(at, self.length).to_numpy(zero_copy_only=True)
+        return values.slice(at, self.length)
 
     def sequence(self, i: int) -> np.ndarray:
-        return self._row("tokens", i)
+        return self._row("tokens", i).to_numpy(zero_copy_only=True)
 
-    def mask(self, i: int) -> np.ndarray:
+    def mask_bits(self, i: int) -> pa.BooleanArray:
         return self._row("mask", i)
 
+    def mask(self, i: int) -> np.ndarray:
+        return self.mask_bits(i).to_numpy(zero_copy_only=False)
+
     def batches(self) -> Iterator[np.ndarray]:
         """The tokens of each batch, one after another."""
         k = 0

@@ -2,9 +2,10 @@
 
 import random
 
+import pyarrow as pa
 import pytest
 
-from factloom.llm import common, queries
+from factloom.llm import common, queries, token_files
 from factloom.llm.common import BYTE_CHUNKS, WORD_CHUNKS, ChunkEncoder
 
 CASES = ["don't stop", "áb ć, é,", "x'll,", "İstanbul", "foo<s>bar </s> <unk>", "a.̸b", "hello\tworld, foo", "  two  spaces, \n\nnl ", "foo×bar", "ñandú-él", "ß. SS", "naïve!!!", "wordи mix", "a1b2 c3,", "", "\n", " ", "foo‍bar, x", "ﬁx, a b", "A.B.C,", "ЁЖ ёж, Ωσς", "x_y_z __a", "(a) [b] {c} ~d~ ^e^ `f`", "word'", "it's'd,"]
@@ -29,3 +30,14 @@ def test_unknown_steps_take_the_long_way(tmp_path):
     tokenizer.save(path := str(tmp_path / "t.json"))
     encoder = ChunkEncoder(path, BYTE_CHUNKS, "I")
     assert encoder.one_word is None and encoder.encode("banana, a") == encoder.whole(["banana, a"])[0]
+
+
+def test_masks_are_views_of_the_mapped_file(tmp_path):
+    writer = token_files.ShardWriter(str(tmp_path / "s"), 12, 2, "uint16")
+    writer.add([1, 2], [bytes(2 * 20), bytes(2 * 45)])
+    writer.close()
+    before = pa.total_allocated_bytes()
+    shard = token_files.Shard(str(tmp_path / "s.tokens.arrows"))
+    assert [shard.mask_bits(i).true_count for i in range(6)] == [12, 12, 12, 12, 12, 5] == [shard.mask(i).sum() for i in range(6)]
+    held = [shard.mask_bits(i) for i in range(6)]
+    assert len(held) == 6 and pa.total_allocated_bytes() - before < 64 and shard.mask(5).tolist() == [True] * 5 + [False] * 7
