@@ -4,15 +4,16 @@ A text is the sequence of its words in lower case; its k-mers are runs of five w
 occurred before in the text (a text of fewer words is one k-mer). A sketch takes the SKETCH k-mers that are least by a
 keyed hash and hashes them in text order, so that it is sensitive to edit similarity, not to the set of k-mers alone.
 Each text has REPEATS sketches by different keys; texts with a sketch in common are candidates. Texts of up to SHORT
-k-mers also share keys of themselves with one k-mer left out, which finds all their partners.
+k-mers also share keys of themselves with one k-mer left out, which finds all their partners of up to SHORT k-mers.
 
 A candidate pair is verified by alignment: labelled k-mers match one to one, matches within the band that the
 threshold allows are kept, and the longest chain in both orders has m of them. Texts of n and k k-mers are near
 duplicates if m / (n + k - m) is at least ``threshold``. Classes are the connected components of those links.
 
-Equal word sequences are one node from the start. A bucket first links its texts to one centre; then only texts of
-different components meet, in buckets over PAIRED texts only if they share a second sketch. So groups of copies cost a
-pair for each text, and no link between components is lost to a centre that is like neither.
+Equal word sequences are one node from the start. A bucket first links its texts to one centre; then its texts of
+different components meet, block by block of BLOCK texts where their k-mers lie, and those that a link of the same
+block joins no more. So groups of copies cost a row for each text and block, not for each pair, and no link between
+components is lost to a centre that is like neither, however large the bucket.
 
 Null texts are empty; texts without words are equal to each other. Null ids sort below all. Repeated rows are members
 of their class each. An empty table has no class.
@@ -33,7 +34,7 @@ from pyspark.sql import functions as F
 from .common import free_names, salted_lookup, text_of, written
 
 K, SKETCH, REPEATS, THRESHOLD = 5, 6, 36, 0.8
-SHORT, PAIRED = 9, 64
+SHORT, BLOCK = 9, 512
 WORDS = re.compile(r"\w+").findall
 KNOWN_WORDS = 200_000
 ODD = [int.from_bytes(xxhash.xxh3_64_digest(f"order {j}")) | 1 for j in range(REPEATS)]  # keys of the orders
@@ -127,26 +128,24 @@ def aligned(a: np.ndarray, b: np.ndarray, threshold: float = THRESHOLD) -> float
     return len(chain) / (n + k - len(chain))
 
 
-SKETCHED = "doc_id long, digest binary, n long, keys array<long>, parts array<int>"
+SKETCHED = "doc_id long, digest binary, n long, keys array<long>"
 PARTS = 128
 
 
 def sketched(docs: DataFrame) -> DataFrame:
-    """doc_id, digest of the word sequence, number of k-mers, bucket keys, and how many k-mers fall in each part of the
-    hash space, of each row."""
+    """doc_id, digest of the word sequence, number of k-mers and bucket keys of each row."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            digests, sizes, keys, parts = [], [], [], []
+            digests, sizes, keys = [], [], []
             for text in batch.column("text").to_pylist():
                 words = words_of(text)
                 h = kmers(words)
                 digests.append(digest_of(words))
                 sizes.append(len(h))
                 keys.append(sketches(h))
-                parts.append(np.bincount((h % np.uint64(PARTS)).astype(np.int64), minlength=PARTS).astype(np.int32))
             _known.clear()
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(parts, pa.list_(pa.int32()))], ["doc_id", "digest", "n", "keys", "parts"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "digest", "n", "keys"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).mapInArrow(each, SKETCHED)
 
@@ -155,15 +154,8 @@ def _sizes_near(n: Column, k: Column, threshold: float) -> Column:
     return F.least(n, k) >= F.greatest(n, k) * F.lit(threshold)
 
 
-def _may_align(parts: Column, its: Column, n: Column, k: Column, threshold: float) -> Column:
-    """Whether texts can share enough k-mers: no more than the lesser count of each part are in both. Nothing is lost."""
-    most = F.aggregate(F.zip_with(parts, its, lambda a, b: F.least(a, b)), F.lit(0), lambda a, x: a + x)
-    return most >= F.lit(threshold / (1 + threshold) - 1e-9) * (n + k)
-
-
-def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
-    """The pairs (a, b) of digests whose texts align. Codes of 32 bits travel, once for each pair of a text."""
-    needed = pairs.select(F.col("a").alias("digest")).union(pairs.select(F.col("b").alias("digest"))).distinct()
+def coded(needed: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
+    """(digest, codes) of the nodes that ``needed`` (digest) names: their k-mers, in 32 bits each."""
     wanted = nodes.join(needed, "digest", "left_semi").select(F.col("first_id").alias("__id"), F.col("digest").alias("__digest"))
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -177,16 +169,22 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, threshold: flo
             _known.clear()
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary()), pa.array(codes, pa.binary())], ["digest", "codes"])
 
+    texts = docs.select(F.col("doc_id").cast("long").alias("__i"), text_of().alias("text"))
+    codes = texts.join(wanted, F.col("__i").eqNullSafe(F.col("__id"))).select("text", "__digest").mapInArrow(code, "digest binary, codes binary")
+    codes = written(codes, "codes")
+    return codes if codes.groupBy("digest").count().where("count > 1").isEmpty() else codes.dropDuplicates(["digest"])
+
+
+def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
+    """The pairs (a, b) of digests whose texts align. Codes travel once for each pair of a text."""
+
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             left, right = batch.column("codes_a"), batch.column("codes_b")
             good = [i for i in range(batch.num_rows) if aligned(np.frombuffer(left[i].as_py(), np.uint32), np.frombuffer(right[i].as_py(), np.uint32), threshold) >= threshold]
             yield batch.select(["a", "b"]).take(pa.array(good, pa.int64()))
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("__i"), text_of().alias("text"))
-    codes = texts.join(wanted, F.col("__i").eqNullSafe(F.col("__id"))).select("text", "__digest").mapInArrow(code, "digest binary, codes binary")
-    codes = written(codes, "codes")
-    codes = codes if codes.groupBy("digest").count().where("count > 1").isEmpty() else codes.dropDuplicates(["digest"])
+    codes = coded(pairs.select(F.col("a").alias("digest")).union(pairs.select(F.col("b").alias("digest"))).distinct(), nodes, docs)
     counts = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n"))
     left = salted_lookup(pairs, codes.select(F.col("digest").alias("a"), F.col("codes").alias("codes_a")), "a", counts, pairs.count(), ["b"])
     counts = pairs.groupBy("b").agg(F.count(F.lit(1)).alias("n"))
@@ -207,6 +205,86 @@ def _unique32(h: np.ndarray) -> np.ndarray:
     return low
 
 
+UNIT = ["key", "unit", "whole", "main", "block", "centre", "digest", "label", "keys", "codes"]
+
+
+def _units(open_: DataFrame, sizes: DataFrame) -> DataFrame:
+    """The rows of ``open_`` (key, digest, label, main, centre) in the units (key, unit) in which their pairs meet.
+
+    ``sizes`` has (key, others, mains): texts outside and in the bucket's largest component. Both are dealt to blocks,
+    and each two blocks meet in one unit, but for those of the largest component. ``whole`` says that texts of one
+    block meet there as well.
+    """
+    c = F.col
+    rows = open_.join(sizes.select("key", F.ceil(c("others") / BLOCK).alias("p"), F.greatest(F.ceil(c("mains") / BLOCK), F.lit(1)).alias("q")), "key")
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("digest"), F.when(c("main"), c("q")).otherwise(c("p"))))
+    span = lambda n: F.sequence(F.lit(0).cast("long"), n - 1)
+    unit = lambda u, whole: F.struct(u.alias("unit"), whole.alias("whole"))
+    inner = F.transform(span(c("p")), lambda j: unit(F.least(c("block"), j) * c("p") + F.greatest(c("block"), j), j == c("block")))
+    outer = F.transform(span(c("q")), lambda j: unit(c("p") * c("p") + c("block") * c("q") + j, F.lit(False)))
+    of_main = F.transform(span(c("p")), lambda i: unit(c("p") * c("p") + i * c("q") + c("block"), F.lit(False)))
+    one = F.array(unit(F.lit(0).cast("long"), F.lit(True)))
+    units = F.when((c("p") == 1) & (c("q") == 1), one).when(c("main"), of_main).otherwise(F.concat(inner, outer))
+    return rows.select("key", "digest", "label", "main", "centre", "block", F.explode(units).alias("u")).select("key", "u.*", "main", "block", "centre", "digest", "label")
+
+
+def _meet(key: int, rows: list[dict], threshold: float) -> list[tuple[bytes, bytes]]:
+    """Links (a, b) between components of one unit: as many as join what alignment joins, no pair that they join twice.
+
+    A pair is taken in the bucket of its least common key only; pairs with the centre are known. Texts share no more
+    k-mers than the lesser count of each part of the code space, so others needn't be aligned: nothing is lost.
+    """
+    rows.sort(key=lambda r: (r["main"], r["digest"]))
+    codes = [np.frombuffer(r["codes"], np.uint32) for r in rows]
+    n = np.array([len(x) for x in codes])
+    parts = np.stack([np.bincount(x % PARTS, minlength=PARTS) for x in codes]).astype(np.int32)
+    main, centre = (np.array([r[f] for r in rows]) for f in ("main", "centre"))
+    block, whole, keys = np.array([r["block"] for r in rows]), rows[0]["whole"], [set(r["keys"]) for r in rows]
+    names = {x: i for i, x in enumerate(dict.fromkeys(r["label"] for r in rows))}
+    group = np.array([names[r["label"]] for r in rows])
+    links = []
+    for i in range(len(rows) - 1 if not main.all() else 0):
+        if main[i]:
+            break  # what follows is of the largest component, too
+        j = np.arange(i + 1, len(rows))
+        j = j[(group[j] != group[i]) & ~(centre[j] | centre[i]) & (whole | (main[j] | (block[j] != block[i])))]
+        j = j[np.minimum(n[j], n[i]) >= np.maximum(n[j], n[i]) * threshold - 1e-9]
+        j = j[np.minimum(parts[j], parts[i]).sum(1) >= (threshold / (1 + threshold) - 1e-9) * (n[j] + n[i])]
+        for k in j.tolist():
+            if group[k] != group[i] and min(keys[i] & keys[k]) == key and aligned(codes[i], codes[k], threshold) >= threshold:
+                group[group == group[k]] = group[i]
+                a, b = sorted((rows[i]["digest"], rows[k]["digest"]))
+                links.append((a, b))
+    return links
+
+
+def across(open_: DataFrame, sizes: DataFrame, nodes: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
+    """Verified links (a, b) between components of the same bucket."""
+    units = written(_units(open_, sizes), "units")
+    needed = units.select("digest").distinct()
+    facts = coded(needed, nodes, docs).join(nodes.select("digest", "keys"), "digest")
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, rows = None, []
+
+        def links() -> pa.RecordBatch:
+            found = _meet(at[0], rows, threshold) if len(rows) > 1 else []
+            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.binary()) for k in (0, 1)], ["a", "b"])
+
+        for batch in batches:
+            for r in batch.to_pylist():
+                if (r["key"], r["unit"]) != at:
+                    if rows:
+                        yield links()
+                    at, rows = (r["key"], r["unit"]), []
+                rows.append(r)
+        if rows:
+            yield links()
+
+    dealt = units.join(facts, "digest").select(UNIT).repartition("key", "unit").sortWithinPartitions("key", "unit")
+    return written(dealt.mapInArrow(meet, "a binary, b binary"), "across")
+
+
 def components(links: DataFrame) -> DataFrame:
     """(digest, label) of all ends of ``links`` (a, b): the least digest of the connected component.
 
@@ -236,32 +314,23 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """A row for each row of ``docs`` (doc_id, text): doc_id, class_id (the least id of the class), class_size, links
     (verified links of its text to other texts) and kept (whether it is the one document that stays)."""
     rows = written(sketched(docs), "sketches")
-    nodes = rows.groupBy("digest").agg(F.min(F.struct("doc_id")).alias("first"), F.count(F.lit(1)).alias("copies"), F.max("n").alias("n"), F.max("keys").alias("keys"), F.max("parts").alias("parts"))
-    nodes = written(nodes.select("digest", F.col("first.doc_id").alias("first_id"), "copies", "n", "keys", "parts"), "nodes")
+    nodes = rows.groupBy("digest").agg(F.min(F.struct("doc_id")).alias("first"), F.count(F.lit(1)).alias("copies"), F.max("n").alias("n"), F.max("keys").alias("keys"))
+    nodes = written(nodes.select("digest", F.col("first.doc_id").alias("first_id"), "copies", "n", "keys"), "nodes")
     buckets = nodes.select("digest", "n", F.explode("keys").alias("key"))
     centres = buckets.groupBy("key").agg(F.min(F.struct("digest", "n")).alias("c"), F.count(F.lit(1)).alias("members")).where("members > 1")
-    buckets = written(buckets.join(centres, "key").select("key", "digest", "n", F.col("c.digest").alias("a"), F.col("c.n").alias("an"), "members"), "buckets")
+    buckets = written(buckets.join(centres, "key").select("key", "digest", "n", F.col("c.digest").alias("a"), F.col("c.n").alias("an")), "buckets")
     stars = buckets.where(F.col("digest") != F.col("a")).where(_sizes_near(F.col("n"), F.col("an"), threshold)).select("a", F.col("digest").alias("b")).distinct()
     stars = written(stars, "stars")
     links = verified(stars, nodes, docs, threshold)
     labels = written(components(links), "labels")
 
-    # Of buckets with several components, pairs across them; what was looked at is left out. A bucket's largest component
-    # stands on one side only, and a pair comes out of one bucket, that of its least common key.
-    open_ = _labelled(buckets.select("key", "digest", "n", "members"), labels)
-    mixed = open_.groupBy("key", "label").agg(F.count(F.lit(1)).alias("c")).groupBy("key").agg(F.max_by("label", F.struct("c", "label")).alias("main"), F.count(F.lit(1)).alias("labels"))
-    open_ = open_.join(mixed.where("labels > 1").drop("labels"), "key").join(nodes.select("digest", "keys", "parts"), "digest")
-    open_ = written(open_, "open")
-    x = open_.where("label != main").select("key", "members", F.col("digest").alias("a"), "n", "label", "keys", "parts")
-    y = open_.select("key", F.col("digest").alias("b"), F.col("n").alias("k"), F.col("label").alias("other"), F.col("keys").alias("its"), F.col("parts").alias("its_parts"), (F.col("label") == F.col("main")).alias("is_main"))
-    shared = F.array_intersect("keys", "its")
-    near = (F.col("label") != F.col("other")) & (F.col("is_main") | (F.col("a") < F.col("b"))) & _sizes_near(F.col("n"), F.col("k"), threshold)
-    near = near & ((F.col("members") <= PAIRED) | (F.size(shared) > 1)) & (F.array_min(shared) == F.col("key"))
-    near = near & _may_align(F.col("parts"), F.col("its_parts"), F.col("n"), F.col("k"), threshold)
-    across = x.join(y, "key").where(near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    across = written(across.join(stars, ["a", "b"], "left_anti"), "across")
-    if not across.isEmpty():
-        more = verified(across, nodes, docs, threshold)
+    # Of buckets with several components, texts of different ones meet; a bucket's largest stands on one side only.
+    open_ = _labelled(buckets.select("key", "digest", "a"), labels)
+    sizes = open_.groupBy("key", "label").agg(F.count(F.lit(1)).alias("c")).groupBy("key").agg(F.max_by("label", F.struct("c", "label")).alias("most"), F.max("c").alias("mains"), (F.sum("c") - F.max("c")).alias("others")).where("others > 0")
+    sizes = written(sizes, "sizes")
+    open_ = open_.join(sizes.select("key", "most"), "key").select("key", "digest", "label", (F.col("label") == F.col("most")).alias("main"), (F.col("digest") == F.col("a")).alias("centre"))
+    if not sizes.isEmpty():
+        more = across(open_, sizes, nodes, docs, threshold)
         if not more.isEmpty():
             links = links.union(more)
             labels = written(components(links), "labels")

@@ -428,6 +428,23 @@ def test_near_dedup(spark):
     assert made_classes(df) == brute_classes(rows)
 
 
+def test_near_dedup_in_large_buckets(spark, monkeypatch):
+    base = " ".join(f"b{i}" for i in range(8))
+    rows = [(i, f"{base} w{i}") for i in range(90)] + [(90, base)]  # all are near the base, none near another
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert made_classes(df) == [sorted(range(91), key=repr)]
+    monkeypatch.setattr(near_dedup, "BLOCK", 7)  # the bucket is dealt to many blocks
+    assert made_classes(df) == [sorted(range(91), key=repr)]
+    r = random.Random(5)
+    start, some = [f"q{i}" for i in range(60)], []
+    for i in range(80):
+        new = start[:]
+        for at in r.sample(range(60), r.choice([1, 1, 2])):
+            new[at] = f"z{i}"
+        some.append((i, " ".join(new)))
+    assert made_classes(spark.createDataFrame(some, "doc_id long, text string")) == brute_classes(some)
+
+
 def test_near_dedup_odd_rows(odd, none, odd_texts):
     got = {r["doc_id"]: r["class_id"] for r in near_dedup.classes(odd.where("doc_id is not null")).collect()}
     assert got[20] == got[21] == got[22] == 20 and got[23] == 23 and got[4] == got[6] == got[8] == 4 and got[2] == got[9] == got[11] == 2
