@@ -1,12 +1,14 @@
 """Seeded merge-dropout: byte-fallback BPE whose candidate merges are skipped by a keyed hash.
 
 Merges run from an agenda ordered by score, then place. A candidate that comes up is skipped for good with
-probability ``dropout``, decided by a hash of (seed, variant, chunk, number of the candidate), so a run repeats exactly and another
-seed gives other segmentations; without dropout they are the library's. Every segmentation decodes to the same text.
+probability ``dropout``, decided by a hash of (seed, document, place of the chunk in it, number of the candidate), so a
+run repeats exactly and another seed gives other segmentations; without dropout they are the library's. Every
+segmentation decodes to the same text.
 
 Texts are cut before runs of spaces, and between letters and other characters where no piece of the vocabulary
-crosses; a chunk's segmentation is kept for each of ``variants``, and a document takes the variants by turns from a
-start that its id decides. The mark for spaces itself is spelt in bytes, so that it, too, decodes to itself.
+crosses. Each chunk of each text has draws of its own: a hash gives how many candidates pass until the next that is
+skipped. What a chunk becomes depends on the numbers of its skipped candidates alone, so that is kept, with how many
+candidates come up. The mark for spaces itself is spelt in bytes, so that it, too, decodes to itself.
 
 Null texts are empty and have no token. Very long chunks take n log n steps. Rows that repeat get equal tokens.
 """
@@ -15,12 +17,14 @@ from __future__ import annotations
 
 import heapq
 import itertools
+import math
 import re
 import sys
 import zlib
 from array import array
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -31,6 +35,7 @@ from .common import text_of
 MARK = "▁"
 KEPT_CHUNKS, KEPT_CHARS = 400_000, 40
 MASK = 2**64 - 1
+NEVER = 2**62
 
 
 class Pieces:
@@ -65,10 +70,26 @@ class Pieces:
             sticky += "".join(sorted(more))
 
 
+def _mixed(x: int) -> int:
+    x = ((x ^ (x >> 30)) * 0xBF58476D1CE4E5B9) & MASK
+    x = ((x ^ (x >> 27)) * 0x94D049BB133111EB) & MASK
+    return x ^ (x >> 31)
+
+
+def _mixed_all(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
 class Segmenter:
-    def __init__(self, path: str, seed: int, dropout: float, variants: int):
-        self.pieces, self.seed, self.below, self.variants = Pieces(path), seed, round(dropout * 2**16), variants if dropout else 1
-        self.known: list[dict[str, bytes]] = [{} for _ in range(self.variants)]
+    """``variants`` is not used: draws are for each chunk of each text."""
+
+    def __init__(self, path: str, seed: int, dropout: float, variants: int | None = None):
+        self.pieces, self.seed, self.below = Pieces(path), seed, round(dropout * 2**16)
+        self.scale = -1 / math.log1p(-self.below / 2**16) if 0 < self.below < 2**16 else 0.0
+        self.known: dict[str, tuple[int, bytes]] = {}
+        self.skipped: dict[tuple, tuple[int, bytes]] = {}
 
     def _stream(self, chunk: str, variant: int) -> Iterator[bool]:
         """For one candidate after another, whether it is skipped."""
@@ -77,9 +98,44 @@ class Segmenter:
             for x in memoryview(xxhash.xxh3_128_digest(chunk, (key + block * 0x9E3779B97F4A7C15) & MASK)).cast("H"):
                 yield x < self.below
 
-    def segment(self, chunk: str, variant: int = 0) -> bytes:
+    def _gaps(self, start: int, n: int) -> np.ndarray:
+        """How many candidates pass before the first skipped one, for each of n keys from ``start``."""
+        if not self.below:
+            return np.full(n, NEVER)
+        x = _mixed_all(np.uint64(start) + np.arange(n, dtype=np.uint64))
+        return (-np.log(((x >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53) * self.scale).astype(np.int64)
+
+    def _made(self, chunk: str, skips: tuple[int, ...]) -> tuple[int, bytes]:
+        """How many candidates come up if those of the numbers ``skips`` are skipped, and the ids."""
+        count, some = itertools.count(), set(skips)
+        ids = self.segment(chunk, lambda: next(count) in some)
+        return next(count), ids
+
+    def _again(self, chunk: str, first: int, key: int) -> bytes:
+        """The ids of a chunk whose candidate ``first`` is skipped; ``key`` decides on the later ones."""
+        skips: tuple[int, ...] = (first,)
+        while True:
+            if (made := self.skipped.get((chunk, skips))) is None:
+                made = self._made(chunk, skips)
+                if len(self.skipped) > KEPT_CHUNKS:
+                    self.skipped.clear()
+                self.skipped[chunk, skips] = made
+            key = _mixed((key + 0x9E3779B97F4A7C15) & MASK)
+            after = skips[-1] + 1 + (int(-math.log(((key >> 11) + 0.5) * 2.0**-53) * self.scale))
+            if after >= made[0]:
+                return made[1]
+            skips += (after,)
+
+    def _in_turn(self, gap: int, key: int) -> Iterator[bool]:
+        """The same draws as ``_again`` takes, for one candidate after another."""
+        while True:
+            yield from itertools.repeat(False, gap)
+            yield True
+            key = _mixed((key + 0x9E3779B97F4A7C15) & MASK)
+            gap = int(-math.log(((key >> 11) + 0.5) * 2.0**-53) * self.scale)
+
+    def segment(self, chunk: str, skipped: Callable[[], bool] = bool) -> bytes:
         """The ids of one chunk, as unsigned 16-bit integers."""
-        skipped = self._stream(chunk, variant).__next__ if self.below else bool
         ids, known, byte = array("H"), self.pieces.id, self.pieces.byte
         for p in (self._short if len(chunk) <= 64 else self._long)(chunk, skipped):
             if p in known:
@@ -126,31 +182,32 @@ class Segmenter:
                 heapq.heappush(agenda, (rank[p], k, i, len(p)))
         return [p for p in at if p]
 
-    def _part(self, text: str, turn: int) -> bytes:
+    def _part(self, text: str, start: int) -> tuple[bytes, int]:
+        """The ids of a part of a text whose chunks have the keys from ``start``, and the number of chunks."""
         chunks = self.pieces.chunks(text)
-        out: list[bytes] = [b""] * len(chunks)
-        for v in range(self.variants):
-            own, known = chunks[(v - turn) % self.variants :: self.variants], self.known[v]
-            try:
-                found = list(map(known.__getitem__, own))
-            except KeyError:
+        known, out = self.known, []
+        for i, (c, gap) in enumerate(zip(chunks, self._gaps(start, len(chunks)).tolist())):
+            if (made := known.get(c)) is None:
+                if len(c) > KEPT_CHARS:
+                    out.append(self.segment(c, self._in_turn(gap, _mixed((start + i) & MASK)).__next__ if self.below else bool))
+                    continue
+                made = self._made(c, ())
                 if len(known) > KEPT_CHUNKS:
                     known.clear()
-                found = []
-                for c in own:
-                    if (ids := known.get(c)) is None:
-                        ids = self.segment(c, v)
-                        if len(c) <= KEPT_CHARS:
-                            known[c] = ids
-                    found.append(ids)
-            out[(v - turn) % self.variants :: self.variants] = found
-        return b"".join(out)
+                known[c] = made
+            out.append(made[1] if gap >= made[0] else self._again(c, gap, _mixed((start + i) & MASK)))
+        return b"".join(out), len(chunks)
 
     def encode(self, text: str, turn: int = 0) -> bytes:
+        """The ids of a text; ``turn`` is the document's hash, which decides on its draws with the seed."""
         if not text:
             return b""
-        parts = text.split(MARK)
-        return self.pieces.mark.join(self._part((MARK if not i else "") + p.replace(" ", MARK), turn) for i, p in enumerate(parts))
+        out, at = [], _mixed((turn + self.seed * 0x9E3779B97F4A7C15) & MASK)
+        for i, p in enumerate(text.split(MARK)):
+            ids, n = self._part((MARK if not i else "") + p.replace(" ", MARK), at)
+            out.append(ids)
+            at = (at + n) & MASK
+        return self.pieces.mark.join(out)
 
     def decode(self, ids: bytes) -> str:
         return b"".join(map(self.pieces.bytes.__getitem__, array("H", ids)))[1:].decode()

@@ -285,6 +285,20 @@ def test_dropout_varies_and_decodes(odd, none, odd_texts):
     assert merge_dropout.encode(none, path).count() == 0
 
 
+def test_dropout_draws_for_each_chunk_of_each_text():
+    own = merge_dropout.Segmenter(queries.vocabulary("piece_bpe_32k.model"), 1, 0.1, 2)
+    word, texts = "▁international", [own.encode(" ".join(["international"] * 40), turn) for turn in range(50)]
+    assert len(set(texts)) == 50  # not two for all documents
+    made = Counter(own._again(word, int(gap), key) if gap < own._made(word, ())[0] else own._made(word, ())[1] for key, gap in enumerate(own._gaps(0, 20000)))
+    plain = Counter(own.segment(word, (lambda r: lambda: r.random() < own.below / 2**16)(random.Random(i))) for i in range(20000))
+    assert len(made) > 10
+    for i, gap in enumerate(own._gaps(0, 200).tolist()):  # long chunks take the same draws in one pass
+        key = merge_dropout._mixed(i)
+        assert own.segment(word, own._in_turn(gap, key).__next__) == (own._again(word, gap, key) if gap < own._made(word, ())[0] else own._made(word, ())[1])
+    for ids in set(made) | set(plain):
+        assert abs(made[ids] - plain[ids]) < 5 * (2 * max(made[ids], plain[ids], 1)) ** 0.5 + 5
+
+
 def test_short_and_long_agendas_agree():
     own = merge_dropout.Segmenter(queries.vocabulary("piece_bpe_32k.model"), 4, 0.3, 1)
     for chunk in ("▁international", "▁aaaaabaaaaab", "unbelievably", "x", "▁"):
