@@ -65,31 +65,49 @@ def secrecy(value: str) -> float:
     return min(1.0, entropy / 3) * min(1.0, 0.4 + n / 20)
 
 
+class Binding:
+    """The literals of one assignment, and the bindings that it uses: shared, so that ``a = b + b`` doesn't grow."""
+
+    __slots__ = ("own", "parents", "weight")
+
+    def __init__(self):
+        self.own: list[tuple[int, int]] = []
+        self.parents: list[Binding] = []
+        self.weight = 0.0
+
+
 def literals(text: str) -> list[tuple[int, int, float]]:
     """(start, end, score) of the literals that reach a target, the best score of each."""
-    bound: dict[str, list[tuple[int, int]]] = {}
+    bound: dict[str, Binding] = {}
     scores: dict[tuple[int, int], float] = {}
     for m in PAIR.finditer(text):
         name = m["name"] or m["quoted"]
-        weight, at, found = sensitivity(name), m.end(), []
+        weight, at, found = sensitivity(name), m.end(), Binding()
         while o := OPERAND.match(text, at):
             kind = o.lastgroup
             if kind in ("d", "s", "b", "bare"):
-                found.append(o.span(kind))
+                found.own.append(o.span(kind))
             elif o["ref"] in bound:
-                found += bound[o["ref"]]
+                found.parents.append(bound[o["ref"]])
             elif m["name"] is None or not PLUS.match(text, o.end()):
-                found.append(o.span("ref"))  # a bare word of a configuration file
+                found.own.append(o.span("ref"))  # a bare word of a configuration file
             plus = PLUS.match(text, o.end())
             if not plus:
                 break
             at = plus.end()
-        if found:
-            bound[name] = found[:16]
+        if found.own or found.parents:
+            bound[name] = found
         if weight:
-            for span in found:
-                score = weight * secrecy(text[slice(*span)])
-                scores[span] = max(score, scores.get(span, 0.0))
+            reached = [found]
+            while reached:
+                node = reached.pop()
+                if node.weight >= weight:
+                    continue  # its literals have that score already, and so have those of its parents
+                node.weight = weight
+                for span in node.own:
+                    score = weight * secrecy(text[slice(*span)])
+                    scores[span] = max(score, scores.get(span, 0.0))
+                reached += node.parents
     return sorted((a, b, s) for (a, b), s in scores.items())
 
 

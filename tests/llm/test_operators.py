@@ -196,6 +196,15 @@ def test_harmless_assignments(text):
     assert [x for x in secrets.literals(text) if x[2] >= secrets.THRESHOLD] == []
 
 
+def test_every_literal_of_a_name_reaches_its_target():
+    values = [hashlib.sha256(str(i).encode()).hexdigest()[:20].upper() for i in range(40)]
+    text = f'pem = "{values[0]}"\n' + "".join(f'pem = pem + "{v}"\n' for v in values[1:]) + "private_key = pem\n"
+    assert {text[a:b] for a, b, s in secrets.literals(text) if s >= secrets.THRESHOLD} == set(values)
+    assert not any(v in secrets.redacted(text, "[SECRET]") for v in values)
+    doubled = 'a = "Zk81kdPq02mmXa91"\n' + "a = a + a\n" * 2000 + "password = a\n" * 2000
+    assert [doubled[a:b] for a, b, s in secrets.literals(doubled) if s >= secrets.THRESHOLD] == ["Zk81kdPq02mmXa91"]
+
+
 def test_redact_keeps_rows_and_columns(odd, none):
     out = secrets.redact(odd)
     assert out.columns == odd.columns and out.count() == odd.count() and secrets.redact(none).count() == 0
