@@ -30,6 +30,24 @@ def identity_pairs(people: DataFrame) -> DataFrame:
     return mail.unionByName(name).groupBy("a", "b").agg(F.min("tier").alias("tier"))
 
 
+def identity_groups(people: DataFrame, salts: int = 16) -> DataFrame:
+    """(tier, key, id, band, first, band_first): a row for each person in each e-mail or name that several bands share,
+    with the least ids of that group and of the person's band in it.
+
+    Two members of a group with different bands are a pair of ``identity_pairs``; the e-mail outranks the name. A group
+    costs a row for each member, not for each pair, and its rows go to ``salts`` tasks.
+    """
+    p = people.withColumn("mail", email_key(F.col("email"))).withColumn("parts", name_tokens(F.col("name")))
+    mail = p.where("mail is not null").select(F.lit("email").alias("tier"), F.array("mail").alias("key"), "id", "band")
+    name = p.where(F.size("parts") >= 2).select(F.lit("name").alias("tier"), F.col("parts").alias("key"), "id", "band")
+    rows = mail.unionByName(name)
+    bands = rows.groupBy("tier", "key", "band").agg(F.min("id").alias("band_first"))
+    shared = bands.groupBy("tier", "key").agg(F.min("band_first").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    lookup = bands.join(shared, ["tier", "key"]).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    salted = rows.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int"))
+    return salted.join(lookup, ["tier", "key", "band", "salt"]).select("tier", "key", "id", "band", "first", "band_first")
+
+
 def undecided(pairs: DataFrame, dismissed: DataFrame) -> DataFrame:
     return pairs.join(dismissed, ["a", "b"], "left_anti")
 

@@ -406,9 +406,20 @@ def an_stability(spark, sf_dir):
 PEOPLE = "people AS (SELECT p_partkey AS id, p_name AS name, CASE WHEN p_partkey % 9 = 0 THEN ' ' || upper(p_name) || (p_partkey % 50) || '@x ' END AS email, CASE WHEN p_size % 2 = 0 THEN 'hr' ELSE 'drive' END AS band FROM part WHERE p_partkey % 5 < 2)"
 
 
-def persons(spark: SparkSession, sf_dir: str) -> DataFrame:
+def all_persons(spark: SparkSession, sf_dir: str) -> DataFrame:
     email = F.when(F.col("p_partkey") % 9 == 0, F.concat(F.lit(" "), F.upper("p_name"), (F.col("p_partkey") % 50).cast("string"), F.lit("@x ")))
-    return table(spark, sf_dir, "part").where("p_partkey % 5 < 2").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), email.alias("email"), F.when(F.col("p_size") % 2 == 0, "hr").otherwise("drive").alias("band"))
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), email.alias("email"), F.when(F.col("p_size") % 2 == 0, "hr").otherwise("drive").alias("band"))
+
+
+def persons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The two fifths of them that the SQL of the pairs takes."""
+    return all_persons(spark, sf_dir).where("id % 5 < 2")
+
+
+@query()
+def id_groups(spark, sf_dir):
+    """Every person, in groups: the pairs of ``id_pair`` over the whole table without a row for each."""
+    return people.identity_groups(all_persons(spark, sf_dir))
 
 
 PAIRS = f"""WITH {PEOPLE}, k AS (SELECT *, lower(trim(email)) AS mail, list_sort(list_distinct(list_filter(regexp_split_to_array(lower(name), '[\\s._-]+'), lambda x: x <> ''))) AS parts FROM people),

@@ -191,3 +191,23 @@ def test_stream_keeps_the_guarded_head(spark, tmp_path):
     assert {(r["subject"], r["object"]) for r in spark.table("heads").collect()} == want
     heads.append_log(stream, str(tmp_path / "log"), str(tmp_path / "c2")).awaitTermination()
     assert spark.read.parquet(str(tmp_path / "log")).count() == 60
+
+
+def test_identity_groups_hold_every_pair(spark, sf_dir):
+    from factloom.plans import queries as plans
+
+    rows = [(i, "Ann  Bee" if i % 3 else "bee.ann", "A@x " if i % 4 == 0 else None, "hr" if i % 2 else "drive") for i in range(40)]
+    rows += [(50, "Solo", "s@x", "hr"), (51, "Solo", None, "drive"), (52, "Cy Dee", "S@X", "other"), (53, "Cy Dee", None, "other")]
+    small = spark.createDataFrame(rows, "id long, name string, email string, band string")
+    for df in (small, plans.all_persons(spark, sf_dir)):
+        groups = {}
+        for r in people.identity_groups(df).collect():
+            groups.setdefault((r["tier"], tuple(r["key"])), []).append(r)
+        pairs = {}
+        for (tier, _), members in sorted(groups.items(), reverse=True):  # names first, e-mails over them
+            assert {r["first"] for r in members} == {min(r["id"] for r in members)}
+            assert all(r["band_first"] == min(x["id"] for x in members if x["band"] == r["band"]) for r in members)
+            pairs |= {(a["id"], b["id"]): tier for a in members for b in members if a["id"] < b["id"] and a["band"] != b["band"]}
+        assert pairs == {(r["a"], r["b"]): r["tier"] for r in people.identity_pairs(df).collect()}
+    ids = {r["id"] for r in plans.id_groups(spark, sf_dir).collect()}
+    assert any(i % 5 >= 2 for i in ids)
