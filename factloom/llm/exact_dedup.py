@@ -102,10 +102,16 @@ def build_index(history: DataFrame) -> DataFrame:
     return written(history.withColumn("shard", _shard_of(shards)).groupBy("shard").applyInPandas(build, INDEX), "mph")
 
 
+def _probes(asked: int, shards: int) -> int:
+    """How many tasks look up in one shard, so that each has no more than about SHARD_DIGESTS digests."""
+    return max(1, -(-asked // (shards * SHARD_DIGESTS)))
+
+
 def lookup(index: DataFrame, groups: DataFrame) -> DataFrame:
     """Every digest of the index and of ``groups`` once: digest, winner, copies, was_known.
 
-    Members of the index update their slot; nonmembers are grouped by themselves. ``groups`` has distinct digests.
+    Members of the index update their slot; nonmembers are grouped by themselves. ``groups`` has distinct digests; where
+    they are many more than the index has, several probes of a shard share them.
     """
     known = index.agg(F.max("shard")).first()[0]
     shards = 1 if known is None else known + 1
@@ -130,8 +136,11 @@ def lookup(index: DataFrame, groups: DataFrame) -> DataFrame:
             out.loc[some, "slot_copies"] = np.frombuffer(shard["copies"], "<i8")[at[some]]
         return out
 
-    asked = groups.select(*columns).withColumn("shard", _shard_of(shards))
-    probed = written(index.groupBy("shard").cogroup(asked.groupBy("shard")).applyInPandas(probe, "digest binary, winner long, copies long, slot_winner long, slot_copies long, member boolean"), "probed")
+    probes = _probes(groups.count(), shards)
+    probe_of = F.pmod(F.xxhash64("digest", F.lit("probe")), F.lit(probes)).cast("int")
+    asked = groups.select(*columns).withColumn("shard", _shard_of(shards)).withColumn("probe", probe_of)
+    held = index.withColumn("probe", F.explode(F.sequence(F.lit(0), F.lit(probes - 1))))
+    probed = written(held.groupBy("shard", "probe").cogroup(asked.groupBy("shard", "probe")).applyInPandas(probe, "digest binary, winner long, copies long, slot_winner long, slot_copies long, member boolean"), "probed")
     members = probed.where("member")
     new = probed.where("not member").select(*columns, F.lit(False).alias("was_known"))
     old = index.select("digests", "winners", "copies").mapInPandas(slots, "digest binary, winner long, copies long")
@@ -151,7 +160,7 @@ def dedup_report(docs: DataFrame, history_share: float = 0.5) -> DataFrame:
     split = low + int((high - low) * history_share) if low is not None else 0
     earlier = F.coalesce(F.col("doc_id") <= split, F.lit(True))
     index = build_index(written(grouped(rows.where(earlier)), "history"))
-    groups = written(lookup(index, grouped(rows.where(~earlier))), "groups")
+    groups = written(lookup(index, written(grouped(rows.where(~earlier)), "asked")), "groups")
     rows = rows.groupBy("doc_id", "digest").agg(F.count(F.lit(1)).alias("m"))  # rows that repeat outright meet map-side
     joined = salted_lookup(rows, groups, "digest", groups.select("digest", F.col("copies").alias("n")), total, ["doc_id"])
     out = joined.select("doc_id", F.col("winner").alias("keep_id"), F.col("copies").alias("group_size"), F.col("doc_id").eqNullSafe(F.col("winner")).alias("wins"), F.lower(F.hex("digest")).alias("text_sha256"), F.explode(F.sequence(F.lit(1), F.col("m"))).alias("nth"))

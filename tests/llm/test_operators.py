@@ -83,6 +83,17 @@ def test_exact_dedup(odd, odd_texts, share):
     assert all(r["doc_id"] == r["keep_id"] for r in got if r["kept"])
 
 
+def test_exact_dedup_with_few_ids_in_history(spark, monkeypatch):
+    monkeypatch.setattr(exact_dedup, "SHARD_DIGESTS", 10)
+    asked = []
+    monkeypatch.setattr(exact_dedup, "_probes", lambda n, shards, of=exact_dedup._probes: asked.append((n, shards, of(n, shards))) or asked[-1][2])
+    rows = [(0, "text 3")] + [(10**9 + i, f"text {i % 80}") for i in range(100)]  # one small id, the rest far above
+    got = {r["doc_id"]: r["keep_id"] for r in exact_dedup.dedup_report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert asked == [(80, 1, 8)]
+    last = {t: i for i, t in rows}
+    assert got == {i: last[t] for i, t in rows}
+
+
 def test_exact_dedup_keeps_one_row_each(odd, none):
     out = exact_dedup.winners_only(odd)
     assert out.columns == odd.columns
