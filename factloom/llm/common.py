@@ -41,12 +41,19 @@ def free_names(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once, however often it is used and whatever filter is pushed down."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share. It is set here only where the session names none (tests)."""
+    """The folder that driver and executors share. Without a setting one is made, but for local sessions only (tests)."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
     if spark.sparkContext.getCheckpointDir() is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="factloom-"))
     return spark.sparkContext.getCheckpointDir().rstrip("/")
 
