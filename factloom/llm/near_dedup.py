@@ -15,8 +15,12 @@ different components meet, block by block of BLOCK texts where their k-mers lie,
 block joins no more. So groups of copies cost a row for each text and block, not for each pair, and no link between
 components is lost to a centre that is like neither, however large the bucket.
 
-Null texts are empty; texts without words are equal to each other. Null ids sort below all. Repeated rows are members
-of their class each. An empty table has no class.
+Null texts are empty; texts without words are equal to each other. Null ids sort below all; of rows with the least id
+of a class one is kept. Repeated rows are members of their class each. Very long texts are sketched and aligned whole:
+a step for each word, then n log n for the chain. An empty table has no class. ``classes`` reads no other columns,
+whatever their names; ``one_of_each`` passes them on.
+
+SHORT is where left-out keys end: they only add candidates, above it sketches alone find them.
 """
 
 from __future__ import annotations
@@ -155,7 +159,7 @@ def _sizes_near(n: Column, k: Column, threshold: float) -> Column:
 
 
 def coded(needed: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
-    """(digest, codes) of the nodes that ``needed`` (digest) names: their k-mers, in 32 bits each."""
+    """(digest, codes) of the nodes that ``needed`` (digest) names: their k-mers, in 64 bits each."""
     wanted = nodes.join(needed, "digest", "left_semi").select(F.col("first_id").alias("__id"), F.col("digest").alias("__digest"))
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -165,7 +169,7 @@ def coded(needed: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
                 words = words_of(text)
                 if digest_of(words) == asked:  # else another text with the same id
                     found.append(asked)
-                    codes.append(_unique32(kmers(words)).tobytes())
+                    codes.append(kmers(words).tobytes())
             _known.clear()
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary()), pa.array(codes, pa.binary())], ["digest", "codes"])
 
@@ -181,7 +185,7 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, threshold: flo
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             left, right = batch.column("codes_a"), batch.column("codes_b")
-            good = [i for i in range(batch.num_rows) if aligned(np.frombuffer(left[i].as_py(), np.uint32), np.frombuffer(right[i].as_py(), np.uint32), threshold) >= threshold]
+            good = [i for i in range(batch.num_rows) if aligned(np.frombuffer(left[i].as_py(), np.uint64), np.frombuffer(right[i].as_py(), np.uint64), threshold) >= threshold]
             yield batch.select(["a", "b"]).take(pa.array(good, pa.int64()))
 
     codes = coded(pairs.select(F.col("a").alias("digest")).union(pairs.select(F.col("b").alias("digest"))).distinct(), nodes, docs)
@@ -192,19 +196,6 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, threshold: flo
     return written(both.select("a", "b", "codes_a", "codes_b").mapInArrow(align, "a binary, b binary"), "links")
 
 
-def _unique32(h: np.ndarray) -> np.ndarray:
-    """The low halves; where two of a text are the same, later ones take other values that depend on the whole."""
-    low = h.astype(np.uint32)
-    _, first = np.unique(low, return_index=True)
-    if len(first) < len(low):
-        again = np.ones(len(low), bool)
-        again[first] = False
-        low[again] = np.arange(again.sum(), dtype=np.uint32)  # such a k-mer may miss its match: two in 4 billion
-        _, first = np.unique(low, return_index=True)
-        low = low[np.sort(first)]
-    return low
-
-
 UNIT = ["key", "unit", "whole", "main", "block", "centre", "digest", "label", "keys", "codes"]
 
 
@@ -235,9 +226,9 @@ def _meet(key: int, rows: list[dict], threshold: float) -> list[tuple[bytes, byt
     k-mers than the lesser count of each part of the code space, so others needn't be aligned: nothing is lost.
     """
     rows.sort(key=lambda r: (r["main"], r["digest"]))
-    codes = [np.frombuffer(r["codes"], np.uint32) for r in rows]
+    codes = [np.frombuffer(r["codes"], np.uint64) for r in rows]
     n = np.array([len(x) for x in codes])
-    parts = np.stack([np.bincount(x % PARTS, minlength=PARTS) for x in codes]).astype(np.int32)
+    parts = np.stack([np.bincount((x % np.uint64(PARTS)).astype(np.int64), minlength=PARTS) for x in codes]).astype(np.int32)
     main, centre = (np.array([r[f] for r in rows]) for f in ("main", "centre"))
     block, whole, keys = np.array([r["block"] for r in rows]), rows[0]["whole"], [set(r["keys"]) for r in rows]
     names = {x: i for i, x in enumerate(dict.fromkeys(r["label"] for r in rows))}
