@@ -6,12 +6,14 @@ longest length down it consumes combinations that exactly fill the gap, as often
 without an exact complement are packed by best fit. The plan is a list of runs: so many pieces of a length go to so
 many successive sequences at an offset. Pieces are numbered within their length on the cluster and meet their run.
 
-Null texts are empty and hold the end id alone; rows that repeat are packed as often as they occur; an empty table
-gives no piece.
+Null texts are empty and hold the end id alone; very long ones are cut, whole, a batch of pieces at a time; rows that
+repeat are packed as often as they occur, pieces that tie in (doc_id, piece, start) in any order; null ids are ids. An
+empty table gives no piece. Other columns of ``docs`` are not read; ``pack`` passes those of pieces on.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,10 +21,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD_CHUNKS, encoder, text_of
+from .common import WORD_CHUNKS, encoder, free_names, text_of
 
 PIECES = "doc_id long, piece int, start long, length long, ids binary"
-RUNS = "length long, first long, n long, sequence long, offset long"
 ROWS_A_BUCKET = 1_000_000
 
 
@@ -61,7 +62,7 @@ class SumIndex:
         has = (counts > 0).astype(np.float64)
         size = len(counts)
         self.pairs = np.rint(np.convolve(has, has)[:size]) > 0
-        self.triples = np.ones(size, bool)
+        self.triples = np.rint(np.convolve(self.pairs.astype(np.float64), has)[:size]) > 0
 
     def pair(self, total: int) -> tuple[int, ...] | None:
         if total < 2 or not self.pairs[total]:
@@ -173,25 +174,40 @@ def runs(patterns: list[tuple[tuple[int, ...], int]]) -> list[tuple[int, int, in
     return out
 
 
+def _dealt(placed: list[tuple[int, int, int, int, int]]) -> tuple[list[tuple[int, int]], list[tuple[int, ...]]]:
+    """(length, width) and the runs with their block: blocks of ``width`` ranks, so that each has some two runs."""
+    pieces_, runs_ = Counter(), Counter()
+    for length, _, n, _, _ in placed:
+        pieces_[length] += n
+        runs_[length] += 1
+    width = {x: -(-pieces_[x] // runs_[x]) for x in runs_}
+    blocks = [(r[0], k, *r[1:]) for r in placed for k in range(r[1] // width[r[0]], (r[1] + r[2] - 1) // width[r[0]] + 1)]
+    return list(width.items()), blocks
+
+
 def pack(some: DataFrame, capacity: int = 4096) -> DataFrame:
-    """``some`` pieces (doc_id, piece, length, and more; a written table) with sequence_id and offset.
+    """``some`` pieces (doc_id, piece, start, length, and any more; a written table) with sequence_id and offset.
 
-    A length that holds a third of all pieces is numbered in buckets by the hash of (doc_id, piece).
+    A length that holds a third of all pieces is numbered in buckets by the hash of (doc_id, piece). Columns of those
+    two names are replaced; others pass, whatever their names.
     """
     spark = some.sparkSession
     histogram = {r[0]: r[1] for r in some.groupBy("length").count().collect()}  # at most `capacity` rows
     total = sum(histogram.values())
     buckets = max(64, -(-total // ROWS_A_BUCKET))
-    rows = some.withColumn("__bucket", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(buckets)).cast("int"))
-    by_length = Window.partitionBy("length").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
-    before = rows.groupBy("length", "__bucket").count().withColumn("__before", F.coalesce(F.sum("count").over(by_length), F.lit(0))).drop("count")
-    within = Window.partitionBy("length", "__bucket").orderBy("doc_id", "piece", "start")
-    ranked = rows.withColumn("__n", F.row_number().over(within)).join(before, ["length", "__bucket"]).withColumn("__rank", F.col("__before") + F.col("__n") - 1)
-    placed = spark.createDataFrame(runs(plan(histogram, capacity)) or [(0, 0, 0, 0, 0)], RUNS).withColumnRenamed("length", "__length")
-    at = (F.col("length") == F.col("__length")) & (F.col("__rank") >= F.col("first")) & (F.col("__rank") < F.col("first") + F.col("n"))
-    # The plan has some runs for each of `capacity` lengths at most, whatever the number of pieces.
-    joined = ranked.join(F.broadcast(placed), at)
-    return joined.select(*some.columns, (F.col("sequence") + F.col("__rank") - F.col("first")).alias("sequence_id"), F.col("offset"))
+    bucket, count, before, nth, rank, width, block, first, n, sequence, place = free_names(some, *"__bucket __count __before __n __rank __width __block __first __m __sequence __place".split())
+    widths, blocks = _dealt(runs(plan(histogram, capacity)))
+    rows = some.withColumn(bucket, F.pmod(F.xxhash64("doc_id", "piece"), F.lit(buckets)).cast("int"))
+    by_length = Window.partitionBy("length").orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
+    # The plan has some runs for each of `capacity` lengths at most, whatever the number of pieces: both tables are small.
+    counts = rows.groupBy("length", bucket).agg(F.count(F.lit(1)).alias(count)).withColumn(before, F.coalesce(F.sum(count).over(by_length), F.lit(0))).drop(count)
+    counts = counts.join(F.broadcast(spark.createDataFrame(widths, f"length long, {width} long")), "length")
+    within = Window.partitionBy("length", bucket).orderBy("doc_id", "piece", "start")
+    ranked = rows.withColumn(nth, F.row_number().over(within)).join(counts, ["length", bucket]).withColumn(rank, F.col(before) + F.col(nth) - 1).withColumn(block, F.floor(F.col(rank) / F.col(width)))
+    placed = spark.createDataFrame(blocks, f"length long, {block} long, {first} long, {n} long, {sequence} long, {place} long")
+    joined = ranked.join(F.broadcast(placed), ["length", block]).where((F.col(rank) >= F.col(first)) & (F.col(rank) < F.col(first) + F.col(n)))
+    kept = [F.col(f"`{c}`") for c in some.columns if c.lower() not in ("sequence_id", "offset")]
+    return joined.select(*kept, (F.col(sequence) + F.col(rank) - F.col(first)).alias("sequence_id"), F.col(place).alias("offset"))
 
 
 def sequences(packed: DataFrame) -> DataFrame:
