@@ -1,7 +1,9 @@
 """Exact dedup against a minimal perfect hash over the historical distinct digests.
 
-Texts are equal if they are identical after lower-casing A-Z; null counts as empty. Of equal texts the row with the
-largest doc_id stays (a null doc_id is the smallest; of rows that tie, one stays).
+Texts are equal if they are identical after lower-casing A-Z; null counts as empty; very long texts are hashed whole.
+Of equal texts the row with the largest doc_id stays (a null doc_id is the smallest; of rows that tie, one stays).
+Rows that repeat are reported each. An empty table has no group. ``dedup_report`` reads no other columns, whatever their
+names; ``winners_only`` passes them on.
 
 The index is a table with a row for each shard of the digest space. A shard's hash function is a list of bit maps:
 at each level the digests that land alone in a bit keep it and the rest go to the next level, so the rank of a
@@ -152,12 +154,12 @@ def lookup(index: DataFrame, groups: DataFrame) -> DataFrame:
 def dedup_report(docs: DataFrame, history_share: float = 0.5) -> DataFrame:
     """A row for each row of ``docs`` (doc_id, text): doc_id, keep_id, group_size, kept, text_sha256.
 
-    The rows up to ``history_share`` of the way between the smallest and the largest doc_id (null ids too) are the
-    history that is indexed; the rest are looked up. The result doesn't depend on the split.
+    The rows up to the ``history_share`` quantile of doc_id (null ids too) are the history that is indexed; the rest
+    are looked up. The result doesn't depend on the split.
     """
     rows = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), digest_of().alias("digest")), "digests")
-    low, high, total = rows.agg(F.min("doc_id"), F.max("doc_id"), F.count(F.lit(1))).first()
-    split = low + int((high - low) * history_share) if low is not None else 0
+    split, total = rows.agg(F.percentile_approx("doc_id", history_share), F.count(F.lit(1))).first()
+    split = 0 if split is None else split
     earlier = F.coalesce(F.col("doc_id") <= split, F.lit(True))
     index = build_index(written(grouped(rows.where(earlier)), "history"))
     groups = written(lookup(index, written(grouped(rows.where(~earlier)), "asked")), "groups")
