@@ -7,7 +7,9 @@ and the header fields that a not-modified answer may change are merged over the
 A record is (record_id, kind ``response`` or ``revisit``, url, date timestamp, headers array<struct<name, value>> with
 lower-case names, payload). Of full responses of one URL and date the greatest (record_id, payload digest) counts.
 Records with a null URL or date meet nothing. Revisits that repeat are resolved each. Status is ``resolved``,
-``mismatch`` (a validator differs), ``no_validator`` or ``no_earlier``; only resolved ones have a payload.
+``mismatch`` (a validator differs), ``no_validator`` or ``no_earlier``; only resolved ones have a payload. Null payloads
+of responses are empty; very long ones are moved once, by their digest. Without records there is no row. Other columns
+are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -63,14 +65,16 @@ def _previous(times: DataFrame) -> DataFrame:
     with comes from a row for each chunk before it.
     """
     total = times.count()
-    counts = times.groupBy("url").agg(F.count(F.lit(1)).alias("n"), F.percentile_approx("at", [k / HOT_CHUNKS for k in range(1, HOT_CHUNKS)]).alias("bounds"))
-    hot = written(counts.where(F.col("n") > max(64, total // 1000)).select(F.col("url").alias("__url"), "bounds"), "hot-urls")  # 1,000 rows at most
+    hot = written(times.groupBy("url").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > max(64, total // 1000)).select(F.col("url").alias("__url")), "hot-urls")  # 1,000 rows at most
+    if hot.isEmpty():
+        whole = Window.partitionBy("url").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+        return times.select("url", "at", F.last("full", ignorenulls=True).over(whole).alias("earlier"))
+    bounds = times.join(F.broadcast(hot), F.col("url") == F.col("__url")).groupBy("__url").agg(F.percentile_approx("at", [k / HOT_CHUNKS for k in range(1, HOT_CHUNKS)]).alias("bounds"))
+    hot = written(bounds, "hot-bounds")
     cut = times.join(F.broadcast(hot), F.col("url") == F.col("__url"), "left")
     cut = cut.withColumn("chunk", F.coalesce(F.size(F.filter("bounds", lambda b: b < F.col("at"))), F.lit(0))).drop("__url", "bounds")
     within = Window.partitionBy("url", "chunk").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
     filled = cut.withColumn("here", F.last("full", ignorenulls=True).over(within))
-    if hot.isEmpty():
-        return filled.select("url", "at", F.col("here").alias("earlier"))
     ends = cut.join(F.broadcast(hot.select(F.col("__url"))), F.col("url") == F.col("__url"), "left_semi").where("full is not null")
     ends = ends.groupBy("url", "chunk").agg(F.max_by("full", "at").alias("end"))
     chunks = cut.join(F.broadcast(hot.select(F.col("__url"))), F.col("url") == F.col("__url"), "left_semi").select("url", "chunk").distinct().join(ends, ["url", "chunk"], "left")
