@@ -1,13 +1,14 @@
 """Token-ID output: Arrow stream files of fixed-size-list batches, read back by position without copies.
 
-A shard is two stream files: ``shard-N.tokens.arrows`` with ``tokens`` and ``mask`` (both fixed-size lists of
-``sequence_length``; the mask has a bit for each token, set where it is real), and ``shard-N.docs.arrows`` with each document's id, start in
+A shard is two stream files: ``shard-N-ATTEMPT.tokens.arrows`` with ``tokens`` and ``mask`` (both fixed-size lists of
+``sequence_length``; the mask has a bit for each token, set where it is real), and ``shard-N-ATTEMPT.docs.arrows`` with each document's id, start in
 the shard and number of tokens. All batches of a tokens file but the last have equal sizes, so a sequence's place
 in the file is computed, and its values are views of the mapped file.
 
 Documents are dealt to shards by ranges of (doc_id, hash of the text), so shards in order hold documents in
 ascending doc_id; null ids come first and rows of one id go by the hash. Null texts are empty and hold the end id
-alone. An empty table gives no shard. Repeated rows are written as often as they occur.
+alone; very long ones run over as many sequences as they need. An empty table gives no shard. Repeated rows are written
+as often as they occur. Other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -39,17 +40,17 @@ def _place(uri: str) -> tuple[pafs.FileSystem, str]:
 
 
 class ShardWriter:
-    """Writes one shard under temporary names, then renames; a task that runs again replaces it whole."""
+    """Writes one shard, under names of its own: a task that runs again writes another, and the manifest has the one
+    whose task finished, so that nothing is renamed or replaced."""
 
     def __init__(self, base: str, length: int, rows: int, dtype: str):
         self.fs, path = _place(base)
-        self.final = (f"{path}.tokens.arrows", f"{path}.docs.arrows")
-        self.parts = [f"{p}.{uuid.uuid4().hex}.tmp" for p in self.final]
+        names = (f"{path}.tokens.arrows", f"{path}.docs.arrows")
         self.length, self.room, self.dtype = length, rows * length, np.dtype(dtype)
         self.schema = _schema(length, pa.from_numpy_dtype(self.dtype))
         self.docs_schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64())])
         self.fs.create_dir(path.rpartition("/")[0], recursive=True)
-        self.files = [self.fs.open_output_stream(p) for p in self.parts]
+        self.files = [self.fs.open_output_stream(p) for p in names]
         self.tokens, self.docs = ipc.new_stream(self.files[0], self.schema), ipc.new_stream(self.files[1], self.docs_schema)
         self.held, self.n_held, self.n_tokens, self.n_docs = [], 0, 0, 0
 
@@ -78,8 +79,6 @@ class ShardWriter:
             self._batch(np.concatenate([values, np.zeros(-len(values) % self.length, self.dtype)]), len(values))
         for x in (self.tokens, self.docs, *self.files):
             x.close()
-        for a, b in zip(self.parts, self.final):
-            self.fs.move(a, b)
         return self.n_tokens, -(-self.n_tokens // self.length), self.n_docs
 
 
@@ -148,7 +147,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, s
 
     def shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, writer, number = encoder(tokenizer_path, chunks, typecode).encode, None, TaskContext.get().partitionId()
-        base = f"{path}/shard-{number:06d}"
+        base = f"{path}/shard-{number:06d}-{uuid.uuid4().hex}"
         for batch in batches:
             if batch.num_rows:
                 writer = writer or ShardWriter(base, sequence_length, batch_rows, dtype)
