@@ -1,12 +1,14 @@
 """Secret scans by assignment-aware lexing.
 
 Source and configuration syntax is parsed into (target name, operands) pairs: ``name = "x"``, ``"name": "x"``,
-``cfg["name"] = other + "y"``, ``NAME=x``. Names bound to literals are propagated to the targets that use them, in
-text order, and a literal is scored by the most sensitive target it reaches times how much it looks like a secret.
-Three fixed patterns (assign, access, hex) are reported beside these spans, whatever the score.
-
-Offsets count code points, ends are exclusive. Null texts are empty and have no span. Rows that repeat get the same
-answer each; other columns pass through ``redact`` untouched.
+``cfg["name"] = other + "y"``, ``NAME=x``. Names bound to literals are propagated to the targets that use them, before
+or after the binding, and a literal is scored by the most sensitive target it reaches times how much it looks like a
+secret. Three fixed patterns (assign, access, hex) are reported beside these spans, whatever the score.
+
+Offsets count code points, ends are exclusive. Null texts are empty and have no span; very long ones are read whole.
+Spans that start together go by kind as listed; a literal that reaches several targets has its best score. Rows that
+repeat get the same answer each; an empty table gives none. ``scan`` reads no other columns, whatever their names;
+``redact`` passes them on untouched.
 """
 
 from __future__ import annotations
@@ -76,38 +78,56 @@ class Binding:
         self.weight = 0.0
 
 
-def literals(text: str) -> list[tuple[int, int, float]]:
-    """(start, end, score) of the literals that reach a target, the best score of each."""
-    bound: dict[str, Binding] = {}
-    scores: dict[tuple[int, int], float] = {}
+def bindings(text: str) -> list[tuple[str, Binding, list[tuple[str, tuple[int, int] | None]]]]:
+    """(name, its binding, operands that are names with their place if they may be bare words) of each assignment."""
+    out = []
     for m in PAIR.finditer(text):
-        name = m["name"] or m["quoted"]
-        weight, at, found = sensitivity(name), m.end(), Binding()
+        found, refs, at = Binding(), [], m.end()
         while o := OPERAND.match(text, at):
-            kind = o.lastgroup
-            if kind in ("d", "s", "b", "bare"):
+            kind, plus = o.lastgroup, PLUS.match(text, o.end())
+            if kind != "ref":
                 found.own.append(o.span(kind))
-            elif o["ref"] in bound:
-                found.parents.append(bound[o["ref"]])
-            elif m["name"] is None or not PLUS.match(text, o.end()):
-                found.own.append(o.span("ref"))  # a bare word of a configuration file
-            plus = PLUS.match(text, o.end())
+            else:
+                refs.append((o["ref"], o.span("ref") if m["name"] is None or not plus else None))
             if not plus:
                 break
             at = plus.end()
+        out.append((m["name"] or m["quoted"], found, refs))
+    return out
+
+
+def literals(text: str) -> list[tuple[int, int, float]]:
+    """(start, end, score) of the literals that reach a target, the best score of each.
+
+    A name stands for what was bound to it last, or else for what is bound to it first further down; a name that
+    nothing is bound to is a bare word of a configuration file.
+    """
+    assigned = bindings(text)
+    later: dict[str, Binding] = {}
+    for name, found, refs in reversed(assigned):
+        if found.own or refs:
+            later[name] = found
+    bound: dict[str, Binding] = {}
+    for name, found, refs in assigned:
+        for ref, place in refs:
+            if parent := bound.get(ref) or later.get(ref):
+                found.parents.append(parent)
+            elif place:
+                found.own.append(place)
         if found.own or found.parents:
             bound[name] = found
-        if weight:
-            reached = [found]
-            while reached:
-                node = reached.pop()
-                if node.weight >= weight:
-                    continue  # its literals have that score already, and so have those of its parents
-                node.weight = weight
-                for span in node.own:
-                    score = weight * secrecy(text[slice(*span)])
-                    scores[span] = max(score, scores.get(span, 0.0))
-                reached += node.parents
+    scores: dict[tuple[int, int], float] = {}
+    for name, found, _ in assigned:
+        weight, reached = sensitivity(name), [found]
+        while weight and reached:
+            node = reached.pop()
+            if node.weight >= weight:
+                continue  # its literals have that score already, and so have those of its parents
+            node.weight = weight
+            for span in node.own:
+                score = weight * secrecy(text[slice(*span)])
+                scores[span] = max(score, scores.get(span, 0.0))
+            reached += node.parents
     return sorted((a, b, s) for (a, b), s in scores.items())
 
 
