@@ -2,11 +2,12 @@
 
 P(grade <= k) = sigmoid(theta_k - w.x): one weight for each word, shared by the ordered thresholds. The output is the
 expected severity, the sum of k times P(grade = k). The model is fit on a bounded sample of labelled rows
-(``sample_rows``, the first by the hash of their id); what is scored is every document.
+(``sample_rows``, the first by the hash of their id, then the id); what is scored is every document, whole.
 
-Labels that only say toxic or not are graded: 0 if not, else 1 or 2 by whether the summed log-odds of its words lie
-above the median of the toxic sample. Null texts are empty and score by the thresholds alone; rows that repeat get
-equal scores; rows with a null label are no examples; without examples of two grades nothing is rejected.
+Null texts are empty and score by the thresholds alone; very long ones count each word once; rows that repeat get equal
+scores; of grades that tie the lesser is reported; rows with a null label are no examples; without examples of two
+grades, as in an empty table, nothing is rejected. ``clean`` passes all columns on; ``score`` replaces columns of the
+names expected_severity, p_toxic and grade, and passes the others on.
 """
 
 from __future__ import annotations
@@ -43,9 +44,12 @@ def words_of(text: str) -> set[str]:
     return set(WORDS.findall(text.lower()))
 
 
-def fit(x: np.ndarray, grades: np.ndarray, n_grades: int, l2: float = 1.0, steps: int = 400, rate: float = 0.05) -> tuple[np.ndarray, np.ndarray]:
-    """Weights and thresholds that minimise the negative log-likelihood; Adam on all rows, thresholds kept in order."""
-    n, f = x.shape
+def fit(cells: tuple[np.ndarray, np.ndarray], shape: tuple[int, int], grades: np.ndarray, n_grades: int, l2: float = 0.1, steps: int = 400, rate: float = 0.05) -> tuple[np.ndarray, np.ndarray]:
+    """Weights and thresholds that minimise the negative log-likelihood; Adam on all rows, thresholds kept in order.
+
+    ``cells`` are the rows and columns of the ones of a sparse matrix of ``shape``.
+    """
+    (row, column), (n, f) = cells, shape
     share = np.cumsum(np.bincount(grades, minlength=n_grades))[:-1] / n
     theta = np.log(np.clip(share, 1e-3, 1 - 1e-3) / np.clip(1 - share, 1e-3, 1))
     params = np.concatenate([np.zeros(f), theta[:1], np.log(np.maximum(np.diff(theta), 1e-2))])
@@ -53,26 +57,34 @@ def fit(x: np.ndarray, grades: np.ndarray, n_grades: int, l2: float = 1.0, steps
     for step in range(1, steps + 1):
         gaps = np.exp(params[f + 1 :])
         theta = params[f] + np.concatenate([[0], np.cumsum(gaps)])
-        s = x @ params[:f]
+        s = np.bincount(row, params[column], n)
         cum = np.concatenate([np.zeros((n, 1)), 1 / (1 + np.exp(-np.clip(theta[None] - s[:, None], -40, 40))), np.ones((n, 1))], axis=1)
         slope = cum * (1 - cum)
         rows = np.arange(n)
         p = np.maximum(cum[rows, grades + 1] - cum[rows, grades], 1e-9)
         upper, lower = slope[rows, grades + 1] / p, slope[rows, grades] / p
         by_theta = np.array([lower[grades == k + 1].sum() - upper[grades == k].sum() for k in range(n_grades - 1)])
-        g = np.concatenate([x.T @ (upper - lower) + l2 * params[:f], [by_theta.sum()], [gaps[j] * by_theta[j + 1 :].sum() for j in range(n_grades - 2)]])
+        by_word = np.bincount(column, (upper - lower)[row], f)
+        g = np.concatenate([by_word + l2 * params[:f], [by_theta.sum()], [gaps[j] * by_theta[j + 1 :].sum() for j in range(n_grades - 2)]])
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         params = params - rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
     return params[:f], params[f] + np.concatenate([[0], np.cumsum(np.exp(params[f + 1 :]))])
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample_rows: int = 8000, max_features: int = 500, min_docs: int = 3, min_chi2: float = 20.0) -> Model:
-    """A model from at most ``sample_rows`` labelled rows. The driver gets their indices of selected words only."""
+def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample_rows: int = 8000, min_chi2: float = 40.0) -> Model:
+    """A model from ``labels`` (doc_id, ``label``: ordered grades, 0 for none), fit on at most ``sample_rows`` labelled
+    rows that have a document. Its features are all words of theirs that tell grade 0 from the others by a chi-squared
+    statistic of ``min_chi2``, however many they are. The driver gets their selected words only.
+
+    Labels that say no more than 0 or 1 are graded by how often the text is toxic: 2 if words that are commoner in toxic
+    texts occur more often in it, repeats counted, than in the median toxic text of the sample, else 1. The model sees
+    each word once, so that this isn't what it adds up.
+    """
     sample = labels.where(F.col(label).isNotNull()).select(F.col("doc_id").alias("__id"), F.col(label).cast("int").alias("label")).orderBy(F.xxhash64("__id"), "__id").limit(sample_rows)
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("label"), pa.array([sorted(words_of(t)) for t in b.column("text").to_pylist()], pa.list_(pa.string()))], ["doc_id", "label", "words"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("label"), pa.array([sorted(WORDS.findall(t.lower())) for t in b.column("text").to_pylist()], pa.list_(pa.string()))], ["doc_id", "label", "words"])
 
     texts = docs.select("doc_id", text_of().alias("text")).join(F.broadcast(sample), F.col("doc_id") == F.col("__id"))
     rows = written(texts.select("doc_id", "label", "text").mapInArrow(split, "doc_id long, label int, words array<string>"), "examples")
@@ -84,24 +96,28 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample_rows:
     a, b = hits, seen - hits
     c, d = positive - a, (n - positive) - b
     chi2 = n * F.pow(a * d - b * c, F.lit(2.0)) / (seen * (n - seen + 1e-9) * positive * (n - positive))
-    counts = rows.select("label", F.explode("words").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("seen"), F.count_if(F.col("label") > 0).alias("hits")).where(F.col("seen") >= min_docs)
-    odds = F.log((a + 0.5) / (positive + 1)) - F.log((b + 0.5) / (n - positive + 1))
-    chosen = counts.select("word", chi2.alias("chi2"), odds.alias("odds")).where(F.col("chi2") >= min_chi2).orderBy(F.desc("chi2"), "word").limit(max_features).collect()
+    counts = rows.select("label", F.explode(F.array_distinct("words")).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("seen"), F.count_if(F.col("label") > 0).alias("hits"))
+    chosen = counts.select("word", chi2.alias("chi2"), (a / positive > b / (n - positive)).alias("toxic")).where(F.col("chi2") >= min_chi2).orderBy(F.desc("chi2"), "word").collect()  # words of the sample
     vocabulary = [r["word"] for r in chosen]
     if not vocabulary:
         return Model()
-    kept = rows.select("label", F.array_intersect("words", F.array(*map(F.lit, vocabulary))).alias("words")).collect()  # at most sample_rows x max_features
     place = {w: i for i, w in enumerate(vocabulary)}
-    x = np.zeros((len(kept), len(vocabulary)))
-    for i, r in enumerate(kept):
-        x[i, [place[w] for w in r["words"]]] = 1
-    labelled = np.array([r["label"] for r in kept])
-    grades = labelled
+    toxic = {r["word"] for r in chosen if r["toxic"]}
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            words = b.column("words").to_pylist()
+            at = pa.array([sorted({place[w] for w in x if w in place}) for x in words], pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([b.column("label"), pa.array([sum(w in toxic for w in x) for x in words], pa.int64()), at], ["label", "hits", "at"])
+
+    kept = rows.select("label", "words").mapInArrow(pick, "label int, hits long, at array<int>").collect()  # at most sample_rows
+    cells = np.array([(i, k) for i, r in enumerate(kept) for k in r["at"]], np.int64).reshape(-1, 2)
+    grades = np.array([r["label"] for r in kept])
     if set(of) == {0, 1}:
-        evidence = x @ np.array([r["odds"] for r in chosen])
-        grades = labelled + ((labelled == 1) & (evidence > np.median(evidence[labelled == 1])))
+        hits = np.array([r["hits"] for r in kept])
+        grades = grades + ((grades == 1) & (hits > np.median(hits[grades == 1])))
     order = {g: k for k, g in enumerate(sorted(set(grades.tolist())))}
-    weights, thetas = fit(x, np.array([order[g] for g in grades.tolist()]), len(order))
+    weights, thetas = fit((cells[:, 0], cells[:, 1]), (len(kept), len(vocabulary)), np.array([order[g] for g in grades.tolist()]), len(order))
     return Model(dict(zip(vocabulary, weights.tolist())), tuple(thetas.tolist()))
 
 

@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -88,7 +89,7 @@ def test_exact_dedup_with_few_ids_in_history(spark, monkeypatch):
     asked = []
     monkeypatch.setattr(exact_dedup, "_probes", lambda n, shards, of=exact_dedup._probes: asked.append((n, shards, of(n, shards))) or asked[-1][2])
     rows = [(0, "text 3")] + [(10**9 + i, f"text {i % 80}") for i in range(100)]  # one small id, the rest far above
-    got = {r["doc_id"]: r["keep_id"] for r in exact_dedup.dedup_report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    got = {r["doc_id"]: r["keep_id"] for r in exact_dedup.dedup_report(spark.createDataFrame(rows, "doc_id long, text string"), 0.0).collect()}
     assert asked == [(80, 1, 8)]
     last = {t: i for i, t in rows}
     assert got == {i: last[t] for i, t in rows}
@@ -148,6 +149,16 @@ def test_sequences_hold_the_ids(spark, odd):
     assert all(by[p["sequence_id"]][4 * p["offset"] : 4 * (p["offset"] + p["length"])] == p["ids"] for p in pieces)
 
 
+def test_pack_passes_other_columns_on(spark):
+    rows = [(i, 0, 0, 1 + i % 7, "n", i, 5.0, "a", 3, 9) for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, piece int, start long, length long, n string, first long, sequence double, __bucket string, offset long, sequence_id int")
+    made = packing.pack(queries.written(df, "p"), 10)
+    assert made.columns == ["doc_id", "piece", "start", "length", "n", "first", "sequence", "__bucket", "sequence_id", "offset"]
+    got = made.collect()
+    assert sorted((r["doc_id"], r["n"], r["first"], r["__bucket"]) for r in got) == [(i, "n", i, "a") for i in range(300)]
+    check_gapless(got, 10)
+
+
 def test_plan_uses_all_and_fills_well():
     r = random.Random(3)
     lengths = Counter(r.choice([r.randint(1, 300), r.randint(1, 4096), 4096]) for _ in range(5000))
@@ -195,6 +206,8 @@ def test_secrets(spark, odd, odd_texts, none, sf_dir):
         ("cfg['private_key'] = 'Qp81XzLw9fK2mm'", "Qp81XzLw9fK2mm"),
         ("ACCESS_KEY=Qp81XzLw9fK2mm", "Qp81XzLw9fK2mm"),
         ('a = "Qp81Xz" + "Lw9fK2mmZZ"\nauth_token = a', "Lw9fK2mmZZ"),
+        ('db_password = key\nkey = part\npart = "Zk81kdPq02mmXa91"', "Zk81kdPq02mmXa91"),
+        ('a = b\nb = a\nb = a + "Zk81kdPq02mmXa91"\nsecret_key = b', "Zk81kdPq02mmXa91"),
     ],
 )
 def test_assignments_reach_sensitive_names(text, value):
@@ -220,7 +233,7 @@ def test_redact_keeps_rows_and_columns(odd, none):
     out = secrets.redact(odd)
     assert out.columns == odd.columns and out.count() == odd.count() and secrets.redact(none).count() == 0
     text = out.where("doc_id = 30").first()["text"]
-    assert "Zk81kdPq02mmXa91" not in text and "AKIA" not in text and text.count("[SECRET]") == 3 or "password = x" in text
+    assert "Zk81kdPq02mmXa91" not in text and "AKIA" not in text and "password = x" in text and text.count("[SECRET]") == 3
 
 
 # 5 revisits
@@ -342,7 +355,7 @@ def test_ordinal_fit_orders_grades():
     r = np.random.default_rng(0)
     x = (r.random((600, 5)) < 0.4).astype(float)
     grades = np.clip((x @ np.array([1.5, 1.5, 1, 0, -1]) + r.normal(0, 0.4, 600)).round().astype(int), 0, 3)
-    weights, thetas = toxicity.fit(x, grades, 4)
+    weights, thetas = toxicity.fit(np.nonzero(x), x.shape, grades, 4)
     assert (np.diff(thetas) > 0).all() and weights[0] > weights[2] > weights[4]
 
 
@@ -361,32 +374,39 @@ def test_toxicity_edge_cases(odd, none):
 
 def test_licenses(spark, odd, none, odd_texts, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    mit = licenses.TEMPLATES["MIT-text"]
-    extra = spark.createDataFrame([(1, "code\n\n" + mit[:200] + "\n" + mit[201:] + "\n\nmore"), (2, mit.replace("sublicense", "grant")), (3, mit[: len(mit) // 2])], "doc_id long, text string")
-    for df in (docs, odd.select("doc_id", "text"), extra):
-        want = Counter()
-        for r in df.collect():
-            for unit, no, t in units(r["text"] or ""):
-                if best := brute(t):
-                    want[(r["doc_id"], unit, no, *best)] += 1
+    mit, apache, gpl = (licenses.TEMPLATES[n] for n in ("MIT-text", "Apache-2.0-header", "GPL-3.0-header"))
+    wrapped = lambda text, n: "\n".join(" ".join(text.split()[i : i + n]) for i in range(0, len(text.split()), n))
+    paragraphs = apache.replace(" Unless required", "\n\nUnless required").replace(" You may obtain", "\n\nYou may obtain")
+    texts = [
+        "code\n\n" + wrapped(mit, 12) + "\n\nmore", mit.replace("sublicense", "grant"), mit[: len(mit) // 2], "x = 1\n" + paragraphs + "\ny = 2\n" * 3, wrapped(gpl, 7).replace("\n", "\n * "),
+        "before\nThis work is licensed under the GNU\nGeneral Public License, version 3.\nafter", "Released under the\nMIT License.\nReleased under the MIT License.\n\nthe MIT license", "under the under the under the MIT License\n" * 4,
+    ]
+    extra = spark.createDataFrame([(i, t, "x", 1) for i, t in enumerate(texts)], "doc_id long, text string, license string, row int")
+    for df in (docs, odd, extra):
+        want = Counter((r["doc_id"], *x) for r in df.collect() for x in brute_runs(r["text"] or ""))
         assert Counter(tuple(r) for r in licenses.scan(df).collect()) == want
+    found = {(r["doc_id"], r["license"]) for r in licenses.scan(extra).collect()}
+    assert {(0, "MIT-text"), (1, "MIT-text"), (3, "Apache-2.0-header"), (4, "GPL-3.0-header"), (5, "GPL-3.0"), (6, "MIT")} <= found and not any(i == 2 for i, _ in found)
     assert licenses.scan(none).count() == 0
     assert {r["license"] for r in licenses.scan(odd).collect()} == {"Apache-2.0", "MIT"}
 
 
-def units(text):
-    yield from (("line", i, x) for i, x in enumerate(text.split("\n")))
-    blocks = re.split(r"\n[ \t]*\n\s*", text)
-    yield from (("block", i, x) for i, x in enumerate(blocks) if "\n" in x)
-    if len(blocks) > 1:
-        yield "text", 0, text
-
-
-def brute(text):
-    own = set(licenses.template_bigrams(text))
-    found = [(2 * len(own & t) / (len(own) + len(t)), name) for name, x in sorted(licenses.TEMPLATES.items()) for t in [set(licenses.template_bigrams(x))]]
-    dice, name = max(found, key=lambda x: (x[0], [-ord(c) for c in x[1]]))
-    return (name, dice) if dice >= licenses.THRESHOLD else None
+def brute_runs(text):
+    """All runs of lines against all templates, without bounds."""
+    lines = [licenses.template_words(x) for x in text.split("\n")]
+    at = [(w, i) for i, x in enumerate(lines) for w in x]
+    pairs = [(f"{a[0]} {b[0]}", a[1], b[1]) for a, b in zip(at, at[1:])]
+    found = []
+    for name, template in licenses.TEMPLATES.items():
+        known = licenses.template_bigrams(template)
+        for first in {a for g, a, _ in pairs if g in known}:
+            for last in {b for g, _, b in pairs if g in known and b >= first}:
+                own = Counter(g for g, a, b in pairs if a >= first and b <= last)
+                dice = 2.0 * (own & known).total() / (own.total() + known.total())
+                if dice >= licenses.THRESHOLD:
+                    found.append((first, last, name, dice))
+    better = lambda x, y: (-x[3], *x[:3]) < (-y[3], *y[:3])
+    return [y for y in found if not any(x[0] <= y[1] and x[1] >= y[0] and better(x, y) for x in found)]
 
 
 # 9 near-dedup
@@ -490,7 +510,7 @@ def test_near_dedup_odd_rows(odd, none, odd_texts):
 
 
 def test_alignment_follows_order():
-    a = np.arange(100, dtype=np.uint32)
+    a = np.arange(100, dtype=np.uint64)
     assert near_dedup.aligned(a, a) == 1.0 and near_dedup.aligned(a, np.delete(a, 50)) == 0.99
     assert near_dedup.aligned(a, np.concatenate([a[50:], a[:50]])) < 0.8
 
@@ -498,16 +518,46 @@ def test_alignment_follows_order():
 # 10 fingerprints
 
 
-def test_fingerprints(spark, odd, odd_texts, none):
-    rows = fingerprints.edited_report(odd).collect()
-    some = {i: [t or "" for j, t in odd_texts if j == i] for i, _ in odd_texts}
+def lanes(text):
+    """A fingerprint in plain Python."""
+    hashed = lambda k, s: xxhash.xxh64_intdigest(s.encode(), xxhash.xxh64_intdigest(k.to_bytes(4, "little"), 42))
+    out = [sum(hashed(k, p) & fingerprints.WIDE_MASK for p in text.split("\n")) & fingerprints.WIDE_MASK for k in range(4)]
+    sentences = [s for s in re.split(fingerprints.SENTENCES, text) if s]
+    out.append(len(sentences))
+    fields = []
+    for seed in (11, 12):
+        hashes = [hashed(seed, s) for s in sentences]
+        fields += [[sum(h >> (s + 21 * k) & 1 for h in hashes) % 2**20 for k in range(3)] for s in range(21)]
+    return out + [sum(v << (21 * k) for k, v in enumerate(f)) for f in fields], fields
+
+
+def likeness(a, b):
+    if a[0] == b[0]:
+        return 1.0
+    signed = lambda x: np.array([2 * v - x[0][4] for f in x[1] for v in f], float)
+    x, y = signed(a), signed(b)
+    both = (x @ x) + (y @ y)
+    return max(0.0, 1 - ((x - y) @ (x - y)) / both) if both else 0.0
+
+
+def hexed(a):
+    return "".join(f"{v:016x}" for v in a[0])
+
+
+def test_fingerprints(spark, odd, odd_texts, none, monkeypatch):
+    far = odd.unionByName(spark.createDataFrame([(10**15 + i, f"far {i}. off\nx") for i in range(40)], "doc_id long, text string"), allowMissingColumns=True)
+    every = odd_texts + [(10**15 + i, f"far {i}. off\nx") for i in range(40)]
+    rows = fingerprints.edited_report(far).collect()
+    some = {i: [t or "" for j, t in every if j == i] for i, _ in every}
     ids = sorted(some, key=lambda i: (i is not None, i or 0), reverse=True)
     after = {i: max(some[ids[(k + 1) % len(ids)]], key=lambda t: t.encode()) for k, i in enumerate(ids)}
     want = Counter()
-    for i, t in ((i, t or "") for i, t in odd_texts):
+    for i, t in ((i, t or "") for i, t in every):
         k = len(t) // 3
-        want[(i, len(t), hashlib.sha256((t[: len(t) - k] + after[i][:k]).encode()).hexdigest())] += 1
-    assert Counter((r["doc_id"], r["n_chars"], r["edited_sha256"]) for r in rows) == want
+        edited = t[: len(t) - k] + after[i][:k]
+        own, other, following = lanes(t), lanes(edited), lanes(after[i])
+        want[(i, len(t), hashlib.sha256(edited.encode()).hexdigest(), hexed(own), hexed(other), round(likeness(own, other), 9), round(likeness(own, following), 9))] += 1
+    assert Counter((*tuple(r)[:5], round(r["near_edited"], 9), round(r["near_next"], 9)) for r in rows) == want
     assert all(0 <= r["near_edited"] <= 1 and 0 <= r["near_next"] <= 1 for r in rows)
     by = {r["doc_id"]: r for r in rows}
     assert by[4]["fingerprint"] == by[6]["fingerprint"] != by[8]["fingerprint"] and by[7]["fingerprint"] != by[3]["fingerprint"]
