@@ -10,11 +10,13 @@ crosses. Each chunk of each text has draws of its own: a hash gives how many can
 skipped. What a chunk becomes depends on the numbers of its skipped candidates alone, so that is kept, with how many
 candidates come up. The mark for spaces itself is spelt in bytes, so that it, too, decodes to itself.
 
-Null texts are empty and have no token. Very long chunks take n log n steps. Rows that repeat get equal tokens.
+Null texts are empty and have no token. Very long chunks take n log n steps. Candidates of one piece that tie go by
+place. Rows that repeat get equal tokens. Other columns are not read, whatever their names; an empty table gives none.
 """
 
 from __future__ import annotations
 
+import gc
 import heapq
 import itertools
 import math
@@ -33,7 +35,7 @@ from pyspark.sql import functions as F
 from .common import text_of
 
 MARK = "▁"
-KEPT_CHUNKS, KEPT_CHARS = 400_000, 40
+KEPT_CHUNKS, KEPT_CHARS = 1_000_000, 40  # with what becomes of them by skips
 MASK = 2**64 - 1
 NEVER = 2**62
 
@@ -48,7 +50,11 @@ class Pieces:
         every = range(sp.get_piece_size())
         other = {i for i in every if sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i)}
         self.id = {sp.id_to_piece(i): i for i in every if i not in other}
-        self.rank = {p: -sp.get_score(i) for p, i in self.id.items()}
+        self.piece = sorted(self.id, key=lambda p: -sp.get_score(self.id[p]))  # by rank, which stands for a piece below
+        self.rank = {p: k for k, p in enumerate(self.piece)}
+        self.ids = [self.id[p] for p in self.piece]
+        splits = ((p, p[:k], p[k:]) for p in self.piece for k in range(1, len(p)))
+        self.pair = {self.rank[a] << 32 | self.rank[b]: self.rank[p] for p, a, b in splits if a in self.rank and b in self.rank}
         self.byte = [sp.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
         self.bytes = [b"" if i in other else sp.id_to_piece(i).replace(MARK, " ").encode() for i in every]
         for b, i in enumerate(self.byte):
@@ -88,8 +94,8 @@ class Segmenter:
     def __init__(self, path: str, seed: int, dropout: float, variants: int | None = None):
         self.pieces, self.seed, self.below = Pieces(path), seed, round(dropout * 2**16)
         self.scale = -1 / math.log1p(-self.below / 2**16) if 0 < self.below < 2**16 else 0.0
-        self.known: dict[str, tuple[int, bytes]] = {}
-        self.skipped: dict[tuple, tuple[int, bytes]] = {}
+        self.known: dict[str, tuple[int, bytes, dict]] = {}
+        self.n_made = 0
 
     def _stream(self, chunk: str, variant: int) -> Iterator[bool]:
         """For one candidate after another, whether it is skipped."""
@@ -98,33 +104,46 @@ class Segmenter:
             for x in memoryview(xxhash.xxh3_128_digest(chunk, (key + block * 0x9E3779B97F4A7C15) & MASK)).cast("H"):
                 yield x < self.below
 
-    def _gaps(self, start: int, n: int) -> np.ndarray:
-        """How many candidates pass before the first skipped one, for each of n keys from ``start``."""
+    def _gaps(self, start: int, n: int, times: int = 1) -> list[np.ndarray]:
+        """For each of n keys from ``start``, how many candidates pass before the first skipped one, from there to the
+        next, and so on, ``times`` times."""
         if not self.below:
-            return np.full(n, NEVER)
-        x = _mixed_all(np.uint64(start) + np.arange(n, dtype=np.uint64))
-        return (-np.log(((x >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53) * self.scale).astype(np.int64)
-
-    def _made(self, chunk: str, skips: tuple[int, ...]) -> tuple[int, bytes]:
-        """How many candidates come up if those of the numbers ``skips`` are skipped, and the ids."""
-        count, some = itertools.count(), set(skips)
-        ids = self.segment(chunk, lambda: next(count) in some)
-        return next(count), ids
+            return [np.full(n, NEVER)] * times
+        out, x = [], np.uint64(start) + np.arange(n, dtype=np.uint64)
+        for k in range(times):
+            x = _mixed_all(x + np.uint64(0x9E3779B97F4A7C15) if k else x)
+            out.append((-np.log(((x >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53) * self.scale).astype(np.int64))
+        return out
+
+    def _made(self, chunk: str, skips: tuple[int, ...]) -> tuple[int, bytes, dict]:
+        """How many candidates come up if those of the numbers ``skips`` are skipped, the ids, and what becomes of the
+        chunk if a later candidate is skipped as well (filled as it is asked for)."""
+        if len(chunk) <= 64:
+            n, at = self._short(chunk, skips)
+        else:
+            count, some = itertools.count(), set(skips)
+            at = self._long(chunk, lambda: next(count) in some)
+            n = next(count)
+        self.n_made += 1
+        return n, self._ids(at), {}
+
+    def _then(self, made: tuple[int, bytes, dict], chunk: str, skips: tuple[int, ...]) -> tuple[int, bytes, dict]:
+        """``made`` with its last skip added."""
+        if (more := made[2].get(skips[-1])) is None:
+            more = made[2][skips[-1]] = self._made(chunk, skips)
+        return more
 
     def _again(self, chunk: str, first: int, key: int) -> bytes:
         """The ids of a chunk whose candidate ``first`` is skipped; ``key`` decides on the later ones."""
         skips: tuple[int, ...] = (first,)
+        made = self._then(self.known.get(chunk) or self._made(chunk, ()), chunk, skips)
         while True:
-            if (made := self.skipped.get((chunk, skips))) is None:
-                made = self._made(chunk, skips)
-                if len(self.skipped) > KEPT_CHUNKS:
-                    self.skipped.clear()
-                self.skipped[chunk, skips] = made
             key = _mixed((key + 0x9E3779B97F4A7C15) & MASK)
             after = skips[-1] + 1 + (int(-math.log(((key >> 11) + 0.5) * 2.0**-53) * self.scale))
             if after >= made[0]:
                 return made[1]
             skips += (after,)
+            made = self._then(made, chunk, skips)
 
     def _in_turn(self, gap: int, key: int) -> Iterator[bool]:
         """The same draws as ``_again`` takes, for one candidate after another."""
@@ -136,66 +155,84 @@ class Segmenter:
 
     def segment(self, chunk: str, skipped: Callable[[], bool] = bool) -> bytes:
         """The ids of one chunk, as unsigned 16-bit integers."""
-        ids, known, byte = array("H"), self.pieces.id, self.pieces.byte
-        for p in (self._short if len(chunk) <= 64 else self._long)(chunk, skipped):
-            if p in known:
-                ids.append(known[p])
-            else:
-                ids.extend(byte[b] for b in p.encode())
+        return self._ids(self._long(chunk, skipped))
+
+    def _ids(self, at: list[int]) -> bytes:
+        """The ids of pieces by rank; characters without a piece are spelt in bytes."""
+        if min(at) >= 0:
+            return array("H", [self.pieces.ids[r] for r in at]).tobytes()
+        ids = array("H")
+        for r in at:
+            ids.extend([self.pieces.ids[r]] if r >= 0 else [self.pieces.byte[b] for b in chr(-1 - r).encode()])
         return ids.tobytes()
 
-    def _short(self, chunk: str, skipped: Callable[[], bool]) -> list[str]:
-        """The agenda as a list with a place for each pair of neighbours."""
-        rank, at, none = self.pieces.rank.get, list(chunk), float("inf")
-        agenda = [rank(a + b, none) for a, b in zip(at, at[1:])]
-        while agenda and (first := min(agenda)) != none:
+    def _ranks(self, chunk: str) -> list[int]:
+        """The characters by the ranks of their pieces; those without one have numbers below 0, which no pair has."""
+        rank = self.pieces.rank
+        return [rank[c] if c in rank else -1 - ord(c) for c in chunk]
+
+    def _short(self, chunk: str, skips: tuple[int, ...]) -> tuple[int, list[int]]:
+        """The agenda as a list with a place for each pair of neighbours: how many candidates came up, and the pieces."""
+        pair, at, n = self.pieces.pair.get, self._ranks(chunk), 0
+        agenda = [pair(a << 32 | b, NEVER) for a, b in zip(at, at[1:])]
+        while agenda and (first := min(agenda)) != NEVER:
             i = agenda.index(first)
-            if skipped():
-                agenda[i] = none
+            n += 1
+            if n - 1 in skips:
+                agenda[i] = NEVER
                 continue
-            at[i] += at.pop(i + 1)
-            del agenda[i]
+            del agenda[i], at[i]
+            at[i] = first
             if i < len(agenda):
-                agenda[i] = rank(at[i] + at[i + 1], none)
+                agenda[i] = pair(first << 32 | at[i + 1], NEVER)
             if i:
-                agenda[i - 1] = rank(at[i - 1] + at[i], none)
-        return at
+                agenda[i - 1] = pair(at[i - 1] << 32 | first, NEVER)
+        return n, at
 
-    def _long(self, chunk: str, skipped: Callable[[], bool]) -> list[str]:
+    def _long(self, chunk: str, skipped: Callable[[], bool]) -> list[int]:
         """The same order of candidates from a heap."""
-        rank, at, n = self.pieces.rank, list(chunk), len(chunk)
+        pair, at, n, gone = self.pieces.pair, self._ranks(chunk), len(chunk), None
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        agenda = [(rank[p], i, i + 1, 2) for i, p in enumerate(map("".join, zip(at, at[1:]))) if p in rank]
+        agenda = [(pair[k], i, i + 1, a, b) for i, (a, b) in enumerate(zip(at, at[1:])) if (k := a << 32 | b) in pair]
         heapq.heapify(agenda)
         while agenda:
-            _, i, j, size = heapq.heappop(agenda)
-            if not at[i] or not at[j] or len(at[i]) + len(at[j]) != size or skipped():
+            made, i, j, a, b = heapq.heappop(agenda)
+            if at[i] != a or at[j] != b or skipped():
                 continue
-            at[i] += at[j]
-            at[j] = ""
+            at[i], at[j] = made, gone
             k = after[i] = after[j]
             if k < n:
                 before[k] = i
-                if (p := at[i] + at[k]) in rank:
-                    heapq.heappush(agenda, (rank[p], i, k, len(p)))
-            if (k := before[i]) >= 0 and (p := at[k] + at[i]) in rank:
-                heapq.heappush(agenda, (rank[p], k, i, len(p)))
-        return [p for p in at if p]
+                if (p := made << 32 | at[k]) in pair:
+                    heapq.heappush(agenda, (pair[p], i, k, made, at[k]))
+            if (k := before[i]) >= 0 and (p := at[k] << 32 | made) in pair:
+                heapq.heappush(agenda, (pair[p], k, i, at[k], made))
+        return [r for r in at if r is not gone]
 
     def _part(self, text: str, start: int) -> tuple[bytes, int]:
         """The ids of a part of a text whose chunks have the keys from ``start``, and the number of chunks."""
         chunks = self.pieces.chunks(text)
+        if self.n_made > KEPT_CHUNKS:
+            self.known, self.n_made = {}, 0
         known, out = self.known, []
-        for i, (c, gap) in enumerate(zip(chunks, self._gaps(start, len(chunks)).tolist())):
+        gaps, seconds, thirds = (x.tolist() for x in self._gaps(start, len(chunks), 3))
+        for i, c in enumerate(chunks):
+            gap = gaps[i]
             if (made := known.get(c)) is None:
                 if len(c) > KEPT_CHARS:
                     out.append(self.segment(c, self._in_turn(gap, _mixed((start + i) & MASK)).__next__ if self.below else bool))
                     continue
-                made = self._made(c, ())
-                if len(known) > KEPT_CHUNKS:
-                    known.clear()
-                known[c] = made
-            out.append(made[1] if gap >= made[0] else self._again(c, gap, _mixed((start + i) & MASK)))
+                made = known[c] = self._made(c, ())
+            if gap < made[0]:
+                # Two draws more are at hand; what needs others starts again.
+                made = made[2].get(gap) or self._then(made, c, (gap,))
+                second = gap + 1 + seconds[i]
+                if second < made[0]:
+                    made = self._then(made, c, (gap, second))
+                    if second + 1 + thirds[i] < made[0]:
+                        out.append(self._again(c, gap, _mixed((start + i) & MASK)))
+                        continue
+            out.append(made[1])
         return b"".join(out), len(chunks)
 
     def encode(self, text: str, turn: int = 0) -> bytes:
@@ -220,6 +257,7 @@ def segmenter(path: str, seed: int = 1, dropout: float = 0.1, variants: int = 2)
     """One for each worker process and setting."""
     key = (path, seed, dropout, variants)
     if key not in _SEGMENTERS:
+        gc.set_threshold(200_000)  # what is kept of chunks is a million objects without cycles
         _SEGMENTERS[key] = Segmenter(*key)
     return _SEGMENTERS[key]
 
