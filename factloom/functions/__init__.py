@@ -78,5 +78,5 @@ def object_of(text: Column) -> Column:
 
 
 def skip_level(a: Column, b: Column) -> Column:
-    """A name for the composition of two predicates."""
-    return F.when(a == b, F.concat(F.lit("skip-level-"), a)).otherwise(F.concat_ws("-", a, b))
+    """A name for the composition of two predicates; one with itself skips a level, without what it ends in."""
+    return F.when(a == b, F.concat(F.lit("skip-level-"), F.regexp_replace(a, "-of$", ""))).otherwise(F.concat_ws("-then-", a, b))

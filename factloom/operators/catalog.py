@@ -39,11 +39,25 @@ def bindings(predicates: DataFrame) -> DataFrame:
 
 
 def composed(layer: DataFrame, bound: DataFrame) -> DataFrame:
-    """Bindings with their declarations; an undeclared one is an error."""
-    missing = bound.join(layer, "name", "left_anti").select("name").limit(5).collect()
-    if missing:
-        raise ValueError(f"undeclared: {', '.join(r['name'] for r in missing)}")
-    return bound.join(layer, "name")
+    """Bindings with their declarations; an undeclared one is an error when the rows are read."""
+    joined = bound.join(layer.withColumn("__declared", F.lit(True)), "name", "left")
+    declared = F.when(F.col("__declared"), F.col("name")).otherwise(F.raise_error(F.concat(F.lit("undeclared: "), F.col("name"))))
+    return joined.withColumn("name", declared).drop("__declared")
+
+
+def seeded(declared: DataFrame) -> DataFrame:
+    """A first layer of static declarations (name, ord, ...): the first of each name."""
+    rest = [c for c in declared.columns if c != "name"]
+    return declared.groupBy("name").agg(F.min_by(F.struct(*rest), "ord").alias("d")).select("name", "d.*")
+
+
+def floors(predicates: DataFrame, edits: DataFrame) -> DataFrame:
+    """(name, floor) of predicates (name, floor) after human edits (name, floor, at): the last one sets 1 to 255, null or
+    0 clears; others are no edits."""
+    fine = edits.where("floor is null or floor between 0 and 255")
+    last = fine.groupBy("name").agg(F.max_by(F.struct("floor"), "at").alias("e"))
+    joined = predicates.join(last, "name", "left")
+    return joined.select("name", F.nullif(F.when(F.col("e").isNotNull(), F.col("e.floor")).otherwise(F.col("floor")), F.lit(0)).alias("floor"))
 
 
 def corrections(proposed: DataFrame, confirmed: DataFrame) -> DataFrame:
@@ -66,7 +80,23 @@ def recent_runs(runs: DataFrame, kept: int = RUNS_KEPT) -> DataFrame:
     return runs.withColumn("r", F.row_number().over(Window.partitionBy("lane").orderBy(F.desc("run_no")))).where(F.col("r") <= kept).drop("r")
 
 
+KEY, NAME, LINE = 200, 120, 500  # fixed values: how much of a key, a name and a line is kept
+
+
 def review_records(decisions: DataFrame) -> DataFrame:
-    """An id for each decision (surface, key, decision, reviewer, note, at), the note at most 500 characters."""
-    key = F.concat_ws("|", F.left("surface", F.lit(200)), F.left("key", F.lit(200)), F.col("decision"), F.col("at").cast("string"))
-    return decisions.select((hash48(key) + BANDS["review"]).alias("id"), "surface", "key", "decision", "reviewer", F.left("note", F.lit(500)).alias("note"), "at")
+    """``decisions`` (surface, key, decision, proposal, evidence, reviewer, note, at) with an id for each instance.
+
+    The id is of surface, key, instant and reviewer, so another review of the same is another record.
+    """
+    name = F.concat_ws("|", "surface", F.left("key", F.lit(KEY)), F.col("at").cast("string"), F.left(F.coalesce("reviewer", F.lit("")), F.lit(NAME)))
+    cut = {"decision": NAME, "proposal": LINE, "evidence": LINE, "reviewer": NAME, "note": LINE}
+    return decisions.select((hash48(name) + BANDS["review"]).alias("id"), "surface", "key", *[F.left(c, F.lit(n)).alias(c) for c, n in cut.items()], "at")
+
+
+def review_facts(records: DataFrame, pointers: DataFrame) -> DataFrame:
+    """(subject, predicate, object, valid_from) of review records and of (id, kind, node) that they are about; fields
+    that are null or empty but for surface, decision and proposal are none."""
+    fields = F.array(*[F.struct(F.lit(f"review-{c}").alias("predicate"), F.col(c).alias("object"), F.lit(c in ("surface", "decision", "proposal")).alias("needed")) for c in ("surface", "decision", "proposal", "evidence", "reviewer", "note")])
+    said = records.select(F.col("id").alias("subject"), F.col("at").alias("valid_from"), F.explode(fields).alias("f")).where("f.object is not null and (f.needed or f.object != '')")
+    about = pointers.join(records.select("id", "at"), "id").select(F.col("id").alias("subject"), F.concat(F.lit("review-of-"), "kind").alias("predicate"), F.col("node").cast("string").alias("object"), F.col("at").alias("valid_from"))
+    return said.select("subject", "f.predicate", "f.object", "valid_from").unionByName(about)

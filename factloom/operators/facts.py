@@ -1,6 +1,7 @@
 """Reads of the fact log: (seq, op, subject, predicate, object, props, valid_from, valid_to, source).
 
-``op`` is ``assert``, ``close`` or ``retract``; ``seq`` is the order of writes. The raw head is the last write; the
+``op`` is ``assert``, ``close`` or ``retract``; ``seq`` is the order of writes. A retract takes an element out with all
+that was written of it before: reads of a log that holds any go over ``live``, which is a join that others needn't pay for. The raw head is the last write; the
 guarded head and as-of reads go by (valid_from, seq), so that a late arrival doesn't displace a newer value. A value
 holds from valid_from up to, without, valid_to; an unset valid_from is 0. Every read is one aggregate with partial
 sums, or one window for histories.
@@ -20,7 +21,7 @@ def _from() -> Column:
 
 
 def live(facts: DataFrame) -> DataFrame:
-    """Without retracted elements and what was written of them before."""
+    """Without retracted elements and what was written of them before; closes that name no element stay."""
     gone = facts.where("op = 'retract'").groupBy(*ELEMENT).agg(F.max("seq").alias("__gone"))
     return facts.where("op != 'retract'").join(gone, ELEMENT, "left").where("__gone is null or seq > __gone").drop("__gone")
 

@@ -9,6 +9,9 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import skip_level
+from . import facts
+
 
 @dataclass(frozen=True)
 class Predicate:
@@ -30,10 +33,13 @@ class Hop:
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Cuts lineage in the folder of ``spark.checkpoint.dir``; one is made only where the session names none (tests)."""
+    """Cuts lineage in the folder of ``spark.checkpoint.dir``; one is made only in local sessions that name none (tests)."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="factloom-"))
+        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not named and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="factloom-"))
     return df.checkpoint()
 
 
@@ -90,8 +96,21 @@ def gaps(predicates: list[Predicate], types: dict[str, str], tables: set[str]) -
     return out
 
 
+def edges_as_of(log: DataFrame, predicates: list[Predicate], at: int | None = None) -> dict[str, DataFrame]:
+    """(subject, object) of each predicate in effect at an instant, or now: values of one, elements of many."""
+    out = {}
+    for p in predicates:
+        some, keys = log.where(F.col("predicate") == p.name), facts.KEYS if p.cardinality == "one" else facts.ELEMENT
+        held = facts.current(facts.guarded_head(some, keys)) if at is None else facts.as_of(some, at, keys)
+        out[p.name] = held.select("subject", F.col("object").cast("long").alias("object"))
+    return out
+
+
 def evaluate(edges: dict[str, DataFrame], hops: list[Hop], starts: DataFrame) -> DataFrame:
-    """(start, end) of a derived relation: one join a hop, forward or backward, the frontier kept distinct."""
+    """(start, end) of a derived relation: one join a hop, forward or backward, the frontier kept distinct.
+
+    ``edges_as_of`` makes the edges of an instant, for predicates of one value and of many alike.
+    """
     frontier = starts.select(F.col("id").alias("start"), F.col("id").alias("at"))
     for hop in hops:
         a, b = ("object", "subject") if hop.reverse else ("subject", "object")
@@ -116,15 +135,15 @@ def path_errors(declared: dict[str, tuple[str, str]], hops: list[Hop], from_type
 
 
 def compositions(predicates: DataFrame, cap: int = 6) -> DataFrame:
-    """Two-hop compositions (first, second, from, to, cardinality), those of one value first, at most ``cap``."""
+    """Two-hop compositions (name, first, second, from, to, cardinality), those of one value first, at most ``cap``."""
     a = predicates.select(F.col("name").alias("first"), F.col("from"), F.col("to").alias("mid"), F.col("cardinality").alias("ca"), F.col("ord").alias("oa"))
     b = predicates.select(F.col("name").alias("second"), F.col("from").alias("mid"), F.col("to"), F.col("cardinality").alias("cb"), F.col("ord").alias("ob"))
     one = (F.col("ca") == "one") & (F.col("cb") == "one")
     rows = a.join(b, "mid").withColumn("cardinality", F.when(one, "one").otherwise("many"))
-    return rows.orderBy(F.desc("cardinality"), "oa", "ob").limit(cap).select("first", "second", "from", "to", "cardinality")
+    return rows.orderBy(F.desc("cardinality"), "oa", "ob").limit(cap).select(skip_level(F.col("first"), F.col("second")).alias("name"), "first", "second", "from", "to", "cardinality")
 
 
-def closure(edges: DataFrame, rounds: int = 30) -> DataFrame:
+def closure(edges: DataFrame) -> DataFrame:
     """(id, root): the least id of each connected component of ``edges`` (a, b).
 
     Least labels spread along edges and through the labels themselves until nothing changes; each round is written
@@ -133,7 +152,7 @@ def closure(edges: DataFrame, rounds: int = 30) -> DataFrame:
     both = edges.select("a", "b").union(edges.select("b", "a")).distinct()
     both = checkpointed(both)
     roots = checkpointed(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("root")).withColumnRenamed("a", "id"))
-    for _ in range(rounds):
+    while True:  # labels only fall, and a path's length halves each round
         near = both.join(roots.select(F.col("id").alias("b"), "root"), "b").groupBy(F.col("a").alias("id")).agg(F.min("root").alias("near"))
         spread = roots.join(near, "id").select("id", F.least("root", "near").alias("root"))
         jump = spread.join(roots.select(F.col("id").alias("root"), F.col("root").alias("far")), "root", "left").select("id", F.least("root", F.coalesce("far", "root")).alias("root"))
@@ -142,7 +161,6 @@ def closure(edges: DataFrame, rounds: int = 30) -> DataFrame:
         roots, done = after, changed.isEmpty()
         if done:
             return roots
-    raise RuntimeError("the closure didn't settle")
 
 
 def union_all(frames: list[DataFrame]) -> DataFrame:

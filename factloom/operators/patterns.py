@@ -45,6 +45,17 @@ def ubiquitous(events: DataFrame, share: float = UBIQUITY, min_events: int = MIN
     return reach.join(F.broadcast(total)).where((F.col("total") >= min_events) & (F.col("support") / F.col("total") >= share))
 
 
+def scope_patterns(events: DataFrame, demoted: DataFrame, cap: int = EXCEPTIONS) -> DataFrame:
+    """``ubiquitous`` targets with the events that lack them: target, support, total, exceptions, omitted, window."""
+    at = F.when(F.col("at") > 0, F.col("at"))
+    window = events.agg(F.coalesce(F.min(at), F.lit(0)).alias("window_from"), F.coalesce(F.max(at), F.lit(0)).alias("window_to"))
+    every = demoted.agg(F.collect_set("target").alias("__all"))  # at most 1 / share targets an event's list is long
+    lacking = events.join(F.broadcast(every)).select("id", F.explode(F.array_except("__all", "targets")).alias("group"))
+    missed = _exceptions(lacking, cap).withColumnRenamed("group", "target")
+    out = demoted.join(missed, "target", "left").join(F.broadcast(window))
+    return out.select("target", "support", "total", F.coalesce("exceptions", F.lit("")).alias("exceptions"), F.greatest(F.coalesce("missed", F.lit(0)) - cap, F.lit(0)).alias("omitted"), "window_from", "window_to")
+
+
 def stripped(events: DataFrame, demoted: DataFrame) -> DataFrame:
     """Events without demoted targets; the events themselves stay."""
     drop = demoted.agg(F.collect_set("target").alias("__drop"))  # at most 1 / share targets an event's list is long

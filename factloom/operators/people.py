@@ -9,38 +9,39 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import email_key, name_tokens, visible
+from ..functions import email_key, name_tokens
 
-__all__ = ["visible"]
+DELETED = "(deleted account)"  # fixed value: what stands for the name of an account that is gone
+
+
+def _identity_keys(people: DataFrame) -> DataFrame:
+    """(tier, key, id, band) of persons (id, name, email, band) by e-mail and by name parts; those without a band or
+    whose account is deleted have none."""
+    known = people.where(F.col("band").isNotNull() & (F.coalesce("name", F.lit("")) != DELETED))
+    p = known.withColumn("mail", email_key(F.col("email"))).withColumn("parts", name_tokens(F.col("name")))
+    mail = p.where("mail is not null").select(F.lit("email").alias("tier"), F.array("mail").alias("key"), "id", "band")
+    return mail.unionByName(p.where(F.size("parts") >= 2).select(F.lit("name").alias("tier"), F.col("parts").alias("key"), "id", "band"))
 
 
 def identity_pairs(people: DataFrame) -> DataFrame:
     """(a, b, tier) of persons (id, name, email, band) of different bands: the same e-mail, else the same name parts.
 
-    Two equi-joins; the e-mail outranks the name.
+    The least person of each band stands for those of the band that share the key (``identity_groups`` has them all), so
+    a key makes no more rows than pairs of bands. The e-mail outranks the name.
     """
-    p = people.withColumn("mail", email_key(F.col("email"))).withColumn("parts", name_tokens(F.col("name")))
-
-    def meet(key: str, tier: str, rows: DataFrame) -> DataFrame:
-        a, b = (rows.select(F.col("id").alias(x), F.col("band").alias(f"band_{x}"), F.col(key).alias("k")) for x in "ab")
-        return a.join(b, "k").where("a < b and band_a != band_b").select("a", "b", F.lit(tier).alias("tier"))
-
-    mail = meet("mail", "email", p.where("mail is not null"))
-    name = meet("parts", "name", p.where(F.size("parts") >= 2))
-    return mail.unionByName(name).groupBy("a", "b").agg(F.min("tier").alias("tier"))
+    first = _identity_keys(people).groupBy("tier", "key", "band").agg(F.min("id").alias("id"))
+    a, b = (first.select("tier", "key", F.col("id").alias(x), F.col("band").alias(f"band_{x}")) for x in "ab")
+    return a.join(b, ["tier", "key"]).where("a < b and band_a != band_b").groupBy("a", "b").agg(F.min("tier").alias("tier"))
 
 
 def identity_groups(people: DataFrame, salts: int = 16) -> DataFrame:
     """(tier, key, id, band, first, band_first): a row for each person in each e-mail or name that several bands share,
     with the least ids of that group and of the person's band in it.
 
-    Two members of a group with different bands are a pair of ``identity_pairs``; the e-mail outranks the name. A group
-    costs a row for each member, not for each pair, and its rows go to ``salts`` tasks.
+    Two members of a group with different bands may be one person; ``identity_pairs`` has a pair of each two bands. A
+    group costs a row for each member, and its rows go to ``salts`` tasks.
     """
-    p = people.withColumn("mail", email_key(F.col("email"))).withColumn("parts", name_tokens(F.col("name")))
-    mail = p.where("mail is not null").select(F.lit("email").alias("tier"), F.array("mail").alias("key"), "id", "band")
-    name = p.where(F.size("parts") >= 2).select(F.lit("name").alias("tier"), F.col("parts").alias("key"), "id", "band")
-    rows = mail.unionByName(name)
+    rows = _identity_keys(people)
     bands = rows.groupBy("tier", "key", "band").agg(F.min("id").alias("band_first"))
     shared = bands.groupBy("tier", "key").agg(F.min("band_first").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     lookup = bands.join(shared, ["tier", "key"]).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
@@ -52,21 +53,42 @@ def undecided(pairs: DataFrame, dismissed: DataFrame) -> DataFrame:
     return pairs.join(dismissed, ["a", "b"], "left_anti")
 
 
-# Phrases of formal consent and softer ones, and what around them undoes them.
-FORMAL = ("承認します", "承認しました", "承認済", "承認", "approved", "LGTM")
-SOFTER = ("問題ありません", "問題ないです", "進めてください", "go ahead", "looks good")
-QUESTION_AFTER = re.compile(r"\s*(?:でしょうか|ですか|ますか|か(?!ら)|[?？])")
-UNDONE_BEFORE = re.compile(r"(?:\bnot|n't|\bif|\bonce|未|再|もし)\s*(?:yet\s+|be\s+|been\s+)?$", re.I)
+# Phrases of formal consent and softer ones, in the order in which they are tried; what after a hit makes its
+# sentence a question; words that, earlier in the sentence, deny or condition it.
+FORMAL = ("承認します", "承認いたします", "承認しました", "承認です", "LGTM", "approve", "approved", "approval granted")
+SOFTER = ("問題ありません", "問題ないです", "大丈夫です", "OKです", "異議ありません", "進めてください", "進めていただいて")
+ASKED = re.compile(r"か(?!ら)|[^。.!！\n]*[?？]")
+DENYING = ("not", "never", "cannot", "can'?t", "don'?t", "doesn'?t", "didn'?t", "won'?t", "isn'?t", "wouldn'?t", "shouldn'?t", "unless", "if")
+CONDITIONS = ("なければ", "れば", "たら", "ならば", "なら")
+ENDS = "。.!?！？\n"
+AROUND = 40
+
+_DENIED = re.compile(rf"(?<![A-Za-z0-9_])(?:{'|'.join(DENYING)})(?![A-Za-z0-9_])|{'|'.join(CONDITIONS)}", re.I)
 
 
-def approval(text: str, formal: tuple[str, ...] = FORMAL, softer: tuple[str, ...] = SOFTER) -> tuple[str, str, int] | None:
-    """(tier, phrase, place) of the first clean occurrence of a phrase, all formal ones before softer ones."""
+def _clean(text: str, start: int, end: int) -> bool:
+    """Whether a hit is neither asked nor denied nor conditional in its own sentence."""
+    begin = max(text.rfind(c, 0, start) for c in ENDS) + 1
+    return not ASKED.match(text, end) and not _DENIED.search(text[begin:start])
+
+
+def _places(text: str, phrase: str) -> Iterator[tuple[int, int]]:
+    """Where a phrase stands: as words in either case if it is ASCII, else as it is, hits that overlap too."""
+    if phrase.isascii():
+        yield from (m.span() for m in re.finditer(rf"(?<![A-Za-z0-9_]){re.escape(phrase)}(?![A-Za-z0-9_])", text, re.I | re.A))
+        return
+    at = text.find(phrase)
+    while at >= 0:
+        yield at, at + len(phrase)
+        at = text.find(phrase, at + 1)
+
+
+def approval(text: str, formal: tuple[str, ...] = FORMAL, softer: tuple[str, ...] = SOFTER) -> tuple[str, str, int, int] | None:
+    """(tier, phrase as listed, start, end) of the first clean hit of the first phrase that has one, formal ones first."""
     for tier, phrases in (("formal", formal), ("euphemism", softer)):
         for phrase in phrases:
-            edge = r"(?<![A-Za-z0-9_])%s(?![A-Za-z0-9_])" if phrase.isascii() else "%s"
-            for m in re.finditer(edge % re.escape(phrase), text, re.I):
-                if not QUESTION_AFTER.match(text, m.end()) and not UNDONE_BEFORE.search(text[max(0, m.start() - 20) : m.start()]):
-                    return tier, m[0], m.start()
+            if hit := next((x for x in _places(text, phrase) if _clean(text, *x)), None):
+                return tier, phrase, *hit
     return None
 
 
@@ -76,7 +98,7 @@ def approvals(comments: DataFrame, formal: tuple[str, ...] = FORMAL, softer: tup
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             found = [(i, t, *hit) for i, t in zip(b["id"], b["text"]) if (hit := approval(t, formal, softer))]
-            yield pd.DataFrame([(i, tier, phrase, t[max(0, at - 40) : at + len(phrase) + 40]) for i, t, tier, phrase, at in found], columns=["id", "tier", "phrase", "snippet"])
+            yield pd.DataFrame([(i, tier, phrase, t[max(0, start - AROUND) : end + AROUND]) for i, t, tier, phrase, start, end in found], columns=["id", "tier", "phrase", "snippet"])
 
     some = "|".join(f"(?i){re.escape(p)}" for p in (*formal, *softer))
     return comments.where(F.col("text").rlike(some)).select("id", "text").mapInPandas(each, "id long, tier string, phrase string, snippet string")
@@ -88,21 +110,26 @@ def approver_context(observed: DataFrame) -> DataFrame:
     return observed.groupBy("person").agg(count("assigned"), count("authored"), count("reviewed"))
 
 
+def supporters(grants: DataFrame, activity: DataFrame, roots: DataFrame) -> DataFrame:
+    """(doc, project, person, via): grantees who are active in a project, by themselves (``via`` null) or by another
+    account of the same person, the one with the least id."""
+    root = lambda df: df.join(roots, F.col("person") == F.col("id"), "left").withColumn("who", F.coalesce("root", "person")).drop("id", "root")
+    active = root(activity).select("who", "project", F.col("person").alias("account")).distinct()
+    met = root(grants).select("doc", "person", "who").distinct().join(active, "who")
+    own = F.max(F.col("account") == F.col("person"))
+    return met.groupBy("doc", "project", "person").agg(F.when(~own, F.min("account")).alias("via"))
+
+
 def document_projects(grants: DataFrame, activity: DataFrame, roots: DataFrame, resolvable: int = 3, share: float = 0.5) -> DataFrame:
     """(doc, project, support, resolved, tier) from grants (doc, person), activity (person, project), roots (id, root).
 
     A grantee counts by the activity of all accounts of the same person. At least ``resolvable`` grantees must have
-    any; a project needs ``share`` of them; tier is high where all agree on it alone.
+    any; a project needs ``share`` of them; tier is high for each project that all of them are active in.
     """
-    root = lambda df: df.join(roots, F.col("person") == F.col("id"), "left").withColumn("who", F.coalesce("root", "person"))
-    active = root(activity).select("who", "project").distinct()
-    granted = root(grants).select("doc", "person", "who").distinct()
-    met = granted.join(active, "who").select("doc", "person", "project").distinct()
-    resolved = met.select("doc", "person").distinct().groupBy("doc").agg(F.count(F.lit(1)).alias("resolved")).where(F.col("resolved") >= resolvable)
-    counts = met.groupBy("doc", "project").agg(F.count(F.lit(1)).alias("support")).join(resolved, "doc").where(F.col("support") / F.col("resolved") >= share)
-    several = counts.groupBy("doc").agg(F.count(F.lit(1)).alias("n"))
-    high = (F.col("support") == F.col("resolved")) & (F.col("n") == 1)
-    return counts.join(several, "doc").select("doc", "project", "support", "resolved", F.when(high, "high").otherwise("ambiguous").alias("tier"))
+    met = supporters(grants, activity, roots)
+    docs = met.groupBy("doc", "person").agg(F.count(F.lit(1)).alias("projects")).groupBy("doc").agg(F.count(F.lit(1)).alias("resolved")).where(F.col("resolved") >= resolvable)
+    counts = met.groupBy("doc", "project").agg(F.count(F.lit(1)).alias("support")).join(docs, "doc").where(F.col("support") / F.col("resolved") >= share)
+    return counts.select("doc", "project", "support", "resolved", F.when(F.col("support") == F.col("resolved"), "high").otherwise("ambiguous").alias("tier"))
 
 
 def conformance(subjects: DataFrame) -> DataFrame:
@@ -135,7 +162,8 @@ def access_label(files: DataFrame) -> DataFrame:
     1 for a domain or anyone. Deleted grants don't count."""
     grants = F.filter("permissions", lambda p: ~F.coalesce(p["deleted"], F.lit(False)))
     kinds = F.transform(grants, lambda p: p["type"])
-    others = F.array_distinct(F.transform(F.filter(grants, lambda p: p["role"] != "owner"), lambda p: F.coalesce(p["id"], p["emailAddress"])))
+    named = F.transform(F.filter(grants, lambda p: p["role"] != "owner"), lambda p: F.coalesce(p["id"], p["emailAddress"]))
+    others = F.array_distinct(F.array_compact(named))
     label = F.when(F.col("permissions").isNull(), 3).when(F.array_contains(kinds, "domain") | F.array_contains(kinds, "anyone"), 1).when(F.array_contains(kinds, "group") | (F.size(others) > 1), 2).otherwise(3)
     return files.select("id", label.alias("label"))
 

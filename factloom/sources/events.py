@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import BANDS, epoch_or_zero, hash48
+from ..operators.people import DELETED
 
 PERSON = "struct<id: long, name: string, mailAddress: string>"
 PAYLOAD = f"type int, project struct<id: long, projectKey: string, name: string>, content struct<id: long, key_id: long, summary: string, status: struct<id: long, name: string>, assignee: {PERSON}, comment: struct<id: long, content: string>, changes: array<struct<field: string, old_value: string, new_value: string>>>, createdUser {PERSON}, created string"
@@ -52,16 +53,17 @@ def issue_facts(some: DataFrame, statuses: DataFrame, users: DataFrame) -> DataF
 
 
 def file_facts(files: DataFrame) -> DataFrame:
-    """Facts of files (id, name, createdTime, modifiedTime, parents, permissions): one grant for each user."""
+    """Facts of files (id, name, createdTime, modifiedTime, parents, permissions): one grant for each user, that of a
+    deleted account too, which is named so and marked; the first parent is the folder."""
     b, c = BANDS, F.col
     doc = hash48(c("id")) + b["document"]
     f = files.select(doc.alias("doc"), "name", epoch_or_zero(F.coalesce("modifiedTime", "createdTime")).alias("at"), "parents", "permissions")
     own = f.select(F.lit("assert").alias("op"), c("doc").alias("subject"), F.lit("name").alias("predicate"), c("name").alias("object"), c("at").alias("valid_from"))
-    parents = f.select("doc", "at", F.explode("parents").alias("p")).select(F.lit("assert").alias("op"), c("doc").alias("subject"), F.lit("in-folder").alias("predicate"), (hash48(c("p")) + b["folder"]).cast("string").alias("object"), c("at").alias("valid_from"))
-    grants = f.select("doc", "at", F.explode("permissions").alias("p")).where("p.type = 'user' and not coalesce(p.deleted, false)")
+    parents = f.select("doc", "at", F.get("parents", F.lit(0)).alias("p")).where("p is not null").select(F.lit("assert").alias("op"), c("doc").alias("subject"), F.lit("in-folder").alias("predicate"), (hash48(c("p")) + b["folder"]).cast("string").alias("object"), c("at").alias("valid_from"))
+    grants = f.select("doc", "at", F.explode("permissions").alias("p")).where("p.type = 'user'")
     grants = grants.withColumn("person", hash48(F.coalesce("p.id", "p.emailAddress")) + b["file_person"])
     access = grants.select(F.lit("assert").alias("op"), c("doc").alias("subject"), F.lit("can-access").alias("predicate"), c("person").cast("string").alias("object"), c("at").alias("valid_from"))
-    people = grants.select(c("person").alias("subject"), F.explode(F.create_map(F.lit("name"), c("p.displayName"), F.lit("email"), c("p.emailAddress"))).alias("predicate", "object")).where("object is not null")
+    people = grants.select(c("person").alias("subject"), F.explode(F.create_map(F.lit("name"), F.when(c("p.deleted"), DELETED).otherwise(c("p.displayName")), F.lit("email"), c("p.emailAddress"), F.lit("account-deleted"), F.when(c("p.deleted"), "true"))).alias("predicate", "object")).where("object is not null")
     people = people.select(F.lit("assert").alias("op"), "subject", "predicate", "object", F.lit(0).cast("long").alias("valid_from"))
     return own.unionByName(parents).unionByName(access).unionByName(people).distinct()
 
@@ -93,3 +95,57 @@ def known_entities(anchors: DataFrame) -> DataFrame:
     """(type, name) of ``Type|name`` texts, cut at the first bar; others are left out."""
     at = F.instr("entity", "|")
     return anchors.where(at > 1).select(F.expr("left(entity, instr(entity, '|') - 1)").alias("type"), F.expr("substring(entity, instr(entity, '|') + 1)").alias("name")).where("name != ''").distinct()
+
+
+# Kinds of files that can be read, and words in a name that say it isn't the final version.
+READABLE = ("application/pdf", "application/vnd.google-apps.document", "application/vnd.google-apps.presentation", "application/vnd.openxmlformats-officedocument.wordprocessingml.document", "application/vnd.openxmlformats-officedocument.spreadsheetml.sheet")
+DRAFT = r"(?i)draft|下書き|案|copy|コピー|old|_v\d+|backup"
+
+
+def classified(files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Files (id, name, mime, ...) that can be read, with their name or id and whether it looks like a draft; and (mime, n)
+    of the others."""
+    kind = F.coalesce("mime", F.lit("unknown"))
+    name = F.coalesce("name", F.col("id").cast("string"))
+    readable = files.where(kind.isin(*READABLE)).withColumn("name", name).withColumn("draft", F.col("name").rlike(DRAFT))
+    skipped = files.where(~kind.isin(*READABLE)).groupBy(kind.alias("mime")).agg(F.count(F.lit(1)).alias("n"))
+    return readable, skipped
+
+
+def entity_names(claims: DataFrame) -> DataFrame:
+    """(type, name) of what claims are about, each once."""
+    ends = F.array(F.struct(F.col("subject_type").alias("type"), F.col("subject").alias("name")), F.struct(F.col("object_type").alias("type"), F.col("object").alias("name")))
+    return claims.select(F.explode(ends).alias("e")).select("e.*").where("type is not null").distinct()
+
+
+def family_keys(claims: DataFrame, families: DataFrame, known: DataFrame) -> DataFrame:
+    """(family, entity) keys ``Type|name`` of claims in documents (doc, family) that ``known`` (family, entity) lacks."""
+    ends = F.array(F.struct(F.col("subject_type").alias("type"), F.col("subject").alias("name")), F.struct(F.col("object_type").alias("type"), F.col("object").alias("name")))
+    keys = claims.join(families, "doc").select(F.col("family"), F.explode(ends).alias("e")).where("e.type is not null")
+    found = keys.select((hash48("family") + BANDS["family"]).alias("family"), F.concat_ws("|", "e.type", "e.name").alias("entity")).distinct()
+    return found.join(known, ["family", "entity"], "left_anti")
+
+
+def required_floors(claims: DataFrame, floors: DataFrame) -> DataFrame:
+    """(doc, floor): the strictest floor of a document's claimed predicates; documents without any have no row."""
+    return claims.join(floors, "predicate").groupBy("doc").agg(F.max("floor").alias("floor")).where("floor > 0")
+
+
+def shortlist(proposed: DataFrame, files: DataFrame) -> DataFrame:
+    """(id, category, selected) of a proposal over files: known ids only, each once; no category is ``other``, and only
+    what is plainly selected is."""
+    rows = proposed.join(files.select("id").distinct(), "id", "left_semi").groupBy("id").agg(F.min(F.coalesce("category", F.lit("other"))).alias("category"), F.max(F.coalesce(F.col("selected"), F.lit(False))).alias("selected"))
+    return rows
+
+
+def claim_facts(claims: DataFrame, times: DataFrame) -> DataFrame:
+    """(subject, predicate, object, valid_from, passage, confidence) of claims in documents (doc, at): entities by id, values
+    as text, from the effective date or else the document's instant; and each entity's name by ``<type>-name``."""
+    entity = lambda type_, name: hash48(F.concat_ws("|", F.col("doc").cast("string"), type_, name)) + BANDS["entity"]
+    rows = claims.join(times, "doc").withColumn("from_", F.coalesce(F.unix_seconds(F.try_to_timestamp("effectiveFrom")), "at"))
+    rows = rows.withColumn("s", entity("subject_type", "subject")).withColumn("o", F.when(F.col("object_type").isNotNull(), entity("object_type", "object")))
+    said = rows.select(F.col("s").alias("subject"), "predicate", F.coalesce(F.col("o").cast("string"), F.col("object")).alias("object"), F.col("from_").alias("valid_from"), "passage", "confidence")
+    ends = F.array(F.struct(F.col("s").alias("id"), F.col("subject_type").alias("type"), F.col("subject").alias("name")), F.struct(F.col("o").alias("id"), F.col("object_type").alias("type"), F.col("object").alias("name")))
+    named = rows.select("at", F.explode(ends).alias("e")).where("e.id is not null").groupBy("e.id", "e.type", "e.name").agg(F.min("at").alias("at"))
+    none = F.lit(None).cast("string")
+    return said.unionByName(named.select(F.col("id").alias("subject"), F.concat(F.lower("type"), F.lit("-name")).alias("predicate"), F.col("name").alias("object"), F.col("at").alias("valid_from"), none.alias("passage"), none.alias("confidence"))).distinct()

@@ -26,11 +26,12 @@ class Table:
 
     @property
     def is_link(self) -> bool:
-        """Two key columns that both refer elsewhere, or references to exactly two other tables."""
+        """A key of two columns that both refer elsewhere, or else references to exactly two tables, none itself, of the
+        columns outside the key."""
         keys = [c for c in self.columns if c.pk]
-        if len(keys) == 2 and len(self.columns) == 2:
-            return all(c.ref for c in keys)
-        targets = {c.ref.split(".")[0] for c in self.columns if c.ref}
+        if len(keys) == 2 and all(c.ref for c in keys):
+            return True
+        targets = {c.ref.split(".")[0] for c in self.columns if c.ref and not c.pk}
         return len(targets) == 2 and self.name not in targets
 
 
@@ -58,9 +59,9 @@ def parse_tables(sql: str) -> list[Table]:
             if key := re.match(r"(?i)primary\s+key\s*\(([^)]*)\)", part):
                 keys += [k.strip().strip('"`') for k in key[1].split(",")]
             elif (words := part.split())[0].upper() not in SKIPPED:
-                ref = re.search(r"(?i)references\s+[\"`]?(\w+)[\"`]?\s*(?:\(\s*[\"`]?(\w+)[\"`]?\s*\))?", part)
+                ref = re.search(r"(?i)references\s+[\"`]?(\w+)[\"`]?\s*\(\s*[\"`]?(\w+)[\"`]?\s*\)", part)
                 kind = re.match(r"\w+", words[1]) if len(words) > 1 else None
-                table.columns.append(Column(words[0].strip('"`'), kind[0].upper() if kind else "", bool(re.search(r"(?i)primary\s+key", part)), f"{ref[1]}.{ref[2] or 'id'}" if ref else None))
+                table.columns.append(Column(words[0].strip('"`'), kind[0].upper() if kind else "", bool(re.search(r"(?i)primary\s+key", part)), f"{ref[1]}.{ref[2]}" if ref else None))
         for c in table.columns:
             c.pk = c.pk or c.name in keys
         out.append(table)

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from factloom import functions as fn
-from factloom.operators import facts, graph, patterns, people
+from factloom.operators import catalog, facts, graph, patterns, people, review
 from factloom.sources import events, office, schemas
 from factloom.streaming import heads
 
@@ -90,32 +90,46 @@ def test_stability(spark):
 
 
 def test_identities(spark):
-    rows = [(1, "Ann Lee", " A@x.org ", "hr"), (2, "Other", "a@X.org", "drive"), (3, "lee　ann", None, "issues"), (4, "Ann", None, "drive"), (5, "ann", None, "hr")]
+    rows = [(1, "Ann Lee", " A@x.org ", "hr"), (2, "Other", "a@X.org", "drive"), (3, "lee　ann", None, "issues"), (4, "Ann", None, "drive"), (5, "ann", None, "hr"), (6, "(deleted account)", None, "hr"), (7, "(deleted account)", None, "drive"), (8, "Ann Lee", None, None)]
     got = people.identity_pairs(spark.createDataFrame(rows, "id long, name string, email string, band string")).collect()
     assert sorted(map(tuple, got)) == [(1, 2, "email"), (1, 3, "name")]
 
 
 @pytest.mark.parametrize(
     ("text", "tier"),
-    [("承認します", "formal"), ("LGTM!", "formal"), ("承認でしょうか", None), ("not approved", None), ("not approved. Now approved", "formal"), ("looks good, approved", "formal"), ("looks good", "euphemism"), ("disapproved", None), ("未承認", None)],
+    [
+        ("承認します", "formal"), ("LGTM!", "formal"), ("承認しますか", None), ("承認しますから", "formal"), ("not approved", None), ("not approved. Now approved", "formal"), ("進めてください, approved", "formal"), ("disapproved", None), ("未承認", None),
+        ("修正いただければ承認します", None), ("Is this approved by finance?", None), ("If the tests pass this is approved", None), ("I never approved it", None), ("don't think this is approved", None), ("承認いただけますか", None),
+        ("大丈夫です", "euphemism"), ("OKです", "euphemism"), ("異議ありません", "euphemism"), ("大丈夫ですか？はい、大丈夫です。", "euphemism"), ("looks good", None),
+    ],
 )
 def test_approvals(text, tier):
     assert (people.approval(text) or (None,))[0] == tier
 
 
+def test_approvals_name_the_listed_phrase(spark):
+    (r,) = people.approvals(spark.createDataFrame([(1, "x" * 60 + " lgtm " + "y" * 60)], "id long, text string")).collect()
+    assert (r["tier"], r["phrase"], r["snippet"]) == ("formal", "LGTM", "x" * 39 + " lgtm " + "y" * 39)
+
+
 def test_inference_tiers(spark):
     grants = spark.createDataFrame([(1, p) for p in (10, 11, 12)] + [(2, p) for p in (10, 11, 13)] + [(3, 10)], "doc long, person long")
     activity = spark.createDataFrame([(10, 5), (11, 5), (20, 5), (13, 6)], "person long, project long")
     roots = graph.closure(spark.createDataFrame([(12, 20)], "a long, b long"))
     got = sorted(map(tuple, people.document_projects(grants, activity, roots).collect()))
     assert got == [(1, 5, 3, 3, "high"), (2, 5, 2, 3, "ambiguous")]
+    both = spark.createDataFrame([(p, q) for p in (10, 11, 12) for q in (5, 6)], "person long, project long")
+    two = people.document_projects(grants.where("doc = 1"), both, roots.limit(0))
+    assert sorted(map(tuple, two.collect())) == [(1, 5, 3, 3, "high"), (1, 6, 3, 3, "high")]  # unanimous on each
+    via = {(r["doc"], r["project"], r["person"]): r["via"] for r in people.supporters(grants, activity, roots).collect()}
+    assert via[1, 5, 10] is None and via[1, 5, 12] == 20
 
 
 def test_access_labels(spark):
     p = lambda kind, role="reader", id_="a", deleted=None: (kind, role, id_, None, deleted)
-    rows = [("a", None), ("b", [p("user", "owner")]), ("c", [p("anyone")]), ("d", [p("group")]), ("e", [p("user", id_="x"), p("user", id_="y")]), ("f", [p("anyone", deleted=True)])]
+    rows = [("a", None), ("b", [p("user", "owner")]), ("c", [p("anyone")]), ("d", [p("group")]), ("e", [p("user", id_="x"), p("user", id_="y")]), ("f", [p("anyone", deleted=True)]), ("g", [p("user", id_="x"), p("user", id_=None), p("user", id_=None)])]
     df = spark.createDataFrame(rows, "id string, permissions array<struct<type: string, role: string, id: string, emailAddress: string, deleted: boolean>>")
-    assert {r["id"]: r["label"] for r in people.access_label(df).collect()} == {"a": 3, "b": 3, "c": 1, "d": 2, "e": 2, "f": 3}
+    assert {r["id"]: r["label"] for r in people.access_label(df).collect()} == {"a": 3, "b": 3, "c": 1, "d": 2, "e": 2, "f": 3, "g": 3}
 
 
 def test_paths():
@@ -127,8 +141,11 @@ def test_paths():
 def test_definitions():
     link = schemas.parse_tables("CREATE TABLE x (a INT REFERENCES a(id), b INT REFERENCES b(id), level INT, CHECK (level in (1, 2)));")[0]
     assert link.is_link and [c.name for c in link.columns] == ["a", "b", "level"]
+    linked = lambda sql: schemas.parse_tables(sql)[0].is_link
+    assert linked("CREATE TABLE x (a INT REFERENCES t(id), b INT REFERENCES t(id), note TEXT, PRIMARY KEY (a, b))")
+    assert not linked("CREATE TABLE x (a INT PRIMARY KEY REFERENCES a(id), b INT REFERENCES b(id))")
     own = schemas.parse_tables("create table if not exists e (id INT primary key, boss INT references e(id), d NUMERIC(1, 2) references d);")[0]
-    assert not own.is_link and own.columns[0].pk and [c.ref for c in own.columns] == [None, "e.id", "d.id"] and own.columns[2].type == "NUMERIC"
+    assert not own.is_link and own.columns[0].pk and [c.ref for c in own.columns] == [None, "e.id", None] and own.columns[2].type == "NUMERIC"
     assert schemas.scope_of("folder:x") == ("folder", "x") and schemas.scope_of("my-drive") == ("my-drive", None)
     with pytest.raises(ValueError, match="not a scope"):
         schemas.scope_of("drive:")
@@ -167,7 +184,7 @@ def zipped(**parts):
 
 
 def test_office_files(spark, tmp_path):
-    doc = zipped(word__document_xml='<w:p><w:r><w:t>A &amp; &#66;</w:t><w:tab/><w:t xml:space="preserve"> c</w:t></w:r></w:p><w:p/><w:p><w:r><w:t>End</w:t></w:r></w:p>')
+    doc = zipped(word__document_xml='<w:document xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"><w:body><w:p><w:r><w:t>A &amp; &#66;</w:t><w:tab/><w:t xml:space="preserve"> c</w:t></w:r></w:p><w:p/><w:p><w:r><w:t>End</w:t></w:r></w:p></w:body></w:document>')
     ns = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
     book = zipped(xl__workbook_xml=f'<workbook {ns}><sheets><sheet name="One"/></sheets></workbook>', xl__sharedStrings_xml=f"<sst {ns}><si><t>s</t></si></sst>", xl__worksheets__sheet1_xml=f'<worksheet {ns}><sheetData><row><c r="A1" t="s"><v>0</v></c><c r="C1"><v>4.5</v></c><c r="D1"/></row><row><c t="inlineStr"><is><t>in</t></is></c></row></sheetData></worksheet>')
     (tmp_path / "a.docx").write_bytes(doc)
@@ -175,7 +192,7 @@ def test_office_files(spark, tmp_path):
     (tmp_path / "c.docx").write_bytes(b"broken")
     files = spark.read.format("binaryFile").load(str(tmp_path))
     got = {r["path"][-6:]: r["text"] for r in office.texts(files.where("path like '%.docx'")).collect()}
-    assert got == {"a.docx": "A & B\t c\nEnd", "c.docx": None}
+    assert got == {"a.docx": "A & B\t c\n\nEnd", "c.docx": None}
     sheets = office.rows(files.where("path like '%.xlsx'"))
     assert [(r["sheet"], r["cells"]) for r in sheets.orderBy("row").collect()] == [("One", ["s", "", "4.5"]), ("One", ["in"])]
     assert office.sheets_text(sheets).first()["text"] == "# One\ns\t\t4.5\nin"
@@ -199,7 +216,7 @@ def test_identity_groups_hold_every_pair(spark, sf_dir):
     rows = [(i, "Ann  Bee" if i % 3 else "bee.ann", "A@x " if i % 4 == 0 else None, "hr" if i % 2 else "drive") for i in range(40)]
     rows += [(50, "Solo", "s@x", "hr"), (51, "Solo", None, "drive"), (52, "Cy Dee", "S@X", "other"), (53, "Cy Dee", None, "other")]
     small = spark.createDataFrame(rows, "id long, name string, email string, band string")
-    for df in (small, plans.all_persons(spark, sf_dir)):
+    for df in (small, plans.persons(spark, sf_dir)):
         groups = {}
         for r in people.identity_groups(df).collect():
             groups.setdefault((r["tier"], tuple(r["key"])), []).append(r)
@@ -207,7 +224,37 @@ def test_identity_groups_hold_every_pair(spark, sf_dir):
         for (tier, _), members in sorted(groups.items(), reverse=True):  # names first, e-mails over them
             assert {r["first"] for r in members} == {min(r["id"] for r in members)}
             assert all(r["band_first"] == min(x["id"] for x in members if x["band"] == r["band"]) for r in members)
-            pairs |= {(a["id"], b["id"]): tier for a in members for b in members if a["id"] < b["id"] and a["band"] != b["band"]}
+            pairs |= {(a["id"], b["id"]): tier for a in members for b in members if a["id"] == a["band_first"] < b["id"] == b["band_first"] and a["band"] != b["band"]}
         assert pairs == {(r["a"], r["b"]): r["tier"] for r in people.identity_pairs(df).collect()}
     ids = {r["id"] for r in plans.id_groups(spark, sf_dir).collect()}
     assert any(i % 5 >= 2 for i in ids)
+
+
+def test_reviews_of_one_instant_are_apart(spark):
+    rows = [("s", "k" * 300, "ok", "p", "", "ann", "n" * 600, 7), ("s", "k" * 300, "ok", "p", "", "bo", None, 7), ("s", "k" * 300, "no", "p", "e", "ann", "", 7)]
+    made = catalog.review_records(spark.createDataFrame(rows, "surface string, key string, decision string, proposal string, evidence string, reviewer string, note string, at long")).collect()
+    assert made[0]["id"] == made[2]["id"] != made[1]["id"] and len(made[0]["note"]) == 500
+
+
+def test_undeclared_bindings_fail(spark):
+    layer, bound = spark.createDataFrame([("a", 1)], "name string, x int"), spark.createDataFrame([("a", "s"), ("b", "t")], "name string, source string")
+    assert catalog.composed(layer, bound.where("name = 'a'")).count() == 1
+    with pytest.raises(Exception, match="undeclared: b"):
+        catalog.composed(layer, bound).collect()
+
+
+def test_approval_candidates(spark):
+    rows = [("assert", 1, "content", "LGTM", 10), ("assert", 1, "on-issue", "100", 10), ("assert", 1, "commented-by", "7", 10), ("assert", 2, "content", "approved", 20), ("assert", 2, "on-issue", "100", 20), ("assert", 3, "content", "LGTM", 30), ("assert", 3, "on-issue", "101", 30), ("assert", 3, "commented-by", "8", 30)]
+    rows += [("assert", 4, "content", "OKです", 40), ("assert", 4, "on-issue", "102", 40), ("assert", 4, "commented-by", "8", 40), ("assert", 100, "approved-by", "7", 11), ("assert", 8, "name", "Bo", 0)]
+    gone = spark.createDataFrame([(4, 102)], "comment long, issue long")
+    got = {r["comment"]: r for r in review.approval_candidates(log(spark, *rows), gone).collect()}
+    assert set(got) == {1, 3, 4}  # 2 has no author
+    assert (got[1]["confirmed"], got[1]["rank"], got[3]["rank"], got[4]["rank"], got[3]["approver_name"], got[4]["tier"]) == (True, 2, 0, 5, "Bo", "euphemism")
+
+
+def test_grants_of_deleted_accounts_stay(spark):
+    p = [("user", "reader", "a", "a@x", True, "Ann"), ("user", "reader", "b", "b@x", None, "Bo")]
+    files = spark.createDataFrame([("f", "F", None, None, ["p1", "p2"], p)], "id string, name string, createdTime string, modifiedTime string, parents array<string>, permissions array<struct<type: string, role: string, id: string, emailAddress: string, deleted: boolean, displayName: string>>")
+    made = events.file_facts(files).collect()
+    assert sum(r["predicate"] == "can-access" for r in made) == 2 and sum(r["predicate"] == "in-folder" for r in made) == 1
+    assert {r["object"] for r in made if r["predicate"] == "name"} == {"F", "(deleted account)", "Bo"} and any(r["predicate"] == "account-deleted" for r in made)
