@@ -24,7 +24,7 @@ import re
 import sys
 import zlib
 from array import array
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +38,7 @@ MARK = "▁"
 KEPT_CHUNKS, KEPT_CHARS = 1_000_000, 40  # with what becomes of them by skips
 MASK = 2**64 - 1
 NEVER = 2**62
+DRAWS = 5  # of a chunk, that are taken with those of all chunks of a text; more are taken one by one
 
 
 class Pieces:
@@ -94,7 +95,7 @@ class Segmenter:
     def __init__(self, path: str, seed: int, dropout: float, variants: int | None = None):
         self.pieces, self.seed, self.below = Pieces(path), seed, round(dropout * 2**16)
         self.scale = -1 / math.log1p(-self.below / 2**16) if 0 < self.below < 2**16 else 0.0
-        self.known: dict[str, tuple[int, bytes, dict]] = {}
+        self.known: dict[str, list] = {}  # of each chunk, by skips: how many candidates come up (or -1), ids, what follows
         self.n_made = 0
 
     def _stream(self, chunk: str, variant: int) -> Iterator[bool]:
@@ -115,35 +116,45 @@ class Segmenter:
             out.append((-np.log(((x >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53) * self.scale).astype(np.int64))
         return out
 
-    def _made(self, chunk: str, skips: tuple[int, ...]) -> tuple[int, bytes, dict]:
-        """How many candidates come up if those of the numbers ``skips`` are skipped, the ids, and what becomes of the
-        chunk if a later candidate is skipped as well (filled as it is asked for)."""
-        if len(chunk) <= 64:
-            n, at = self._short(chunk, skips)
-        else:
-            count, some = itertools.count(), set(skips)
-            at = self._long(chunk, lambda: next(count) in some)
-            n = next(count)
-        self.n_made += 1
-        return n, self._ids(at), {}
+    def _later(self, n: int, key: int) -> Iterator[int]:
+        """The numbers of the candidates that are skipped after number ``n``, whose draw ended in ``key``."""
+        while True:
+            key = _mixed((key + 0x9E3779B97F4A7C15) & MASK)
+            n += 1 + int(-math.log(((key >> 11) + 0.5) * 2.0**-53) * self.scale)
+            yield n
+
+    def _numbers(self, first: int, gaps: list[int], key: int) -> Iterator[int]:
+        """The numbers of the skipped candidates of the chunk with ``key``, of which some draws are at hand."""
+        n = first
+        yield n
+        for gap in gaps:
+            n += 1 + gap
+            yield n
+        key = _mixed(key)
+        for _ in gaps:
+            key = _mixed((key + 0x9E3779B97F4A7C15) & MASK)
+        yield from self._later(n, key)
 
-    def _then(self, made: tuple[int, bytes, dict], chunk: str, skips: tuple[int, ...]) -> tuple[int, bytes, dict]:
-        """``made`` with its last skip added."""
-        if (more := made[2].get(skips[-1])) is None:
-            more = made[2][skips[-1]] = self._made(chunk, skips)
-        return more
+    def _made(self, chunk: str, skips: tuple[int, ...]) -> tuple[int, bytes]:
+        """How many candidates come up if those of the numbers ``skips`` are skipped, and the ids."""
+        n, at, _ = self._short(chunk, skips)
+        return n, self._ids(at)
 
     def _again(self, chunk: str, first: int, key: int) -> bytes:
         """The ids of a chunk whose candidate ``first`` is skipped; ``key`` decides on the later ones."""
-        skips: tuple[int, ...] = (first,)
-        made = self._then(self.known.get(chunk) or self._made(chunk, ()), chunk, skips)
-        while True:
-            key = _mixed((key + 0x9E3779B97F4A7C15) & MASK)
-            after = skips[-1] + 1 + (int(-math.log(((key >> 11) + 0.5) * 2.0**-53) * self.scale))
-            if after >= made[0]:
-                return made[1]
-            skips += (after,)
-            made = self._then(made, chunk, skips)
+        return self._ids(self._short(chunk, itertools.chain([first], self._later(first, key)))[1])
+
+    def _drawn(self, chunk: str, first: int, gaps: list[int], key: int) -> bytes:
+        """The ids of a chunk by its draws, and what they came to kept for those that draw the same."""
+        n, at, skips = self._short(chunk, self._numbers(first, gaps, key) if self.below else ())
+        node, ids = self.known[chunk], self._ids(at)
+        for k in skips:
+            if k not in node[2]:
+                node[2][k] = [-1, b"", {}]
+            node = node[2][k]
+        node[0], node[1] = n, ids
+        self.n_made += 1
+        return ids
 
     def _in_turn(self, gap: int, key: int) -> Iterator[bool]:
         """The same draws as ``_again`` takes, for one candidate after another."""
@@ -171,23 +182,29 @@ class Segmenter:
         rank = self.pieces.rank
         return [rank[c] if c in rank else -1 - ord(c) for c in chunk]
 
-    def _short(self, chunk: str, skips: tuple[int, ...]) -> tuple[int, list[int]]:
-        """The agenda as a list with a place for each pair of neighbours: how many candidates came up, and the pieces."""
+    def _short(self, chunk: str, skips: Iterable[int]) -> tuple[int, list[int], list[int]]:
+        """The agenda as a list with a place for each pair of neighbours: how many candidates came up, the pieces, and
+        which of the numbers ``skips`` (ascending) were skipped."""
         pair, at, n = self.pieces.pair.get, self._ranks(chunk), 0
+        skips, done = iter(skips), []
+        skip = next(skips, -1)
         agenda = [pair(a << 32 | b, NEVER) for a, b in zip(at, at[1:])]
         while agenda and (first := min(agenda)) != NEVER:
             i = agenda.index(first)
-            n += 1
-            if n - 1 in skips:
+            if n == skip:
                 agenda[i] = NEVER
+                done.append(skip)
+                skip = next(skips, -1)
+                n += 1
                 continue
+            n += 1
             del agenda[i], at[i]
             at[i] = first
             if i < len(agenda):
                 agenda[i] = pair(first << 32 | at[i + 1], NEVER)
             if i:
                 agenda[i - 1] = pair(at[i - 1] << 32 | first, NEVER)
-        return n, at
+        return n, at, done
 
     def _long(self, chunk: str, skipped: Callable[[], bool]) -> list[int]:
         """The same order of candidates from a heap."""
@@ -215,24 +232,26 @@ class Segmenter:
         if self.n_made > KEPT_CHUNKS:
             self.known, self.n_made = {}, 0
         known, out = self.known, []
-        gaps, seconds, thirds = (x.tolist() for x in self._gaps(start, len(chunks), 3))
+        firsts, *more = (x.tolist() for x in self._gaps(start, len(chunks), DRAWS))
         for i, c in enumerate(chunks):
-            gap = gaps[i]
-            if (made := known.get(c)) is None:
+            skip = first = firsts[i]
+            if (node := known.get(c)) is None:
                 if len(c) > KEPT_CHARS:
-                    out.append(self.segment(c, self._in_turn(gap, _mixed((start + i) & MASK)).__next__ if self.below else bool))
+                    out.append(self.segment(c, self._in_turn(first, _mixed((start + i) & MASK)).__next__ if self.below else bool))
                     continue
-                made = known[c] = self._made(c, ())
-            if gap < made[0]:
-                # Two draws more are at hand; what needs others starts again.
-                made = made[2].get(gap) or self._then(made, c, (gap,))
-                second = gap + 1 + seconds[i]
-                if second < made[0]:
-                    made = self._then(made, c, (gap, second))
-                    if second + 1 + thirds[i] < made[0]:
-                        out.append(self._again(c, gap, _mixed((start + i) & MASK)))
-                        continue
-            out.append(made[1])
+                node = known[c] = [-1, b"", {}]
+            level = 0
+            while skip < node[0]:  # it comes up; nodes that no draw has ended at have -1
+                if level == DRAWS - 1 or (after := node[2].get(skip)) is None:
+                    node = None
+                    break
+                node = after
+                skip += 1 + more[level][i]
+                level += 1
+            if node is None or node[0] < 0:
+                out.append(self._drawn(c, first, [x[i] for x in more], (start + i) & MASK))
+            else:
+                out.append(node[1])
         return b"".join(out), len(chunks)
 
     def encode(self, text: str, turn: int = 0) -> bytes:
