@@ -20,18 +20,22 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts the row with the largest id stays; null texts are empty."""
     return exact_dedup.winners_only(docs)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of near duplicates the row with the least id stays."""
     return near_dedup.one_of_each(docs)
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All rows stay, their secrets masked."""
     return secrets.redact(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents, with their place in sequences of 4,096 tokens."""
     made = packing.pieces(docs, llm.vocabulary("word_bpe_49k.json"), 1)
     return packing.pack(written(llm.with_crc(made), "pieces"))
 
