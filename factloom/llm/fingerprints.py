@@ -127,15 +127,17 @@ def edited_report(docs: DataFrame) -> DataFrame:
     """
     nexts, null_id = with_next(docs)
     # The one exchange of texts: what follows groups and joins by the same key, on the same columns.
-    texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(null_id)).alias("__k"), text_of().alias("text")).repartition("__k")
-    greatest = texts.groupBy("__k").agg(F.max("text").alias("__top"))
+    # Each text's fingerprint is made before it, once for the row itself and for the row whose next it is.
+    texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(null_id)).alias("__k"), text_of().alias("text"))
+    texts = texts.withColumn("__own", fingerprint(F.col("text"))).repartition("__k")
+    greatest = texts.groupBy("__k").agg(F.max(F.struct("text", "__own")).alias("__top"))
     asked = nexts.select(F.col("target").alias("__k"), F.col("__k").alias("__for"), F.floor(F.col("n") / 3).cast("int").alias("__need"))
-    heads = greatest.join(asked, "__k").select("__for", F.expr("left(__top, __need)").alias("__head"), fingerprint(F.col("__top")).alias("__next"))
+    heads = greatest.join(asked, "__k").select("__for", F.expr("left(__top.text, __need)").alias("__head"), F.col("__top.__own").alias("__next"))
     rows = texts.join(heads, F.col("__k") == F.col("__for")).withColumn("n_chars", F.length("text").cast("long"))
     third = F.least(F.floor(F.col("n_chars") / 3), F.length("__head")).cast("int")
     cut = F.floor(F.col("n_chars") / 3).cast("int")
     rows = rows.withColumn("__edited", F.concat(F.substring(F.col("text"), F.lit(1), F.col("n_chars").cast("int") - cut), F.substring(F.col("__head"), F.lit(1), third)))
-    rows = rows.select("__k", "n_chars", F.sha2("__edited", 256).alias("edited_sha256"), fingerprint(F.col("text")).alias("__own"), fingerprint(F.col("__edited")).alias("__other"), "__next")
+    rows = rows.select("__k", "n_chars", F.sha2("__edited", 256).alias("edited_sha256"), "__own", fingerprint(F.col("__edited")).alias("__other"), "__next")
     return rows.select(
         F.when(F.col("__k") != null_id, F.col("__k")).alias("doc_id"),
         "n_chars",
