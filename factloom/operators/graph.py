@@ -143,6 +143,45 @@ def compositions(predicates: DataFrame, cap: int = 6) -> DataFrame:
     return rows.orderBy(F.desc("cardinality"), "oa", "ob").limit(cap).select(skip_level(F.col("first"), F.col("second")).alias("name"), "first", "second", "from", "to", "cardinality")
 
 
+def proposed_relations(candidates: DataFrame, predicates: DataFrame) -> DataFrame:
+    """Candidates (ord, name, from, to, cardinality, path of predicate and direction) for derived relations that hold.
+
+    Those of a wrong shape go first, then all but the first of a name, then those whose path doesn't lead through the
+    types of ``predicates`` (name, from, to) from ``from`` to ``to``.
+    """
+    c = F.col
+    whole = F.forall("path", lambda h: h["predicate"].isNotNull() & F.coalesce(h["direction"].isin("forward", "reverse"), F.lit(False)))
+    shaped = candidates.dropna(subset=["name", "from", "to", "cardinality", "path"]).where(c("cardinality").isin("one", "many") & whole)
+    first = shaped.groupBy("name").agg(F.min_by(F.struct(*shaped.columns), "ord").alias("r")).select("r.*")
+    ends = predicates.select(c("name").alias("predicate"), c("from").alias("a"), c("to").alias("b"))
+    hops = first.select("name", F.posexplode("path").alias("at", "hop")).select("name", "at", c("hop.predicate").alias("predicate"), (c("hop.direction") == "reverse").alias("back"))
+    typed = hops.join(ends, "predicate", "left").select("name", F.struct("at", F.when(c("back"), c("b")).otherwise(c("a")).alias("start"), F.when(c("back"), c("a")).otherwise(c("b")).alias("end")).alias("hop"))
+    ways = typed.groupBy("name").agg(F.sort_array(F.collect_list("hop")).alias("way"))
+    leads = F.concat(F.array("from"), c("way.end")) == F.concat(c("way.start"), F.array("to"))
+    return first.join(ways, "name").where(leads & ~F.exists("way", lambda h: h["start"].isNull())).select(*candidates.columns)
+
+
+def role_plan(predicates: DataFrame, types: DataFrame) -> DataFrame:
+    """What a mapping's tables are for in matching people with projects, told by structure: a row for each mapping.
+
+    ``types`` (mapping, table, type) names the types of ``employees``, ``projects`` and ``skills``; ``predicates`` are
+    (mapping, ord, name, from, to, cardinality, properties, valid_end). The first one from person to skill tells who has
+    skills, the first from project to skill who needs them; those from person to project with properties or an end are
+    assignments (ord, name, cardinality, end), where a predicate of one value has no end. ``error`` tells what lacks.
+    """
+    c = F.col
+    of = lambda name: F.max(F.when(c("table") == name, c("type")))
+    roles = types.groupBy("mapping").agg(of("employees").alias("person"), of("projects").alias("project"), of("skills").alias("skill"))
+    rows = roles.join(predicates, "mapping", "full")
+    between = lambda a, b: (c("from") == c(a)) & (c("to") == c(b))
+    first = lambda a: F.min_by(F.when(between(a, "skill"), c("name")), F.when(between(a, "skill"), c("ord")))
+    assigns = between("person", "project") & ((F.size(F.coalesce("properties", F.array())) > 0) | c("valid_end").isNotNull())
+    assigned = F.struct("ord", "name", "cardinality", F.when(c("cardinality") != "one", c("valid_end")).alias("end"))
+    made = rows.groupBy("mapping", "person", "project", "skill").agg(first("person").alias("has"), first("project").alias("needs"), F.sort_array(F.collect_list(F.when(assigns, assigned))).alias("assigned"))
+    error = F.when(c("skill").isNull(), "skills aren't entities").when(c("person").isNull() | c("project").isNull(), "employees or projects aren't entities")
+    return made.withColumn("error", error.when(c("has").isNull(), "no predicate from person to skill").when(c("needs").isNull(), "no predicate from project to skill"))
+
+
 def closure(edges: DataFrame) -> DataFrame:
     """(id, root): the least id of each connected component of ``edges`` (a, b).
 

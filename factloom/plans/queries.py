@@ -645,4 +645,4 @@ def src_ddl(spark, sf_dir):
     return schemas.catalog(spark, DDL)
 
 
-from . import reviews  # noqa: E402, F401  (adds its queries)
+from . import lanes, reviews  # noqa: E402, F401  (add their queries)

@@ -149,3 +149,26 @@ def claim_facts(claims: DataFrame, times: DataFrame) -> DataFrame:
     named = rows.select("at", F.explode(ends).alias("e")).where("e.id is not null").groupBy("e.id", "e.type", "e.name").agg(F.min("at").alias("at"))
     none = F.lit(None).cast("string")
     return said.unionByName(named.select(F.col("id").alias("subject"), F.concat(F.lower("type"), F.lit("-name")).alias("predicate"), F.col("name").alias("object"), F.col("at").alias("valid_from"), none.alias("passage"), none.alias("confidence"))).distinct()
+
+
+EXTRACTED = "facts array<struct<subject: string, subjectType: string, predicate: string, object: string, objectType: string>>"
+
+
+def extracted_facts(answers: DataFrame, values: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Nodes (id, type, name) and facts of (doc, answer) texts in the simple lane; ``values`` holds predicates whose
+    objects are values (predicate). Facts that lack an end or a predicate go. Names of one type that differ in case
+    or outer blanks are one node, in all documents; it keeps the name of its least document. Each fact carries its document as
+    provenance."""
+    c = F.col
+    rows = answers.select("doc", F.posexplode(F.from_json(F.regexp_extract("answer", r"(?s)(\{.*\})", 1), EXTRACTED)["facts"]).alias("at", "x")).select("doc", "at", "x.*")
+    rows = rows.where("subject <> '' and predicate <> '' and object <> ''").join(values.select("predicate", F.lit(True).alias("is_value")).distinct(), "predicate", "left")
+    node = lambda type_, name: hash48(F.concat_ws("|", type_, F.lower(F.trim(name)))) + BANDS["entity"]
+    type_of = lambda name: F.when(c(name) != "", c(name))
+    rows = rows.withColumn("subject_type", F.coalesce(type_of("subjectType"), F.lit("Person"))).withColumn("object_type", F.when(c("is_value").isNull(), type_of("objectType")))
+    ends = F.array(F.struct(c("subject_type").alias("type"), c("subject").alias("name"), F.lit(0).alias("end")), F.struct(c("object_type").alias("type"), c("object").alias("name"), F.lit(1).alias("end")))
+    named = rows.select("doc", "at", F.explode(ends).alias("e")).select("doc", "at", "e.*").where("type is not null")
+    kept = named.groupBy("type", F.lower(F.trim("name")).alias("key")).agg(F.min_by(F.trim("name"), F.struct("doc", "at", "end")).alias("name"))
+    nodes = kept.select(node(c("type"), c("key")).alias("id"), "type", "name")
+    obj = F.when(c("object_type").isNull(), c("object")).otherwise(node(c("object_type"), c("object")).cast("string"))
+    facts = rows.select(node(c("subject_type"), c("subject")).alias("subject"), "predicate", obj.alias("object"), F.lit(True).alias("derived"), F.concat(F.lit("doc:"), c("doc").cast("string")).alias("source"))
+    return nodes, facts

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -22,3 +22,11 @@ def append_log(items: DataFrame, log_path: str, checkpoint: str, once: bool = Tr
 
     q = items.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return (q.trigger(availableNow=True) if once else q.trigger(processingTime="15 seconds")).start()
+
+
+def reset_log(spark: SparkSession, log_path: str, confirm: bool) -> None:
+    """Wipes a log of micro-batches: an empty table of its columns takes its place. Only ``confirm=True`` does so."""
+    if confirm is not True:
+        raise ValueError("a log is wiped only with confirm=True")
+    columns = spark.read.parquet(log_path).drop("batch").schema
+    spark.createDataFrame([], columns).write.mode("overwrite").parquet(log_path)

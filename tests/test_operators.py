@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from factloom import functions as fn
 from factloom.operators import catalog, facts, graph, patterns, people, review
-from factloom.sources import events, office, schemas
+from factloom.sources import events, listings, office, schemas
 from factloom.streaming import heads
 
 LOG = "seq long, op string, subject long, predicate string, object string, valid_from long, valid_to long, source string"
@@ -258,3 +258,95 @@ def test_grants_of_deleted_accounts_stay(spark):
     made = events.file_facts(files).collect()
     assert sum(r["predicate"] == "can-access" for r in made) == 2 and sum(r["predicate"] == "in-folder" for r in made) == 1
     assert {r["object"] for r in made if r["predicate"] == "name"} == {"F", "(deleted account)", "Bo"} and any(r["predicate"] == "account-deleted" for r in made)
+
+
+def ids(df, column="id"):
+    return sorted(r[column] for r in df.collect())
+
+
+def test_scopes_list_no_trash(spark):
+    files = spark.createDataFrame([("a", ["x", "y"], "d", None), ("b", ["y"], "d", True), ("c", None, None, False), ("e", ["xx"], "d", False)], "id string, parents array<string>, drive string, trashed boolean")
+    assert ids(listings.listed(files, "folder", "x")) == ["a"] and ids(listings.listed(files, "drive", "d")) == ["a", "e"]
+    assert ids(listings.listed(files, "my-drive")) == ["a", "c", "e"] and listings.listed(files.limit(0), "my-drive").count() == 0
+    with pytest.raises(ValueError):
+        listings.listed(files, "label")
+
+
+def test_change_feed_goes_on_from_its_checkpoint(spark, tmp_path):
+    schema = "token long, id string, removed boolean, trashed boolean, parents array<string>"
+    feed, log, at = (str(tmp_path / n) for n in ("feed", "log", "at"))
+    pages = [[(1, "a", None, None, ["f"]), (2, "b", True, None, None), (3, "c", False, True, ["f"])], [(4, "d", False, False, ["g"]), (5, "a", False, False, ["f", "g"])]]
+    for page, seen in zip(pages, ([1], [1, 5])):
+        spark.createDataFrame(page, schema).coalesce(1).write.mode("append").json(feed)
+        stream = spark.readStream.schema(schema).json(feed)
+        heads.append_log(listings.changed(stream, "f"), log, at).awaitTermination(120)
+        assert ids(spark.read.parquet(log), "token") == seen
+    assert ids(listings.changed(spark.read.schema(schema).json(feed)), "token") == [1, 4, 5]
+    with pytest.raises(ValueError):
+        heads.reset_log(spark, log, False)
+    heads.reset_log(spark, log, True)
+    assert spark.read.parquet(log).count() == 0 and "token" in spark.read.parquet(log).columns
+    heads.append_log(spark.readStream.schema(schema).json(feed), log, str(tmp_path / "again")).awaitTermination(120)
+    assert ids(spark.read.parquet(log), "token") == [1, 2, 3, 4, 5]
+
+
+def test_shortcuts_give_way_and_grants_fill_in(spark):
+    kind, schema = listings.SHORTCUT, "id string, mime string, target string, permissions array<string>, name string"
+    known = spark.createDataFrame([("t", "text", None, None, "T"), ("u", kind, "t", ["own"], "U")], schema)
+    files = spark.createDataFrame([("s1", kind, "t", ["shortcut"], "1"), ("s2", kind, "gone", None, "2"), ("s3", kind, None, None, "3"), ("s4", kind, "u", None, "4"), ("f", "text", "t", None, "5"), ("g", "text", None, [], "6"), (None, None, None, None, None)], schema)
+    grants = spark.createDataFrame([(n, ["granted"]) for n in ("t", "s2", "s3", "g")], "id string, permissions array<string>")
+    by = {(r["name"]): (r["id"], r["permissions"]) for r in listings.hydrated(files, known, grants).collect()}
+    assert by == {"T": ("t", ["granted"]), "2": ("s2", None), "3": ("s3", ["granted"]), "U": ("u", ["own"]), "5": ("f", None), "6": ("g", []), None: (None, None)}
+
+
+def test_a_cycle_of_polling_is_bounded(spark):
+    some = spark.createDataFrame([("a", i, 1 + i % 4, "x") for i in range(300)] + [("b", 7, 1, "x"), ("c", 1, 1, "x")], "scope string, id long, type int, cursor_ string")
+    cursors = spark.createDataFrame([("a", 10), ("b", 7), ("d", 3)], "scope string, cursor long")
+    made = listings.polled(some, cursors)
+    assert ids(made) == [i for i in range(11, 300) if i % 4 < 3][:100] and made.columns == some.columns
+    assert {tuple(r) for r in listings.next_cursors(made, cursors).collect()} == {("a", ids(made)[-1]), ("b", 7), ("d", 3)}
+    assert ids(listings.polled(some, listings.next_cursors(made, cursors)))[0] == next(i for i in range(ids(made)[-1] + 1, 300) if i % 4 < 3)
+
+
+def test_root_of_a_drive_has_a_name(spark):
+    made = listings.drive_roots(spark.createDataFrame([("d1", "Sales", 5)], "drive string, name string, at long")).first()
+    want = spark.range(1).select((fn.hash48(F.lit("d1")) + fn.BANDS["folder"]).alias("id")).first()["id"]
+    assert (made["subject"], made["predicate"], made["object"], made["valid_from"]) == (want, "folder-name", "Sales", 5)
+
+
+def test_extracted_names_meet_across_documents(spark):
+    fact = lambda s, p, o, t=None, st=None: {"subject": s, "predicate": p, "object": o, "objectType": t, "subjectType": st}
+    said = [(1, "Here: " + json.dumps({"facts": [fact("Ann Lee", "on", "Apollo", "Project"), fact("Ann Lee", "", "x"), fact("", "on", "x")]})), (2, json.dumps({"facts": [fact(" ANN lee ", "age", "41", "Number"), fact("Apollo", "owner", "Ann Lee", None, "Project")]})), (3, "nothing"), (4, None), (5, "{broken}")]
+    nodes, made = events.extracted_facts(spark.createDataFrame(said, "doc long, answer string"), spark.createDataFrame([("age",)], "predicate string"))
+    named = {(r["type"], r["name"]): r["id"] for r in nodes.collect()}
+    assert set(named) == {("Person", "Ann Lee"), ("Project", "Apollo")}
+    ann, apollo = named["Person", "Ann Lee"], named["Project", "Apollo"]
+    assert {tuple(r) for r in made.collect()} == {(ann, "on", str(apollo), True, "doc:1"), (ann, "age", "41", True, "doc:2"), (apollo, "owner", "Ann Lee", True, "doc:2")}
+
+
+def test_proposed_relations_fit_their_types(spark):
+    declared = spark.createDataFrame([("in", "A", "B"), ("of", "B", "C")], "name string, from string, to string")
+    hop = lambda *names: [(n.strip("~"), "reverse" if n[0] == "~" else "forward") for n in names]
+    rows = [
+        (1, "fits", "A", "C", "many", hop("in", "of")),
+        (2, "back", "C", "A", "one", hop("~of", "~in")),
+        (3, "wrong", "A", "B", "many", hop("in", "of")),
+        (4, "wrong", "A", "C", "many", hop("in", "of")),  # the first of a name decides, though it doesn't fit
+        (5, "empty", "A", "A", "many", []),
+        (6, "unknown", "A", "C", "many", hop("in", "no")),
+        (7, "shape", "A", "C", "few", hop("in", "of")),
+        (8, "way", "A", "C", "one", [("in", "forward"), ("of", None)]),
+        (9, "shape", "A", "C", "one", hop("in", "of")),
+        (10, None, "A", "C", "one", hop("in", "of")),
+        (11, "nopath", "A", "A", "one", None),
+    ]
+    some = spark.createDataFrame(rows, "ord int, name string, from string, to string, cardinality string, path array<struct<predicate: string, direction: string>>")
+    assert ids(graph.proposed_relations(some, declared), "ord") == [1, 2, 9]
+    assert graph.proposed_relations(some.limit(0), declared).count() == 0
+
+
+def test_roles_of_a_mapping_without_predicates_or_types(spark):
+    types = spark.createDataFrame([(1, t, t[0]) for t in ("employees", "projects", "skills")], "mapping int, table string, type string")
+    predicates = spark.createDataFrame([(2, 1, "p", "e", "s", "one", None, None)], "mapping int, ord int, name string, from string, to string, cardinality string, properties array<string>, valid_end string")
+    by = {r["mapping"]: (r["has"], r["assigned"], r["error"]) for r in graph.role_plan(predicates, types).collect()}
+    assert by == {1: (None, [], "no predicate from person to skill"), 2: (None, [], "skills aren't entities")}
