@@ -69,6 +69,20 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def stored(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """``written``, and the path to ``forget`` when what follows is written."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def forget(spark: SparkSession, *paths: str) -> None:
+    """Removes tables of ``stored`` that nothing reads any more."""
+    for path in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def salted_lookup(rows: DataFrame, lookup: DataFrame, key: str, counts: DataFrame, total: int, spread: list[str], how: str = "inner") -> DataFrame:
     """``rows`` joined with ``lookup`` (one row a key), with hot keys dealt to several tasks.
 

@@ -9,7 +9,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, fingerprints, licenses, merge_dropout, near_dedup, packing, secrets, token_files, toxicity, warc
+from . import exact_dedup, fingerprints, licenses, merge_dropout, near_dedup, ngram_join, packing, secrets, token_files, toxicity, vector_codes, warc, whitening
 from .common import table, written
 
 TOXIC_FROM = 0.5
@@ -92,6 +92,18 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edited_report(table(spark, sf_dir, "documents"))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compress(table(spark, sf_dir, "embeddings"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op13_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join(table(spark, sf_dir, "documents"))
+
+
 OP2_SQL = """
 WITH t AS (SELECT doc_id, sha256(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS text_sha256 FROM documents)
 SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc_id = max(doc_id) OVER g AS kept, text_sha256
@@ -100,7 +112,7 @@ FROM t WINDOW g AS (PARTITION BY text_sha256)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_token_files, op2_exact_dedup, op3_packing, op4_secrets, op5_warc_revisits, op6_merge_dropout, op7_toxicity, op8_licenses, op9_near_dedup, op10_fingerprints]
+    own = [op1_token_files, op2_exact_dedup, op3_packing, op4_secrets, op5_warc_revisits, op6_merge_dropout, op7_toxicity, op8_licenses, op9_near_dedup, op10_fingerprints, op11_vector_codes, op12_whitening, op13_ngram_join]
     return {f.__name__: f for f in own}
 
 
