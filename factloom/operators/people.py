@@ -132,15 +132,6 @@ def document_projects(grants: DataFrame, activity: DataFrame, roots: DataFrame,
     return counts.select("doc", "project", "support", "resolved", F.when(F.col("support") == F.col("resolved"), "high").otherwise("ambiguous").alias("tier"))
 
 
-def conformance(subjects: DataFrame) -> DataFrame:
-    """The verdict of each subject (id, in_scope, required, actual, held_before, absent): out of scope or without a
-    requirement it is not applicable; a missing actual is absent if the rule says so; another is stale or wrong."""
-    c = F.col
-    verdict = F.when(~c("in_scope") | c("required").isNull(), "NOT_APPLICABLE").when(c("actual").isNull(), F.when(c("absent"), "ABSENT").otherwise("NOT_APPLICABLE")).when(c("actual") == c("required"), "OK").otherwise("MISMATCH")
-    why = F.when(verdict == "MISMATCH", F.when(F.coalesce("held_before", F.lit(False)), "stale").otherwise("wrong"))
-    return subjects.select("id", verdict.alias("verdict"), why.alias("why"))
-
-
 def overshared(tiers: DataFrame, floors: DataFrame) -> DataFrame:
     """(id, observed, required) of documents whose observed tier lies under the floor they require."""
     return tiers.join(floors, "id").where("observed < required").select("id", "observed", "required")

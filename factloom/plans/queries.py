@@ -385,22 +385,6 @@ def month_points(events_: DataFrame) -> DataFrame:
     return spans.select("group", F.explode(patterns.month_starts(F.col("a"), F.col("b"))).alias("at"))
 
 
-STABLE = f"""WITH {PATTERN_EVENTS}, {MONTHS}, v AS (SELECT m.grp, m.atx, ev.id, ev.t FROM months m JOIN ev ON ev.grp = m.grp AND ev.atx <= m.atx AND ev.atx > m.atx - 5184000),
-best AS (SELECT grp, t AS b FROM ev GROUP BY grp, t QUALIFY row_number() OVER (PARTITION BY grp ORDER BY count(*) DESC, t) = 1),
-c AS (SELECT v.grp, v.atx, count(*) AS population, count(*) FILTER (t = b) AS covered FROM v JOIN best USING (grp) GROUP BY ALL),
-top AS (SELECT grp, atx, t FROM v GROUP BY grp, atx, t QUALIFY row_number() OVER (PARTITION BY grp, atx ORDER BY count(*) DESC, t) = 1)
-SELECT grp AS "group", atx AS "at", population, covered, covered / population >= 0.2 AS held, CASE WHEN covered / population < 0.2 THEN t END AS top FROM c JOIN top USING (grp, atx)"""
-
-
-@query(STABLE)
-def an_stability(spark, sf_dir):
-    """Orders hold for sixty days; which months does the commonest priority of a nation hold?"""
-    some = pattern_events(spark, sf_dir)
-    rows = month_points(some).join(some.withColumnRenamed("at", "began"), "group").where("began <= at and began > at - 5184000")
-    chosen = patterns._best(some).select("group", F.array("t").alias("chosen"))
-    return patterns.stability(rows.select("group", "at", "id", "targets"), chosen, 0.2)
-
-
 # People
 
 PEOPLE = "people AS (SELECT p_partkey AS id, p_name AS name, CASE WHEN p_partkey % 9 = 0 THEN ' ' || upper(p_name) || (p_partkey % 4) || '@x ' END AS email, CASE WHEN p_size % 2 = 0 THEN 'hr' ELSE 'drive' END AS band FROM part)"
@@ -465,16 +449,6 @@ def ag_ctx(spark, sf_dir):
     return people.approver_context(table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("person"), kind.alias("kind")))
 
 
-@query("SELECT o_orderkey AS id, CASE WHEN o_orderstatus = 'P' THEN 'NOT_APPLICABLE' WHEN c_nationkey % 5 = 0 THEN CASE WHEN o_orderkey % 2 = 0 THEN 'ABSENT' ELSE 'NOT_APPLICABLE' END WHEN n_regionkey = c_nationkey % 5 THEN 'OK' ELSE 'MISMATCH' END AS verdict, CASE WHEN o_orderstatus <> 'P' AND c_nationkey % 5 <> 0 AND n_regionkey <> c_nationkey % 5 THEN CASE WHEN o_orderkey % 3 = 0 THEN 'stale' ELSE 'wrong' END END AS why FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey")
-def cf_rule(spark, sf_dir):
-    """The required value is reached over order, customer and nation; the actual one is the nation's key modulo 5."""
-    c = F.col
-    o, cu, n = (table(spark, sf_dir, t) for t in ("orders", "customer", "nation"))
-    rows = o.join(cu, c("o_custkey") == c("c_custkey")).join(n, c("c_nationkey") == c("n_nationkey"))
-    actual = F.when(c("c_nationkey") % 5 != 0, c("c_nationkey") % 5)
-    return people.conformance(rows.select(c("o_orderkey").alias("id"), (c("o_orderstatus") != "P").alias("in_scope"), c("n_regionkey").alias("required"), actual.alias("actual"), (c("o_orderkey") % 3 == 0).alias("held_before"), (c("o_orderkey") % 2 == 0).alias("absent")))
-
-
 @query(f"WITH {TIERS} SELECT id, label AS observed, (id % 4)::INTEGER AS required FROM tiers WHERE label < id % 4")
 def cf_access(spark, sf_dir):
     some = tiers(spark, sf_dir)
@@ -645,4 +619,4 @@ def src_ddl(spark, sf_dir):
     return schemas.catalog(spark, DDL)
 
 
-from . import lanes, reviews  # noqa: E402, F401  (add their queries)
+from . import lanes, reviews, rules  # noqa: E402, F401  (add their queries)

@@ -244,39 +244,7 @@ def ag_activity(spark, sf_dir):
     return review.project_activity(review.event_groups(activity(spark, sf_dir)))
 
 
-# Conformance: who an issue's creator must be (its project's first lead) and is
-
-VERDICTS = f"""{ACTIVITY}, vd AS (SELECT c.subject AS id, CASE WHEN c.subject % 9 = 4 THEN 'NOT_APPLICABLE' WHEN c.subject % 9 = 5 THEN 'ABSENT' WHEN c.object = need THEN 'OK' ELSE 'MISMATCH' END AS verdict, CASE WHEN c.subject % 9 NOT IN (4, 5) AND c.object <> need THEN CASE WHEN c.subject % 2 = 0 THEN 'stale' ELSE 'wrong' END END AS why, need, c.object AS actual, c.valid_from AS as_of
-FROM (SELECT *, CASE WHEN subject % 9 = 5 THEN NULL ELSE object END AS obj FROM fa) c JOIN (SELECT subject, ({PERSON} + (object::BIGINT - {PROJECT}) * 10)::VARCHAR AS need FROM fa WHERE predicate = 'in-project') p USING (subject) WHERE c.predicate = 'created-by'),
-nm AS (SELECT subject::VARCHAR AS id, object AS name FROM fa WHERE predicate IN ('name', 'project-name')),
-gaps AS (SELECT vd.id, '#' || vd.id AS label, verdict, why AS kind, CASE WHEN verdict = 'ABSENT' THEN 'nothing is there where ' || r.name || ' (#' || need || ') is required' WHEN why = 'stale' THEN a.name || ' (#' || actual || ') held it before, but not as of ' || as_of || '; required is ' || r.name || ' (#' || need || ')' ELSE a.name || ' (#' || actual || ') is not ' || r.name || ' (#' || need || ')' END AS reason,
-CASE WHEN vd.id % 7 = 0 THEN 'accept' END AS decision, CASE WHEN vd.id % 7 = 0 THEN 'r' END AS reviewer FROM vd LEFT JOIN nm r ON r.id = need LEFT JOIN nm a ON a.id = actual WHERE verdict IN ('ABSENT', 'MISMATCH'))"""
-
-
-def verdicts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Verdicts, and the log with the decisions on some of them."""
-    log = activity(spark, sf_dir)
-    made = review.nodes(log, "created-by", "made")
-    rows = made.join(review.nodes(log, "in-project", "project").drop("at"), "id")
-    actual = F.when(F.col("id") % 9 != 5, F.col("made"))
-    rows = rows.select("id", (F.col("id") % 9 != 4).alias("in_scope"), ((F.col("project") - PROJECT) * 10 + PERSON).alias("required"), actual.alias("actual"), (F.col("id") % 2 == 0).alias("held_before"), F.lit(True).alias("absent"), F.col("at").alias("as_of"))
-    told = people.conformance(rows).join(rows.select("id", "required", "actual", "as_of"), "id")
-    decided = review.conformance_facts(rows.where("id % 7 = 0").select("id", F.lit("accept").alias("decision"), F.lit("r").alias("reviewer"), F.lit(None).cast("string").alias("note")))
-    more = decided.select(F.lit(2).cast("long").alias("seq"), F.lit("assert").alias("op"), "subject", "predicate", "object", "valid_from", F.lit(None).cast("long").alias("valid_to"))
-    return told, log.unionByName(more)
-
-
-@query(f"WITH {VERDICTS} SELECT * FROM gaps")
-def cf_review(spark, sf_dir):
-    told, log = verdicts(spark, sf_dir)
-    return review.conformance_gaps(told, review.display_names(log), log)
-
-
-@query(f"WITH {VERDICTS} SELECT (SELECT count(*) FROM vd) AS total, (SELECT count(*) FROM vd WHERE verdict = 'OK') AS ok, (SELECT count(*) FROM vd WHERE verdict = 'NOT_APPLICABLE') AS not_applicable, (SELECT count(*) FROM gaps) AS gaps, (SELECT count(decision) FROM gaps) AS resolved, (SELECT count(*) - count(decision) FROM gaps) AS open")
-def g_conformance(spark, sf_dir):
-    told, log = verdicts(spark, sf_dir)
-    return review.conformance_counts(told, review.conformance_gaps(told, review.display_names(log), log))
-
+# Conformance: its rules are in ``rules``
 
 @query("SELECT doc_id AS subject, unnest(['review-decision', 'reviewed-by']) AS predicate, unnest([CASE WHEN quality = 1 THEN 'accept' ELSE 'reject' END, 'r']) AS object, 'human-review' AS source FROM labels")
 def cf_record(spark, sf_dir):
