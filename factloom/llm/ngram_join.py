@@ -10,8 +10,8 @@ compared whole, as products of matrices of shared shingles. No pair that links i
 
 1. Of each document a sample of its shingles (by hash; all of a short one) is held against 64 pivots. Those that no other
    text within the window of any region can reach link with nothing and are done.
-2. The rest take pivot documents: by each of KEYS orders of hashes, those with the same least shingle gather around the
-   least digest. Exact distances to it give links, and links cells: what is linked already needn't meet again, so that a
+2. The rest take pivot documents: by each of KEYS orders of hashes, those with the same least shingle gather around one of
+   them, drawn by lot. Exact distances to it give links, and links cells: what is linked already needn't meet again, so that a
    group of near copies costs a row for each copy, not for each pair.
 3. Regions are made of cells, level by level, until they have LEAF documents or don't shrink; what is in no window of
    another cell leaves. Leaves that stay large are dealt in blocks, each two of which meet once.
@@ -43,8 +43,8 @@ from .embeddings import unpacked
 
 SHINGLE, PERCENT = 3, 90
 REGIONS, LEVELS, LEAF, BLOCK, BLOCK_HASHES = 64, 4, 256, 512, 1_000_000
-KEYS, FEWEST = 8, 96
-COARSE, FINE = 0.22, 0.5  # shares of a long text's shingles that are held against pivots
+KEYS, FEWEST = 16, 96
+COARSE, FINE = 0.22, 1.0  # shares of a long text's shingles that are held against pivots, first and within regions
 SLOT, BUFFER, COMMON = 2_000_000, 1_500_000, 96
 KNOWN_WORDS = 300_000
 M1, M2, M3 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
@@ -381,7 +381,8 @@ def pivot_links(sets_: DataFrame) -> DataFrame:
 
     spark, c = sets_.sparkSession, F.col
     buckets = sets_.select("digest", "n", F.explode("keys").alias("key"))
-    pivots = buckets.groupBy("key").agg(F.min(F.struct("digest", "n")).alias("p"), F.count(F.lit(1)).alias("members")).where("members > 1")
+    lot = F.xxhash64("digest", "key")  # another pivot for each key, also where the same texts meet
+    pivots = buckets.groupBy("key").agg(F.min_by(F.struct("digest", "n"), F.struct(lot, "digest")).alias("p"), F.count(F.lit(1)).alias("members")).where("members > 1")
     pivots, first = stored(pivots.select("key", c("p.digest").alias("a"), c("p.n").alias("an"), "members"), "pivots")
     total = pivots.agg(F.sum("members")).first()[0] or 0
     met = salted_lookup(buckets, pivots.drop("members"), "key", pivots.select("key", c("members").alias("n")), total, ["digest"])
