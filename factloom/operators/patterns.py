@@ -1,4 +1,4 @@
-"""Regularities in groups of events (group, id, targets array<long>, at): mining, ubiquity, monthly stability.
+"""Regularities in groups of events (group, id, targets array<long>, at): mining, ubiquity, months of a window.
 
 Events are in the order of their ids. All counts are over all events, without a budget.
 """
@@ -69,16 +69,3 @@ def month_starts(start, end, cap: int = MONTHS):
     inside = F.filter(every, lambda m: (m >= start) & (m <= end))
     inside = F.when((start <= 0) | (end < start), F.slice(inside, 1, 0)).otherwise(inside)
     return F.slice(inside, F.greatest(F.size(inside) - cap + 1, F.lit(1)), F.lit(cap))
-
-
-def stability(values: DataFrame, chosen: DataFrame, coverage: float = COVERAGE) -> DataFrame:
-    """Of (group, at, id, targets), targets in effect at month ``at``, and (group, chosen array): a row a group and month.
-
-    Events without targets shrink the denominator. ``top`` names the most frequent target of months that don't hold.
-    """
-    present = values.where(F.size("targets") > 0).join(chosen, "group")
-    months = present.groupBy("group", "at").agg(F.count(F.lit(1)).alias("population"), F.count_if(F.arrays_overlap("targets", "chosen")).alias("covered"))
-    months = months.withColumn("held", F.col("covered") / F.col("population") >= coverage)
-    counts = present.select("group", "at", F.explode(F.array_distinct("targets")).alias("t")).groupBy("group", "at", "t").agg(F.count(F.lit(1)).alias("n"))
-    top = counts.groupBy("group", "at").agg(F.max(F.struct("n", -F.col("t"))).alias("m")).select("group", "at", (-F.col("m.col2")).alias("top"))
-    return months.join(top, ["group", "at"]).select("group", "at", "population", "covered", "held", F.when(~F.col("held"), F.col("top")).alias("top"))

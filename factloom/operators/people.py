@@ -146,19 +146,3 @@ def fit_ranking(required: DataFrame, levels: DataFrame, allocations: DataFrame)
     busy = allocations.groupBy("candidate").agg(F.sum("allocation").cast("long").alias("busyness"))
     out = met.join(busy, "candidate", "left").withColumn("busyness", F.coalesce("busyness", F.lit(0)))
     return out.select("subject", "candidate", "overlap", "strength", "busyness", (F.col("strength") - F.col("busyness") / 10).alias("score"))
-
-
-def access_label(files: DataFrame) -> DataFrame:
-    """(id, label): 3 if the grants are unknown or only the owner and one other have any; 2 for groups or several;
-    1 for a domain or anyone. Deleted grants don't count."""
-    grants = F.filter("permissions", lambda p: ~F.coalesce(p["deleted"], F.lit(False)))
-    kinds = F.transform(grants, lambda p: p["type"])
-    named = F.transform(F.filter(grants, lambda p: p["role"] != "owner"), lambda p: F.coalesce(p["id"], p["emailAddress"]))
-    others = F.array_distinct(F.array_compact(named))
-    label = F.when(F.col("permissions").isNull(), 3).when(F.array_contains(kinds, "domain") | F.array_contains(kinds, "anyone"), 1).when(F.array_contains(kinds, "group") | (F.size(others) > 1), 2).otherwise(3)
-    return files.select("id", label.alias("label"))
-
-
-def revoked(stored: DataFrame, fresh: DataFrame, known: DataFrame) -> DataFrame:
-    """Grants (doc, person) that are stored but no longer listed, of documents whose grants are really known."""
-    return stored.join(known, "doc", "left_semi").join(fresh, ["doc", "person"], "left_anti")

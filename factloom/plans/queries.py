@@ -289,9 +289,14 @@ def src_folderid(spark, sf_dir):
     return table(spark, sf_dir, "documents").select(link_.alias("link")).distinct().select("link", schemas.folder_id(F.col("link")).alias("folder"))
 
 
-@query("SELECT source AS mime, count(*) AS n FROM documents WHERE source NOT IN ('src0', 'src1') GROUP BY source")
+@query("SELECT doc_id AS id, CASE WHEN source IN ('src0', 'src1') THEN coalesce(lang, doc_id::VARCHAR) END AS name, CASE WHEN source IN ('src0', 'src1') THEN coalesce(lang, doc_id::VARCHAR) LIKE '%de%' END AS draft, CASE WHEN source IN ('src0', 'src1') THEN NULL ELSE coalesce(source, 'unknown') END AS skipped, CASE WHEN source IN ('src0', 'src1') THEN NULL ELSE count(*) OVER (PARTITION BY coalesce(source, 'unknown')) END AS n FROM documents")
 def cl_classify(spark, sf_dir):
-    return table(spark, sf_dir, "documents").where(~F.col("source").isin("src0", "src1")).groupBy(F.col("source").alias("mime")).agg(F.count(F.lit(1)).alias("n"))
+    """Documents of two sources can be read, those in German count as drafts; of the others it says how many of a kind there are."""
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("lang").alias("name"), F.col("source").alias("mime"))
+    readable, skipped = sources.classified(d, ("src0", "src1"), "(?i)de")
+    none = lambda kind: F.lit(None).cast(kind)
+    rest = d.withColumn("skipped", F.coalesce("mime", F.lit("unknown"))).join(skipped.withColumnRenamed("mime", "skipped"), "skipped")
+    return readable.select("id", "name", "draft", none("string").alias("skipped"), none("long").alias("n")).unionByName(rest.select("id", none("string").alias("name"), none("boolean").alias("draft"), "skipped", "n"))
 
 
 @query("SELECT doc_id AS doc, sha256(text) AS digest FROM documents")
@@ -619,4 +624,4 @@ def src_ddl(spark, sf_dir):
     return schemas.catalog(spark, DDL)
 
 
-from . import lanes, reviews, rules  # noqa: E402, F401  (add their queries)
+from . import ingest, lanes, reviews, rules  # noqa: E402, F401  (add their queries)

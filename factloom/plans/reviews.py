@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .. import functions as fn
-from ..operators import catalog, facts, graph, people, review
+from ..operators import catalog, facts, graph, review
 from ..sources import events as sources
 from .queries import HASH_SQL, query, seconds, table
 
@@ -112,11 +111,8 @@ cands AS (SELECT *, 'p' || lower(to_hex({HASH_SQL.format("(template || '|' || gr
 @query(f"WITH {CANDIDATES} SELECT pattern_id, template, grp AS \"group\", predicate, first, second, support, total, exceptions, omitted, window_from, window_to FROM cands WHERE grp % 11 <> 5")
 def an_cands(spark, sf_dir):
     """Candidates, best covered first; of some groups they were dismissed."""
-    events = review.event_groups(activity(spark, sf_dir))
-    name = lambda template: fn.hex_id("p", F.concat_ws("|", F.lit(template), F.col("group").cast("string"), F.lit(review.TEMPLATES[template])))
-    groups = events.select("group").union(review.elements(activity(spark, sf_dir), "can-access", "target").select("target")).where(F.col("group") % 11 == 5).distinct()
-    gone = graph.union_all([groups.select(name(t).alias("pattern_id")) for t in review.TEMPLATES])
-    open_ = review.pattern_candidates(events, gone)
+    found = graph.checkpointed(review.pattern_candidates(review.event_groups(graph.checkpointed(activity(spark, sf_dir)))))
+    open_ = found.join(found.where(F.col("group") % 11 == 5).select("pattern_id"), "pattern_id", "left_anti")
     return open_.orderBy(*review.pattern_order()).select("pattern_id", "template", "group", "predicate", "first", "second", "support", "total", "exceptions", "omitted", "window_from", "window_to")
 
 
@@ -259,15 +255,13 @@ def cf_names(spark, sf_dir):
 
 # Derived relations as of an instant, and retracts
 
-@query(f"WITH {ACTIVITY} SELECT a.subject AS start, l.object::BIGINT AS \"end\" FROM fa a JOIN fa l ON l.subject = a.object::BIGINT AND l.predicate = 'same-as' WHERE a.predicate = 'assigned-to' AND a.valid_from <= 900000000")
+@query(f"WITH {ACTIVITY} SELECT a.subject AS start, l.object::BIGINT AS \"end\" FROM (SELECT * FROM fa WHERE predicate = 'assigned-to' UNION ALL SELECT {ISSUE} + k, 'assigned-to', ({PERSON} + n * 10 + CASE WHEN k % 12 = 0 THEN 1 ELSE 0 END)::VARCHAR, tm FROM o WHERE k % 50 = 7 AND tm + 86400 > 900000000) a JOIN fa l ON l.subject = a.object::BIGINT AND l.predicate = 'same-as' WHERE a.valid_from <= 900000000")
 def dr_asof(spark, sf_dir):
-    """The accounts of assignees at an instant, over a predicate of one value and one of many."""
+    """The accounts of assignees at an instant, over a predicate of one value and one of many; what is cleared later counts."""
     log = activity(spark, sf_dir)
     edges = graph.edges_as_of(log, [graph.Predicate("assigned-to", "", "Issue", "Person"), graph.Predicate("same-as", "", "Person", "Person", "many")], 900_000_000)
-    cleared = log.where("op = 'close' and valid_from > 900000000").select(F.col("subject").alias("start"))
     starts = log.where("predicate = 'in-project'").select(F.col("subject").alias("id"))
-    made = graph.evaluate(edges, [graph.Hop("assigned-to"), graph.Hop("same-as")], starts)
-    return made.join(cleared, "start", "left_anti")  # the SQL has no cleared assignees at all
+    return graph.evaluate(edges, [graph.Hop("assigned-to"), graph.Hop("same-as")], starts)
 
 
 @query("""WITH w AS (SELECT event_id AS seq, user_id AS subject, event_type AS predicate, floor(value)::BIGINT AS object, CASE WHEN event_id % 4 = 3 THEN 'retract' ELSE 'assert' END AS op FROM events),
@@ -295,30 +289,6 @@ def cl_names(spark, sf_dir):
     return sources.entity_names(claims(spark, sf_dir))
 
 
-ENTITY = HASH_SQL.format("(doc || '|' || {0} || '|' || {1})") + " + 2251799813685248"
-
-
-@query(f"""WITH {CLAIMS}, e AS (SELECT *, {ENTITY.format('subject_type', 'subject')} AS s, CASE WHEN object_type IS NOT NULL THEN {ENTITY.format('object_type', 'object')} END AS o FROM cl)
-SELECT s AS subject, predicate, coalesce(o::VARCHAR, object) AS object, doc + 5 AS valid_from, confidence FROM e, (SELECT 'implied' AS confidence) UNION ALL SELECT s, 'source-name', subject, doc + 5, NULL FROM e UNION ALL SELECT o, 'language-name', object, doc + 5, NULL FROM e WHERE o IS NOT NULL""")
-def cl_batch(spark, sf_dir):
-    times = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), (F.col("doc_id") + 5).alias("at"))
-    return sources.claim_facts(claims(spark, sf_dir), times).drop("passage")
-
-
-@query(f"WITH {CLAIMS} SELECT doc, 2 AS floor FROM cl WHERE doc % 2 = 0")
-def cl_floor(spark, sf_dir):
-    """Claims of even documents are of a predicate with two floors, the rest of one without."""
-    some = claims(spark, sf_dir).withColumn("predicate", F.when(F.col("doc") % 2 == 0, "secret").otherwise("open"))
-    return sources.required_floors(some, spark.createDataFrame([("secret", 1), ("secret", 2), ("open", 0)], "predicate string, floor int"))
-
-
-@query(f"WITH {CLAIMS}, k AS (SELECT 'f' || doc % 10 AS family, unnest([subject_type || '|' || subject, object_type || '|' || object]) AS entity FROM cl) SELECT DISTINCT {HASH_SQL.format('family')} + 2533274790395904 AS family, entity FROM k WHERE entity IS NOT NULL AND entity <> 'Language|en'")
-def cl_family(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), F.concat(F.lit("f"), F.col("doc_id") % 10).alias("family"))
-    known = docs.select((fn.hash48(F.col("family")) + fn.BANDS["family"]).alias("family"), F.lit("Language|en").alias("entity")).distinct()
-    return sources.family_keys(claims(spark, sf_dir), docs, known)
-
-
 MIMES = "f AS (SELECT doc_id AS id, CASE doc_id % 4 WHEN 0 THEN 'application/pdf' WHEN 1 THEN 'image/png' WHEN 2 THEN 'application/vnd.google-apps.document' END AS mime, CASE WHEN doc_id % 5 <> 0 THEN CASE WHEN doc_id % 3 = 0 THEN 'Old plan_v2' ELSE 'plan' END END AS name FROM documents)"
 
 

@@ -1,94 +1,11 @@
-"""Issue activity, file metadata and claims as items of the fact log.
-
-An item is (op, subject, predicate, object, valid_from, source). Each mapping is one pass over its input: an array of
-items for each event, exploded; lookups are joins.
-"""
+"""What files can be read, what is known of their entities, and the simple lane of extraction."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import BANDS, epoch_or_zero, hash48
-from ..operators.people import DELETED
-
-PERSON = "struct<id: long, name: string, mailAddress: string>"
-PAYLOAD = f"type int, project struct<id: long, projectKey: string, name: string>, content struct<id: long, key_id: long, summary: string, status: struct<id: long, name: string>, assignee: {PERSON}, comment: struct<id: long, content: string>, changes: array<struct<field: string, old_value: string, new_value: string>>>, createdUser {PERSON}, created string"
-
-
-def events(raw: DataFrame, column: str = "value") -> DataFrame:
-    """Payloads that have a numeric type, a content and a project."""
-    return raw.select(F.from_json(column, PAYLOAD).alias("e")).select("e.*").where("type is not null and content is not null and project is not null")
-
-
-def _item(op: str, subject: Column, predicate: str, obj: Column) -> Column:
-    return F.struct(F.lit(op).alias("op"), subject.alias("subject"), F.lit(predicate).alias("predicate"), obj.cast("string").alias("object"))
-
-
-def issue_facts(some: DataFrame, statuses: DataFrame, users: DataFrame) -> DataFrame:
-    """Facts of created (1), updated (2) and commented (3) issues; changes fill in what the snapshot lacks.
-
-    ``statuses`` (id, name) and ``users`` (name, id) resolve changed values; an unknown assignee is dropped, an unknown
-    status is kept as it is. A field that is cleared closes its value. The author is written on creation only.
-    """
-    b, c = BANDS, F.col
-    e = some.where("type in (1, 2, 3)").withColumn("at", epoch_or_zero(c("created")))
-    issue, author = c("content.id") + b["issue"], c("createdUser.id") + b["issue_person"]
-    assignee, project, comment = c("content.assignee.id") + b["issue_person"], c("project.id") + b["issue_project"], c("content.comment.id") + b["issue_comment"]
-    person = [_item("assert", p, k, v) for p, x in ((author, "createdUser"), (assignee, "content.assignee")) for k, v in (("name", c(f"{x}.name")), ("email", c(f"{x}.mailAddress")))]
-    snapshot = [_item("assert", project, "project-name", c("project.name")), _item("assert", issue, "in-project", project), _item("assert", issue, "summary", c("content.summary")), _item("assert", issue, "status", c("content.status.name")), _item("assert", issue, "assigned-to", assignee), _item("assert", F.when(c("type") == 1, issue), "created-by", author)]
-    talk = [_item("assert", comment, "comment-on", issue), _item("assert", comment, "comment-text", c("content.comment.content")), _item("assert", comment, "comment-author", author)]
-    direct = e.select("at", F.explode(F.array(*person, *snapshot, *talk)).alias("i")).select("i.*", "at").where("subject is not null and object is not null")
-
-    ch = e.where("type = 2").select("at", issue.alias("issue"), "content.status", "content.assignee", "content.summary", F.explode("content.changes").alias("x"))
-    cleared = ch.where("coalesce(x.old_value, '') != '' and coalesce(x.new_value, '') = ''")
-    named = F.when(c("x.field") == "status", "status").when(c("x.field") == "assigner", "assigned-to").when(c("x.field") == "summary", "summary")
-    closes = cleared.select(F.lit("close").alias("op"), c("issue").alias("subject"), named.alias("predicate"), F.lit(None).cast("string").alias("object"), "at").where("predicate is not null")
-    new = ch.where("coalesce(x.new_value, '') != ''")
-    s, u = statuses.select(c("id").cast("string").alias("sid"), c("name").alias("sname")), users.select(c("name").alias("uname"), c("id").alias("uid"))
-    new = new.join(s, c("x.new_value") == c("sid"), "left").join(u, c("x.new_value") == c("uname"), "left")
-    lacking = F.when((c("x.field") == "status") & c("status").isNull(), F.coalesce("sname", "x.new_value")).when((c("x.field") == "assigner") & c("assignee").isNull(), (c("uid") + b["issue_person"]).cast("string")).when((c("x.field") == "summary") & c("summary").isNull(), c("x.new_value"))
-    diffs = new.select(F.lit("assert").alias("op"), c("issue").alias("subject"), named.alias("predicate"), lacking.alias("object"), "at").where("predicate is not null and object is not null")
-    return direct.unionByName(closes).unionByName(diffs).withColumnRenamed("at", "valid_from").distinct()
-
-
-def file_facts(files: DataFrame) -> DataFrame:
-    """Facts of files (id, name, createdTime, modifiedTime, parents, permissions): one grant for each user, that of a
-    deleted account too, which is named so and marked; the first parent is the folder."""
-    b, c = BANDS, F.col
-    doc = hash48(c("id")) + b["document"]
-    f = files.select(doc.alias("doc"), "name", epoch_or_zero(F.coalesce("modifiedTime", "createdTime")).alias("at"), "parents", "permissions")
-    own = f.select(F.lit("assert").alias("op"), c("doc").alias("subject"), F.lit("name").alias("predicate"), c("name").alias("object"), c("at").alias("valid_from"))
-    parents = f.select("doc", "at", F.get("parents", F.lit(0)).alias("p")).where("p is not null").select(F.lit("assert").alias("op"), c("doc").alias("subject"), F.lit("in-folder").alias("predicate"), (hash48(c("p")) + b["folder"]).cast("string").alias("object"), c("at").alias("valid_from"))
-    grants = f.select("doc", "at", F.explode("permissions").alias("p")).where("p.type = 'user'")
-    grants = grants.withColumn("person", hash48(F.coalesce("p.id", "p.emailAddress")) + b["file_person"])
-    access = grants.select(F.lit("assert").alias("op"), c("doc").alias("subject"), F.lit("can-access").alias("predicate"), c("person").cast("string").alias("object"), c("at").alias("valid_from"))
-    people = grants.select(c("person").alias("subject"), F.explode(F.create_map(F.lit("name"), F.when(c("p.deleted"), DELETED).otherwise(c("p.displayName")), F.lit("email"), c("p.emailAddress"), F.lit("account-deleted"), F.when(c("p.deleted"), "true"))).alias("predicate", "object")).where("object is not null")
-    people = people.select(F.lit("assert").alias("op"), "subject", "predicate", "object", F.lit(0).cast("long").alias("valid_from"))
-    return own.unionByName(parents).unionByName(access).unionByName(people).distinct()
-
-
-CLAIMS = "claims array<struct<subject: string, subjectType: string, predicate: string, object: string, objectType: string, effectiveFrom: string, passage: string, confidence: string>>"
-PASSAGE = 1000
-
-
-def parsed_claims(answers: DataFrame, pattern: DataFrame) -> DataFrame:
-    """Claims of (doc, answer) texts that fit the pattern (name, from, to, kind): defaults, trimmed, bounded passage."""
-    c = F.col
-    rows = answers.select("doc", F.explode(F.from_json(F.regexp_extract("answer", r"(?s)(\{.*\})", 1), CLAIMS)["claims"]).alias("x")).select("doc", "x.*")
-    rows = rows.join(pattern, c("predicate") == c("name"))
-    confidence = F.when(c("confidence") == "explicit", "explicit").otherwise("implied")
-    out = rows.select("doc", F.trim("subject").alias("subject"), F.coalesce("subjectType", "from").alias("subject_type"), "predicate", F.trim("object").alias("object"), F.when(c("kind") == "edge", F.coalesce("objectType", "to")).alias("object_type"), "effectiveFrom", F.left("passage", F.lit(PASSAGE)).alias("passage"), confidence.alias("confidence"))
-    return out.where("subject != '' and object != ''")
-
-
-def entity_labels(claims: DataFrame, tiers: DataFrame, floors: DataFrame) -> DataFrame:
-    """(id, type, name, label): the strictest of a document's tier and its predicates' floors, for each entity."""
-    rows = claims.join(tiers, "doc", "left").join(floors, "predicate", "left").withColumn("l", F.greatest(F.coalesce("tier", F.lit(0)), F.coalesce("floor", F.lit(0))))
-    ends = F.array(F.struct(F.col("subject_type").alias("type"), F.col("subject").alias("name")), F.struct(F.col("object_type").alias("type"), F.col("object").alias("name")))
-    every = rows.select("doc", "l", F.explode(ends).alias("e")).select("doc", "l", "e.*").where("type is not null")
-    made = every.groupBy("doc", "type", "name").agg(F.max("l").alias("label"))
-    return made.select((hash48(F.concat_ws("|", F.col("doc").cast("string"), "type", "name")) + BANDS["entity"]).alias("id"), "type", "name", "label")
+from ..functions import BANDS, hash48
 
 
 def known_entities(anchors: DataFrame) -> DataFrame:
@@ -102,13 +19,13 @@ READABLE = ("application/pdf", "application/vnd.google-apps.document", "applicat
 DRAFT = r"(?i)draft|下書き|案|copy|コピー|old|_v\d+|backup"
 
 
-def classified(files: DataFrame) -> tuple[DataFrame, DataFrame]:
+def classified(files: DataFrame, readable_kinds: tuple[str, ...] = READABLE, drafts: str = DRAFT) -> tuple[DataFrame, DataFrame]:
     """Files (id, name, mime, ...) that can be read, with their name or id and whether it looks like a draft; and (mime, n)
     of the others."""
     kind = F.coalesce("mime", F.lit("unknown"))
     name = F.coalesce("name", F.col("id").cast("string"))
-    readable = files.where(kind.isin(*READABLE)).withColumn("name", name).withColumn("draft", F.col("name").rlike(DRAFT))
-    skipped = files.where(~kind.isin(*READABLE)).groupBy(kind.alias("mime")).agg(F.count(F.lit(1)).alias("n"))
+    readable = files.where(kind.isin(*readable_kinds)).withColumn("name", name).withColumn("draft", F.col("name").rlike(drafts))
+    skipped = files.where(~kind.isin(*readable_kinds)).groupBy(kind.alias("mime")).agg(F.count(F.lit(1)).alias("n"))
     return readable, skipped
 
 
@@ -118,19 +35,6 @@ def entity_names(claims: DataFrame) -> DataFrame:
     return claims.select(F.explode(ends).alias("e")).select("e.*").where("type is not null").distinct()
 
 
-def family_keys(claims: DataFrame, families: DataFrame, known: DataFrame) -> DataFrame:
-    """(family, entity) keys ``Type|name`` of claims in documents (doc, family) that ``known`` (family, entity) lacks."""
-    ends = F.array(F.struct(F.col("subject_type").alias("type"), F.col("subject").alias("name")), F.struct(F.col("object_type").alias("type"), F.col("object").alias("name")))
-    keys = claims.join(families, "doc").select(F.col("family"), F.explode(ends).alias("e")).where("e.type is not null")
-    found = keys.select((hash48("family") + BANDS["family"]).alias("family"), F.concat_ws("|", "e.type", "e.name").alias("entity")).distinct()
-    return found.join(known, ["family", "entity"], "left_anti")
-
-
-def required_floors(claims: DataFrame, floors: DataFrame) -> DataFrame:
-    """(doc, floor): the strictest floor of a document's claimed predicates; documents without any have no row."""
-    return claims.join(floors, "predicate").groupBy("doc").agg(F.max("floor").alias("floor")).where("floor > 0")
-
-
 def shortlist(proposed: DataFrame, files: DataFrame) -> DataFrame:
     """(id, category, selected) of a proposal over files: known ids only, each once; no category is ``other``, and only
     what is plainly selected is."""
@@ -138,19 +42,6 @@ def shortlist(proposed: DataFrame, files: DataFrame) -> DataFrame:
     return rows
 
 
-def claim_facts(claims: DataFrame, times: DataFrame) -> DataFrame:
-    """(subject, predicate, object, valid_from, passage, confidence) of claims in documents (doc, at): entities by id, values
-    as text, from the effective date or else the document's instant; and each entity's name by ``<type>-name``."""
-    entity = lambda type_, name: hash48(F.concat_ws("|", F.col("doc").cast("string"), type_, name)) + BANDS["entity"]
-    rows = claims.join(times, "doc").withColumn("from_", F.coalesce(F.unix_seconds(F.try_to_timestamp("effectiveFrom")), "at"))
-    rows = rows.withColumn("s", entity("subject_type", "subject")).withColumn("o", F.when(F.col("object_type").isNotNull(), entity("object_type", "object")))
-    said = rows.select(F.col("s").alias("subject"), "predicate", F.coalesce(F.col("o").cast("string"), F.col("object")).alias("object"), F.col("from_").alias("valid_from"), "passage", "confidence")
-    ends = F.array(F.struct(F.col("s").alias("id"), F.col("subject_type").alias("type"), F.col("subject").alias("name")), F.struct(F.col("o").alias("id"), F.col("object_type").alias("type"), F.col("object").alias("name")))
-    named = rows.select("at", F.explode(ends).alias("e")).where("e.id is not null").groupBy("e.id", "e.type", "e.name").agg(F.min("at").alias("at"))
-    none = F.lit(None).cast("string")
-    return said.unionByName(named.select(F.col("id").alias("subject"), F.concat(F.lower("type"), F.lit("-name")).alias("predicate"), F.col("name").alias("object"), F.col("at").alias("valid_from"), none.alias("passage"), none.alias("confidence"))).distinct()
-
-
 EXTRACTED = "facts array<struct<subject: string, subjectType: string, predicate: string, object: string, objectType: string>>"
 
 

@@ -82,13 +82,6 @@ def test_months(spark):
     assert got[0] == [1577836800, 1580515200, 1583020800] and got[1] == [] and got[2] == [] and len(got[3]) == 36
 
 
-def test_stability(spark):
-    values = spark.createDataFrame([(1, 10, i, t) for i, t in enumerate([[5], [5], [5], [5], [6], []])] + [(1, 20, 1, [6]), (1, 20, 2, [4])], "group long, at long, id long, targets array<long>")
-    got = {r["at"]: r for r in patterns.stability(values, spark.createDataFrame([(1, [5])], "group long, chosen array<long>")).collect()}
-    assert (got[10]["population"], got[10]["covered"], got[10]["held"], got[10]["top"]) == (5, 4, True, None)
-    assert (got[20]["held"], got[20]["top"]) == (False, 4)
-
-
 def test_identities(spark):
     rows = [(1, "Ann Lee", " A@x.org ", "hr"), (2, "Other", "a@X.org", "drive"), (3, "lee　ann", None, "issues"), (4, "Ann", None, "drive"), (5, "ann", None, "hr"), (6, "(deleted account)", None, "hr"), (7, "(deleted account)", None, "drive"), (8, "Ann Lee", None, None)]
     got = people.identity_pairs(spark.createDataFrame(rows, "id long, name string, email string, band string")).collect()
@@ -125,13 +118,6 @@ def test_inference_tiers(spark):
     assert via[1, 5, 10] is None and via[1, 5, 12] == 20
 
 
-def test_access_labels(spark):
-    p = lambda kind, role="reader", id_="a", deleted=None: (kind, role, id_, None, deleted)
-    rows = [("a", None), ("b", [p("user", "owner")]), ("c", [p("anyone")]), ("d", [p("group")]), ("e", [p("user", id_="x"), p("user", id_="y")]), ("f", [p("anyone", deleted=True)]), ("g", [p("user", id_="x"), p("user", id_=None), p("user", id_=None)])]
-    df = spark.createDataFrame(rows, "id string, permissions array<struct<type: string, role: string, id: string, emailAddress: string, deleted: boolean>>")
-    assert {r["id"]: r["label"] for r in people.access_label(df).collect()} == {"a": 3, "b": 3, "c": 1, "d": 2, "e": 2, "f": 3, "g": 3}
-
-
 def test_paths():
     known = {"p": ("A", "B"), "q": ("C", "B")}
     assert graph.path_errors(known, [graph.Hop("p"), graph.Hop("q", True)], "A", "C") == []
@@ -151,30 +137,6 @@ def test_definitions():
         schemas.scope_of("drive:")
 
 
-def issue(kind, created, **content):
-    return json.dumps({"type": kind, "project": {"id": 9, "projectKey": "K", "name": "Pr"}, "content": {"id": 7, **content}, "createdUser": {"id": 3, "name": "Bo"}, "created": created})
-
-
-def test_issue_facts(spark):
-    raw = spark.createDataFrame([(issue(1, "2026-07-01T09:15:00Z", summary="S", status={"id": 1, "name": "Open"}, assignee={"id": 4, "name": "Al"}),), (issue(2, "2026-07-02T14:30:00Z", changes=[{"field": "status", "old_value": "1", "new_value": "2"}]),), (issue(2, "2026-07-03T10:00:00Z", changes=[{"field": "assigner", "old_value": "Al", "new_value": ""}]),), ("{}",)], "value string")
-    made = events.issue_facts(events.events(raw), spark.createDataFrame([(2, "In Progress")], "id long, name string"), spark.createDataFrame([("Al", 4)], "name string, id long"))
-    some = made.withColumn("seq", F.col("valid_from")).withColumn("valid_to", F.lit(None).cast("long")).withColumn("source", F.lit(None).cast("string"))
-    noon = {r["predicate"]: r["object"] for r in facts.as_of(some, 1782907200).where("subject = 3000000000007").collect()}
-    assert noon["status"] == "Open" and noon["assigned-to"] == "1000000000004" and noon["created-by"] == "1000000000003"
-    head = {r["predicate"]: r["object"] for r in facts.current(facts.guarded_head(some)).where("subject = 3000000000007").collect()}
-    assert head["status"] == "In Progress" and "assigned-to" not in head
-
-
-def test_claims(spark):
-    answer = "Sure:\n" + json.dumps({"claims": [{"subject": " Ann ", "predicate": "leads", "object": "X", "passage": "p" * 2000}, {"subject": "Ann", "predicate": "unknown", "object": "X"}]})
-    form = spark.createDataFrame([("leads", "Person", "Project", "edge")], "name string, `from` string, `to` string, kind string")
-    made = events.parsed_claims(spark.createDataFrame([(1, answer)], "doc long, answer string"), form)
-    (r,) = made.collect()
-    assert (r["subject"], r["subject_type"], r["object_type"], r["confidence"], len(r["passage"])) == ("Ann", "Person", "Project", "implied", 1000)
-    labels = events.entity_labels(made, spark.createDataFrame([(1, 2)], "doc long, tier int"), spark.createDataFrame([("leads", 3)], "predicate string, floor int"))
-    assert {(x["type"], x["label"]) for x in labels.collect()} == {("Person", 3), ("Project", 3)}
-
-
 def zipped(**parts):
     out = io.BytesIO()
     with zipfile.ZipFile(out, "w") as z:
@@ -252,14 +214,6 @@ def test_approval_candidates(spark):
     assert (got[1]["confirmed"], got[1]["rank"], got[3]["rank"], got[4]["rank"], got[3]["approver_name"], got[4]["tier"]) == (True, 2, 0, 5, "Bo", "euphemism")
 
 
-def test_grants_of_deleted_accounts_stay(spark):
-    p = [("user", "reader", "a", "a@x", True, "Ann"), ("user", "reader", "b", "b@x", None, "Bo")]
-    files = spark.createDataFrame([("f", "F", None, None, ["p1", "p2"], p)], "id string, name string, createdTime string, modifiedTime string, parents array<string>, permissions array<struct<type: string, role: string, id: string, emailAddress: string, deleted: boolean, displayName: string>>")
-    made = events.file_facts(files).collect()
-    assert sum(r["predicate"] == "can-access" for r in made) == 2 and sum(r["predicate"] == "in-folder" for r in made) == 1
-    assert {r["object"] for r in made if r["predicate"] == "name"} == {"F", "(deleted account)", "Bo"} and any(r["predicate"] == "account-deleted" for r in made)
-
-
 def ids(df, column="id"):
     return sorted(r[column] for r in df.collect())
 
