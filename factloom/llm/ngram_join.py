@@ -4,17 +4,22 @@ Sets at symmetric difference are a metric space. What of a set x lies outside a
 triangle inequality bounds: |x - P| <= |x - y| + |y - P|. Documents are dealt to pivots, each the union of its own
 documents' shingles, which are at distance 0 of it: the nearest pivot, so a Voronoi region. If x and y link, at most a
 tenth of x lies outside y; so x needn't meet documents of a region whose pivot leaves out more of it. Documents within that
-window are replicated to the region, and each region is joined by itself, with pivots of its own: 64 at each level, so that
-a document's windows are one long. A pair of two regions meets in the one of the lesser number. At the leaves sets are
-compared whole, as products of matrices of shared shingles. No pair that links is lost, whatever the pivots.
+window are replicated to the region, and each region is joined by itself, with pivots of its own. A pair of two regions
+meets in the one of the lesser number. At the leaves sets are compared whole, as products of matrices of shared shingles.
+No pair that links is lost, whatever the pivots.
 
-1. Of each document a sample of its shingles (by hash; all of a short one) is held against 64 pivots. Those that no other
-   text within the window of any region can reach link with nothing and are done.
+1. Of each document a sample of its shingles (by hash; all of a short one) is held against the pivots of REGIONS random
+   regions. Those that no other text within any window can reach link with nothing and are done.
 2. The rest take pivot documents: by each of KEYS orders of hashes, those with the same least shingle gather around one of
-   them, drawn by lot. Exact distances to it give links, and links cells: what is linked already needn't meet again, so that a
-   group of near copies costs a row for each copy, not for each pair.
-3. Regions are made of cells, level by level, until they have LEAF documents or don't shrink; what is in no window of
-   another cell leaves. Leaves that stay large are dealt in blocks, each two of which meet once.
+   them, drawn by lot. Exact distances to it give links, and links cells: what is linked already needn't meet again, so that
+   a group of near copies costs a row for each copy, not for each pair.
+3. Of each, ``free`` shingles that no other cell has are counted. If x and y link, free(x) + free(y) is at most a tenth of
+   their union, thus a ninth of the lesser. So texts with more than a tenth are done; two with more than an eighteenth each
+   (heavy ones) never link. Another round of pivot documents takes those with the least share of free shingles, the middles
+   of their groups.
+4. Texts go to regions by their least shingle, which near texts share mostly, level by level, until regions have LEAF
+   documents or windows no longer separate them; heavy ones only go where a light one of another cell is within reach.
+   Large leaves are dealt in blocks, each two of which meet once.
 
 Shingles are counted against pivots in slots of hashes: tasks deal packed arrays, about SLOT shingles to a slot. A shingle
 of many cells among a task's rows is in most regions: it is counted as covered everywhere (windows only widen), and at most
@@ -34,7 +39,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import forget, salted_lookup, stored, text_of
@@ -42,7 +47,7 @@ from .components import components
 from .embeddings import unpacked
 
 SHINGLE, PERCENT = 3, 90
-REGIONS, LEVELS, LEAF, BLOCK, BLOCK_HASHES = 64, 4, 256, 512, 1_000_000
+REGIONS, LEVELS, LEAF, BLOCK, BLOCK_HASHES = 32, 4, 2048, 512, 1_000_000
 KEYS, FEWEST = 16, 96
 COARSE, FINE = 0.22, 1.0  # shares of a long text's shingles that are held against pivots, first and within regions
 SLOT, BUFFER, COMMON = 2_000_000, 1_500_000, 96
@@ -118,14 +123,9 @@ def sets(docs: DataFrame) -> DataFrame:
 PARTS = ["keys", "refs", "cells", "asks", "told", "masks", "who", "members", "facts"]
 DEALT = "slot long, grouped boolean, " + ", ".join(f"{c} binary" for c in PARTS)
 ALL = np.uint64(2**64 - 1)
-FACT = np.dtype([("ref", np.int64), ("n", np.int64), ("asked", np.int64), ("home", np.int64)])
+FACT = np.dtype([("ref", np.int64), ("n", np.int64), ("asked", np.int64), ("bit", np.int64)])
 NO_ANSWER, ONE, GROUP = 0, 1, 2  # what of a row asks: nothing, an entry, several of a cell
-
-
-def homes(cells: np.ndarray, level: int) -> np.ndarray:
-    """The region of each cell at a level."""
-    with np.errstate(over="ignore"):
-        return (_mix(cells.astype(np.uint64) + np.uint64(level + 1) * M3) >> np.uint64(58)).astype(np.int64)
+KIND, BIT = np.uint8(3), np.uint8(2)  # of ``asks``: the kind, and from which bit on its region's number (heavy ones' from REGIONS on)
 
 
 def _split(slots: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
@@ -136,6 +136,16 @@ def _split(slots: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
         yield int(slots[at[0]]), at
 
 
+def _cells_of(keys: np.ndarray, cells: np.ndarray) -> np.ndarray:
+    """How many cells each key has; keys are sorted."""
+    order = np.lexsort((cells, keys))
+    k, c = keys[order], cells[order]
+    new_key, new = np.ones(len(k), bool), np.ones(len(k), bool)
+    new_key[1:] = k[1:] != k[:-1]
+    new[1:] = new_key[1:] | (c[1:] != c[:-1])
+    return np.bincount(np.cumsum(new_key) - 1, new)
+
+
 class _Dealt:
     """Rows of DEALT, made of arrays that are dealt to slots."""
 
@@ -154,33 +164,33 @@ class _Dealt:
         return pa.RecordBatch.from_arrays([pa.array([r[k] for r in self.rows], t) for k, t in enumerate(types)], ["slot", "grouped", *PARTS])
 
 
-def _deal(share: float, level: int, slots: int, common: int) -> Callable:
-    """Entries (ref, cell, region, n, part) as rows of DEALT: their shingles by slot of the hash, what is known of them by
+def _deal(share: float, slots: int, common: int) -> Callable:
+    """Entries (ref, cell, region, bit, n, part) as rows of DEALT: their shingles by slot of the hash, what is known of them by
     slot of the entry."""
 
     def asked_once(keys: np.ndarray, refs: np.ndarray, cells: np.ndarray, asks: np.ndarray, out: _Dealt) -> tuple[np.ndarray, ...]:
-        """The rows with one for each shingle and cell of which more than ``common`` entries ask."""
-        order = np.lexsort((cells, keys))
+        """The rows with one for each shingle, cell and region of which more than ``common`` entries ask."""
+        order = np.lexsort((asks >> BIT, cells, keys))
         keys, refs, cells, asks = keys[order], refs[order], cells[order], asks[order]
         new = np.ones(len(keys), bool)
-        new[1:] = (keys[1:] != keys[:-1]) | (cells[1:] != cells[:-1])
+        new[1:] = (keys[1:] != keys[:-1]) | (cells[1:] != cells[:-1]) | (asks[1:] >> BIT != asks[:-1] >> BIT)
         group = np.cumsum(new) - 1
-        big = (np.bincount(group, asks) > common)[group] if len(group) else new
+        big = (np.bincount(group, asks & KIND) > common)[group] if len(group) else new
         if not big.any():
             return keys, refs, cells, asks
         lead = big & new
         nonce = np.uint64(xxhash.xxh3_64_intdigest(refs.tobytes()))
-        names = _mix(keys ^ _mix(cells.view(np.uint64)) ^ nonce).view(np.int64)  # of the groups, in this buffer
+        names = _mix(keys ^ _mix(cells.view(np.uint64) + (asks >> BIT)) ^ nonce).view(np.int64)  # of the groups, in this buffer
         names[big] = names[np.flatnonzero(new)][group[big]]
-        members = big & (asks == ONE)
+        members = big & (asks & KIND == ONE)
         out.add(names[members], True, who=names[members], members=refs[members])
-        refs, asks = np.where(lead, names, refs), np.where(lead, GROUP, asks).astype(np.uint8)
+        refs, asks = np.where(lead, names, refs), np.where(lead, (asks & ~KIND) | GROUP, asks).astype(np.uint8)
         stay = ~big | lead
         return keys[stay], refs[stay], cells[stay], asks[stay]
 
     def known_everywhere(keys: np.ndarray, refs: np.ndarray, cells: np.ndarray, asks: np.ndarray, out: _Dealt) -> tuple[np.ndarray, ...]:
         """The rows with two cells of each region for shingles of more than ``common`` cells."""
-        h = homes(cells, level)
+        h = asks >> BIT
         order = np.lexsort((cells, h, keys))
         keys, refs, cells, asks, h = keys[order], refs[order], cells[order], asks[order], h[order]
         new_key = np.ones(len(keys), bool)
@@ -190,18 +200,18 @@ def _deal(share: float, level: int, slots: int, common: int) -> Callable:
         new_cell = new_home.copy()
         new_cell[1:] |= cells[1:] != cells[:-1]
         of_key, of_home, nth = np.cumsum(new_key) - 1, np.cumsum(new_home) - 1, np.cumsum(new_cell)
-        often = (np.bincount(of_key, new_cell) > common)[of_key] if len(keys) else new_key
+        often = (_cells_of(keys, cells) > common)[of_key] if len(keys) else new_key
         if not often.any():
             return keys, refs, cells, asks
         for kind in (ONE, GROUP):
-            told = refs[often & (asks == kind)]
+            told = refs[often & (asks & KIND == kind)]
             out.add(told, kind == GROUP, told=told, masks=np.full(len(told), ALL))
         second = nth - nth[np.flatnonzero(new_home)][of_home] < 2
         stay = ~often | (new_cell & second)
-        return keys[stay], refs[stay], cells[stay], np.where(often, NO_ANSWER, asks).astype(np.uint8)[stay]
+        return keys[stay], refs[stay], cells[stay], np.where(often, asks & ~KIND, asks).astype(np.uint8)[stay]
 
     def flush(some: list[tuple]) -> pa.RecordBatch:
-        ref, cell, region, n, counts, flat = (np.concatenate([s[k] for s in some]) for k in range(6))
+        ref, cell, region, bit, n, counts, flat = (np.concatenate([s[k] for s in some]) for k in range(7))
         at = np.repeat(np.arange(len(ref)), counts)
         again = np.ones(len(ref), bool)
         again[np.unique(ref, return_index=True)[1]] = False  # copies within the buffer say nothing new
@@ -209,10 +219,10 @@ def _deal(share: float, level: int, slots: int, common: int) -> Callable:
         at, flat = at[fits], flat[fits]
         asks = (flat <= _limits(n, share)[at]).astype(np.uint8)
         facts = np.zeros(len(ref), FACT)
-        facts["ref"], facts["n"], facts["asked"], facts["home"] = ref, n, np.bincount(at, asks, len(ref)), homes(cell, level)
+        facts["ref"], facts["n"], facts["asked"], facts["bit"] = ref, n, np.bincount(at, asks, len(ref)), bit
         out = _Dealt(slots)
         out.add(facts["ref"][~again].copy(), facts=facts[~again])
-        rows = (_mix(flat ^ region.view(np.uint64)[at]), ref[at], cell[at], asks)
+        rows = (_mix(flat ^ region.view(np.uint64)[at]), ref[at], cell[at], asks | (bit[at].astype(np.uint8) << BIT))
         keys, refs, cells, asks = known_everywhere(*asked_once(*rows, out), out)
         out.add(keys, keys=keys, refs=refs, cells=cells, asks=asks)
         return out.batch()
@@ -221,7 +231,7 @@ def _deal(share: float, level: int, slots: int, common: int) -> Callable:
         some, held = [], 0
         for b in batches:
             counts = np.array([len(x.as_py()) // 8 for x in b["part"]], np.int64)
-            some.append((*(b[c].to_numpy() for c in ("ref", "cell", "region", "n")), counts, unpacked(b["part"], np.uint64)))
+            some.append((*(b[c].to_numpy() for c in ("ref", "cell", "region", "bit", "n")), counts, unpacked(b["part"], np.uint64)))
             held += counts.sum() + len(counts)
             if held >= BUFFER:
                 yield flush(some)
@@ -250,7 +260,27 @@ def _all(rows: list[dict], column: str, kind: type) -> np.ndarray:
     return np.frombuffer(b"".join(r[column] for r in rows), kind)
 
 
-def _cover(level: int, slots: int) -> Callable:
+def _elsewhere(keys: np.ndarray, cells: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    """For each row, the regions in which its key has another cell than its own, as bits."""
+    order = np.lexsort((cells, bits, keys))
+    k, c, b = keys[order], cells[order], np.uint64(1) << bits[order].astype(np.uint64)
+    new_key, new = np.ones(len(k), bool), np.ones(len(k), bool)
+    new_key[1:] = k[1:] != k[:-1]
+    new[1:] = new_key[1:] | (b[1:] != b[:-1])
+    starts = np.flatnonzero(new)
+    alone = c[starts] == c[np.concatenate([starts[1:], [len(k)]]) - 1]  # a region with one cell only
+    every = np.bitwise_or.reduceat(b, np.flatnonzero(new_key))[np.cumsum(new_key) - 1]
+    of_own = np.where(alone, b[starts], np.uint64(0))[np.cumsum(new) - 1]
+    by_cell = np.lexsort((c, k))
+    new[1:] = (k[by_cell][1:] != k[by_cell][:-1]) | (c[by_cell][1:] != c[by_cell][:-1])
+    own = np.empty(len(k), np.uint64)
+    own[by_cell] = np.bitwise_or.reduceat(of_own[by_cell], np.flatnonzero(new))[np.cumsum(new) - 1]
+    out = np.empty(len(k), np.uint64)
+    out[order] = every & ~own
+    return out
+
+
+def _cover(slots: int) -> Callable:
     """For each shingle that is asked of: the regions in which another cell has it, as bits."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -261,21 +291,9 @@ def _cover(level: int, slots: int) -> Callable:
                     out.put(slot, r["grouped"], **{c: r[c] for c in PARTS})
             keys, refs, cells, asks = (_all(rows, c, t) for c, t in (("keys", np.uint64), ("refs", np.int64), ("cells", np.int64), ("asks", np.uint8)))
             if len(keys):
-                home = homes(cells, level)
-                order = np.lexsort((cells, home, keys))
-                keys, refs, cells, asks, home = keys[order], refs[order], cells[order], asks[order], home[order]
-                new_key = np.ones(len(keys), bool)
-                new_key[1:] = keys[1:] != keys[:-1]
-                new_home = new_key.copy()
-                new_home[1:] |= home[1:] != home[:-1]
-                starts, of_home, of_key = np.flatnonzero(new_home), np.cumsum(new_home) - 1, np.cumsum(new_key) - 1
-                ends = np.concatenate([starts[1:], [len(keys)]]) - 1
-                bit = np.uint64(1) << home.astype(np.uint64)
-                several = np.where(cells[starts] != cells[ends], bit[starts], np.uint64(0))  # a region with another cell for each of its own
-                masks = np.bitwise_or.reduceat(bit, np.flatnonzero(new_key))[of_key]
-                masks = (masks & ~bit) | several[of_home]
+                masks = _elsewhere(keys, cells, asks >> BIT)
                 for kind in (ONE, GROUP):
-                    found = np.flatnonzero((asks == kind) & (masks != 0))
+                    found = np.flatnonzero((asks & KIND == kind) & (masks != 0))
                     found = found[np.lexsort((refs[found], keys[found]))]
                     first = np.ones(len(found), bool)
                     first[1:] = (keys[found][1:] != keys[found][:-1]) | (refs[found][1:] != refs[found][:-1])
@@ -304,7 +322,8 @@ def _expand(slots: int) -> Callable:
 
 
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(ref, home, regions): the regions whose window an entry is in, as bits; others have no row."""
+    """(ref, bit, regions, free): the regions whose window an entry is in, as bits, and how many of the shingles that it
+    asks of no other cell has. Entries in no window have no row."""
     for _, rows in _slots_of(batches):
         facts = np.unique(_all(rows, "facts", FACT))
         told, masks = _all(rows, "told", np.int64), _all(rows, "masks", np.uint64)
@@ -312,24 +331,26 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order = np.argsort(at, kind="stable")
         at, masks = at[order], masks[order]
         spare = facts["asked"] - facts["n"] * (100 - PERCENT) // 100  # so many of what it asks of must be covered
+        free = np.maximum(facts["asked"] - np.bincount(at, minlength=len(facts)), 0)
         regions = np.where(spare <= 0, ALL, np.uint64(0))
         if len(at):
             who, starts = np.unique(at, return_index=True)
-            for bit in range(REGIONS):
+            for bit in range(2 * REGIONS):
                 covered = np.add.reduceat((masks >> np.uint64(bit)) & np.uint64(1), starts).astype(np.int64)
                 regions[who] |= np.where(covered >= spare[who], np.uint64(1) << np.uint64(bit), np.uint64(0))
-        some = regions != 0
-        yield pa.RecordBatch.from_arrays([pa.array(facts["ref"][some]), pa.array(facts["home"][some].astype(np.int32)), pa.array(regions[some].view(np.int64))], ["ref", "home", "regions"])
+        some = (regions != 0) & (free * 100 <= facts["n"] * (100 - PERCENT))
+        yield pa.RecordBatch.from_arrays([pa.array(facts["ref"][some]), pa.array(facts["bit"][some].astype(np.int32)), pa.array(regions[some].view(np.int64)), pa.array(free[some])], ["ref", "bit", "regions", "free"])
 
 
-def windows(entries: DataFrame, shingle_count: int, share: float, level: int, common: int = COMMON) -> tuple[DataFrame, str]:
-    """(ref, home, regions) of entries (ref, cell, region, n, part) that are in a window of another cell at a level."""
+def windows(entries: DataFrame, shingle_count: int, share: float, common: int = COMMON) -> tuple[DataFrame, str]:
+    """(ref, bit, regions, free) of entries (ref, cell, region, bit, n, part) that are in a window of another cell. ``bit`` is
+    the number of an entry's own region, from REGIONS on for heavy ones."""
     slots = max(16, shingle_count // SLOT)
     grouped = lambda df: df.repartition("slot").sortWithinPartitions("slot")
-    dealt = entries.select("ref", "cell", "region", "n", "part").mapInArrow(_deal(share, level, slots, common), DEALT)
-    covered, path = stored(grouped(dealt).mapInArrow(_cover(level, slots), DEALT), "covered")
+    dealt = entries.select("ref", "cell", "region", F.col("bit").cast("long").alias("bit"), "n", "part").mapInArrow(_deal(share, slots, common), DEALT)
+    covered, path = stored(grouped(dealt).mapInArrow(_cover(slots), DEALT), "covered")
     answers = covered.where("not grouped").union(grouped(covered.where("grouped")).mapInArrow(_expand(slots), DEALT))
-    told = stored(grouped(answers).mapInArrow(_windows, "ref long, home int, regions long"), "windows")
+    told = stored(grouped(answers).mapInArrow(_windows, "ref long, bit int, regions long, free long"), "windows")
     forget(entries.sparkSession, path)
     return told
 
@@ -370,8 +391,9 @@ def linked(a: np.ndarray, b: np.ndarray) -> bool:
     return 100 * both >= PERCENT * (len(a) + len(b) - both)
 
 
-def pivot_links(sets_: DataFrame) -> DataFrame:
-    """Links (a, b) of sets to the pivots with which they share a least shingle."""
+def pivot_links(sets_: DataFrame, central: bool = False) -> DataFrame:
+    """Links (a, b) of sets to the pivots with which they share a least shingle: drawn by lot for each key, or those with the
+    least share of ``free`` shingles. Of a cell (``label``) that has its pivot, if sets have one, only other cells' meet it."""
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -380,13 +402,14 @@ def pivot_links(sets_: DataFrame) -> DataFrame:
             yield batch.select(["a", "b"]).take(pa.array(good, pa.int64()))
 
     spark, c = sets_.sparkSession, F.col
-    buckets = sets_.select("digest", "n", F.explode("keys").alias("key"))
-    lot = F.xxhash64("digest", "key")  # another pivot for each key, also where the same texts meet
-    pivots = buckets.groupBy("key").agg(F.min_by(F.struct("digest", "n"), F.struct(lot, "digest")).alias("p"), F.count(F.lit(1)).alias("members")).where("members > 1")
-    pivots, first = stored(pivots.select("key", c("p.digest").alias("a"), c("p.n").alias("an"), "members"), "pivots")
+    label = c("label") if "label" in sets_.columns else c("digest")
+    buckets = sets_.select("digest", "n", label.alias("label"), (c("free") / c("n") if central else F.lit(0.0)).alias("share"), F.explode("keys").alias("key"))
+    order = F.struct("share", F.xxhash64("digest") if central else F.xxhash64("digest", "key"), "digest")
+    pivots = buckets.groupBy("key").agg(F.min_by(F.struct("digest", "n", "label"), order).alias("p"), F.count(F.lit(1)).alias("members")).where("members > 1")
+    pivots, first = stored(pivots.select("key", c("p.digest").alias("a"), c("p.n").alias("an"), c("p.label").alias("al"), "members"), "pivots")
     total = pivots.agg(F.sum("members")).first()[0] or 0
     met = salted_lookup(buckets, pivots.drop("members"), "key", pivots.select("key", c("members").alias("n")), total, ["digest"])
-    near = (c("digest") != c("a")) & (100 * F.least("n", "an") >= PERCENT * F.greatest("n", "an"))
+    near = (c("label") != c("al")) & (100 * F.least("n", "an") >= PERCENT * F.greatest("n", "an"))
     pairs, second = stored(met.where(near).select("a", c("digest").alias("b")).distinct(), "pairs")
     counts, codes = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n")), sets_.select("digest", "codes")
     left = pairs.join(codes.select(c("digest").alias("b"), c("codes").alias("codes_b")), "b")
@@ -398,46 +421,71 @@ def pivot_links(sets_: DataFrame) -> DataFrame:
 
 # Regions
 
-MEMBER = ["region", "digest", "label", "n"]
+MEMBER = ["region", "digest", "label", "n", "heavy"]
 
 
 def _labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
     return rows.join(labels, "digest", "left").withColumn("label", F.coalesce("label", "digest"))
 
 
-def regions_of(sets_: DataFrame, labels: DataFrame, leaf: int = LEAF, common: int = COMMON) -> tuple[DataFrame, list[str]]:
-    """(region, digest, label, n) of the leaves: sets of different cells that are within each other's windows; and the paths
-    of the tables that hold them."""
+def _bit(level: int) -> Column:
+    """A set's region at a level by its least shingle of that order; that of heavy ones from REGIONS on."""
+    return F.pmod(F.xxhash64(F.get("keys", F.lit(level % KEYS))), F.lit(REGIONS)) + F.when(F.col("heavy"), REGIONS).otherwise(0)
+
+
+def opened(sets_: DataFrame, labels: DataFrame, common: int = COMMON) -> tuple[DataFrame, str]:
+    """The sets that may link with another cell's (digest, label, n, codes, keys, free, heavy), and the path of the table."""
+    spark, c = sets_.sparkSession, F.col
+    ref = F.xxhash64("digest")
+    named, at = stored(_labelled(sets_, labels).withColumn("heavy", F.lit(False)), "named")
+    count = named.agg(F.sum("n")).first()[0] or 0
+    entries = named.select(ref.alias("ref"), F.xxhash64("label").alias("cell"), F.lit(0).cast("long").alias("region"), _bit(0).alias("bit"), "n", c("codes").alias("part"))
+    told, used = windows(entries, count, FINE, common)
+    out = named.drop("heavy").withColumn("ref", ref).join(told.select("ref", "free"), "ref").drop("ref")
+    out = stored(out.withColumn("heavy", 200 * c("free") > (100 - PERCENT) * F.floor(100 * c("n") / F.lit(PERCENT))), "opened")
+    forget(spark, at, used)
+    return out
+
+
+def regions_of(sets_: DataFrame, leaf: int = LEAF, common: int = COMMON) -> tuple[DataFrame, list[str]]:
+    """(region, digest, label, n) of the leaves of ``opened`` sets: those of different cells that are within each other's
+    windows; and the paths of the tables that hold them."""
     spark, c = sets_.sparkSession, F.col
-    entries = _labelled(sets_.select("digest", "n", c("codes").alias("part")), labels).withColumn("region", F.lit(0).cast("long"))
-    members, leaves, paths, before = entries.select(*MEMBER), [], [], None
+    members, leaves, paths = sets_.select(F.lit(0).cast("long").alias("region"), "digest", "label", "n", "heavy"), [], []
+    size = members.count()
     for level in range(1, LEVELS + 1):
-        count = members.agg(F.sum("n")).first()[0] or 0
-        if not count:
+        if size <= leaf or level == LEVELS:
+            leaves.append(members)
             break
         ref = F.xxhash64("region", "digest")
-        told, used = windows(entries.withColumn("ref", ref).withColumn("cell", F.xxhash64("label")), int(count * FINE), FINE, level, common)
-        own = F.expr("shiftrightunsigned(regions, home) != 0")  # pairs of two regions meet in the lesser
-        lower = F.filter(F.sequence(F.lit(0), F.lit(REGIONS - 1)), lambda j: (j < c("home")) & (F.getbit("regions", j) == 1))
-        dealt = told.select("ref", F.explode(F.concat(lower, F.when(own, F.array("home")).otherwise(F.array().cast("array<int>")))).alias("to"))
-        named = members.withColumn("ref", ref).join(dealt, "ref")
-        made, path = stored(named.select(F.xxhash64("region", "to", F.lit(level)).alias("region"), "digest", "label", "n"), "members")
+        entries = members.join(sets_.select("digest", "keys", c("codes").alias("part")), "digest").withColumn("bit", _bit(level))
+        count = members.agg(F.sum("n")).first()[0]
+        told, used = windows(entries.withColumn("ref", ref).withColumn("cell", F.xxhash64("label")), count, FINE, common)
+        light = F.expr("regions & 4294967295")
+        inside = lambda j: F.getbit(light, j) == 1
+        of_light = F.filter(F.sequence(F.lit(0), F.lit(REGIONS - 1)), lambda j: (j < c("bit")) & inside(j))
+        stays = F.expr("shiftrightunsigned(regions & 4294967295, bit) != 0 or shiftrightunsigned(regions, 32) != 0")  # pairs of two regions meet in the lesser, heavy ones where light ones are
+        to = F.when(c("bit") >= REGIONS, F.filter(F.sequence(F.lit(0), F.lit(REGIONS - 1)), inside)).otherwise(F.concat(of_light, F.when(stays, F.array("bit")).otherwise(F.array().cast("array<int>"))))
+        named = members.withColumn("ref", ref).join(told.select("ref", F.explode(to).alias("to")), "ref")
+        made, path = stored(named.select(F.xxhash64("region", "to", F.lit(level)).alias("region"), "digest", "label", "n", "heavy"), "members")
         forget(spark, used)
+        paths.append(path)
         sizes, sizes_at = stored(made.groupBy("region").agg(F.count(F.lit(1)).alias("size"), F.count_distinct("label").alias("cells")).where("cells > 1"), "sizes")
-        paths += [path, sizes_at]
-        rows = salted_lookup(made, sizes.select("region", "size"), "region", sizes.select("region", c("size").alias("n")), made.count(), ["digest"])
-        open_ = rows.where(c("size") > leaf).select(*MEMBER)
-        left = open_.count()
-        last = level == LEVELS or (before is not None and left > before / 2)
-        leaves.append(rows.select(*MEMBER) if last else rows.where(c("size") <= leaf).select(*MEMBER))
-        if last or not left:
+        paths.append(sizes_at)
+        total = made.count()
+        if total > 4 * size:  # windows don't separate them: blocks cost less than another level
+            leaves.append(members)
             break
-        members, before = open_, left
-        entries = members.join(sets_.select("digest", c("codes").alias("part")), "digest")
-    out = leaves[0] if leaves else members.limit(0)
+        rows = salted_lookup(made, sizes.select("region", "size"), "region", sizes.select("region", c("size").alias("n")), total, ["digest"])
+        leaves.append(rows.where(c("size") <= leaf).select(*MEMBER))
+        members = rows.where(c("size") > leaf).select(*MEMBER)
+        size = members.count()
+        if not size:
+            break
+    out = leaves[0]
     for more in leaves[1:]:
         out = out.union(more)
-    return out, paths
+    return out.select("region", "digest", "label", "n"), paths
 
 
 def _units(leaves: DataFrame) -> DataFrame:
@@ -524,20 +572,28 @@ def join(docs: DataFrame, leaf: int = LEAF, common: int = COMMON) -> DataFrame:
     """(doc_id, n_shingles, component_id) of each row of (doc_id, text): the size of its set, and the least doc_id that links
     reach from it."""
     spark, c = docs.sparkSession, F.col
-    rows, rows_at = stored(sets(docs), "sets")
-    count = rows.agg(F.sum(F.length("part") / 8)).first()[0] or 0
+    every, every_at = stored(sets(docs), "sets")
+    count = every.agg(F.sum(F.length("part") / 8)).first()[0] or 0
     ref = F.xxhash64("digest")
-    entries = rows.where("n > 0").select(ref.alias("ref"), ref.alias("cell"), F.lit(0).cast("long").alias("region"), "n", "part")
-    open_, open_at = windows(entries, int(count), COARSE, 0, common)
+    entries = every.where("n > 0").select(ref.alias("ref"), ref.alias("cell"), F.lit(0).cast("long").alias("region"), F.pmod(F.xxhash64("digest", F.lit(1)), F.lit(REGIONS)).alias("bit"), "n", "part")
+    open_, open_at = windows(entries, int(count), COARSE, common)
+    rows, _ = stored(every.drop("part"), "rows")
+    forget(spark, every_at)
     nodes, nodes_at = stored(rows.where("n > 0").groupBy("digest").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("copies")), "nodes")
     some = coded(nodes.withColumn("ref", ref).join(open_.select("ref"), "ref", "left_semi"), docs)
     sets_, sets_at = stored(some.dropDuplicates(["digest"]) if not rows.groupBy("doc_id").count().where("count > 1").isEmpty() else some, "codes")
     forget(spark, open_at)
     links = pivot_links(sets_)
     labels, labels_at = stored(components(links), "labels")
-    leaves, paths = regions_of(sets_, labels, leaf, common)
-    more, _ = stored(region_links(leaves, sets_), "links")
-    forget(spark, sets_at, labels_at, *paths)
+    near, near_at = opened(sets_, labels, common)
+    forget(spark, sets_at, labels_at)
+    links = links.union(pivot_links(near, central=True))
+    labels, labels_at = stored(components(links), "labels")
+    near, last_at = opened(near.drop("label", "free", "heavy"), labels, common)
+    forget(spark, near_at)
+    leaves, paths = regions_of(near, leaf, common)
+    more, _ = stored(region_links(leaves, near), "links")
+    forget(spark, last_at, labels_at, *paths)
     labels, _ = stored(components(links.union(more)), "labels")
     named, named_at = stored(_labelled(nodes, labels), "named")
     least = named.groupBy("label").agg(F.min("first_id").alias("component_id"), F.count(F.lit(1)).alias("n"))
