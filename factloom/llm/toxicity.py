@@ -2,12 +2,15 @@
 
 P(grade <= k) = sigmoid(theta_k - w.x): one weight for each word, shared by the ordered thresholds. The output is the
 expected severity, the sum of k times P(grade = k). The model is fit on a bounded sample of labelled rows
-(``sample_rows``, the first by the hash of their id, then the id); what is scored is every document, whole.
+(``sample_rows``, the first by the hash of their id, then the id); what is scored is every document, whole. Its features
+are the words that tell grade 0 from the others at a false-discovery rate, by exact tail probabilities: a rule that means
+the same on ten rows and on thousands. There are as many grades as the labels have values.
 
 Null texts are empty and score by the thresholds alone; very long ones count each word once; rows that repeat get equal
 scores; of grades that tie the lesser is reported; rows with a null label are no examples; without examples of two
 grades, as in an empty table, nothing is rejected. ``clean`` passes all columns on; ``score`` replaces columns of the
-names expected_severity, p_toxic and grade, and passes the others on.
+names expected_severity, p_toxic and grade, in any case of letters, and passes the others on. Of rows of ``docs`` that share
+a labelled id the greatest text is the example; a row of ``labels`` that repeats is one example.
 """
 
 from __future__ import annotations
@@ -71,59 +74,69 @@ def fit(cells: tuple[np.ndarray, np.ndarray], shape: tuple[int, int], grades: np
     return params[:f], params[f] + np.concatenate([[0], np.cumsum(np.exp(params[f + 1 :]))])
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample_rows: int = 8000, min_chi2: float = 40.0) -> Model:
-    """A model from ``labels`` (doc_id, ``label``: ordered grades, 0 for none), fit on at most ``sample_rows`` labelled
-    rows that have a document. Its features are all words of theirs that tell grade 0 from the others by a chi-squared
-    statistic of ``min_chi2``, however many they are. The driver gets their selected words only.
+def tails(seen: np.ndarray, hits: np.ndarray, positive: int, n: int) -> np.ndarray:
+    """Two-sided probabilities that ``hits`` of the ``seen`` rows with a word are among the ``positive`` of ``n`` by chance:
+    twice the lesser tail of the hypergeometric distribution, at most 1."""
+    log = np.concatenate([[0.0], np.cumsum(np.log(np.arange(1, n + 1)))])
+    choose = lambda a, b: log[a] - log[b] - log[a - b]
+    out = np.empty(len(seen))
+    for i, (k, h) in enumerate(zip(seen.tolist(), hits.tolist())):
+        x = np.arange(max(0, k - (n - positive)), min(k, positive) + 1)
+        p = np.exp(choose(positive, x) + choose(n - positive, k - x) - choose(n, k))
+        out[i] = min(1.0, 2 * min(p[x >= h].sum(), p[x <= h].sum()))
+    return out
+
+
+def discoveries(p: np.ndarray, times: np.ndarray, rate: float) -> np.ndarray:
+    """Which probabilities, each of ``times`` words, are discoveries at a false-discovery rate (Benjamini and Hochberg)."""
+    order = np.argsort(p, kind="stable")
+    fits = p[order] * times.sum() <= rate * np.cumsum(times[order])
+    return p <= p[order][fits].max() if fits.any() else np.zeros(len(p), bool)
 
-    Labels that say no more than 0 or 1 are graded by how often the text is toxic: 2 if words that are commoner in toxic
-    texts occur more often in it, repeats counted, than in the median toxic text of the sample, else 1. The model sees
-    each word once, so that this isn't what it adds up.
+
+def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample_rows: int = 8000, rate: float = 0.01) -> Model:
+    """A model from ``labels`` (doc_id, ``label``: ordered grades, 0 for none), fit on at most ``sample_rows`` labelled
+    rows that have a document. Its features are all words of theirs that are discoveries at the false-discovery ``rate``,
+    however many they are. The driver gets counts of words by how often they occur, and the selected words only.
     """
-    sample = labels.where(F.col(label).isNotNull()).select(F.col("doc_id").alias("__id"), F.col(label).cast("int").alias("label")).orderBy(F.xxhash64("__id"), "__id").limit(sample_rows)
+    sample = labels.where(F.col(label).isNotNull()).select(F.col("doc_id").alias("__id"), F.col(label).cast("int").alias("label")).orderBy(F.xxhash64("__id"), "__id", "label").limit(sample_rows)
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("label"), pa.array([sorted(WORDS.findall(t.lower())) for t in b.column("text").to_pylist()], pa.list_(pa.string()))], ["doc_id", "label", "words"])
+            yield pa.RecordBatch.from_arrays([b.column("label"), pa.array([sorted(words_of(t)) for t in b.column("text").to_pylist()], pa.list_(pa.string()))], ["label", "words"])
 
     texts = docs.select("doc_id", text_of().alias("text")).join(F.broadcast(sample), F.col("doc_id") == F.col("__id"))
-    rows = written(texts.select("doc_id", "label", "text").mapInArrow(split, "doc_id long, label int, words array<string>"), "examples")
+    texts = texts.groupBy("__id", "label").agg(F.max("text").alias("text"))  # no more rows than the sample has
+    rows = written(texts.select("label", "text").mapInArrow(split, "label int, words array<string>"), "examples")
     of = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     n, positive = sum(of.values()), sum(k for g, k in of.items() if g > 0)
     if not positive or positive == n:
         return Model()
-    seen, hits = F.col("seen").cast("double"), F.col("hits").cast("double")
-    a, b = hits, seen - hits
-    c, d = positive - a, (n - positive) - b
-    chi2 = n * F.pow(a * d - b * c, F.lit(2.0)) / (seen * (n - seen + 1e-9) * positive * (n - positive))
-    counts = rows.select("label", F.explode(F.array_distinct("words")).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("seen"), F.count_if(F.col("label") > 0).alias("hits"))
-    chosen = counts.select("word", chi2.alias("chi2"), (a / positive > b / (n - positive)).alias("toxic")).where(F.col("chi2") >= min_chi2).orderBy(F.desc("chi2"), "word").collect()  # words of the sample
-    vocabulary = [r["word"] for r in chosen]
-    if not vocabulary:
+    counts = rows.select("label", F.explode("words").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("seen"), F.count_if(F.col("label") > 0).alias("hits"))
+    counts = written(counts, "counts")
+    cells = counts.groupBy("seen", "hits").agg(F.count(F.lit(1)).alias("words")).toPandas()  # at most sample_rows squared, most words are rare
+    found = discoveries(tails(cells["seen"].to_numpy(), cells["hits"].to_numpy(), positive, n), cells["words"].to_numpy(), rate)
+    if not found.any():
         return Model()
+    chosen = counts.join(F.broadcast(counts.sparkSession.createDataFrame(cells[found][["seen", "hits"]])), ["seen", "hits"], "left_semi")
+    vocabulary = sorted(r["word"] for r in chosen.select("word").collect())  # of the sample
     place = {w: i for i, w in enumerate(vocabulary)}
-    toxic = {r["word"] for r in chosen if r["toxic"]}
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            words = b.column("words").to_pylist()
-            at = pa.array([sorted({place[w] for w in x if w in place}) for x in words], pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([b.column("label"), pa.array([sum(w in toxic for w in x) for x in words], pa.int64()), at], ["label", "hits", "at"])
-
-    kept = rows.select("label", "words").mapInArrow(pick, "label int, hits long, at array<int>").collect()  # at most sample_rows
-    cells = np.array([(i, k) for i, r in enumerate(kept) for k in r["at"]], np.int64).reshape(-1, 2)
-    grades = np.array([r["label"] for r in kept])
-    if set(of) == {0, 1}:
-        hits = np.array([r["hits"] for r in kept])
-        grades = grades + ((grades == 1) & (hits > np.median(hits[grades == 1])))
-    order = {g: k for k, g in enumerate(sorted(set(grades.tolist())))}
-    weights, thetas = fit((cells[:, 0], cells[:, 1]), (len(kept), len(vocabulary)), np.array([order[g] for g in grades.tolist()]), len(order))
+            at = pa.array([[place[w] for w in x if w in place] for x in b.column("words").to_pylist()], pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([b.column("label"), at], ["label", "at"])
+
+    kept = rows.mapInArrow(pick, "label int, at array<int>").collect()  # at most sample_rows
+    ones = np.array([(i, k) for i, r in enumerate(kept) for k in r["at"]], np.int64).reshape(-1, 2)
+    order = {g: k for k, g in enumerate(sorted(of))}
+    weights, thetas = fit((ones[:, 0], ones[:, 1]), (len(kept), len(vocabulary)), np.array([order[r["label"]] for r in kept]), len(order))
     return Model(dict(zip(vocabulary, weights.tolist())), tuple(thetas.tolist()))
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """``docs`` with expected_severity, p_toxic (probability of any grade above 0) and the likeliest grade."""
-    names = [f.name for f in docs.schema.fields if f.name not in ("expected_severity", "p_toxic", "grade")]
+    names = [f.name for f in docs.schema.fields if f.name.lower() not in ("expected_severity", "p_toxic", "grade")]
     some = docs.select(*names)
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in some.schema.fields] + [SCORES])
     keys = model.weights.keys()
