@@ -1,14 +1,15 @@
 """Secret scans by assignment-aware lexing.
 
 Source and configuration syntax is parsed into (target name, operands) pairs: ``name = "x"``, ``"name": "x"``,
-``cfg["name"] = other + "y"``, ``NAME=x``. Names bound to literals are propagated to the targets that use them, before
+``cfg["name"] = other + "y"``, ``NAME=x``, ``name: type = "x"``, ``<name>x</name>``, and blocks of indented lines below
+``name: |``, line by line. A call's literals are those of its target: ``name = cfg.get("x")``; the call itself is code. Names bound to literals are propagated to the targets that use them, before
 or after the binding, and a literal is scored by the most sensitive target it reaches times how much it looks like a
 secret. Three fixed patterns (assign, access, hex) are reported beside these spans, whatever the score.
 
 Offsets count code points, ends are exclusive. Null texts are empty and have no span; very long ones are read whole.
 Spans that start together go by kind as listed; a literal that reaches several targets has its best score. Rows that
 repeat get the same answer each; an empty table gives none. ``scan`` reads no other columns, whatever their names;
-``redact`` passes them on untouched.
+``redact`` passes them on untouched, and masks no code: what a call is made of stays.
 """
 
 from __future__ import annotations
@@ -33,18 +34,22 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 MIN_VALUE = 6
 
 # How sensitive a target's name is by its parts, and parts that say the value is none.
-SENSITIVE = {"password": 1.0, "passwd": 1.0, "pwd": 1.0, "passphrase": 1.0, "passcode": 0.9, "secret": 1.0, "token": 0.9, "apikey": 1.0, "credential": 0.9, "credentials": 0.9, "auth": 0.6, "authorization": 0.8, "privatekey": 1.0, "accesskey": 1.0, "secretkey": 1.0}
+SENSITIVE = {"password": 1.0, "pass": 0.9, "passwd": 1.0, "pwd": 1.0, "passphrase": 1.0, "passcode": 0.9, "secret": 1.0, "token": 0.9, "apikey": 1.0, "credential": 0.9, "credentials": 0.9, "auth": 0.6, "authorization": 0.8, "privatekey": 1.0, "accesskey": 1.0, "secretkey": 1.0}
 PAIRED = {("api", "key"): 1.0, ("access", "key"): 1.0, ("private", "key"): 1.0, ("secret", "key"): 1.0, ("signing", "key"): 0.9, ("encryption", "key"): 0.9, ("client", "secret"): 1.0}
 HARMLESS = {"count", "limit", "length", "max", "min", "type", "name", "url", "uri", "path", "file", "field", "label", "hint", "expiry", "expires", "ttl", "policy", "regex", "pattern", "placeholder"}
 PLACEHOLDER = re.compile(r"(?i)example|placeholder|changeme|your[_-]|dummy|redacted|^(?:null|none|true|false|undefined)$|^[x*.\-]+$|^\$\{|^\{\{|^<")
 THRESHOLD = 0.5
 
 # What any target or base pattern must contain; texts without it hold no span.
-ANY = r"(?i)passw|passphrase|passcode|pwd|secret|token|key|credential|auth|akia|[0-9a-f]{24}"
+ANY = r"(?i)pass|pwd|secret|token|key|credential|auth|akia|[0-9a-f]{24}"
 PAIR = re.compile(
-    r"""(?<![\w$.\-])(?:(?P<name>[A-Za-z_$][\w$.\-]*+(?:\[["']?[\w.\-]++["']?\])*+)|(?P<q>["'])(?P<quoted>[\w.\-\x20]++)(?P=q))[\x20\t]*+(?::=|=>|[:=](?!=))[\x20\t]*+"""
+    r"""(?<![\w$.\-])(?:(?P<name>[A-Za-z_$][\w$.\-]*+(?:\[["']?[\w.\-]++["']?\])*+)|(?P<q>["'])(?P<quoted>[\w.\-\x20]++)(?P=q))[\x20\t]*+(?:\??:[\x20\t]*+(?P<type>(?:[A-Za-z_&*][\w.:&*]*+(?:\[[^\]\n=]*+\]|<[^>\n=]*+>)?+[?!]?+(?:[\x20\t]*+\|[\x20\t]*+)?+)++)[\x20\t]*+=(?![=>])|:=|=>|[:=](?!=))[\x20\t]*+"""
 )
-OPERAND = re.compile(r""""(?P<d>(?:\\.|[^"\\\n])*+)"|'(?P<s>(?:\\.|[^'\\\n])*+)'|`(?P<b>[^`\n]*+)`|(?P<ref>[A-Za-z_$][\w$.]*+)(?![\w+/=-])|(?P<bare>[^\s"'`;,(){}\[\]]++)""")
+ELEMENT = re.compile(r"<(?P<name>[A-Za-z_][\w.:\-]*+)(?:[\x20\t][^<>\n]*+)?>(?P<value>[^<>\n]++)</(?P=name)>")
+BLOCK = re.compile(r"(?m)^(?P<indent>[\x20\t]*+)(?:-[\x20\t]+)?(?P<name>[\w.\-]++)[\x20\t]*+:[\x20\t]*+[|>][+\-\d]*+[\x20\t]*+\n(?P<lines>(?:(?P=indent)[\x20\t]++[^\n]*+(?:\n|\Z)|[\x20\t]*+\n)++)")
+OPERAND = re.compile(r"""(?P<f>\x22\x22\x22|\x27\x27\x27)(?P<long>(?s:.*?))(?P=f)|"(?P<d>(?:\\.|[^"\\\n])*+)"|'(?P<s>(?:\\.|[^'\\\n])*+)'|`(?P<b>[^`\n]*+)`|(?P<ref>[A-Za-z_$][\w$.]*+)(?![\w+/=-])|(?P<bare>[^\s"'`;,(){}\[\]]++)""")
+ARGUMENT = re.compile(r""""(?P<d>(?:\\.|[^"\\\n])*+)"|'(?P<s>(?:\\.|[^'\\\n])*+)'|[()]|[^"'()\n]++""")
+LOOKED_UP = re.compile(r"[A-Z][A-Z0-9]*(?:_[A-Z0-9]+)+")
 PLUS = re.compile(r"[\x20\t]*+[+.][\x20\t]*+(?=[\"'`A-Za-z_$])")
 PARTS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
 
@@ -86,13 +91,39 @@ def bindings(text: str) -> list[tuple[str, Binding, list[tuple[str, tuple[int, i
         while o := OPERAND.match(text, at):
             kind, plus = o.lastgroup, PLUS.match(text, o.end())
             if kind != "ref":
-                found.own.append(o.span(kind))
+                found.own += lines_of(text, *o.span(kind)) if kind == "long" else [o.span(kind)]
+            elif text[o.end() : o.end() + 1] == "(":
+                found.own += arguments(text, o.end() + 1)
             else:
                 refs.append((o["ref"], o.span("ref") if m["name"] is None or not plus else None))
             if not plus:
                 break
             at = plus.end()
         out.append((m["name"] or m["quoted"], found, refs))
+    for m in ELEMENT.finditer(text):
+        found = Binding()
+        found.own.append(m.span("value"))
+        out.append((m["name"], found, []))
+    for m in BLOCK.finditer(text):
+        found = Binding()
+        found.own += lines_of(text, *m.span("lines"))
+        out.append((m["name"], found, []))
+    return out
+
+
+def lines_of(text: str, start: int, end: int) -> list[tuple[int, int]]:
+    """What stands on each line of a part of a text, without white space around it."""
+    return [m.span() for m in re.compile(r"\S(?:[^\n]*\S)?").finditer(text, start, end)]
+
+
+def arguments(text: str, at: int) -> list[tuple[int, int]]:
+    """Quoted literals between a call's parenthesis, after which ``at`` stands, and its end on the same line. Names in capitals
+    are what is looked up, in the environment mostly, not what is found."""
+    out, depth = [], 1
+    while depth and (m := ARGUMENT.match(text, at)):
+        depth += (m[0] == "(") - (m[0] == ")")
+        out += [m.span(m.lastgroup)] if m.lastgroup and not LOOKED_UP.fullmatch(m[m.lastgroup]) else []
+        at = m.end()
     return out
 
 
@@ -152,7 +183,7 @@ def scan(docs: DataFrame) -> DataFrame:
             found = [[{"kind": KINDS[k], "start": a, "end": b} for a, k, b, _ in spans(texts[i].as_py())] if some[i] else [] for i in range(len(texts))]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found, SPANS)], ["doc_id", "spans"])
 
-    return docs.select("doc_id", text_of().alias("text")).mapInArrow(each, "doc_id long, spans array<struct<kind: string, start: long, end: long>>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).mapInArrow(each, "doc_id long, spans array<struct<kind: string, start: long, end: long>>")
 
 
 def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
@@ -174,7 +205,9 @@ def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
 
 def redacted(text: str, mark: str) -> str:
     parts, at = [], 0
-    for start, end in sorted((value, end) for _, _, end, value in spans(text)):
+    types = {m.start("type") for m in PAIR.finditer(text) if m["type"]}
+    code = lambda kind, end, value: kind == 0 and (text[end : end + 1] == "(" or value in types)
+    for start, end in sorted((value, end) for _, kind, end, value in spans(text) if not code(kind, end, value)):
         if end > at:
             if start >= at:
                 parts += [text[at:start], mark]
