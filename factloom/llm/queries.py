@@ -67,7 +67,7 @@ def op6_merge_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
             back = [of.decode(x) == (t or "") for x, t in zip(ids, b.column("text").to_pylist())]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([len(x) // 2 for x in ids], pa.int64()), pa.array(map(merge_dropout.crc32_of, ids), pa.int64()), pa.array(back, pa.bool_())], ["doc_id", "n_tokens", "ids_crc32", "lossless"])
 
-    return docs.select("doc_id", "text").mapInArrow(round_trip, "doc_id long, n_tokens long, ids_crc32 long, lossless boolean")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(round_trip, "doc_id long, n_tokens long, ids_crc32 long, lossless boolean")
 
 
 def toxicity_model(spark: SparkSession, sf_dir: str) -> toxicity.Model:
