@@ -36,6 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import free_names, salted_lookup, text_of, written
+from .components import components
 
 K, SKETCH, REPEATS, THRESHOLD = 5, 6, 36, 0.8
 SHORT, BLOCK = 9, 512
@@ -199,6 +200,12 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, threshold: flo
 UNIT = ["key", "unit", "whole", "main", "block", "centre", "digest", "label", "keys", "codes"]
 
 
+def _at_keys(rows: DataFrame, sizes: DataFrame, lookup: DataFrame) -> DataFrame:
+    """``rows`` with what ``lookup`` says of their key, keys of many rows dealt to several tasks."""
+    total = sizes.agg(F.sum(F.col("others") + F.col("mains"))).first()[0] or 0
+    return salted_lookup(rows, lookup, "key", sizes.select("key", (F.col("others") + F.col("mains")).alias("n")), total, ["digest"])
+
+
 def _units(open_: DataFrame, sizes: DataFrame) -> DataFrame:
     """The rows of ``open_`` (key, digest, label, main, centre) in the units (key, unit) in which their pairs meet.
 
@@ -207,7 +214,7 @@ def _units(open_: DataFrame, sizes: DataFrame) -> DataFrame:
     block meet there as well.
     """
     c = F.col
-    rows = open_.join(sizes.select("key", F.ceil(c("others") / BLOCK).alias("p"), F.greatest(F.ceil(c("mains") / BLOCK), F.lit(1)).alias("q")), "key")
+    rows = _at_keys(open_, sizes, sizes.select("key", F.ceil(c("others") / BLOCK).alias("p"), F.greatest(F.ceil(c("mains") / BLOCK), F.lit(1)).alias("q")))
     rows = rows.withColumn("block", F.pmod(F.xxhash64("digest"), F.when(c("main"), c("q")).otherwise(c("p"))))
     span = lambda n: F.sequence(F.lit(0).cast("long"), n - 1)
     unit = lambda u, whole: F.struct(u.alias("unit"), whole.alias("whole"))
@@ -276,27 +283,6 @@ def across(open_: DataFrame, sizes: DataFrame, nodes: DataFrame, docs: DataFrame
     return written(dealt.mapInArrow(meet, "a binary, b binary"), "across")
 
 
-def components(links: DataFrame) -> DataFrame:
-    """(digest, label) of all ends of ``links`` (a, b): the least digest of the connected component.
-
-    Large stars and small stars by turns, each a join and an aggregate, until nothing changes.
-    """
-    edges = written(links.select("a", "b").where("a != b").distinct(), "edges")
-    while True:
-        both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = large.where("a != b").distinct()
-        down = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        lows = down.groupBy("a").agg(F.min("b").alias("m"))
-        small = down.join(lows, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").union(lows.select("a", F.col("m").alias("b"))).distinct()
-        after = written(small, "edges")
-        if after.exceptAll(edges).isEmpty() and edges.exceptAll(after).isEmpty():
-            break
-        edges = after
-    return edges.select(F.col("a").alias("digest"), F.col("b").alias("label")).union(edges.select(F.col("b").alias("digest"), F.col("b").alias("label")).distinct())
-
-
 def _labelled(nodes: DataFrame, labels: DataFrame) -> DataFrame:
     return nodes.join(labels, "digest", "left").withColumn("label", F.coalesce("label", "digest"))
 
@@ -309,7 +295,9 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     nodes = written(nodes.select("digest", F.col("first.doc_id").alias("first_id"), "copies", "n", "keys"), "nodes")
     buckets = nodes.select("digest", "n", F.explode("keys").alias("key"))
     centres = buckets.groupBy("key").agg(F.min(F.struct("digest", "n")).alias("c"), F.count(F.lit(1)).alias("members")).where("members > 1")
-    buckets = written(buckets.join(centres, "key").select("key", "digest", "n", F.col("c.digest").alias("a"), F.col("c.n").alias("an")), "buckets")
+    centres = written(centres, "centres")
+    total = centres.agg(F.sum("members")).first()[0] or 0
+    buckets = written(salted_lookup(buckets, centres.select("key", "c"), "key", centres.select("key", F.col("members").alias("n")), total, ["digest"]).select("key", "digest", "n", F.col("c.digest").alias("a"), F.col("c.n").alias("an")), "buckets")
     stars = buckets.where(F.col("digest") != F.col("a")).where(_sizes_near(F.col("n"), F.col("an"), threshold)).select("a", F.col("digest").alias("b")).distinct()
     stars = written(stars, "stars")
     links = verified(stars, nodes, docs, threshold)
@@ -319,7 +307,7 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     open_ = _labelled(buckets.select("key", "digest", "a"), labels)
     sizes = open_.groupBy("key", "label").agg(F.count(F.lit(1)).alias("c")).groupBy("key").agg(F.max_by("label", F.struct("c", "label")).alias("most"), F.max("c").alias("mains"), (F.sum("c") - F.max("c")).alias("others")).where("others > 0")
     sizes = written(sizes, "sizes")
-    open_ = open_.join(sizes.select("key", "most"), "key").select("key", "digest", "label", (F.col("label") == F.col("most")).alias("main"), (F.col("digest") == F.col("a")).alias("centre"))
+    open_ = _at_keys(open_, sizes, sizes.select("key", "most")).select("key", "digest", "label", (F.col("label") == F.col("most")).alias("main"), (F.col("digest") == F.col("a")).alias("centre"))
     if not sizes.isEmpty():
         more = across(open_, sizes, nodes, docs, threshold)
         if not more.isEmpty():

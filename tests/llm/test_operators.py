@@ -236,6 +236,35 @@ def test_redact_keeps_rows_and_columns(odd, none):
     assert "Zk81kdPq02mmXa91" not in text and "AKIA" not in text and "password = x" in text and text.count("[SECRET]") == 3
 
 
+SECRET_A, SECRET_B = "Zk81kdPq02mmXa91", "Qw91mdPz73kkLb20"
+
+
+@pytest.mark.parametrize(
+    ("text", "found"),
+    [
+        (f'password: str = "{SECRET_A}"\napi_token: str = "{SECRET_B}"', [SECRET_A, SECRET_B]),
+        (f'let client_secret: Option<String> = "{SECRET_A}";\nconst token: string | null = "{SECRET_B}"', [SECRET_A, SECRET_B]),
+        (f'val apiKey: String? = "{SECRET_A}"', [SECRET_A]),
+        (f'apiKey = cfg.get("{SECRET_A}", other("x"))', [SECRET_A]),
+        ('token = os.environ.get("API_TOKEN")', []),
+        (f'password = \'\'\'{SECRET_A}\'\'\'', [SECRET_A]),
+        (f"a:\n  password: |\n    {SECRET_A}\n\n    {SECRET_B}\n  other: {SECRET_B}", [SECRET_A, SECRET_B]),
+        (f"<user>x</user><password>{SECRET_A}</password>", [SECRET_A]),
+        (f'db.pass = "{SECRET_A}"', [SECRET_A]),
+        (f'if (token == "{SECRET_A}") pass', []),
+        (f'def f(password: str = "{SECRET_A}", n: int = 3): pass', [SECRET_A]),
+    ],
+)
+def test_syntaxes_of_assignments(text, found):
+    assert [text[a:b] for a, b, s in secrets.literals(text) if s >= secrets.THRESHOLD] == found
+
+
+def test_code_is_not_masked():
+    assert secrets.redacted(f'apiKey = cfg.get("{SECRET_A}")', "*") == 'apiKey = cfg.get("*")'
+    assert secrets.redacted(f'let client_secret: Option<String> = "{SECRET_A}"', "*") == 'let client_secret: Option<String> = "*"'
+    assert secrets.redacted('token = os.environ.get("API_TOKEN")', "*") == 'token = os.environ.get("API_TOKEN")'
+
+
 # 5 revisits
 
 
@@ -254,11 +283,11 @@ def test_revisits(spark):
         ("h", "revisit", None, at.format(8), head(etag='"1"'), None),
         (None, "revisit", "http://host.example/x", None, None, None),
     ]
-    schema = "record_id string, kind string, url string, date string, headers array<struct<name: string, value: string>>, payload string, status string, key int"
-    df = spark.createDataFrame([(*r, "clash", 1) for r in rows], schema).withColumn("date", F.to_timestamp("date"))
+    schema = "record_id string, kind string, url string, date string, headers array<struct<name: string, value: string>>, payload string, status string, key int, http_status int, profile string"
+    df = spark.createDataFrame([(*r, "clash", 1, None, None) for r in rows], schema).withColumn("date", F.to_timestamp("date")).withColumn("payload", F.encode("payload", "UTF-8"))
     got = warc.resolve(df).collect()
     assert Counter((r["record_id"], r["status"], r["refers_to"], r["payload"]) for r in got) == Counter(
-        [("c", "resolved", "a", "first"), ("d", "mismatch", None, None), ("e", "resolved", "b", "second"), ("e", "resolved", "b", "second"), ("f", "no_earlier", None, None), ("g", "no_validator", None, None), ("h", "no_earlier", None, None), (None, "no_earlier", None, None)]
+        [("c", "resolved", "a", b"first"), ("d", "mismatch", None, None), ("e", "resolved", "b", b"second"), ("e", "resolved", "b", b"second"), ("f", "no_earlier", None, None), ("g", "no_validator", None, None), ("h", "no_earlier", None, None), (None, "no_earlier", None, None)]
     )
     merged = next(r for r in got if r["record_id"] == "c")["headers"]
     assert {(h["name"], h["value"]) for h in merged} == {("cache-control", "new"), ("content-type", "t"), ("etag", 'W/"1"')}
@@ -269,7 +298,7 @@ def test_hot_url_is_cut_into_chunks(spark):
     """One URL holds most rows; the answer is that of a plain scan."""
     r = random.Random(5)
     rows = [(f"{'r' if full else 'v'}{i:04d}", "response" if full else "revisit", "http://h.example/hot" if r.random() < 0.7 else f"http://h.example/{i % 50}", i + 1, [("etag", '"e"')], "p" if full else None) for i in range(1500) for full in [r.random() < 0.1]]
-    df = spark.createDataFrame(rows, "record_id string, kind string, url string, t long, headers array<struct<name: string, value: string>>, payload string").withColumn("date", F.timestamp_seconds("t"))
+    df = spark.createDataFrame(rows, "record_id string, kind string, url string, t long, headers array<struct<name: string, value: string>>, payload string").withColumn("date", F.timestamp_seconds("t")).withColumn("payload", F.encode("payload", "UTF-8")).withColumn("http_status", F.lit(200)).withColumn("profile", F.lit(None).cast("string"))
     last, want = {}, {}
     for record, kind, url, _, _, _ in rows:
         if kind == "response":
@@ -291,7 +320,33 @@ def test_warc_file(spark, tmp_path):
     (tmp_path / "b.warc").write_bytes(b"".join(parts))
     for name in ("a.warc.gz", "b.warc"):
         got = warc.resolve(warc.read_warc(spark, str(tmp_path / name))).collect()
-        assert [(r["record_id"], r["status"], r["payload"]) for r in got] == [("<v>", "resolved", "hello\r\n\r\nworld")]
+        assert [(r["record_id"], r["status"], r["payload"]) for r in got] == [("<v>", "resolved", b"hello\r\n\r\nworld")]
+
+
+def test_only_full_responses_are_a_base(spark):
+    """A 404, a 206 and a redirect are no base, an identical-digest revisit isn't a not-modified one."""
+    one = lambda id_, kind, s, status, profile, payload=None: (id_, kind, "http://h.example/x?ref=main", s, status, profile, [("etag", '"1"')], payload)
+    rows = [one("full", "response", 1, 200, None, b"\xff\x00"), one("gone", "response", 2, 404, None, b"e"), one("part", "response", 3, 206, None, b"p"), one("moved", "response", 4, 301, None, b""), one("v", "revisit", 5, 304, "http://netpreserve.org/warc/1.1/revisit/server-not-modified"), one("w", "revisit", 6, 200, "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("o", "revisit", "http://h.example/x?ref=dev", 7, 304, None, [("etag", '"1"')], None)]
+    df = spark.createDataFrame(rows, "record_id string, kind string, url string, t long, http_status int, profile string, headers array<struct<name: string, value: string>>, payload binary").withColumn("date", F.timestamp_seconds("t"))
+    assert {(r["record_id"], r["status"], r["refers_to"], bytes(r["payload"] or b"")) for r in warc.resolve(df).collect()} == {("v", "resolved", "full", b"\xff\x00"), ("w", "other_profile", None, b""), ("o", "no_earlier", None, b"")}
+
+
+def test_odd_warc_files():
+    """Repeated fields stay apart, bytes are kept, bad dates are null, bad lengths and cut files end without an error."""
+    import gzip
+    import io
+
+    def record(kind="response", http=b"HTTP/1.1 404 Gone\r\nLink: a\r\nlink: b\r\nX: \xe9", body=b"\xff\x00", date="2020-01-01T00:00:00Z", length=None):
+        block = http + b"\r\n\r\n" + body
+        return f"WARC/1.1\r\nWARC-Type: {kind}\r\nWARC-Profile: p\r\nWARC-Date: {date}\r\nContent-Length: {len(block) if length is None else length}\r\n\r\n".encode() + block + b"\r\n\r\n"
+
+    read = lambda data: list(warc.parse_records(io.BytesIO(data)))
+    (r,) = read(record())
+    assert (r["http_status"], r["profile"], r["payload"], r["url"], [(h["name"], h["value"]) for h in r["headers"]]) == (404, "p", b"\xff\x00", None, [("link", "a"), ("link", "b"), ("x", "é")])
+    assert read(record(date="some day"))[0]["date"] is None and len(read(b"junk\r\n" + record() + record())) == 2
+    assert len(read(record() + record(length="many") + record())) == 1 and len(read(record() + record()[:-30])) == 1
+    packed = gzip.compress(record() * 3)
+    assert len(list(warc.parse_records(gzip.GzipFile(fileobj=io.BytesIO(packed[:-40]))))) <= 3 and list(warc.parse_records(gzip.GzipFile(fileobj=io.BytesIO(b"no gzip")))) == []
 
 
 # 6 merge-dropout
@@ -406,6 +461,70 @@ def test_toxicity_edge_cases(odd, none):
     assert toxicity.clean(odd, empty, 0.5).count() == odd.count()
 
 
+def labelled(n):
+    """Toxic texts hold most of six words, clean ones of six others; all share some more."""
+    r = random.Random(n)
+    words = lambda stem: [f"{stem}{k}" for k in range(6) if r.random() < 0.9]
+    return [(i, " ".join(words("bad" if i % 2 else "good") + [f"any{r.randrange(30)}" for _ in range(5)]), i % 2) for i in range(n)]
+
+
+@pytest.mark.parametrize("n", [10, 36, 44, 2000])
+def test_features_do_not_depend_on_the_size_of_the_sample(spark, n):
+    df = spark.createDataFrame(labelled(n), "doc_id int, text string, toxic int")
+    model = toxicity.train(df.select("doc_id", "text"), df.select("doc_id", "toxic"), rate=0.05)
+    assert len(model.weights) >= 6 and sum(w[:3] == "any" for w in model.weights) <= 3 and len(model.thetas) == 1
+    told = toxicity.score(df.select("doc_id", "text", F.lit("x").alias("Grade")), model).join(df.drop("text"), "doc_id").collect()
+    assert all((r["p_toxic"] >= 0.5) == (r["toxic"] == 1) and abs(r["expected_severity"] - r["p_toxic"]) < 1e-12 for r in told)
+
+
+def test_discoveries_are_those_of_the_plain_rule():
+    r = np.random.default_rng(2)
+    p, times = np.concatenate([r.random(300), r.random(30) * 1e-4]), r.integers(1, 5, 330)
+    each = np.sort(np.repeat(p, times))
+    under = [x for k, x in enumerate(each, 1) if x * len(each) <= 0.05 * k]
+    assert (toxicity.discoveries(p, times, 0.05) == (p <= max(under))).all()
+    assert not toxicity.discoveries(np.ones(3), np.ones(3, int), 0.05).any()
+    assert abs(toxicity.tails(np.array([5]), np.array([5]), 5, 10)[0] - 2 / 252) < 1e-12 and toxicity.tails(np.array([4]), np.array([2]), 5, 10)[0] == 1.0
+
+
+def test_training_on_odd_labels(spark):
+    """Repeated ids and labels are one example each, null labels none; few rows give a model or none, never an error."""
+    rows = labelled(40)
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows] * 3 + [(1, "other text of a repeated id"), (None, "x")], "doc_id int, text string")
+    labels = spark.createDataFrame([(i, g) for i, _, g in rows] * 2 + [(3, None), (999, 1), (None, 1)], "doc_id int, toxic int")
+    model = toxicity.train(docs, labels, rate=0.05)
+    assert sum(w[:3] != "any" for w in model.weights) >= 6
+    for n in (0, 1, 2, 3):
+        assert toxicity.train(docs, labels.limit(n)).weights == {}
+
+
+def test_three_given_grades_against_a_reference_fit(spark):
+    """The likelihood is that of a plain search over all parameters, the grades are those of the labels."""
+    r = random.Random(4)
+    rows = []
+    for i in range(300):
+        a, b = r.random() < 0.5, r.random() < 0.4
+        rows.append((i, " ".join(["w"] * 1 + ["alpha"] * a + ["beta"] * b), min(2, max(0, round(1.2 * a + 0.9 * b + r.gauss(-0.3, 0.5)))) * 10))
+    df = spark.createDataFrame(rows, "doc_id int, text string, level int")
+    model = toxicity.train(df, df, "level", rate=0.05)
+    assert set(model.weights) == {"alpha", "beta"} and len(model.thetas) == 2
+    x, y = np.array([["alpha" in t, "beta" in t] for _, t, _ in rows], float), np.array([g // 10 for _, _, g in rows])
+
+    def loss(v):
+        cum = np.column_stack([np.zeros(300), *(1 / (1 + np.exp(-(t - x @ v[:2]))) for t in (v[2], v[2] + np.exp(v[3]))), np.ones(300)])
+        return -np.log(cum[np.arange(300), y + 1] - cum[np.arange(300), y]).sum() + 0.05 * (v[:2] ** 2).sum()
+
+    best, step = np.zeros(4), 1.0
+    while step > 1e-5:  # a pattern search
+        moves = [best + step * s * np.eye(4)[k] for k in range(4) for s in (1, -1)]
+        lead = min(moves, key=loss)
+        best, step = (lead, step) if loss(lead) < loss(best) else (best, step / 2)
+    own = np.array([model.weights["alpha"], model.weights["beta"], model.thetas[0], np.log(model.thetas[1] - model.thetas[0])])
+    assert loss(own) <= loss(best) + 0.02
+    told = toxicity.score(df.select("doc_id", "text"), model).collect()
+    assert {r["grade"] for r in told} <= {0, 1, 2} and len({round(r["expected_severity"], 6) for r in told}) == 4
+
+
 # 8 licenses
 
 
