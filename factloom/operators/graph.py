@@ -6,7 +6,7 @@ import tempfile
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import skip_level
@@ -32,14 +32,23 @@ class Hop:
     reverse: bool = False
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``; one is made only in local sessions that name none (tests)."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named.rstrip("/")
+    if spark.sparkContext.getCheckpointDir() is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="factloom-"))
+    return spark.sparkContext.getCheckpointDir().rstrip("/")
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Cuts lineage in the folder of ``spark.checkpoint.dir``; one is made only in local sessions that name none (tests)."""
+    """Cuts lineage in the shared folder."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not named and not context.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="factloom-"))
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
 
@@ -182,19 +191,35 @@ def role_plan(predicates: DataFrame, types: DataFrame) -> DataFrame:
     return made.withColumn("error", error.when(c("has").isNull(), "no predicate from person to skill").when(c("needs").isNull(), "no predicate from project to skill"))
 
 
+def by_key(rows: DataFrame, lookup: DataFrame, key: str, spread: str, share: int = 1000) -> DataFrame:
+    """``rows`` with what ``lookup`` (one row a key) says of their key. Keys of over 1 / ``share`` of all rows are dealt to
+    several tasks: their lookup row is repeated, their rows go by the hash of ``spread``. At most ``share`` keys are that hot,
+    so that their list is broadcast."""
+    counts = rows.groupBy(key).agg(F.count(F.lit(1)).alias("__n"))
+    hot = checkpointed(counts.where(F.col("__n") > 1000))
+    if hot.isEmpty():
+        return rows.join(lookup, key)
+    step = max(1000, rows.count() // share)
+    hot = F.broadcast(hot.where(F.col("__n") > step).select(F.col(key).alias("__key"), F.ceil(F.col("__n") / step).cast("int").alias("__shares")))
+    left = rows.join(hot, F.col(key) == F.col("__key"), "left").withColumn("__salt", F.coalesce(F.pmod(F.xxhash64(spread), F.col("__shares")), F.lit(0)).cast("int")).drop("__key", "__shares")
+    right = lookup.join(hot, F.col(key) == F.col("__key"), "left").withColumn("__salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("__shares") - 1, F.lit(0))))).drop("__key", "__shares")
+    return left.join(right, [key, "__salt"]).drop("__salt")
+
+
 def closure(edges: DataFrame) -> DataFrame:
     """(id, root): the least id of each connected component of ``edges`` (a, b).
 
     Least labels spread along edges and through the labels themselves until nothing changes; each round is written
-    to the checkpoint folder, so that lineage stays short.
+    to the checkpoint folder, so that lineage stays short. As labels meet, many rows have one root, and a hub has many
+    edges: such keys are dealt to several tasks.
     """
     both = edges.select("a", "b").union(edges.select("b", "a")).distinct()
     both = checkpointed(both)
     roots = checkpointed(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("root")).withColumnRenamed("a", "id"))
     while True:  # labels only fall, and a path's length halves each round
-        near = both.join(roots.select(F.col("id").alias("b"), "root"), "b").groupBy(F.col("a").alias("id")).agg(F.min("root").alias("near"))
-        spread = roots.join(near, "id").select("id", F.least("root", "near").alias("root"))
-        jump = spread.join(roots.select(F.col("id").alias("root"), F.col("root").alias("far")), "root", "left").select("id", F.least("root", F.coalesce("far", "root")).alias("root"))
+        near = by_key(both, roots.select(F.col("id").alias("b"), "root"), "b", "a").groupBy(F.col("a").alias("id")).agg(F.min("root").alias("near"))
+        spread = checkpointed(roots.join(near, "id").select("id", F.least("root", "near").alias("root")))
+        jump = by_key(spread, roots.select(F.col("id").alias("root"), F.col("root").alias("far")), "root", "id").select("id", F.least("root", "far").alias("root"))
         after = checkpointed(jump)
         changed = after.join(roots.withColumnRenamed("root", "old"), "id").where("root != old")
         roots, done = after, changed.isEmpty()

@@ -18,9 +18,13 @@ def _best(events: DataFrame) -> DataFrame:
     return counts.groupBy("group").agg(F.max(F.struct("n", -F.col("t"))).alias("m")).select("group", (-F.col("m.col2")).alias("t"), F.col("m.n").alias("gain"))
 
 
-def _exceptions(rows: DataFrame, cap: int) -> DataFrame:
+def _exceptions(rows: DataFrame, cap: int, parts: int = 64) -> DataFrame:
+    """(group, missed, exceptions): how many rows (group, id) there are, and the first ``cap`` ids. The first of each of
+    ``parts`` shares of a group are found by themselves, then the first of those."""
     counts = rows.groupBy("group").agg(F.count(F.lit(1)).alias("missed"))
-    first = rows.withColumn("r", F.row_number().over(Window.partitionBy("group").orderBy("id"))).where(F.col("r") <= cap)
+    dealt = rows.select("group", "id", F.pmod(F.xxhash64("id"), F.lit(parts)).alias("part"))
+    first = dealt.withColumn("r", F.row_number().over(Window.partitionBy("group", "part").orderBy("id"))).where(F.col("r") <= cap)
+    first = first.withColumn("r", F.row_number().over(Window.partitionBy("group").orderBy("id"))).where(F.col("r") <= cap)
     listed = first.groupBy("group").agg(F.array_join(F.array_sort(F.collect_list("id")), ",").alias("exceptions"))
     return counts.join(listed, "group")
 

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import email_key, name_tokens
+from .graph import checkpointed, closure
 
 DELETED = "(deleted account)"  # fixed value: what stands for the name of an account that is gone
 
@@ -110,28 +111,79 @@ def approver_context(observed: DataFrame) -> DataFrame:
     return observed.groupBy("person").agg(count("assigned"), count("authored"), count("reviewed"))
 
 
-def supporters(grants: DataFrame, activity: DataFrame, roots: DataFrame) -> DataFrame:
+def nearest_accounts(activity: DataFrame, links: DataFrame) -> DataFrame:
+    """(person, project, via, steps): for each project that anybody of a person's accounts is active in, the account that a
+    breadth-first walk from the person over ``links`` (id, other, both ways) comes to first; neighbours in the order of
+    their ids. ``steps`` is how far it is, 0 for the person's own activity.
+
+    Walks go from the active accounts outwards, all at once: who is first reached at a step takes what the least of its
+    neighbours at the step before has, which is what its own walk finds. A row for each person and project, a join of the
+    last step's rows a round, as many rounds as the longest chain.
+    """
+    c = F.col
+    edges = checkpointed(links.select(c("id").alias("a"), c("other").alias("b")).where("a != b").distinct())
+    found = checkpointed(activity.select("person", "project").where("person is not null").distinct().select("person", "project", c("person").alias("via"), F.lit(0).alias("steps")))
+    last, steps = found, 0
+    while not last.isEmpty():
+        steps += 1
+        near = last.select(c("person").alias("b"), "project", "via").join(edges, "b").groupBy(c("a").alias("person"), "project").agg(F.min_by("via", "b").alias("via"))
+        last = checkpointed(near.join(found, ["person", "project"], "left_anti").withColumn("steps", F.lit(steps)))
+        found = found.unionByName(last)
+    return found
+
+
+def supporters(grants: DataFrame, activity: DataFrame, links: DataFrame) -> DataFrame:
     """(doc, project, person, via): grantees who are active in a project, by themselves (``via`` null) or by another
-    account of the same person, the one with the least id."""
-    root = lambda df: df.join(roots, F.col("person") == F.col("id"), "left").withColumn("who", F.coalesce("root", "person")).drop("id", "root")
-    active = root(activity).select("who", "project", F.col("person").alias("account")).distinct()
-    met = root(grants).select("doc", "person", "who").distinct().join(active, "who")
-    own = F.max(F.col("account") == F.col("person"))
-    return met.groupBy("doc", "project", "person").agg(F.when(~own, F.min("account")).alias("via"))
+    account of the same person, the nearest over ``links`` (id, other)."""
+    met = grants.select("doc", "person").distinct().join(nearest_accounts(activity, links), "person")
+    return met.select("doc", "project", "person", F.when(F.col("steps") > 0, F.col("via")).alias("via"))
 
 
-def document_projects(grants: DataFrame, activity: DataFrame, roots: DataFrame, resolvable: int = 3, share: float = 0.5) -> DataFrame:
-    """(doc, project, support, resolved, tier) from grants (doc, person), activity (person, project), roots (id, root).
+def document_projects(grants: DataFrame, activity: DataFrame, links: DataFrame, resolvable: int = 3, share: float = 0.5) -> DataFrame:
+    """(doc, project, support, resolved, tier) from grants (doc, person), activity (person, project), links (id, other).
 
     A grantee counts by the activity of all accounts of the same person. At least ``resolvable`` grantees must have
     any; a project needs ``share`` of them; tier is high for each project that all of them are active in.
     """
-    met = supporters(grants, activity, roots)
+    met = supporters(grants, activity, links)
     docs = met.groupBy("doc", "person").agg(F.count(F.lit(1)).alias("projects")).groupBy("doc").agg(F.count(F.lit(1)).alias("resolved")).where(F.col("resolved") >= resolvable)
     counts = met.groupBy("doc", "project").agg(F.count(F.lit(1)).alias("support")).join(docs, "doc").where(F.col("support") / F.col("resolved") >= share)
     return counts.select("doc", "project", "support", "resolved", F.when(F.col("support") == F.col("resolved"), "high").otherwise("ambiguous").alias("tier"))
 
 
+def identity_state(groups: DataFrame, stored: DataFrame, dismissed: DataFrame) -> DataFrame:
+    """(a, b, state) of persons' evidence against what is stored: ``groups`` (id, root) are those that evidence connects,
+    ``stored`` and ``dismissed`` pairs (a, b) in either order.
+
+    Every stored pair has a row: ``confirmed`` if evidence connects its ends, else ``unfounded``. What is stored connects a
+    group's members in parts; the part of the least person is proposed to be linked with each other part, by their least
+    persons: ``open``, or ``dismissed`` if that pair was. So each group has one row less than it has parts, whatever its size.
+    """
+    c = F.col
+    low, high = F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")
+    pairs = stored.select(low, high).where("a < b").distinct()
+    of = lambda key: groups.select(c("id").alias(key), c("root").alias(f"{key}_root"))
+    held = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left").select("a", "b", F.when(c("a_root") == c("b_root"), "confirmed").otherwise("unfounded").alias("state"))
+    parts = closure(pairs).withColumnRenamed("root", "part")
+    members = groups.join(parts, "id", "left").withColumn("part", F.coalesce("part", "id"))
+    leads = members.groupBy("root", "part").agg(F.min("id").alias("lead"))
+    proposed = leads.join(leads.groupBy("root").agg(F.min("lead").alias("first")), "root").where("lead != first").select(c("first").alias("a"), c("lead").alias("b"))
+    gone = dismissed.select(low, high, F.lit(True).alias("gone")).distinct()
+    return held.unionByName(proposed.join(gone, ["a", "b"], "left").select("a", "b", F.when(c("gone"), "dismissed").otherwise("open").alias("state")))
+
+
+def evidence_groups(people: DataFrame) -> DataFrame:
+    """(id, root) of persons (id, name, email, band) that evidence connects with others: who share an address, or a name of
+    two parts and more, with somebody of another band, directly or over others; root is the least of them."""
+    c = F.col
+    known = people.where(c("band").isNotNull() & (F.coalesce("name", F.lit("")) != DELETED))
+    parts = name_tokens(c("name"))
+    keys = F.array_compact(F.array(F.concat(F.lit("@"), email_key(c("email"))), F.when(F.size(parts) >= 2, F.concat(F.lit("="), F.array_join(parts, " ")))))
+    keyed = known.select("id", "band", F.explode(keys).alias("key"))
+    least = keyed.groupBy("key").agg(F.min("id").alias("first"), F.min("band").alias("low"), F.max("band").alias("high")).where("low != high")
+    return closure(keyed.join(least, "key").select(c("first").alias("a"), c("id").alias("b")))
+
+
 def overshared(tiers: DataFrame, floors: DataFrame) -> DataFrame:
     """(id, observed, required) of documents whose observed tier lies under the floor they require."""
     return tiers.join(floors, "id").where("observed < required").select("id", "observed", "required")

@@ -6,7 +6,7 @@ leaves is (subject, predicate, object, valid_from, source); its instant is null
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import BANDS, hash48, hex_id, person_band
@@ -184,11 +184,11 @@ def project_activity(events: DataFrame) -> DataFrame:
     return events.where("template in ('issue-assignee', 'comment-author')").select(F.explode("targets").alias("person"), F.col("group").alias("project")).distinct()
 
 
-def inference_candidates(log: DataFrame, events: DataFrame, roots: DataFrame, dismissed: DataFrame) -> DataFrame:
+def inference_candidates(log: DataFrame, events: DataFrame, dismissed: DataFrame) -> DataFrame:
     """(doc, project, support, resolved, tier, confirmed, dismissed, filled): documents' projects by what those with access
     do. ``filled`` ones, on which all agree, need no verdict; open ones come first, then by share."""
     grants = events.where("template = 'doc-access'").select(F.col("id").alias("doc"), F.explode("targets").alias("person"))
-    rows = people.document_projects(grants, project_activity(events), roots)
+    rows = people.document_projects(grants, project_activity(events), linked(log))
     stored = elements(log, "relates-to-project", "project").select(F.col("id").alias("doc"), "project", F.lit(True).alias("stored"))
     gone = dismissed.select("doc", "project", F.lit(True).alias("gone")).distinct()
     rows = rows.join(stored, ["doc", "project"], "left").join(gone, ["doc", "project"], "left")
@@ -236,8 +236,8 @@ def conformance_facts(decided: DataFrame) -> DataFrame:
 def top_matches(needs: DataFrame, has: DataFrame, k: int = 5) -> DataFrame:
     """(subject, candidate) of each subject's ``k`` candidates that meet most needs; of equals the smallest id."""
     met = needs.distinct().join(has.distinct(), "skill").groupBy("subject", "candidate").agg(F.count(F.lit(1)).alias("n"))
-    best = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("n"), "candidate"))), 1, k)  # a subject's candidates
-    return met.groupBy("subject").agg(best.alias("b")).select("subject", F.explode("b.candidate").alias("candidate"))
+    ranked = met.withColumn("r", F.row_number().over(Window.partitionBy("subject").orderBy(F.desc("n"), "candidate")))
+    return ranked.where(F.col("r") <= k).select("subject", "candidate")  # tasks keep k of each subject before they deal them out
 
 
 def mapping_score(gold: DataFrame, test: DataFrame) -> DataFrame:

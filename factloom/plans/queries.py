@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import functions as fn
 from ..operators import catalog, facts, graph, patterns, people
 from ..sources import events as sources
 from ..sources import schemas
+from ..streaming import guard, heads
 
 NOW = 1_600_000_000
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -85,6 +87,18 @@ def cf_late(spark, sf_dir):
     return facts.guarded_head(log(spark, sf_dir)).select("subject", "predicate", "op", "object", "valid_from")
 
 
+@query(f"WITH {LOG}, w AS (SELECT * FROM log QUALIFY row_number() OVER (PARTITION BY subject, predicate ORDER BY valid_from DESC, seq DESC) = 1) SELECT subject, predicate, op, object FROM w")
+def cf_late_stream(spark, sf_dir):
+    """The same by the guard over a stream, in four micro-batches by the hash of events: what the log then holds last."""
+    some = log(spark, sf_dir).withColumn("number", F.conv(F.substring("seq", 1, 15), 16, 10).cast("long")).drop("seq").withColumnRenamed("number", "seq")
+    folder = f"{graph.shared_folder(spark)}/factloom/guard-{uuid.uuid4().hex}"
+    some.select("seq", "op", "subject", "predicate", "object", "valid_from", "valid_to").repartition(4, "seq").write.parquet(f"{folder}/in")
+    guard.state_in_rocksdb(spark)
+    arrivals = spark.readStream.schema(spark.read.parquet(f"{folder}/in").schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    heads.ingest(guard.guarded(arrivals), f"{folder}/out", f"{folder}/state").awaitTermination()
+    return facts.raw_head(guard.log_of(spark.read.parquet(f"{folder}/out"))).select("subject", "predicate", "op", "object")
+
+
 @query(f"WITH {LOG}, e AS (SELECT * FROM log QUALIFY row_number() OVER (PARTITION BY subject, predicate, object ORDER BY seq DESC) = 1) SELECT subject, predicate, string_agg(object, ',' ORDER BY object) AS objects FROM e WHERE op = 'assert' GROUP BY ALL")
 def g_point_many(spark, sf_dir):
     head = facts.current(facts.raw_head(log(spark, sf_dir), facts.ELEMENT))
@@ -444,8 +458,39 @@ def in_docproj(spark, sf_dir):
     """Suppliers next to each other by number are one person."""
     grants = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("doc"), F.col("l_suppkey").alias("person")).distinct()
     activity = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("person"), (F.col("s_nationkey") % 3).alias("project"))
-    pairs = table(spark, sf_dir, "supplier").select((F.floor(F.col("s_suppkey") / 2) * 2).alias("a"), F.col("s_suppkey").alias("b"))
-    return people.document_projects(grants, activity, graph.closure(pairs))
+    pairs = table(spark, sf_dir, "supplier").where("s_suppkey % 2 = 1").select((F.col("s_suppkey") - 1).alias("id"), F.col("s_suppkey").alias("other"))
+    return people.document_projects(grants, activity, pairs.union(pairs.select("other", "id")))
+
+
+@query("""WITH p AS (SELECT s_suppkey AS x, s_suppkey // 5 AS blk, s_suppkey % 5 AS k, s_nationkey AS n FROM supplier),
+a AS (SELECT blk, k, n % 3 AS project FROM p WHERE k IN (0, 3)),
+w AS (SELECT p.x, a.project, p.blk * 5 + a.k AS via, least(abs(p.k - a.k), 5 - abs(p.k - a.k)) AS steps, a.k FROM p JOIN a USING (blk))
+SELECT x AS person, project, via, steps FROM w QUALIFY row_number() OVER (PARTITION BY x, project ORDER BY steps, k) = 1""")
+def in_via(spark, sf_dir):
+    """Suppliers by five are accounts of one person in a ring, of which two are active: the nearer one, of equals by the
+    lesser neighbour."""
+    k, s = F.col("s_suppkey") % 5, table(spark, sf_dir, "supplier")
+    ring = s.select(F.col("s_suppkey").alias("id"), F.when(k == 4, F.col("s_suppkey") - 4).otherwise(F.col("s_suppkey") + 1).alias("other"))
+    activity = s.where(k.isin(0, 3)).select(F.col("s_suppkey").alias("person"), (F.col("s_nationkey") % 3).alias("project"))
+    return people.nearest_accounts(activity, ring.union(ring.select("other", "id")))
+
+
+STATE = f"""{PAIRS}, nk AS (SELECT id, band, key FROM k WHERE tier = 'name'), ev AS (SELECT id, min(id) OVER (PARTITION BY key) AS root FROM nk QUALIFY min(band) OVER (PARTITION BY key) <> max(band) OVER (PARTITION BY key)),
+nx AS (SELECT id, lead(id) OVER (PARTITION BY root ORDER BY id) AS b, root FROM ev), st AS (SELECT id AS a, b FROM nx WHERE b IS NOT NULL AND id % 3 <> 0 UNION ALL SELECT id, id + 1000000 FROM people WHERE id % 50 = 7),
+pt AS (SELECT id, root, sum(cut) OVER (PARTITION BY root ORDER BY id) AS part FROM (SELECT id, root, CASE WHEN lag(id) OVER (PARTITION BY root ORDER BY id) % 3 = 0 THEN 1 ELSE 0 END AS cut FROM ev)),
+ld AS (SELECT root, part, min(id) AS lead FROM pt GROUP BY ALL)"""
+
+
+@query(STATE + """ SELECT a, b, CASE WHEN b = a + 1000000 THEN 'unfounded' ELSE 'confirmed' END AS state FROM st
+UNION ALL SELECT root, lead, CASE WHEN lead % 10 = 0 THEN 'dismissed' ELSE 'open' END FROM ld WHERE lead <> root""")
+def id_state(spark, sf_dir):
+    """All of part are persons; what is stored links most of them with the next one of their name."""
+    c = F.col
+    groups = graph.checkpointed(people.evidence_groups(persons(spark, sf_dir)))
+    follows = groups.withColumn("b", F.lead("id").over(Window.partitionBy("root").orderBy("id"))).where("b is not null and id % 3 != 0").select(c("id").alias("a"), "b")
+    strangers = table(spark, sf_dir, "part").where("p_partkey % 50 = 7").select(c("p_partkey").alias("a"), (c("p_partkey") + 10**6).alias("b"))
+    gone = groups.where("id % 10 = 0").select(c("id").alias("a"), c("root").alias("b"))
+    return people.identity_state(groups, follows.union(strangers), gone)
 
 
 @query("SELECT o_custkey AS person, nullif(count(*) FILTER (o_orderstatus = 'F'), 0) AS assigned, nullif(count(*) FILTER (o_orderstatus = 'O'), 0) AS authored, nullif(count(*) FILTER (o_orderstatus = 'P'), 0) AS reviewed FROM orders GROUP BY o_custkey")

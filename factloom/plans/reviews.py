@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import catalog, facts, graph, review
+from ..operators import catalog, facts, graph, people, review
 from ..sources import events as sources
 from .queries import HASH_SQL, query, seconds, table
 
@@ -212,11 +212,10 @@ inf AS (SELECT doc, project, count(*) AS support, resolved, CASE WHEN count(*) =
 
 
 def inferred(spark: SparkSession, sf_dir: str) -> DataFrame:
-    log = activity(spark, sf_dir)
-    roots = graph.closure(review.linked(log).select(F.col("id").alias("a"), F.col("other").alias("b")))
+    log = graph.checkpointed(activity(spark, sf_dir))
     events = graph.checkpointed(review.event_groups(log))
     gone = events.where("template = 'doc-access' and id % 5 = 1").select(F.col("id").alias("doc"), F.lit(PROJECT).cast("long").alias("project"))
-    return review.inference_candidates(log, events, roots, gone)
+    return review.inference_candidates(log, events, gone)
 
 
 @query(f"WITH {INFERRED} SELECT doc, project, support, resolved, tier, false AS confirmed, doc % 5 = 1 AND project = {PROJECT} AS dismissed, tier = 'high' AS filled FROM inf")
@@ -235,6 +234,16 @@ def in_batch(spark, sf_dir):
     return review.inference_facts(inferred(spark, sf_dir).where("doc % 2 = 0").withColumn("at", F.lit(9)))
 
 
+@query(f"""WITH {INFERRED}, l AS (SELECT subject AS a, object::BIGINT AS b FROM fa WHERE predicate = 'same-as' UNION SELECT object::BIGINT, subject FROM fa WHERE predicate = 'same-as')
+SELECT DISTINCT d.id AS doc, project, d.t AS person, via FROM ev d JOIN (SELECT person, project, NULL AS via FROM act UNION ALL SELECT a, project, min(b) FROM l JOIN act ON act.person = b WHERE NOT EXISTS (SELECT 1 FROM act x WHERE x.person = a AND x.project = act.project) GROUP BY a, project) n ON n.person = d.t WHERE template = 'doc-access'""")
+def in_support(spark, sf_dir):
+    """Who of a document's readers is active in a project, and by which account."""
+    log = graph.checkpointed(activity(spark, sf_dir))
+    events = graph.checkpointed(review.event_groups(log))
+    grants = events.where("template = 'doc-access'").select(F.col("id").alias("doc"), F.explode("targets").alias("person"))
+    return people.supporters(grants, review.project_activity(events), review.linked(log))
+
+
 @query(f"WITH {INFERRED} SELECT person, project FROM act")
 def ag_activity(spark, sf_dir):
     return review.project_activity(review.event_groups(activity(spark, sf_dir)))

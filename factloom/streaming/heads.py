@@ -30,3 +30,25 @@ def reset_log(spark: SparkSession, log_path: str, confirm: bool) -> None:
         raise ValueError("a log is wiped only with confirm=True")
     columns = spark.read.parquet(log_path).drop("batch").schema
     spark.createDataFrame([], columns).write.mode("overwrite").parquet(log_path)
+
+
+def ingest(items: DataFrame, log_path: str, checkpoint: str, once: bool = True) -> StreamingQuery:
+    """Appends micro-batches to a log that commits each as a whole: the sink's own record of committed batches is what
+    readers go by, a batch that runs again is the same batch, and what a killed run left is not seen."""
+    q = items.writeStream.format("parquet").option("path", log_path).option("checkpointLocation", checkpoint)
+    return (q.trigger(availableNow=True) if once else q.trigger(processingTime="15 seconds")).start()
+
+
+def reset_item(seq: int, confirm: bool) -> dict:
+    """The write that wipes a log: readers see nothing of what was written before it. It is committed as any other, so that
+    they see all of the log or none. Only ``confirm=True`` makes one."""
+    if confirm is not True:
+        raise ValueError("a log is wiped only with confirm=True")
+    return {"seq": seq, "op": "reset"}
+
+
+def read_log(spark: SparkSession, log_path: str) -> DataFrame:
+    """The committed items of a log that were written after its last reset."""
+    log = spark.read.parquet(log_path)
+    last = log.where("op = 'reset'").agg(F.max("seq").alias("__reset"))  # one row
+    return log.where("op != 'reset'").join(F.broadcast(last)).where("__reset is null or seq > __reset").drop("__reset")

@@ -108,7 +108,7 @@ def test_approvals_name_the_listed_phrase(spark):
 def test_inference_tiers(spark):
     grants = spark.createDataFrame([(1, p) for p in (10, 11, 12)] + [(2, p) for p in (10, 11, 13)] + [(3, 10)], "doc long, person long")
     activity = spark.createDataFrame([(10, 5), (11, 5), (20, 5), (13, 6)], "person long, project long")
-    roots = graph.closure(spark.createDataFrame([(12, 20)], "a long, b long"))
+    roots = spark.createDataFrame([(12, 20), (20, 12)], "id long, other long")
     got = sorted(map(tuple, people.document_projects(grants, activity, roots).collect()))
     assert got == [(1, 5, 3, 3, "high"), (2, 5, 2, 3, "ambiguous")]
     both = spark.createDataFrame([(p, q) for p in (10, 11, 12) for q in (5, 6)], "person long, project long")
@@ -304,3 +304,42 @@ def test_roles_of_a_mapping_without_predicates_or_types(spark):
     predicates = spark.createDataFrame([(2, 1, "p", "e", "s", "one", None, None)], "mapping int, ord int, name string, from string, to string, cardinality string, properties array<string>, valid_end string")
     by = {r["mapping"]: (r["has"], r["assigned"], r["error"]) for r in graph.role_plan(predicates, types).collect()}
     assert by == {1: (None, [], "no predicate from person to skill"), 2: (None, [], "skills aren't entities")}
+
+
+def test_supporters_are_the_first_by_breadth(spark):
+    """Chains, stars and rings: what a plain walk from each person finds first."""
+    import random
+
+    for seed in range(3):
+        r = random.Random(seed)
+        edges = [(i, i + 1) for i in range(1, 8)] + [(20, 20 + k) for k in range(1, 6)] + [(30 + k, 30 + (k + 1) % 6) for k in range(6)] + [(r.randrange(40, 60), r.randrange(40, 60)) for _ in range(25)]
+        active = {(p, r.randrange(3)) for p in r.sample(range(1, 60), 12)}
+        near = {}
+        for a, b in edges:
+            near.setdefault(a, set()).add(b)
+            near.setdefault(b, set()).add(a)
+        want = {}
+        for start in range(1, 60):
+            order, steps = [start], {start: 0}
+            for x in order:
+                for y in sorted(near.get(x, ())):
+                    if y not in steps:
+                        steps[y] = steps[x] + 1
+                        order.append(y)
+            for x in order:
+                for p, q in sorted(active):
+                    if p == x and (start, q) not in want:
+                        want[start, q] = (x, steps[x])
+        links = spark.createDataFrame([e for a, b in edges for e in ((a, b), (b, a))], "id long, other long")
+        got = people.nearest_accounts(spark.createDataFrame(sorted(active), "person long, project long"), links)
+        assert {(x["person"], x["project"]): (x["via"], x["steps"]) for x in got.collect()} == want
+
+
+def test_identities_against_what_is_stored(spark):
+    rows = [(1, "Ann Lee", None, "hr"), (2, "lee ann", "a@x", "issues"), (3, "Ann", "A@X", "drive"), (4, "Bo Ek", None, "hr"), (5, "Bo Ek", None, "hr"), (6, "Cy Or", None, "hr"), (7, "Cy Or", None, "drive")]
+    groups = people.evidence_groups(spark.createDataFrame(rows, "id long, name string, email string, band string"))
+    assert {tuple(x) for x in groups.collect()} == {(1, 1), (2, 1), (3, 1), (6, 6), (7, 6)}
+    pair = lambda *p: spark.createDataFrame(list(p), "a long, b long")
+    state = lambda stored, gone: {tuple(x) for x in people.identity_state(groups, stored, gone).collect()}
+    assert state(pair((3, 2), (4, 5), (3, 2)), pair((7, 6))) == {(2, 3, "confirmed"), (4, 5, "unfounded"), (1, 2, "open"), (6, 7, "dismissed")}
+    assert state(pair((1, 3), (2, 3), (6, 7)), pair()) == {(1, 3, "confirmed"), (2, 3, "confirmed"), (6, 7, "confirmed")}
