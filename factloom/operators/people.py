@@ -3,13 +3,11 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import email_key, name_tokens
+from ..functions import email_key, name_tokens, snippet
 from .graph import checkpointed, closure
 
 DELETED = "(deleted account)"  # fixed value: what stands for the name of an account that is gone
@@ -54,55 +52,48 @@ def undecided(pairs: DataFrame, dismissed: DataFrame) -> DataFrame:
     return pairs.join(dismissed, ["a", "b"], "left_anti")
 
 
-# Phrases of formal consent and softer ones, in the order in which they are tried; what after a hit makes its
-# sentence a question; words that, earlier in the sentence, deny or condition it.
+# Phrases of formal consent and softer ones, in the order in which they are tried; what denies or conditions
+# the rest of its sentence; what ends a sentence.
 FORMAL = ("承認します", "承認いたします", "承認しました", "承認です", "LGTM", "approve", "approved", "approval granted")
 SOFTER = ("問題ありません", "問題ないです", "大丈夫です", "OKです", "異議ありません", "進めてください", "進めていただいて")
-ASKED = re.compile(r"か(?!ら)|[^。.!！\n]*[?？]")
-DENYING = ("not", "never", "cannot", "can'?t", "don'?t", "doesn'?t", "didn'?t", "won'?t", "isn'?t", "wouldn'?t", "shouldn'?t", "unless", "if")
-CONDITIONS = ("なければ", "れば", "たら", "ならば", "なら")
+DENIED = r"(?i)(?<![A-Za-z0-9_])(?:not|never|cannot|can'?t|don'?t|doesn'?t|didn'?t|won'?t|isn'?t|wouldn'?t|shouldn'?t|unless|if)(?![A-Za-z0-9_])|なければ|れば|たら|ならば|なら"
 ENDS = "。.!?！？\n"
 AROUND = 40
 
-_DENIED = re.compile(rf"(?<![A-Za-z0-9_])(?:{'|'.join(DENYING)})(?![A-Za-z0-9_])|{'|'.join(CONDITIONS)}", re.I)
 
+def sentences(text: Column) -> Column:
+    """A text's sentences with their ends: struct<s, at (code points before it), open (code points before its first denial or
+    condition), asked (whether it ends as a question)>."""
+    cut = F.filter(F.split(text, f"(?<=[{ENDS}])"), lambda x: x != "")
+    told = F.transform(cut, lambda x: F.struct(x.alias("s"), F.length(F.get(F.split(x, DENIED, 2), 0)).alias("open"), x.rlike(r"[?？]\z").alias("asked")))
+    sized = F.struct(F.array().cast("array<struct<s: string, at: int, open: int, asked: boolean>>").alias("all"), F.lit(0).alias("at"))
+    placed = F.aggregate(told, sized, lambda done, x: F.struct(F.concat(done["all"], F.array(F.struct(x["s"].alias("s"), done["at"].alias("at"), x["open"].alias("open"), x["asked"].alias("asked")))).alias("all"), (done["at"] + F.length(x["s"])).alias("at")))
+    return placed["all"]
 
-def _clean(text: str, start: int, end: int) -> bool:
-    """Whether a hit is neither asked nor denied nor conditional in its own sentence."""
-    begin = max(text.rfind(c, 0, start) for c in ENDS) + 1
-    return not ASKED.match(text, end) and not _DENIED.search(text[begin:start])
 
-
-def _places(text: str, phrase: str) -> Iterator[tuple[int, int]]:
-    """Where a phrase stands: as words in either case if it is ASCII, else as it is, hits that overlap too."""
-    if phrase.isascii():
-        yield from (m.span() for m in re.finditer(rf"(?<![A-Za-z0-9_]){re.escape(phrase)}(?![A-Za-z0-9_])", text, re.I | re.A))
-        return
-    at = text.find(phrase)
-    while at >= 0:
-        yield at, at + len(phrase)
-        at = text.find(phrase, at + 1)
-
-
-def approval(text: str, formal: tuple[str, ...] = FORMAL, softer: tuple[str, ...] = SOFTER) -> tuple[str, str, int, int] | None:
-    """(tier, phrase as listed, start, end) of the first clean hit of the first phrase that has one, formal ones first."""
-    for tier, phrases in (("formal", formal), ("euphemism", softer)):
-        for phrase in phrases:
-            if hit := next((x for x in _places(text, phrase) if _clean(text, *x)), None):
-                return tier, phrase, *hit
-    return None
+def _pattern(phrase: str) -> str:
+    """A phrase as words in either case if it is ASCII, else as it is; not one that a particle makes a question."""
+    quoted = re.escape(phrase)
+    return (rf"(?i)(?<![A-Za-z0-9_]){quoted}(?![A-Za-z0-9_])" if phrase.isascii() else quoted) + "(?!か(?!ら))"
 
 
 def approvals(comments: DataFrame, formal: tuple[str, ...] = FORMAL, softer: tuple[str, ...] = SOFTER) -> DataFrame:
-    """(id, tier, phrase, snippet) of comments (id, text) that approve."""
-
-    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            found = [(i, t, *hit) for i, t in zip(b["id"], b["text"]) if (hit := approval(t, formal, softer))]
-            yield pd.DataFrame([(i, tier, phrase, t[max(0, start - AROUND) : end + AROUND]) for i, t, tier, phrase, start, end in found], columns=["id", "tier", "phrase", "snippet"])
-
-    some = "|".join(f"(?i){re.escape(p)}" for p in (*formal, *softer))
-    return comments.where(F.col("text").rlike(some)).select("id", "text").mapInPandas(each, "id long, tier string, phrase string, snippet string")
+    """(id, tier, phrase, snippet) of comments (id, text) that approve: by the first phrase in the lists that stands in any
+    sentence which isn't asked, before whatever denies or conditions its rest. ``phrase`` is as listed; the snippet is of its
+    first such place. Built-in functions only; comments without any phrase are left out before they are cut up."""
+    c = F.col
+    listed = [("formal", p) for p in formal] + [("euphemism", p) for p in softer]
+    some = comments.where(c("text").rlike("|".join(f"(?:{_pattern(p)})" for _, p in listed)))
+    cut = some.select("id", "text", F.inline(F.array(F.struct(sentences(c("text")).alias("parts")))))
+
+    def place(phrase: str) -> Column:
+        at = lambda x: F.split(x["s"], _pattern(phrase), 2)
+        clean = F.filter("parts", lambda x: ~x["asked"] & (F.size(at(x)) == 2) & (F.length(F.get(at(x), 0)) <= x["open"]))
+        return F.get(F.transform(clean, lambda x: x["at"] + F.length(F.get(at(x), 0))), 0)
+
+    tried = F.array(*[F.struct(F.lit(tier).alias("tier"), F.lit(p).alias("phrase"), place(p).alias("at"), F.lit(len(p)).alias("n")) for tier, p in listed])
+    hits = cut.select("id", "text", F.inline(F.slice(F.filter(tried, lambda x: x["at"].isNotNull()), 1, 1)))
+    return hits.select("id", "tier", "phrase", snippet(c("text"), c("at"), c("n"), AROUND).alias("snippet"))
 
 
 def approver_context(observed: DataFrame) -> DataFrame:

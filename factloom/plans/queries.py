@@ -93,9 +93,12 @@ def cf_late_stream(spark, sf_dir):
     some = log(spark, sf_dir).withColumn("number", F.conv(F.substring("seq", 1, 15), 16, 10).cast("long")).drop("seq").withColumnRenamed("number", "seq")
     folder = f"{graph.shared_folder(spark)}/factloom/guard-{uuid.uuid4().hex}"
     some.select("seq", "op", "subject", "predicate", "object", "valid_from", "valid_to").repartition(4, "seq").write.parquet(f"{folder}/in")
+    provider = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(provider)
     guard.state_in_rocksdb(spark)
     arrivals = spark.readStream.schema(spark.read.parquet(f"{folder}/in").schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
     heads.ingest(guard.guarded(arrivals), f"{folder}/out", f"{folder}/state").awaitTermination()
+    spark.conf.set(provider, before)
     return facts.raw_head(guard.log_of(spark.read.parquet(f"{folder}/out"))).select("subject", "predicate", "op", "object")
 
 
@@ -350,9 +353,17 @@ def an_pattern(spark, sf_dir):
     return patterns.mine(pattern_events(spark, sf_dir), 0.3)
 
 
-@query(MINE.format(events=PATTERN_EVENTS, share=0.8))
+STRICT_EVENTS = "ev AS (SELECT c_nationkey AS grp, o_orderkey AS id, CASE WHEN c_nationkey % 3 = 0 THEN CASE o_orderkey % 6 WHEN 0 THEN 1000 + o_orderkey % 100 WHEN 1 THEN c_nationkey + 100 ELSE c_nationkey END WHEN o_orderkey % CASE c_nationkey % 3 WHEN 1 THEN 4 ELSE 8 END = 0 THEN 1000 + o_orderkey % 100 ELSE c_nationkey END::BIGINT AS t, floor(epoch(o_orderdate))::BIGINT AS atx FROM orders JOIN customer ON c_custkey = o_custkey)"
+
+
+@query(MINE.format(events=STRICT_EVENTS, share=0.8))
 def an_pattern_strict(spark, sf_dir):
-    return patterns.mine(pattern_events(spark, sf_dir))
+    """A third of the nations is covered by two targets, a third by one, and the rest by none."""
+    n, k = F.col("c_nationkey"), F.col("o_orderkey")
+    rare = 1000 + k % 100
+    target = F.when(n % 3 == 0, F.when(k % 6 == 0, rare).when(k % 6 == 1, n + 100).otherwise(n)).when(k % F.when(n % 3 == 1, 4).otherwise(8) == 0, rare).otherwise(n)
+    rows = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    return patterns.mine(rows.select(n.alias("group"), k.alias("id"), F.array(target.cast("long")).alias("targets"), seconds("o_orderdate").alias("at")))
 
 
 @query(MINE.format(events="ev AS (SELECT l_suppkey AS grp, l_orderkey * 10 + l_linenumber AS id, ascii(l_linestatus)::BIGINT AS t, floor(epoch(l_shipdate))::BIGINT AS atx FROM lineitem)", share=0.8))
@@ -652,11 +663,18 @@ def rr_facts(spark, sf_dir):
     return catalog.review_facts(made, made.select("id", F.lit("document").alias("kind"), F.col("key").cast("long").alias("node")))
 
 
-@query()
+# Texts are cut into sentences with their ends. The first phrase counts that a sentence holds which isn't asked, before any
+# denial in it; these phrases and denials are words of the invented prose or of English.
+PHRASES = {"formal": ("the", "des"), "softer": ("and", "von")}
+CONSENT = r"""se AS (SELECT id, unnest(regexp_extract_all(text, '[^。.!?！？\n]*[。.!?！？\n]?')) AS s FROM co WHERE text IS NOT NULL),
+ph(o, tier, phrase) AS (VALUES (1, 'formal', 'the'), (2, 'formal', 'des'), (3, 'euphemism', 'and'), (4, 'euphemism', 'von')),
+ap AS (SELECT id, tier, phrase FROM se JOIN ph ON regexp_matches(split_part(regexp_replace(s, '(?i)\b(not|never|cannot|can''?t|don''?t|doesn''?t|didn''?t|won''?t|isn''?t|wouldn''?t|shouldn''?t|unless|if)\b', chr(1)), chr(1), 1), '(?i)\b' || phrase || '\b') AND NOT (s LIKE '%?' OR s LIKE '%？') QUALIFY row_number() OVER (PARTITION BY id ORDER BY o) = 1)"""
+
+
+@query(f"WITH co AS (SELECT conv_id * 1000 + turn AS id, text FROM conversations), {CONSENT} SELECT * FROM ap")
 def ap_match(spark, sf_dir):
-    """With phrases that the invented conversations hold."""
     c = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "text")
-    return people.approvals(c, formal=("the", "des"), softer=("and", "von"))
+    return people.approvals(c, **PHRASES).drop("snippet")
 
 
 DDL = """CREATE TABLE region (r_regionkey INT PRIMARY KEY, r_name TEXT); -- five rows

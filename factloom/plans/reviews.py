@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import catalog, facts, graph, people, review
 from ..sources import events as sources
-from .queries import HASH_SQL, query, seconds, table
+from .queries import CONSENT, HASH_SQL, PHRASES, query, seconds, table
 
 PERSON, PROJECT, ISSUE, COMMENT = (k * 10**12 for k in (1, 2, 3, 4))
 DOCUMENT, FOLDER, DRIVE = (k * 2**48 for k in (5, 6, 7))
@@ -164,21 +164,28 @@ def id_confirm(spark, sf_dir):
     return review.identity_facts(chosen).drop("valid_from")
 
 
-# Approvals: phrases that the invented conversations hold; what is asked or denied is told by expressions, not in SQL.
+# Approvals: with phrases that the invented conversations hold
 
-PHRASES = {"formal": ("the", "des"), "softer": ("and", "von")}
+FOUND = f"""{ACTIVITY}, co AS (SELECT subject AS id, object AS text, valid_from AS tm FROM fa WHERE predicate = 'content'), {CONSENT},
+cd AS (SELECT ap.id AS comment, i.object::BIGINT AS issue, b.object::BIGINT AS approver, n.object AS approver_name, NULL::VARCHAR AS summary, co.tm AS "at", ap.phrase, ap.tier, coalesce(y.object = b.object, false) AS confirmed, ap.id % 10 = 3 AS dismissed
+FROM ap JOIN co USING (id) JOIN fa i ON i.subject = ap.id AND i.predicate = 'on-issue' JOIN fa b ON b.subject = ap.id AND b.predicate = 'commented-by' LEFT JOIN fa n ON n.subject = b.object::BIGINT AND n.predicate = 'name' LEFT JOIN fa y ON y.subject = i.object::BIGINT AND y.predicate = 'approved-by'),
+rk AS (SELECT *, CASE WHEN confirmed THEN 2 WHEN dismissed THEN 4 ELSE 0 END + CASE WHEN tier = 'formal' THEN 0 ELSE 1 END AS rank FROM cd)"""
 
 
-@query()
-def ap_find(spark, sf_dir):
+def found(spark: SparkSession, sf_dir: str) -> DataFrame:
     log = activity(spark, sf_dir)
     gone = review.nodes(log, "on-issue", "issue").where("id % 10 = 3").select(F.col("id").alias("comment"), "issue")
     return review.approval_candidates(log, gone, **PHRASES)
 
 
-@query()
+@query(f"WITH {FOUND} SELECT * FROM rk")
+def ap_find(spark, sf_dir):
+    return found(spark, sf_dir).drop("snippet")
+
+
+@query(f"WITH {FOUND} SELECT comment, issue, approver, tier, rank, \"at\" FROM rk")
 def ap_rank(spark, sf_dir):
-    return ap_find(spark, sf_dir).select("comment", "issue", "approver", "tier", "rank", "at").orderBy("rank", F.desc("at"))
+    return found(spark, sf_dir).select("comment", "issue", "approver", "tier", "rank", "at").orderBy("rank", F.desc("at"))
 
 
 @query(f"""WITH {ACTIVITY}, c AS (SELECT object::BIGINT AS id, nullif(count(*) FILTER (predicate = 'commented-by'), 0) AS comments, nullif(count(*) FILTER (predicate = 'assigned-to'), 0) AS assigned, nullif(count(*) FILTER (predicate = 'created-by'), 0) AS created FROM fa WHERE predicate IN ('commented-by', 'assigned-to', 'created-by') GROUP BY ALL),

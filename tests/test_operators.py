@@ -88,16 +88,18 @@ def test_identities(spark):
     assert sorted(map(tuple, got)) == [(1, 2, "email"), (1, 3, "name")]
 
 
-@pytest.mark.parametrize(
-    ("text", "tier"),
-    [
+APPROVING = [
         ("承認します", "formal"), ("LGTM!", "formal"), ("承認しますか", None), ("承認しますから", "formal"), ("not approved", None), ("not approved. Now approved", "formal"), ("進めてください, approved", "formal"), ("disapproved", None), ("未承認", None),
         ("修正いただければ承認します", None), ("Is this approved by finance?", None), ("If the tests pass this is approved", None), ("I never approved it", None), ("don't think this is approved", None), ("承認いただけますか", None),
         ("大丈夫です", "euphemism"), ("OKです", "euphemism"), ("異議ありません", "euphemism"), ("大丈夫ですか？はい、大丈夫です。", "euphemism"), ("looks good", None),
-    ],
-)
-def test_approvals(text, tier):
-    assert (people.approval(text) or (None,))[0] == tier
+    ("大丈夫ですか。了解、承認しました？いいえ。OKです", "euphemism"), ("unless approved. lgtm", "formal"), ("approved if tests pass", "formal"), ("", None), (None, None), ("Approve? approve.", "formal"),
+]
+
+
+def test_approvals(spark):
+    rows = spark.createDataFrame([(k, t) for k, (t, _) in enumerate(APPROVING)], "id int, text string")
+    got = {r["id"]: r["tier"] for r in people.approvals(rows).collect()}
+    assert {APPROVING[k][0]: got.get(k) for k in range(len(APPROVING))} == dict(APPROVING)
 
 
 def test_approvals_name_the_listed_phrase(spark):
