@@ -13,22 +13,24 @@ Only what can't reach the threshold is left out. Dice of a and t bigrams is at m
 between theta / (2 - theta) and (2 - theta) / theta times a template's bigrams; and a text that doesn't hold that share
 of a template's bigrams anywhere has no run like it, which anchor words tell before any bigram is made.
 
-Null and empty texts have no unit. Very long texts are searched whole. Rows that repeat are reported each, so are rows
+Null and empty texts have no unit. Very long texts are searched whole, in parts of PART words: each with so many of the
+next part's that no run which begins in it is cut, so that the work grows with the text's length. Rows that repeat are reported each, so are rows
 that share an id; null ids are ids. Other columns are not read, whatever their names; an empty table gives no row.
 """
 
 from __future__ import annotations
 
 import functools
+import math
 import re
 from collections import Counter
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import bound, text_of
 
-THRESHOLD = 0.8
+THRESHOLD, PART = 0.8, 4096
 
 # Words too common to be anchors unless nothing else is left.
 COMMON = {"a", "an", "and", "any", "as", "be", "by", "can", "for", "in", "is", "of", "on", "or", "that", "the", "this", "to", "was", "will", "with", "you"}
@@ -90,75 +92,103 @@ def anchors(templates: dict[str, str], threshold: float) -> list[str]:
     return sorted(chosen)
 
 
+NAMED = ["row", "doc_id", "part", "offset", "own", "cut"]
+
+
 def words(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
 
 
-def candidates(docs: DataFrame, templates: dict[str, str], threshold: float) -> DataFrame:
-    """(row, doc_id, license, size, hits, starts, ends) of each text and template whose least share it holds somewhere.
-
-    ``hits`` are the text's bigrams that the template has, ``n`` times there: struct<gram, n, last, i>, the line in which
-    it ends and its place. ``starts`` are the lines in which one begins, with the place of the line's first bigram,
+def parts(docs: DataFrame, templates: dict[str, str], threshold: float, part: int = PART) -> DataFrame:
+    """(row, doc_id, part, offset, own, cut, lines) of texts that hold an anchor: their lines as words, those of long texts in
+    parts. ``offset`` is the first line's number, ``own`` how many lines are the part's own, before those of the next one;
+    ``cut`` says that there may be others."""
+    c = F.col
+    needed = anchors(templates, threshold)
+    longest = math.ceil(max((template_bigrams(t).total() for t in templates.values()), default=0) * (2 - threshold) / threshold) + 2
+    part = max(part, longest)
+    holds = bound(F.lower(text_of()), lambda t: functools.reduce(lambda a, b: a | b, [F.contains(t, F.lit(a)) for a in needed]))
+    # A number for each row in each step: with it, no step is merged into the next and computed again there.
+    one = F.monotonically_increasing_id()
+    rows = docs.select("doc_id", text_of().alias("text")).where(holds)
+    rows = rows.select(one.alias("row"), "doc_id", F.transform(F.split("text", "\n", -1), words).alias("lines"))
+    count = F.aggregate("lines", F.lit(0), lambda n, x: n + F.size(x))
+    rows = rows.select(one, "row", "doc_id", "lines", (count > part).alias("cut"))
+    whole = rows.where(~c("cut")).select("row", "doc_id", F.lit(0).cast("long").alias("part"), F.lit(0).alias("offset"), F.size("lines").alias("own"), "cut", "lines")
+    each = rows.where("cut").select("row", "doc_id", F.posexplode("lines").alias("line", "w"))
+    before = F.coalesce(F.sum(F.size("w")).over(Window.partitionBy("row").orderBy("line").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    each = each.withColumn("before", before).withColumn("part", F.floor(c("before") / part))
+    also = F.when((c("part") > 0) & (c("before") - c("part") * part < longest), F.array(c("part") - 1)).otherwise(F.array().cast("array<bigint>"))
+    dealt = each.select("row", "doc_id", "line", "w", c("part").alias("mine"), F.explode(F.concat(F.array("part"), also)).alias("part"))
+    grouped = dealt.groupBy("row", "doc_id", "part").agg(F.sort_array(F.collect_list(F.struct("line", "w"))).alias("x"), F.count_if(c("mine") == c("part")).cast("int").alias("own"))
+    return whole.unionByName(grouped.where("own > 0").select("row", "doc_id", "part", F.get("x.line", F.lit(0)).alias("offset"), "own", F.lit(True).alias("cut"), c("x.w").alias("lines")))
+
+
+def candidates(some: DataFrame, templates: dict[str, str], threshold: float) -> DataFrame:
+    """``parts`` with (license, size, hits, starts, ends) for each template whose least share they hold somewhere.
+
+    ``hits`` are the part's bigrams that the template has, ``n`` times there: struct<gram, n, last, i>, the line in which
+    it ends and its place. ``starts`` are the own lines in which one begins, with the place of the line's first bigram,
     ``ends`` those in which one ends, with the place of the last bigram that does.
     """
     c, low = F.col, threshold / (2 - threshold)
-    needed = anchors(templates, threshold)
-    holds = bound(F.lower(text_of()), lambda t: functools.reduce(lambda a, b: a | b, [F.contains(t, F.lit(a)) for a in needed]))
     struct = lambda name, g: F.struct(F.lit(name).alias("license"), F.lit(g.total()).alias("size"), F.array(*map(F.lit, g)).alias("grams"), F.array(*map(F.lit, g.values())).alias("times"))
     known = F.array(*[struct(name, template_bigrams(text)) for name, text in sorted(templates.items())])
-    # A number for each row in each step: with it, no step is merged into the next and computed again there.
     one = F.monotonically_increasing_id()
-    rows = docs.select("doc_id", text_of().alias("text")).where(holds)
-    rows = rows.select(one, "doc_id", F.transform(F.split("text", "\n", -1), words).alias("lines"))
+    rows = some.select(one, *NAMED, "lines")
     flat = F.flatten("lines")
     grams = bound(flat, lambda w: F.slice(F.zip_with(w, F.slice(w, F.lit(2), F.size(w)), lambda a, b: F.concat_ws(" ", a, b)), F.lit(1), F.greatest(F.size(w) - 1, F.lit(0))))
     line_of = F.flatten(F.transform("lines", lambda x, i: F.array_repeat(i, F.size(x))))
-    rows = rows.select(one, "doc_id", "lines", grams.alias("all"), line_of.alias("line_of"))
+    rows = rows.select(one, *NAMED, "lines", grams.alias("all"), line_of.alias("line_of"))
     # Of a bigram that a template has n times, a text's share counts n if it holds it at all: never less than it has.
     share = lambda t: F.aggregate(F.array_intersect("all", t["grams"]), F.lit(0), lambda n, g: n + F.get(t["times"], F.array_position(t["grams"], g).cast("int") - 1))
     able = F.filter(known, lambda t: share(t) >= F.ceil(t["size"] * low - 1e-9))
-    rows = rows.select(one.alias("row"), "doc_id", "lines", "all", "line_of", able.alias("able"))
-    rows = rows.select("row", "doc_id", "lines", "all", "line_of", F.explode("able").alias("t"))
+    rows = rows.select(one, *NAMED, "lines", "all", "line_of", able.alias("able"))
+    rows = rows.select(*NAMED, "lines", "all", "line_of", F.explode("able").alias("t"))
     place = lambda g: F.array_position("t.grams", g).cast("int")
     every = F.transform("all", lambda g, i: F.struct(g.alias("gram"), i.alias("i"), place(g).alias("at")))
     hits = F.transform(F.filter(every, lambda h: h["at"] > 0), lambda h: F.struct(h["gram"], F.get("t.times", h["at"] - 1).alias("n"), F.get("line_of", h["i"] + 1).alias("last"), h["i"]))
-    rows = rows.select(one, "row", "doc_id", "t.license", "t.size", "lines", "line_of", hits.alias("hits"))
+    rows = rows.select(one, *NAMED, "t.license", "t.size", "lines", "line_of", hits.alias("hits"))
     first_word = lambda line: F.array_position("line_of", line).cast("int") - 1
     lines_of = lambda line: F.array_distinct(F.transform("hits", line))
-    starts = F.transform(lines_of(lambda h: F.get("line_of", h["i"])), lambda x: F.struct(x.alias("line"), first_word(x).alias("i")))
+    starts = F.transform(F.filter(lines_of(lambda h: F.get("line_of", h["i"])), lambda x: x < c("own")), lambda x: F.struct(x.alias("line"), first_word(x).alias("i")))
     ends = F.transform(lines_of(lambda h: h["last"]), lambda x: F.struct(x.alias("line"), (first_word(x) + F.size(F.get("lines", x)) - 2).alias("i")))
-    return rows.select("row", "doc_id", "license", "size", "hits", starts.alias("starts"), ends.alias("ends"))
+    return rows.select(*NAMED, "license", "size", "hits", starts.alias("starts"), ends.alias("ends"))
 
 
 def runs(some: DataFrame, threshold: float) -> DataFrame:
-    """(row, doc_id, first_line, last_line, license, dice) of all runs that reach the threshold.
+    """(row, doc_id, part, cut, first_line, last_line, license, dice) of all runs that reach the threshold.
 
     A bigram counts as long as it has come less often since the run's first line than the template has it, so the
     bigrams that both have are those counted up to a run's end.
     """
     c, low, high = F.col, threshold / (2 - threshold), (2 - threshold) / threshold
-    begun = some.select("row", "doc_id", "license", "size", "hits", "ends", F.explode("starts").alias("s"))
+    begun = some.select(*NAMED, "license", "size", "hits", "ends", F.explode("starts").alias("s"))
     near = F.filter("hits", lambda h: (h["i"] >= c("s.i")) & (h["i"] <= c("s.i") + c("size") * high))
-    begun = begun.select(F.monotonically_increasing_id().alias("one"), "row", "doc_id", "license", "size", "s", "ends", near.alias("hits"))
+    begun = begun.select(F.monotonically_increasing_id().alias("one"), *NAMED, "license", "size", "s", "ends", near.alias("hits"))
     counted = F.filter("hits", lambda h, k: F.size(F.filter(F.slice("hits", F.lit(1), k), lambda x: x["gram"] == h["gram"])) < h["n"])
-    begun = begun.select(F.monotonically_increasing_id().alias("one"), "row", "doc_id", "license", "size", "s", "ends", counted.alias("counted"))
+    begun = begun.select(F.monotonically_increasing_id().alias("one"), *NAMED, "license", "size", "s", "ends", counted.alias("counted"))
     fit = F.filter("ends", lambda e: (e["i"] - c("s.i") + 1 >= c("size") * low - 1e-9) & (e["i"] - c("s.i") + 1 <= c("size") * high + 1e-9))
     shared = lambda e: F.size(F.filter("counted", lambda h: h["i"] <= e["i"]))
-    run = lambda e: F.struct(c("s.line").cast("long").alias("first_line"), e["line"].cast("long").alias("last_line"), c("license"), (F.lit(2.0) * shared(e) / (c("size") + e["i"] - c("s.i") + 1)).alias("dice"))
-    ended = begun.select("row", "doc_id", F.explode(F.transform(fit, run)).alias("r"))
-    return ended.where(c("r.dice") >= threshold).select("row", "doc_id", "r.*")
+    run = lambda e: F.struct((c("s.line") + c("offset")).cast("long").alias("first_line"), (e["line"] + c("offset")).cast("long").alias("last_line"), c("license"), (F.lit(2.0) * shared(e) / (c("size") + e["i"] - c("s.i") + 1)).alias("dice"))
+    ended = begun.select("row", "doc_id", "part", "cut", F.explode(F.transform(fit, run)).alias("r"))
+    return ended.where(c("r.dice") >= threshold).select("row", "doc_id", "part", "cut", "r.*")
 
 
-def scan(docs: DataFrame, templates: dict[str, str] | None = None, threshold: float = THRESHOLD) -> DataFrame:
+def scan(docs: DataFrame, templates: dict[str, str] | None = None, threshold: float = THRESHOLD, part: int = PART) -> DataFrame:
     """doc_id, first_line, last_line (from 0), license, dice: a row for each run of lines of ``docs`` with a license.
 
-    Texts are pruned and compared where they lie; only the runs found are dealt out, by text.
+    Short texts are pruned and compared where they lie; only the runs found are dealt out, by text, those of long ones by part:
+    a run can be beaten by those that begin in its own part, the one before and the one after only.
     """
-    found = runs(candidates(docs, TEMPLATES if templates is None else templates, threshold), threshold)
-    found = found.groupBy("row", "doc_id").agg(F.collect_list(F.struct("first_line", "last_line", "license", "dice")).alias("r"))  # a text's own
+    templates, c = TEMPLATES if templates is None else templates, F.col
+    found = runs(candidates(parts(docs, templates, threshold, part), templates, threshold), threshold)
+    near = F.when(c("cut"), F.array(c("part") - 1, c("part"), c("part") + 1)).otherwise(F.array("part"))
+    found = found.select("row", "doc_id", F.explode(near).alias("at"), "part", "first_line", "last_line", "license", "dice")
+    found = found.groupBy("row", "doc_id", "at").agg(F.collect_list(F.struct("first_line", "last_line", "license", "dice", (c("at") == c("part")).alias("own"))).alias("r"))  # three parts' own
     better = lambda x, y: (x["dice"] > y["dice"]) | ((x["dice"] == y["dice"]) & (F.struct(x["first_line"], x["last_line"], x["license"]) < F.struct(y["first_line"], y["last_line"], y["license"])))
     beaten = lambda y: F.exists("r", lambda x: (x["first_line"] <= y["last_line"]) & (x["last_line"] >= y["first_line"]) & better(x, y))
-    return found.select("doc_id", F.explode(F.filter("r", lambda y: ~beaten(y))).alias("u")).select("doc_id", "u.*")
+    return found.select("doc_id", F.explode(F.filter("r", lambda y: y["own"] & ~beaten(y))).alias("u")).select("doc_id", "u.first_line", "u.last_line", "u.license", "u.dice")
 
 
 def scan_sql(templates: dict[str, str] | None = None, threshold: float = THRESHOLD) -> str:

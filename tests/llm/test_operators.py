@@ -547,6 +547,22 @@ def test_licenses(spark, odd, none, odd_texts, sf_dir):
     assert {r["license"] for r in licenses.scan(odd).collect()} == {"Apache-2.0", "MIT"}
 
 
+def test_long_texts_are_searched_in_parts(spark):
+    """Notices that lie across parts, lines longer than a part, and many notices: what a whole search finds, in a time that
+    grows with the text."""
+    mit, apache, gpl = (licenses.TEMPLATES[n] for n in ("MIT-text", "Apache-2.0-header", "GPL-3.0-header"))
+    wrapped = lambda text, n: "\n".join(" ".join(text.split()[i : i + n]) for i in range(0, len(text.split()), n))
+    filler = lambda k, n: "\n".join(" ".join(f"w{(k * 37 + i * 11 + j) % 400}" for j in range(7)) for i in range(n))
+    texts = ["\n\n".join(x for k in range(3) for x in (filler(k, 23 + k), wrapped((mit, apache, gpl)[k % 3], 9 + k))), " ".join(filler(k, 90).replace("\n", " ") for k in range(4)) + "\n" + wrapped(mit, 10) + "\n" + filler(9, 60), "\n".join([wrapped(apache, 30)] * 7), filler(1, 90)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    want = Counter((i, *x) for i, t in enumerate(texts) for x in brute_runs(t))
+    assert len(want) >= 10
+    for part in (1, licenses.PART):
+        assert Counter(tuple(r) for r in licenses.scan(df, part=part).collect()) == want
+    many = spark.createDataFrame([(1, "\n\n".join([wrapped(mit, 8)] * 60))], "doc_id int, text string")
+    assert licenses.scan(many).where("license = 'MIT-text'").count() == 60
+
+
 def brute_runs(text):
     """All runs of lines against all templates, without bounds."""
     lines = [licenses.template_words(x) for x in text.split("\n")]
