@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import BANDS, hash48, hex_id, person_band
 from . import facts, patterns, people
-from .graph import checkpointed
+from .graph import checkpointed, closure
 
 # Templates of patterns with their predicates, and the order in which their candidates are listed.
 TEMPLATES = {"doc-access-scope": "can-access", "issue-assignee": "assigned-to", "comment-author": "commented-by", "doc-access": "can-access"}
@@ -108,11 +108,13 @@ def persons(log: DataFrame) -> DataFrame:
 
 
 def identity_candidates(log: DataFrame, dismissed: DataFrame) -> DataFrame:
-    """(a, b, tier, confirmed, dismissed, rank): open pairs first, then confirmed, then dismissed; e-mail before name."""
-    same = linked(log).select(F.col("id").alias("a"), F.col("other").alias("b"), F.lit(True).alias("same"))
+    """(a, b, tier, confirmed, dismissed, rank): open pairs first, then confirmed, then dismissed; e-mail before name. A pair
+    is confirmed if what is stored connects its ends, directly or over other accounts."""
     gone = dismissed.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.lit(True).alias("gone")).distinct()
-    rows = people.identity_pairs(persons(log)).join(same, ["a", "b"], "left").join(gone, ["a", "b"], "left")
-    rows = rows.select("a", "b", "tier", F.coalesce("same", F.lit(False)).alias("confirmed"), F.coalesce("gone", F.lit(False)).alias("dismissed"))
+    roots = closure(linked(log).select(F.col("id").alias("a"), F.col("other").alias("b")))
+    of = lambda key: roots.select(F.col("id").alias(key), F.col("root").alias(f"{key}_root"))
+    rows = people.identity_pairs(persons(log)).join(of("a"), "a", "left").join(of("b"), "b", "left").join(gone, ["a", "b"], "left")
+    rows = rows.select("a", "b", "tier", F.coalesce(F.col("a_root") == F.col("b_root"), F.lit(False)).alias("confirmed"), F.coalesce("gone", F.lit(False)).alias("dismissed"))
     return rows.withColumn("rank", _rank(F.col("tier") == "email"))
 
 

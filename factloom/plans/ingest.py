@@ -77,6 +77,15 @@ def shown(made: DataFrame) -> DataFrame:
     return made.select("seq.event", "seq.place", *ITEM[2:])
 
 
+@query("SELECT event_id AS event, (event_id % 4 + 1)::INTEGER AS type FROM events WHERE event_id % 11 <> 0 AND event_id % 13 <> 0 AND event_id % 17 <> 0")
+def src_webhook(spark, sf_dir):
+    """Payloads as they are pushed: some are cut off, some lack their content, some have a type that is no number."""
+    sent = payloads(spark, sf_dir)
+    cut, bare = F.substring("value", 1, 20), F.regexp_replace("value", '"content":', '"contents":')
+    value = F.when(F.col("event") % 11 == 0, cut).when(F.col("event") % 13 == 0, bare).when(F.col("event") % 17 == 0, F.regexp_replace("value", r'"type":\d', '"type":"x"')).otherwise(F.col("value"))
+    return ingest.events(sent.withColumn("value", value)).select("event", "type")
+
+
 @query(f"WITH {PAYLOADS} SELECT * FROM it")
 def ev_batch(spark, sf_dir):
     """All items of all events, in the order of their writes."""
