@@ -483,7 +483,7 @@ def in_via(spark, sf_dir):
     k, s = F.col("s_suppkey") % 5, table(spark, sf_dir, "supplier")
     ring = s.select(F.col("s_suppkey").alias("id"), F.when(k == 4, F.col("s_suppkey") - 4).otherwise(F.col("s_suppkey") + 1).alias("other"))
     activity = s.where(k.isin(0, 3)).select(F.col("s_suppkey").alias("person"), (F.col("s_nationkey") % 3).alias("project"))
-    return people.nearest_accounts(activity, ring.union(ring.select("other", "id")))
+    return people.nearest_accounts(activity, ring.union(ring.select("other", "id"))).withColumn("steps", F.col("steps").cast("long"))
 
 
 STATE = f"""{PAIRS}, nk AS (SELECT id, band, key FROM k WHERE tier = 'name'), ev AS (SELECT id, min(id) OVER (PARTITION BY key) AS root FROM nk QUALIFY min(band) OVER (PARTITION BY key) <> max(band) OVER (PARTITION BY key)),
