@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_names, salted_lookup, text_of, written
+from .common import forget, free_names, salted_lookup, stored, text_of, written
 from .components import components
 
 K, SKETCH, REPEATS, THRESHOLD = 5, 6, 36, 0.8
@@ -159,8 +159,8 @@ def _sizes_near(n: Column, k: Column, threshold: float) -> Column:
     return F.least(n, k) >= F.greatest(n, k) * F.lit(threshold)
 
 
-def coded(needed: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
-    """(digest, codes) of the nodes that ``needed`` (digest) names: their k-mers, in 64 bits each."""
+def coded(needed: DataFrame, nodes: DataFrame, docs: DataFrame) -> tuple[DataFrame, str]:
+    """(digest, codes) of the nodes that ``needed`` (digest) names: their k-mers, in 64 bits each; and the table's path."""
     wanted = nodes.join(needed, "digest", "left_semi").select(F.col("first_id").alias("__id"), F.col("digest").alias("__digest"))
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -176,8 +176,8 @@ def coded(needed: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
 
     texts = docs.select(F.col("doc_id").cast("long").alias("__i"), text_of().alias("text"))
     codes = texts.join(wanted, F.col("__i").eqNullSafe(F.col("__id"))).select("text", "__digest").mapInArrow(code, "digest binary, codes binary")
-    codes = written(codes, "codes")
-    return codes if codes.groupBy("digest").count().where("count > 1").isEmpty() else codes.dropDuplicates(["digest"])
+    codes, path = stored(codes, "codes")
+    return codes if codes.groupBy("digest").count().where("count > 1").isEmpty() else codes.dropDuplicates(["digest"]), path
 
 
 def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
@@ -189,12 +189,14 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, threshold: flo
             good = [i for i in range(batch.num_rows) if aligned(np.frombuffer(left[i].as_py(), np.uint64), np.frombuffer(right[i].as_py(), np.uint64), threshold) >= threshold]
             yield batch.select(["a", "b"]).take(pa.array(good, pa.int64()))
 
-    codes = coded(pairs.select(F.col("a").alias("digest")).union(pairs.select(F.col("b").alias("digest"))).distinct(), nodes, docs)
+    codes, codes_at = coded(pairs.select(F.col("a").alias("digest")).union(pairs.select(F.col("b").alias("digest"))).distinct(), nodes, docs)
     counts = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n"))
     left = salted_lookup(pairs, codes.select(F.col("digest").alias("a"), F.col("codes").alias("codes_a")), "a", counts, pairs.count(), ["b"])
     counts = pairs.groupBy("b").agg(F.count(F.lit(1)).alias("n"))
     both = salted_lookup(left, codes.select(F.col("digest").alias("b"), F.col("codes").alias("codes_b")), "b", counts, pairs.count(), ["a"])
-    return written(both.select("a", "b", "codes_a", "codes_b").mapInArrow(align, "a binary, b binary"), "links")
+    links = written(both.select("a", "b", "codes_a", "codes_b").mapInArrow(align, "a binary, b binary"), "links")
+    forget(pairs.sparkSession, codes_at)
+    return links
 
 
 UNIT = ["key", "unit", "whole", "main", "block", "centre", "digest", "label", "keys", "codes"]
@@ -258,9 +260,9 @@ def _meet(key: int, rows: list[dict], threshold: float) -> list[tuple[bytes, byt
 
 def across(open_: DataFrame, sizes: DataFrame, nodes: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
     """Verified links (a, b) between components of the same bucket."""
-    units = written(_units(open_, sizes), "units")
-    needed = units.select("digest").distinct()
-    facts = coded(needed, nodes, docs).join(nodes.select("digest", "keys"), "digest")
+    units, units_at = stored(_units(open_, sizes), "units")
+    codes, codes_at = coded(units.select("digest").distinct(), nodes, docs)
+    facts = codes.join(nodes.select("digest", "keys"), "digest")
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, rows = None, []
@@ -280,7 +282,9 @@ def across(open_: DataFrame, sizes: DataFrame, nodes: DataFrame, docs: DataFrame
             yield links()
 
     dealt = units.join(facts, "digest").select(UNIT).repartition("key", "unit").sortWithinPartitions("key", "unit")
-    return written(dealt.mapInArrow(meet, "a binary, b binary"), "across")
+    links = written(dealt.mapInArrow(meet, "a binary, b binary"), "across")
+    forget(units.sparkSession, units_at, codes_at)
+    return links
 
 
 def _labelled(nodes: DataFrame, labels: DataFrame) -> DataFrame:
@@ -290,32 +294,38 @@ def _labelled(nodes: DataFrame, labels: DataFrame) -> DataFrame:
 def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """A row for each row of ``docs`` (doc_id, text): doc_id, class_id (the least id of the class), class_size, links
     (verified links of its text to other texts) and kept (whether it is the one document that stays)."""
-    rows = written(sketched(docs), "sketches")
+    spark = docs.sparkSession
+    rows, sketches_at = stored(sketched(docs), "sketches")
     nodes = rows.groupBy("digest").agg(F.min(F.struct("doc_id")).alias("first"), F.count(F.lit(1)).alias("copies"), F.max("n").alias("n"), F.max("keys").alias("keys"))
-    nodes = written(nodes.select("digest", F.col("first.doc_id").alias("first_id"), "copies", "n", "keys"), "nodes")
+    nodes, nodes_at = stored(nodes.select("digest", F.col("first.doc_id").alias("first_id"), "copies", "n", "keys"), "nodes")
+    rows = written(rows.select("doc_id", "digest"), "rows")
+    forget(spark, sketches_at)
     buckets = nodes.select("digest", "n", F.explode("keys").alias("key"))
     centres = buckets.groupBy("key").agg(F.min(F.struct("digest", "n")).alias("c"), F.count(F.lit(1)).alias("members")).where("members > 1")
-    centres = written(centres, "centres")
+    centres, centres_at = stored(centres, "centres")
     total = centres.agg(F.sum("members")).first()[0] or 0
-    buckets = written(salted_lookup(buckets, centres.select("key", "c"), "key", centres.select("key", F.col("members").alias("n")), total, ["digest"]).select("key", "digest", "n", F.col("c.digest").alias("a"), F.col("c.n").alias("an")), "buckets")
+    buckets, buckets_at = stored(salted_lookup(buckets, centres.select("key", "c"), "key", centres.select("key", F.col("members").alias("n")), total, ["digest"]).select("key", "digest", "n", F.col("c.digest").alias("a"), F.col("c.n").alias("an")), "buckets")
     stars = buckets.where(F.col("digest") != F.col("a")).where(_sizes_near(F.col("n"), F.col("an"), threshold)).select("a", F.col("digest").alias("b")).distinct()
-    stars = written(stars, "stars")
+    stars, stars_at = stored(stars, "stars")
     links = verified(stars, nodes, docs, threshold)
+    forget(spark, centres_at, stars_at)
     labels = written(components(links), "labels")
 
     # Of buckets with several components, texts of different ones meet; a bucket's largest stands on one side only.
     open_ = _labelled(buckets.select("key", "digest", "a"), labels)
     sizes = open_.groupBy("key", "label").agg(F.count(F.lit(1)).alias("c")).groupBy("key").agg(F.max_by("label", F.struct("c", "label")).alias("most"), F.max("c").alias("mains"), (F.sum("c") - F.max("c")).alias("others")).where("others > 0")
-    sizes = written(sizes, "sizes")
+    sizes, sizes_at = stored(sizes, "sizes")
     open_ = _at_keys(open_, sizes, sizes.select("key", "most")).select("key", "digest", "label", (F.col("label") == F.col("most")).alias("main"), (F.col("digest") == F.col("a")).alias("centre"))
     if not sizes.isEmpty():
         more = across(open_, sizes, nodes, docs, threshold)
         if not more.isEmpty():
             links = links.union(more)
             labels = written(components(links), "labels")
+    forget(spark, buckets_at, sizes_at)
 
     degrees = links.select(F.col("a").alias("digest")).union(links.select(F.col("b").alias("digest"))).groupBy("digest").agg(F.count(F.lit(1)).alias("links"))
     named = written(_labelled(nodes.select("digest", "first_id", "copies"), labels).join(degrees, "digest", "left"), "named")
+    forget(spark, nodes_at)
     groups = named.groupBy("label").agg(F.min(F.struct("first_id", "digest")).alias("keep"), F.sum("copies").alias("class_size"), F.count(F.lit(1)).alias("n"))
     groups = written(groups, "groups")
     told = salted_lookup(named, groups.drop("n"), "label", groups.select("label", "n"), rows.count(), ["digest"])
