@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from .common import bound, text_of
 
-THRESHOLD, PART = 0.8, 4096
+THRESHOLD, PART, LETTERS = 0.8, 4096, 8  # words of a part, letters of a word: longer texts are cut
 
 # Words too common to be anchors unless nothing else is left.
 COMMON = {"a", "an", "and", "any", "as", "be", "by", "can", "for", "in", "is", "of", "on", "or", "that", "the", "this", "to", "was", "will", "with", "you"}
@@ -110,12 +110,11 @@ def parts(docs: DataFrame, templates: dict[str, str], threshold: float, part: in
     holds = bound(F.lower(text_of()), lambda t: functools.reduce(lambda a, b: a | b, [F.contains(t, F.lit(a)) for a in needed]))
     # A number for each row in each step: with it, no step is merged into the next and computed again there.
     one = F.monotonically_increasing_id()
-    rows = docs.select("doc_id", text_of().alias("text")).where(holds)
-    rows = rows.select(one.alias("row"), "doc_id", F.transform(F.split("text", "\n", -1), words).alias("lines"))
-    count = F.aggregate("lines", F.lit(0), lambda n, x: n + F.size(x))
-    rows = rows.select(one, "row", "doc_id", "lines", (count > part).alias("cut"))
-    whole = rows.where(~c("cut")).select("row", "doc_id", F.lit(0).cast("long").alias("part"), F.lit(0).alias("offset"), F.size("lines").alias("own"), "cut", "lines")
-    each = rows.where("cut").select("row", "doc_id", F.posexplode("lines").alias("line", "w"))
+    texts, long = docs.select("doc_id", text_of().alias("text")), F.length("text") > LETTERS * part  # told before a text is cut up
+    lines = F.transform(F.split("text", "\n", -1), words).alias("lines")
+    whole = texts.where(~long).where(holds).select(one.alias("row"), "doc_id", lines)
+    whole = whole.select(one, "row", "doc_id", F.lit(0).cast("long").alias("part"), F.lit(0).alias("offset"), F.size("lines").alias("own"), F.lit(False).alias("cut"), "lines").select(*NAMED, "lines")
+    each = texts.where(long).where(holds).select((-one - 1).alias("row"), "doc_id", lines).select("row", "doc_id", F.posexplode("lines").alias("line", "w"))
     before = F.coalesce(F.sum(F.size("w")).over(Window.partitionBy("row").orderBy("line").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     each = each.withColumn("before", before).withColumn("part", F.floor(c("before") / part))
     also = F.when((c("part") > 0) & (c("before") - c("part") * part < longest), F.array(c("part") - 1)).otherwise(F.array().cast("array<bigint>"))
