@@ -107,7 +107,9 @@ def parts(docs: DataFrame, templates: dict[str, str], threshold: float, part: in
     needed = anchors(templates, threshold)
     longest = math.ceil(max((template_bigrams(t).total() for t in templates.values()), default=0) * (2 - threshold) / threshold) + 2
     part = max(part, longest)
-    holds = bound(F.lower(text_of()), lambda t: functools.reduce(lambda a, b: a | b, [F.contains(t, F.lit(a)) for a in needed]))
+    # As parts of words anchors are soon told from most texts; of the rest, only those that have one as a word are cut up.
+    word = rf"(?<![\p{{L}}\p{{N}}])(?:{'|'.join(needed)})(?![\p{{L}}\p{{N}}])"
+    holds = bound(F.lower(text_of()), lambda t: functools.reduce(lambda a, b: a | b, [F.contains(t, F.lit(a)) for a in needed]) & t.rlike(word))
     # A number for each row in each step: with it, no step is merged into the next and computed again there.
     one = F.monotonically_increasing_id()
     texts, long = docs.select("doc_id", text_of().alias("text")), F.length("text") > LETTERS * part  # told before a text is cut up

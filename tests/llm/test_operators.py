@@ -761,3 +761,8 @@ def test_queries_cover_the_ten(spark, sf_dir):
     made = queries.op6_merge_dropout(spark, sf_dir)
     assert made.where("not lossless").count() == 0
     assert SCHEMA and LONG
+
+
+def test_license_anchors_are_whole_words(spark):
+    docs = spark.createDataFrame([(1, "Thunder codes versions and freely licenses"), (2, "Released UNDER the MIT License."), (3, "a_license-b"), (4, "élicense")], "doc_id long, text string")
+    assert sorted(r.doc_id for r in licenses.parts(docs, licenses.TEMPLATES, licenses.THRESHOLD).collect()) == [2, 3]
