@@ -25,6 +25,7 @@ import sys
 import zlib
 from array import array
 from collections.abc import Callable, Iterable, Iterator
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -35,10 +36,11 @@ from pyspark.sql import functions as F
 from .common import text_of
 
 MARK = "▁"
-KEPT_CHUNKS, KEPT_CHARS = 1_000_000, 40  # with what becomes of them by skips
+KEPT_CHUNKS, KEPT_CHARS = 500_000, 40  # in each of two generations, with what becomes of them by skips
 MASK = 2**64 - 1
 NEVER = 2**62
-DRAWS = 5  # of a chunk, that are taken with those of all chunks of a text; more are taken one by one
+DRAWS = 5  # of a chunk, that are taken with those of other chunks of a text; more are taken one by one
+_CANDIDATES, _KEPT_IDS = itemgetter(0), itemgetter(1)  # of what is kept of a chunk
 
 
 class Pieces:
@@ -96,6 +98,7 @@ class Segmenter:
         self.pieces, self.seed, self.below = Pieces(path), seed, round(dropout * 2**16)
         self.scale = -1 / math.log1p(-self.below / 2**16) if 0 < self.below < 2**16 else 0.0
         self.known: dict[str, list] = {}  # of each chunk, by skips: how many candidates come up (or -1), ids, what follows
+        self.older: dict[str, list] = {}  # the generation before; of chunks that are met again, what becomes of them without skips is kept
         self.n_made = 0
 
     def _stream(self, chunk: str, variant: int) -> Iterator[bool]:
@@ -105,15 +108,20 @@ class Segmenter:
             for x in memoryview(xxhash.xxh3_128_digest(chunk, (key + block * 0x9E3779B97F4A7C15) & MASK)).cast("H"):
                 yield x < self.below
 
+    def _draw(self, x: np.ndarray, later: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """The next draw of each key, and how many candidates it lets pass before one is skipped; ``later`` if there was one."""
+        x = _mixed_all(x + np.uint64(0x9E3779B97F4A7C15) if later else x)
+        if not self.below:
+            return x, np.full(len(x), NEVER)
+        return x, (-np.log(((x >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53) * self.scale).astype(np.int64)
+
     def _gaps(self, start: int, n: int, times: int = 1) -> list[np.ndarray]:
         """For each of n keys from ``start``, how many candidates pass before the first skipped one, from there to the
         next, and so on, ``times`` times."""
-        if not self.below:
-            return [np.full(n, NEVER)] * times
-        out, x = [], np.uint64(start) + np.arange(n, dtype=np.uint64)
+        x, out = np.uint64(start) + np.arange(n, dtype=np.uint64), []
         for k in range(times):
-            x = _mixed_all(x + np.uint64(0x9E3779B97F4A7C15) if k else x)
-            out.append((-np.log(((x >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53) * self.scale).astype(np.int64))
+            x, gaps = self._draw(x, k > 0)
+            out.append(gaps)
         return out
 
     def _later(self, n: int, key: int) -> Iterator[int]:
@@ -180,7 +188,8 @@ class Segmenter:
     def _ranks(self, chunk: str) -> list[int]:
         """The characters by the ranks of their pieces; those without one have numbers below 0, which no pair has."""
         rank = self.pieces.rank
-        return [rank[c] if c in rank else -1 - ord(c) for c in chunk]
+        at = list(map(rank.get, chunk))
+        return [-1 - ord(c) if r is None else r for r, c in zip(at, chunk)] if None in at else at
 
     def _short(self, chunk: str, skips: Iterable[int]) -> tuple[int, list[int], list[int]]:
         """The agenda as a list with a place for each pair of neighbours: how many candidates came up, the pieces, and
@@ -189,7 +198,8 @@ class Segmenter:
         skips, done = iter(skips), []
         skip = next(skips, -1)
         agenda = [pair(a << 32 | b, NEVER) for a, b in zip(at, at[1:])]
-        while agenda and (first := min(agenda)) != NEVER:
+        agenda.append(NEVER)  # after the last pair
+        while (first := min(agenda)) != NEVER:
             i = agenda.index(first)
             if n == skip:
                 agenda[i] = NEVER
@@ -200,7 +210,7 @@ class Segmenter:
             n += 1
             del agenda[i], at[i]
             at[i] = first
-            if i < len(agenda):
+            if i + 1 < len(at):
                 agenda[i] = pair(first << 32 | at[i + 1], NEVER)
             if i:
                 agenda[i - 1] = pair(at[i - 1] << 32 | first, NEVER)
@@ -226,32 +236,51 @@ class Segmenter:
                 heapq.heappush(agenda, (pair[p], k, i, at[k], made))
         return [r for r in at if r is not gone]
 
+    def _node(self, chunk: str) -> list:
+        """What becomes of a chunk without skips, kept; long ones always count as skipped, as nothing is kept of them."""
+        if len(chunk) > KEPT_CHARS:
+            return [NEVER + 1, b"", {}]
+        self.n_made += 1
+        if (old := self.older.get(chunk)) is None:
+            n, at, _ = self._short(chunk, ())
+            node = [n, self._ids(at), {}]
+        else:
+            node = [*old[:2], {}]  # without what its skips came to, which would add up from one generation to the next
+        self.known[chunk] = node
+        return node
+
     def _part(self, text: str, start: int) -> tuple[bytes, int]:
-        """The ids of a part of a text whose chunks have the keys from ``start``, and the number of chunks."""
+        """The ids of a part of a text whose chunks have the keys from ``start``, and the number of chunks.
+
+        All chunks are taken as if nothing were skipped; then those in which a skipped candidate comes up are replaced.
+        """
         chunks = self.pieces.chunks(text)
         if self.n_made > KEPT_CHUNKS:
-            self.known, self.n_made = {}, 0
-        known, out = self.known, []
-        firsts, *more = (x.tolist() for x in self._gaps(start, len(chunks), DRAWS))
-        for i, c in enumerate(chunks):
-            skip = first = firsts[i]
-            if (node := known.get(c)) is None:
-                if len(c) > KEPT_CHARS:
-                    out.append(self.segment(c, self._in_turn(first, _mixed((start + i) & MASK)).__next__ if self.below else bool))
-                    continue
-                node = known[c] = [-1, b"", {}]
+            self.known, self.older, self.n_made = {}, self.known, 0
+        nodes = list(map(self.known.get, chunks))
+        if None in nodes:
+            nodes = [self.known.get(c) or self._node(c) if node is None else node for node, c in zip(nodes, chunks)]
+        out = list(map(_KEPT_IDS, nodes))
+        x, firsts = self._draw(np.uint64(start) + np.arange(len(chunks), dtype=np.uint64))
+        skipped = np.flatnonzero(firsts < np.fromiter(map(_CANDIDATES, nodes), np.int64, len(nodes)))
+        more, x = [], x[skipped]
+        for _ in range(DRAWS - 1):
+            x, gaps = self._draw(x, True)
+            more.append(gaps.tolist())
+        for i, first, *gaps in zip(skipped.tolist(), firsts[skipped].tolist(), *more):
+            node, skip, c = nodes[i], first, chunks[i]
+            if node[0] > NEVER:
+                out[i] = self.segment(c, self._in_turn(first, _mixed((start + i) & MASK)).__next__ if self.below else bool)
+                continue
             level = 0
             while skip < node[0]:  # it comes up; nodes that no draw has ended at have -1
                 if level == DRAWS - 1 or (after := node[2].get(skip)) is None:
                     node = None
                     break
                 node = after
-                skip += 1 + more[level][i]
+                skip += 1 + gaps[level]
                 level += 1
-            if node is None or node[0] < 0:
-                out.append(self._drawn(c, first, [x[i] for x in more], (start + i) & MASK))
-            else:
-                out.append(node[1])
+            out[i] = self._drawn(c, first, gaps, (start + i) & MASK) if node is None or node[0] < 0 else node[1]
         return b"".join(out), len(chunks)
 
     def encode(self, text: str, turn: int = 0) -> bytes:

@@ -766,3 +766,11 @@ def test_queries_cover_the_ten(spark, sf_dir):
 def test_license_anchors_are_whole_words(spark):
     docs = spark.createDataFrame([(1, "Thunder codes versions and freely licenses"), (2, "Released UNDER the MIT License."), (3, "a_license-b"), (4, "élicense")], "doc_id long, text string")
     assert sorted(r.doc_id for r in licenses.parts(docs, licenses.TEMPLATES, licenses.THRESHOLD).collect()) == [2, 3]
+
+
+def test_chunks_outlive_a_generation(monkeypatch):
+    monkeypatch.setattr(merge_dropout, "KEPT_CHUNKS", 3)
+    own, plain = (merge_dropout.Segmenter(queries.vocabulary("piece_bpe_32k.model"), 1, 0.0) for _ in range(2))
+    own.encode("some words that are known")
+    monkeypatch.setattr(own, "_short", None)  # nothing is made again
+    assert own.encode("words that are known") == plain.encode("words that are known")
