@@ -144,14 +144,16 @@ class ChunkEncoder:
         return [array(self.typecode, e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(list(texts), add_special_tokens=False)]
 
     def _word(self, chunk: str) -> bytes:
-        mapped = (chunk.lower() if self.lower else chunk).encode().decode("latin-1").translate(_BYTE_LETTERS)
+        chunk = chunk.lower() if self.lower else chunk
+        mapped = chunk.replace(" ", "Ġ") if chunk.isascii() else chunk.encode().decode("latin-1").translate(_BYTE_LETTERS)
         return array(self.typecode, [x.id for x in self.model.tokenize(mapped)]).tobytes()
 
-    def _learn(self, chunks: list[str]) -> None:
+    def _learn(self, chunks: set[str]) -> None:
+        """Ids of chunks that aren't known."""
         if len(self.known) > CACHE_ENTRIES:
             self.known, self.older = {}, self.known
         rest = []
-        for c in set(chunks).difference(self.known):
+        for c in chunks:
             if c in self.older:
                 self.known[c] = self.older[c]
             elif self.one_word and self.one_word(c):
@@ -165,11 +167,15 @@ class ChunkEncoder:
         if self.find is None or (self.odd and self.odd(text)):
             return self.whole([text])[0]
         chunks = self.find(text)
+        ids = list(map(self.known.get, chunks))
         try:
-            return b"".join(map(self.known.__getitem__, chunks))
-        except KeyError:
-            self._learn(chunks)
-            return b"".join(map(self.known.__getitem__, chunks))
+            return b"".join(ids)
+        except TypeError:  # most texts have some chunk of their own: only those are looked at again
+            missing = [i for i, x in enumerate(ids) if x is None]
+            self._learn({chunks[i] for i in missing})
+            for i in missing:
+                ids[i] = self.known[chunks[i]]
+            return b"".join(ids)
 
 
 _ENCODERS: dict[tuple, ChunkEncoder] = {}

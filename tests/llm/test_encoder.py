@@ -41,3 +41,11 @@ def test_masks_are_views_of_the_mapped_file(tmp_path):
     assert [shard.mask_bits(i).true_count for i in range(6)] == [12, 12, 12, 12, 12, 5] == [shard.mask(i).sum() for i in range(6)]
     held = [shard.mask_bits(i) for i in range(6)]
     assert len(held) == 6 and pa.total_allocated_bytes() - before < 64 and shard.mask(5).tolist() == [True] * 5 + [False] * 7
+
+
+def test_only_new_chunks_are_learnt(monkeypatch):
+    encoder, plain = (ChunkEncoder(queries.vocabulary("byte_bpe_50k.json"), c, "I") for c in (BYTE_CHUNKS, None))
+    encoder.encode("alpha beta")
+    learn, seen = encoder._learn, []
+    monkeypatch.setattr(encoder, "_learn", lambda chunks: (seen.extend(chunks), learn(chunks)))
+    assert encoder.encode("alpha beta gamma beta") == plain.encode("alpha beta gamma beta") and seen == [" gamma"]
