@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import json
 import os
 import re
@@ -9,8 +10,9 @@ import string
 import tempfile
 import uuid
 from array import array
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -187,3 +189,32 @@ def encoder(path: str, chunks: str | None, typecode: str) -> ChunkEncoder:
     if key not in _ENCODERS:
         _ENCODERS[key] = ChunkEncoder(*key)
     return _ENCODERS[key]
+
+
+def forget_encoders() -> None:
+    """Encoders of this worker process go, with the chunks that they know."""
+    _ENCODERS.clear()
+
+
+def give_back() -> None:
+    """Memory that this worker process holds for later use goes back to the system: workers outlive their tasks, and the
+    executor's memory is theirs together."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError, TypeError):
+        pass  # another C library than glibc
+
+
+def lean(each: Callable[[Iterator], Iterator], encodes: bool = False) -> Callable[[Iterator], Iterator]:
+    """``each``, for mapInArrow: before it, encoders of earlier steps go, unless it ``encodes`` itself; after it, unused memory."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not encodes:
+            forget_encoders()
+        try:
+            yield from each(batches)
+        finally:
+            give_back()
+
+    return run

@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import forget, free_names, salted_lookup, stored, text_of, written
+from .common import forget, free_names, lean, salted_lookup, stored, text_of, written
 from .components import components
 
 K, SKETCH, REPEATS, THRESHOLD = 5, 6, 36, 0.8
@@ -90,6 +90,11 @@ def kmers(words: list[str]) -> np.ndarray:
     return h
 
 
+def forget_words() -> None:
+    """Empties the worker's own table of words; functions that Spark sends hold copies of this module's other names."""
+    _known.clear()
+
+
 def _joined(h: np.ndarray, salt: int) -> int:
     return xxhash.xxh3_64_intdigest(h.tobytes(), salt) - 2**63
 
@@ -149,10 +154,10 @@ def sketched(docs: DataFrame) -> DataFrame:
                 digests.append(digest_of(words))
                 sizes.append(len(h))
                 keys.append(sketches(h))
-            _known.clear()
+            forget_words()
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "digest", "n", "keys"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).mapInArrow(each, SKETCHED)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).mapInArrow(lean(each), SKETCHED)
 
 
 def _sizes_near(n: Column, k: Column, threshold: float) -> Column:
@@ -171,11 +176,11 @@ def coded(needed: DataFrame, nodes: DataFrame, docs: DataFrame) -> tuple[DataFra
                 if digest_of(words) == asked:  # else another text with the same id
                     found.append(asked)
                     codes.append(kmers(words).tobytes())
-            _known.clear()
+            forget_words()
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary()), pa.array(codes, pa.binary())], ["digest", "codes"])
 
     texts = docs.select(F.col("doc_id").cast("long").alias("__i"), text_of().alias("text"))
-    codes = texts.join(wanted, F.col("__i").eqNullSafe(F.col("__id"))).select("text", "__digest").mapInArrow(code, "digest binary, codes binary")
+    codes = texts.join(wanted, F.col("__i").eqNullSafe(F.col("__id"))).select("text", "__digest").mapInArrow(lean(code), "digest binary, codes binary")
     codes, path = stored(codes, "codes")
     return codes if codes.groupBy("digest").count().where("count > 1").isEmpty() else codes.dropDuplicates(["digest"]), path
 
@@ -194,7 +199,7 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, threshold: flo
     left = salted_lookup(pairs, codes.select(F.col("digest").alias("a"), F.col("codes").alias("codes_a")), "a", counts, pairs.count(), ["b"])
     counts = pairs.groupBy("b").agg(F.count(F.lit(1)).alias("n"))
     both = salted_lookup(left, codes.select(F.col("digest").alias("b"), F.col("codes").alias("codes_b")), "b", counts, pairs.count(), ["a"])
-    links = written(both.select("a", "b", "codes_a", "codes_b").mapInArrow(align, "a binary, b binary"), "links")
+    links = written(both.select("a", "b", "codes_a", "codes_b").mapInArrow(lean(align), "a binary, b binary"), "links")
     forget(pairs.sparkSession, codes_at)
     return links
 
@@ -272,7 +277,7 @@ def across(open_: DataFrame, sizes: DataFrame, nodes: DataFrame, docs: DataFrame
             return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.binary()) for k in (0, 1)], ["a", "b"])
 
         for batch in batches:
-            for r in batch.to_pylist():
+            for r in (x for i in range(0, batch.num_rows, BLOCK) for x in batch.slice(i, BLOCK).to_pylist()):
                 if (r["key"], r["unit"]) != at:
                     if rows:
                         yield links()
@@ -282,7 +287,7 @@ def across(open_: DataFrame, sizes: DataFrame, nodes: DataFrame, docs: DataFrame
             yield links()
 
     dealt = units.join(facts, "digest").select(UNIT).repartition("key", "unit").sortWithinPartitions("key", "unit")
-    links = written(dealt.mapInArrow(meet, "a binary, b binary"), "across")
+    links = written(dealt.mapInArrow(lean(meet), "a binary, b binary"), "across")
     forget(units.sparkSession, units_at, codes_at)
     return links
 

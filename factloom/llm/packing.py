@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD_CHUNKS, encoder, free_names, text_of
+from .common import WORD_CHUNKS, encoder, free_names, lean, text_of
 
 PIECES = "doc_id long, piece int, start long, length long, ids binary"
 ROWS_A_BUCKET = 1_000_000
@@ -46,7 +46,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: int = 40
             if rows:
                 yield _batch(rows)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).mapInArrow(cut, PIECES)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).mapInArrow(lean(cut, encodes=True), PIECES)
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:

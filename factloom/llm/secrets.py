@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_of
+from .common import lean, text_of
 
 # The kinds in the order in which they are listed, and the base patterns.
 KINDS = ("assign", "access", "hex", "literal")
@@ -199,7 +199,7 @@ def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
             arrays["text"] = pa.array(texts, batch.schema.field("text").type)
             yield pa.RecordBatch.from_arrays(list(arrays.values()), list(arrays))
 
-    out = docs.mapInArrow(each, schema)
+    out = docs.mapInArrow(lean(each), schema)
     return out.withColumn("n_chars", F.length(text_of()).cast(schema["n_chars"].dataType)) if "n_chars" in out.columns else out
 
 

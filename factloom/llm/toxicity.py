@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_of, written
+from .common import lean, text_of, written
 
 WORDS = re.compile(r"\w+")
 SCORES = "expected_severity double, p_toxic double, grade int"
@@ -107,7 +107,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample_rows:
 
     texts = docs.select("doc_id", text_of().alias("text")).join(F.broadcast(sample), F.col("doc_id") == F.col("__id"))
     texts = texts.groupBy("__id", "label").agg(F.max("text").alias("text"))  # no more rows than the sample has
-    rows = written(texts.select("label", "text").mapInArrow(split, "label int, words array<string>"), "examples")
+    rows = written(texts.select("label", "text").mapInArrow(lean(split), "label int, words array<string>"), "examples")
     of = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     n, positive = sum(of.values()), sum(k for g, k in of.items() if g > 0)
     if not positive or positive == n:
@@ -127,7 +127,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample_rows:
             at = pa.array([[place[w] for w in x if w in place] for x in b.column("words").to_pylist()], pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([b.column("label"), at], ["label", "at"])
 
-    kept = rows.mapInArrow(pick, "label int, at array<int>").collect()  # at most sample_rows
+    kept = rows.mapInArrow(lean(pick), "label int, at array<int>").collect()  # at most sample_rows
     ones = np.array([(i, k) for i, r in enumerate(kept) for k in r["at"]], np.int64).reshape(-1, 2)
     order = {g: k for k, g in enumerate(sorted(of))}
     weights, thetas = fit((ones[:, 0], ones[:, 1]), (len(kept), len(vocabulary)), np.array([order[r["label"]] for r in kept]), len(order))
@@ -165,4 +165,4 @@ def clean(docs: DataFrame, model: Model, below: float) -> DataFrame:
             scores = (sum(weights[w] for w in sorted(keys & words_of(t or ""))) for t in b.column("text").to_pylist())
             yield b.filter(pa.array([1 - model.probabilities(s)[0] < below for s in scores], pa.bool_()))
 
-    return docs.mapInArrow(each, docs.schema)
+    return docs.mapInArrow(lean(each), docs.schema)

@@ -4,8 +4,9 @@ import random
 
 import pyarrow as pa
 import pytest
+from pyspark import cloudpickle
 
-from factloom.llm import common, queries, token_files
+from factloom.llm import common, near_dedup, packing, queries, token_files
 from factloom.llm.common import BYTE_CHUNKS, WORD_CHUNKS, ChunkEncoder
 
 CASES = ["don't stop", "áb ć, é,", "x'll,", "İstanbul", "foo<s>bar </s> <unk>", "a.̸b", "hello\tworld, foo", "  two  spaces, \n\nnl ", "foo×bar", "ñandú-él", "ß. SS", "naïve!!!", "wordи mix", "a1b2 c3,", "", "\n", " ", "foo‍bar, x", "ﬁx, a b", "A.B.C,", "ЁЖ ёж, Ωσς", "x_y_z __a", "(a) [b] {c} ~d~ ^e^ `f`", "word'", "it's'd,"]
@@ -49,3 +50,19 @@ def test_only_new_chunks_are_learnt(monkeypatch):
     learn, seen = encoder._learn, []
     monkeypatch.setattr(encoder, "_learn", lambda chunks: (seen.extend(chunks), learn(chunks)))
     assert encoder.encode("alpha beta gamma beta") == plain.encode("alpha beta gamma beta") and seen == [" gamma"]
+
+
+def test_workers_give_back_what_earlier_steps_hold(spark):
+    """As Spark sends them, functions empty the worker's own tables, not copies: encoders of earlier steps, and words."""
+    sent = []
+
+    class Docs:
+        select = lambda self, *columns: self
+        mapInArrow = lambda self, function, schema: sent.append(cloudpickle.loads(cloudpickle.dumps(function)))
+
+    batch = pa.RecordBatch.from_pylist([{"doc_id": 1, "text": "some words of a text"}])
+    packing.pieces(Docs(), queries.vocabulary("word_bpe_49k.json"), 1)
+    near_dedup.sketched(Docs())
+    assert sum(b.num_rows for b in sent[0](iter([batch]))) == 1 and common._ENCODERS
+    near_dedup.kmers(["known", "word"])
+    assert sum(b.num_rows for b in sent[1](iter([batch]))) == 1 and not common._ENCODERS and not near_dedup._known
