@@ -8,7 +8,7 @@ segmentation decodes to the same text.
 Texts are cut before runs of spaces, and between letters and other characters where no piece of the vocabulary
 crosses. Each chunk of each text has draws of its own: a hash gives how many candidates pass until the next that is
 skipped. What a chunk becomes depends on the numbers of its skipped candidates alone, so that is kept, with how many
-candidates come up. The mark for spaces itself is spelt in bytes, so that it, too, decodes to itself.
+candidates come up. Chunks without skips are the library's to cut; those with skips that aren't known are taken together. The mark for spaces itself is spelt in bytes, so that it, too, decodes to itself.
 
 Null texts are empty and have no token. Very long chunks take n log n steps. Candidates of one piece that tie go by
 place. Rows that repeat get equal tokens. Other columns are not read, whatever their names; an empty table gives none.
@@ -39,7 +39,9 @@ MARK = "▁"
 KEPT_CHUNKS, KEPT_CHARS = 500_000, 40  # in each of two generations, with what becomes of them by skips
 MASK = 2**64 - 1
 NEVER = 2**62
-DRAWS = 5  # of a chunk, that are taken with those of other chunks of a text; more are taken one by one
+GONE = -(2**30)  # of a place whose piece went into the one before
+TOGETHER = 2048  # chunks with skips that are taken together
+DRAWS = 5  # of a chunk, that are taken with those of other chunks of a text; what becomes of chunks by more isn't looked up
 _CANDIDATES, _KEPT_IDS = itemgetter(0), itemgetter(1)  # of what is kept of a chunk
 
 
@@ -49,7 +51,7 @@ class Pieces:
     def __init__(self, path: str):
         import sentencepiece
 
-        sp = sentencepiece.SentencePieceProcessor(model_file=path)
+        self.library = sp = sentencepiece.SentencePieceProcessor(model_file=path)
         every = range(sp.get_piece_size())
         other = {i for i in every if sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i)}
         self.id = {sp.id_to_piece(i): i for i in every if i not in other}
@@ -62,6 +64,14 @@ class Pieces:
         self.bytes = [b"" if i in other else sp.id_to_piece(i).replace(MARK, " ").encode() for i in every]
         for b, i in enumerate(self.byte):
             self.bytes[i] = bytes([b])
+        self.pair_keys = np.array(sorted(self.pair), np.int64)
+        self.pair_made = np.array([*map(self.pair.get, self.pair_keys.tolist()), NEVER], np.int64)
+        self.of_char = -1 - np.arange(0x110000, dtype=np.int32)  # ranks, and numbers below 0 as of ``_ranks``
+        for p, k in self.rank.items():
+            if len(p) == 1:
+                self.of_char[ord(p)] = k
+        self.id_of = np.array(self.ids, np.uint16)
+        self.byte_ids = frozenset(self.byte)
         self.mark = array("H", [self.byte[b] for b in MARK.encode()]).tobytes()
         self.chunks = re.compile(self._cuts()).findall
 
@@ -131,18 +141,6 @@ class Segmenter:
             n += 1 + int(-math.log(((key >> 11) + 0.5) * 2.0**-53) * self.scale)
             yield n
 
-    def _numbers(self, first: int, gaps: list[int], key: int) -> Iterator[int]:
-        """The numbers of the skipped candidates of the chunk with ``key``, of which some draws are at hand."""
-        n = first
-        yield n
-        for gap in gaps:
-            n += 1 + gap
-            yield n
-        key = _mixed(key)
-        for _ in gaps:
-            key = _mixed((key + 0x9E3779B97F4A7C15) & MASK)
-        yield from self._later(n, key)
-
     def _made(self, chunk: str, skips: tuple[int, ...]) -> tuple[int, bytes]:
         """How many candidates come up if those of the numbers ``skips`` are skipped, and the ids."""
         n, at, _ = self._short(chunk, skips)
@@ -152,18 +150,6 @@ class Segmenter:
         """The ids of a chunk whose candidate ``first`` is skipped; ``key`` decides on the later ones."""
         return self._ids(self._short(chunk, itertools.chain([first], self._later(first, key)))[1])
 
-    def _drawn(self, chunk: str, first: int, gaps: list[int], key: int) -> bytes:
-        """The ids of a chunk by its draws, and what they came to kept for those that draw the same."""
-        n, at, skips = self._short(chunk, self._numbers(first, gaps, key) if self.below else ())
-        node, ids = self.known[chunk], self._ids(at)
-        for k in skips:
-            if k not in node[2]:
-                node[2][k] = [-1, b"", {}]
-            node = node[2][k]
-        node[0], node[1] = n, ids
-        self.n_made += 1
-        return ids
-
     def _in_turn(self, gap: int, key: int) -> Iterator[bool]:
         """The same draws as ``_again`` takes, for one candidate after another."""
         while True:
@@ -236,23 +222,94 @@ class Segmenter:
                 heapq.heappush(agenda, (pair[p], k, i, at[k], made))
         return [r for r in at if r is not gone]
 
+    def _whole(self, chunk: str) -> tuple[int, bytes]:
+        """How many candidates come up if none is skipped, and the ids. A chunk after one space is the library's to cut, if
+        it spells the same characters by pieces alone: each merge then leaves one piece less."""
+        if chunk[0] == MARK != chunk[1:2]:
+            ids = self.pieces.library.encode(chunk[1:])
+            if self.pieces.byte_ids.isdisjoint(ids) and b"".join(map(self.pieces.bytes.__getitem__, ids)) == chunk.replace(MARK, " ").encode():
+                return len(chunk) - len(ids), array("H", ids).tobytes()
+        return self._made(chunk, ())
+
     def _node(self, chunk: str) -> list:
         """What becomes of a chunk without skips, kept; long ones always count as skipped, as nothing is kept of them."""
         if len(chunk) > KEPT_CHARS:
             return [NEVER + 1, b"", {}]
         self.n_made += 1
         if (old := self.older.get(chunk)) is None:
-            n, at, _ = self._short(chunk, ())
-            node = [n, self._ids(at), {}]
+            node = [*self._whole(chunk), {}]
         else:
             node = [*old[:2], {}]  # without what its skips came to, which would add up from one generation to the next
         self.known[chunk] = node
         return node
 
-    def _part(self, text: str, start: int) -> tuple[bytes, int]:
-        """The ids of a part of a text whose chunks have the keys from ``start``, and the number of chunks.
-
-        All chunks are taken as if nothing were skipped; then those in which a skipped candidate comes up are replaced.
+    def _pairs(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """What merges make of the ranks, or NEVER."""
+        key, known = a << 32 | b, self.pieces.pair_keys
+        at = np.searchsorted(known, key)
+        return self.pieces.pair_made[np.where(known.take(at, mode="clip") == key, at, len(known))]
+
+    def _together(self, chunks: list[str], skip: np.ndarray, x: np.ndarray) -> tuple[list[int], list[bytes], list[list[int]]]:
+        """What ``_short`` gives for many chunks, one candidate of each at a time: how many came up, ids, skipped ones.
+        ``skip`` are the first numbers that are skipped, ``x`` the draws of those."""
+        sizes = np.array(list(map(len, chunks)))
+        m, w = len(chunks), int(sizes.max())
+        within = np.arange(w + 1) < sizes[:, None]
+        at = np.full((m, w + 1), GONE)  # the last place of each row is none, so that it has no pair
+        at[within] = self.pieces.of_char[np.frombuffer("".join(chunks).encode("utf-32-le"), np.uint32)]
+        agenda = np.full((m, w + 1), NEVER)
+        agenda[:, :w] = self._pairs(at[:, :w], at[:, 1:])
+        after, before = np.tile(np.arange(1, w + 2), (m, 1)), np.tile(np.arange(-1, w), (m, 1))
+        n, skip, x, live, skipped = np.zeros(m, np.int64), skip.copy(), x.copy(), np.arange(m), [[] for _ in chunks]
+        while True:
+            i = agenda[live].argmin(1)
+            made = agenda[live, i]
+            on = made != NEVER
+            live, i, made = live[on], i[on], made[on]
+            if not len(live):
+                break
+            out = n[live] == skip[live]
+            if out.any():
+                rows = live[out]
+                agenda[rows, i[out]] = NEVER
+                for r, k in zip(rows.tolist(), skip[rows].tolist()):
+                    skipped[r].append(k)
+                x[rows], gaps = self._draw(x[rows], True)
+                skip[rows] += 1 + gaps
+            n[live] += 1
+            rows, i, made = live[~out], i[~out], made[~out]
+            j = after[rows, i]
+            k, h = after[rows, j], before[rows, i]
+            at[rows, i], at[rows, j], agenda[rows, j] = made, GONE, NEVER
+            after[rows, i], before[rows, k] = k, i
+            agenda[rows, i] = self._pairs(made, at[rows, k])
+            agenda[rows, h] = self._pairs(at[rows, h], made)
+        left = at != GONE
+        flat, ends = at[left], np.cumsum(left.sum(1)).tolist()
+        ids, odd = self.pieces.id_of[np.maximum(flat, 0)].tobytes(), ((at < 0) & left).any(1).tolist()
+        starts = [0, *ends[:-1]]
+        return n.tolist(), [self._ids(flat[a:b].tolist()) if o else ids[2 * a : 2 * b] for a, b, o in zip(starts, ends, odd)], skipped
+
+    def _settle(self, waiting: list[tuple]) -> None:
+        """Puts the ids of chunks with skips, (node, chunk, first, draw, out, place), in their places; they are kept as well."""
+        waiting.sort(key=lambda one: len(one[1]))
+        for at in range(0, len(waiting), TOGETHER):
+            nodes, chunks, firsts, draws, outs, places = zip(*waiting[at : at + TOGETHER])
+            for node, out, i, n, ids, skips in zip(nodes, outs, places, *self._together(chunks, np.array(firsts, np.int64), np.array(draws, np.uint64))):
+                out[i] = ids
+                for k in skips:
+                    if k not in node[2]:
+                        node[2][k] = [-1, b"", {}]
+                    node = node[2][k]
+                node[0], node[1] = n, ids
+        self.n_made += len(waiting)
+        waiting.clear()
+
+    def _part(self, text: str, start: int, waiting: list[tuple]) -> list[bytes]:
+        """The ids of the chunks of a part of a text, which have the keys from ``start``.
+
+        All chunks are taken as if nothing were skipped; then those in which a skipped candidate comes up are replaced,
+        at once if it is known what becomes of them, else by ``_settle``, which gets them in ``waiting``.
         """
         chunks = self.pieces.chunks(text)
         if self.n_made > KEPT_CHUNKS:
@@ -263,11 +320,11 @@ class Segmenter:
         out = list(map(_KEPT_IDS, nodes))
         x, firsts = self._draw(np.uint64(start) + np.arange(len(chunks), dtype=np.uint64))
         skipped = np.flatnonzero(firsts < np.fromiter(map(_CANDIDATES, nodes), np.int64, len(nodes)))
-        more, x = [], x[skipped]
+        more, x = [x[skipped].tolist()], x[skipped]
         for _ in range(DRAWS - 1):
             x, gaps = self._draw(x, True)
             more.append(gaps.tolist())
-        for i, first, *gaps in zip(skipped.tolist(), firsts[skipped].tolist(), *more):
+        for i, first, draw, *gaps in zip(skipped.tolist(), firsts[skipped].tolist(), *more):
             node, skip, c = nodes[i], first, chunks[i]
             if node[0] > NEVER:
                 out[i] = self.segment(c, self._in_turn(first, _mixed((start + i) & MASK)).__next__ if self.below else bool)
@@ -280,19 +337,35 @@ class Segmenter:
                 node = after
                 skip += 1 + gaps[level]
                 level += 1
-            out[i] = self._drawn(c, first, gaps, (start + i) & MASK) if node is None or node[0] < 0 else node[1]
-        return b"".join(out), len(chunks)
+            if node is None or node[0] < 0:
+                waiting.append((nodes[i], c, first, draw, out, i))
+            else:
+                out[i] = node[1]
+        return out
 
     def encode(self, text: str, turn: int = 0) -> bytes:
         """The ids of a text; ``turn`` is the document's hash, which decides on its draws with the seed."""
-        if not text:
-            return b""
+        return self.encode_all([text], [turn])[0]
+
+    def encode_all(self, texts: Iterable[str], turns: Iterable[int]) -> list[bytes]:
+        """The ids of several texts, each with its document's hash."""
+        done, begun, waiting = [], [], []
+        for text, turn in zip(texts, turns):
+            begun.append(self._begun(text, turn, waiting) if text else [])
+            if len(waiting) >= 2 * TOGETHER:
+                self._settle(waiting)
+                done += [self.pieces.mark.join(map(b"".join, parts)) for parts in begun]
+                begun = []
+        self._settle(waiting)
+        return done + [self.pieces.mark.join(map(b"".join, parts)) for parts in begun]
+
+    def _begun(self, text: str, turn: int, waiting: list[tuple]) -> list[list[bytes]]:
+        """The ids of the chunks of each part of a text between marks, without those in ``waiting``."""
         out, at = [], _mixed((turn + self.seed * 0x9E3779B97F4A7C15) & MASK)
         for i, p in enumerate(text.split(MARK)):
-            ids, n = self._part((MARK if not i else "") + p.replace(" ", MARK), at)
-            out.append(ids)
-            at = (at + n) & MASK
-        return self.pieces.mark.join(out)
+            out.append(self._part((MARK if not i else "") + p.replace(" ", MARK), at, waiting))
+            at = (at + len(out[-1])) & MASK
+        return out
 
     def decode(self, ids: bytes) -> str:
         return b"".join(map(self.pieces.bytes.__getitem__, array("H", ids)))[1:].decode()
@@ -314,10 +387,10 @@ def encode(docs: DataFrame, model_path: str, seed: int = 1, dropout: float = 0.1
     """doc_id, ids (little-endian unsigned 16-bit) and n_tokens of each row of ``docs`` (doc_id, text)."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of = segmenter(model_path, seed, dropout, variants).encode
+        of = segmenter(model_path, seed, dropout, variants).encode_all
         for batch in batches:
             turns = (xxhash.xxh3_64_intdigest(str(i), seed) for i in batch.column("doc_id").to_pylist())
-            ids = [_little(of(text, turn)) for text, turn in zip(batch.column("text").to_pylist(), turns)]
+            ids = list(map(_little, of(batch.column("text").to_pylist(), turns)))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.binary()), pa.array([len(x) // 2 for x in ids], pa.int64())], ["doc_id", "ids", "n_tokens"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).mapInArrow(each, "doc_id long, ids binary, n_tokens long")

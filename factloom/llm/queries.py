@@ -63,7 +63,8 @@ def op6_merge_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
     def round_trip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = merge_dropout.segmenter(path)
         for b in batches:
-            ids = [of.encode(t or "", xxhash.xxh3_64_intdigest(str(i), of.seed)) for i, t in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist())]
+            turns = [xxhash.xxh3_64_intdigest(str(i), of.seed) for i in b.column("doc_id").to_pylist()]
+            ids = of.encode_all(b.column("text").to_pylist(), turns)
             back = [of.decode(x) == (t or "") for x, t in zip(ids, b.column("text").to_pylist())]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([len(x) // 2 for x in ids], pa.int64()), pa.array(map(merge_dropout.crc32_of, ids), pa.int64()), pa.array(back, pa.bool_())], ["doc_id", "n_tokens", "ids_crc32", "lossless"])
 

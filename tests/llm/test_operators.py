@@ -774,3 +774,20 @@ def test_chunks_outlive_a_generation(monkeypatch):
     own.encode("some words that are known")
     monkeypatch.setattr(own, "_short", None)  # nothing is made again
     assert own.encode("words that are known") == plain.encode("words that are known")
+
+
+def test_chunks_with_skips_are_taken_together(monkeypatch):
+    """Many chunks at once, and chunks that the library cuts, become what each becomes by itself; no step of either goes chunk by chunk."""
+    own = merge_dropout.Segmenter(queries.vocabulary("piece_bpe_32k.model"), 1, 0.3)
+    r = random.Random(5)
+    chunks = ["".join(r.choices("▁▁eeettaaoinrshldüß日é😀7.\0", k=r.randrange(1, 30))) for _ in range(3000)] + ["▁" + "".join(r.choices("etaoinsrhld", k=9)) for _ in range(1000)]
+    assert [own._whole(c) for c in chunks] == [own._made(c, ()) for c in chunks]
+    x, first = own._draw(np.arange(len(chunks), dtype=np.uint64))
+    keys = [merge_dropout._mixed(i) for i in range(len(chunks))]
+    plain = [own._short(c, (k for some in ([n], own._later(n, key)) for k in some)) for c, n, key in zip(chunks, first.tolist(), keys)]
+    assert list(zip(*own._together(chunks, first, x))) == [(n, own._ids(at), skips) for n, at, skips in plain]
+    texts = [" ".join(r.choices(["wonderful", "settlement", "unbelievable", "forestry", "nightingale"], k=60)) for _ in range(300)]
+    one_by_one = [own.encode(t, i) for i, t in enumerate(texts)]
+    fresh = merge_dropout.Segmenter(queries.vocabulary("piece_bpe_32k.model"), 1, 0.3)
+    monkeypatch.setattr(fresh, "_short", None)
+    assert fresh.encode_all([None, "", *texts], [7, 8, *range(300)]) == [b"", b"", *one_by_one]
