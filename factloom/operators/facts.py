@@ -52,10 +52,10 @@ def point(facts: DataFrame) -> DataFrame:
     return raw_head(facts).select(*KEYS, F.when(open_, F.col("object")).alias("object"), F.when(open_, F.col("valid_from")).alias("valid_from"), F.when(open_, F.col("source")).alias("source"), F.when(~open_, F.col("valid_from")).alias("closed_from"))
 
 
-def as_of(facts: DataFrame, at: int, keys: list[str] = KEYS) -> DataFrame:
-    """The value in effect at an instant; with the keys of an element, the set of them."""
-    won = winners(facts.where(_from() <= at), keys, F.struct(_from(), "seq"))
-    return won.where((F.col("op") == "assert") & (F.col("valid_to").isNull() | (F.col("valid_to") > at)))
+def as_of(facts: DataFrame, at: int | None, keys: list[str] = KEYS) -> DataFrame:
+    """The value in effect at an instant; with the keys of an element, the set of them. Nothing is in effect at none."""
+    won = winners(facts.where(_from() <= F.lit(at)), keys, F.struct(_from(), "seq"))
+    return won.where((F.col("op") == "assert") & (F.col("valid_to").isNull() | (F.col("valid_to") > F.lit(at))))
 
 
 def as_of_each(facts: DataFrame, instants: DataFrame) -> DataFrame:

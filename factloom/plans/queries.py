@@ -62,9 +62,10 @@ MIDDLE = "(SELECT (min(epoch(ts))::BIGINT + max(epoch(ts))::BIGINT) // 2 FROM ev
 HEAD = "head AS (SELECT * FROM log QUALIFY row_number() OVER (PARTITION BY subject, predicate ORDER BY seq DESC) = 1)"
 
 
-def middle(spark: SparkSession, sf_dir: str) -> int:
-    low, high = table(spark, sf_dir, "events").agg(F.min(seconds("ts")), F.max(seconds("ts"))).first()
-    return (low + high) // 2
+def middle(spark: SparkSession, sf_dir: str) -> int | None:
+    """As ``MIDDLE``: both ends are rounded, halves to even, and half their sum is cut off towards zero; none without events."""
+    at = F.rint(F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).cast("long")
+    return table(spark, sf_dir, "events").agg(F.min(at).alias("low"), F.max(at).alias("high")).selectExpr("(low + high) div 2").first()[0]
 
 
 @query(f"WITH {LOG}, {HEAD} SELECT subject, predicate, object FROM head WHERE op = 'assert'")

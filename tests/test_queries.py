@@ -29,3 +29,26 @@ def test_query(spark, sf_dir, duck, name):
     assert columns == sorted(want.columns)
     asked = sorted(tuple(plain(dict(zip(want.columns, r))[c]) for c in columns) for r in want.fetchall())
     assert sorted(tuple(plain(r[c]) for c in columns) for r in made.collect()) == asked
+
+
+# Instants of events in seconds; a mean of their ends that isn't rounded as in SQL is a second less (or more) than the second one.
+ENDS = [(100.6, 201.0, 301.0), (100.0, 201.0, 301.5), (100.5, 201.0, 301.0), (-100.0, -51.0, -3.0), (-100.5, -52.0, -3.6), ()]
+
+
+def held_at_ends(spark, tmp_path, name, ends):
+    """Rows of a query, and of its SQL, over a user's events at ``ends``."""
+    rows = [(k, 1, "view", float(k), round(at * 1e6)) for k, at in enumerate(ends, 1)]
+    events = spark.createDataFrame(rows, "event_id long, user_id long, event_type string, value double, at long")
+    events.selectExpr("event_id", "user_id", "event_type", "value", "timestamp_micros(at) AS ts").write.parquet(f"{tmp_path}/events.parquet")
+    con = duckdb.connect()
+    con.sql("SET TimeZone = 'UTC'")
+    con.sql(f"CREATE VIEW events AS FROM '{tmp_path}/events.parquet/*.parquet'")
+    want = con.sql(plans.SQL[name])
+    columns = want.columns
+    return sorted(tuple(r[c] for c in columns) for r in plans.QUERIES[name](spark, str(tmp_path)).collect()), sorted(want.fetchall())
+
+
+@pytest.mark.parametrize("ends", ENDS)
+def test_sets_as_of_the_middle_of_instants_with_fractions(spark, tmp_path, ends):
+    got, want = held_at_ends(spark, tmp_path, "g_asof_many", ends)
+    assert got == want
