@@ -52,3 +52,9 @@ def held_at_ends(spark, tmp_path, name, ends):
 def test_sets_as_of_the_middle_of_instants_with_fractions(spark, tmp_path, ends):
     got, want = held_at_ends(spark, tmp_path, "g_asof_many", ends)
     assert got == want
+
+
+@pytest.mark.parametrize("ends", ENDS)
+def test_values_as_of_the_middle_of_instants_with_fractions(spark, tmp_path, ends):
+    got, want = held_at_ends(spark, tmp_path, "g_asof_one", ends)
+    assert got == want
