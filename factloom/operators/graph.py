@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from dataclasses import dataclass
 from functools import reduce
 
@@ -44,12 +45,27 @@ def shared_folder(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir().rstrip("/")
 
 
+def stored(df: DataFrame) -> tuple[DataFrame, str]:
+    """Cuts lineage: the rows as a Parquet table in the shared folder, and its path, to ``forget`` when nothing reads it.
+
+    Spark takes the size of such a table from its files. What ``checkpoint`` returns keeps the estimate of the plan that made
+    it, in which a join multiplies the sizes of its sides: over rounds of joins, a number whose digits double each round.
+    """
+    path = f"{shared_folder(df.sparkSession)}/factloom/rows-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def forget(spark: SparkSession, *paths: str) -> None:
+    """Removes tables of ``stored``."""
+    for path in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cuts lineage in the shared folder."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(shared_folder(df.sparkSession))
-    return df.checkpoint()
+    return stored(df)[0]
 
 
 def nodes_of(table: DataFrame, key: str, type_: str, base: int = 0, label: str | None = None) -> DataFrame:
@@ -194,36 +210,37 @@ def role_plan(predicates: DataFrame, types: DataFrame) -> DataFrame:
 def by_key(rows: DataFrame, lookup: DataFrame, key: str, spread: str, share: int = 1000) -> DataFrame:
     """``rows`` with what ``lookup`` (one row a key) says of their key. Keys of over 1 / ``share`` of all rows are dealt to
     several tasks: their lookup row is repeated, their rows go by the hash of ``spread``. At most ``share`` keys are that hot,
-    so that their list is broadcast."""
+    so that their list is broadcast; ``lookup`` is not, as it grows with the rows and would pass through the driver."""
     counts = rows.groupBy(key).agg(F.count(F.lit(1)).alias("__n"))
     hot = checkpointed(counts.where(F.col("__n") > 1000))
     if hot.isEmpty():
-        return rows.join(lookup, key)
+        return rows.join(lookup.hint("merge"), key)
     step = max(1000, rows.count() // share)
     hot = F.broadcast(hot.where(F.col("__n") > step).select(F.col(key).alias("__key"), F.ceil(F.col("__n") / step).cast("int").alias("__shares")))
     left = rows.join(hot, F.col(key) == F.col("__key"), "left").withColumn("__salt", F.coalesce(F.pmod(F.xxhash64(spread), F.col("__shares")), F.lit(0)).cast("int")).drop("__key", "__shares")
     right = lookup.join(hot, F.col(key) == F.col("__key"), "left").withColumn("__salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("__shares") - 1, F.lit(0))))).drop("__key", "__shares")
-    return left.join(right, [key, "__salt"]).drop("__salt")
+    return left.join(right.hint("merge"), [key, "__salt"]).drop("__salt")
 
 
 def closure(edges: DataFrame) -> DataFrame:
     """(id, root): the least id of each connected component of ``edges`` (a, b).
 
     Least labels spread along edges and through the labels themselves until nothing changes; each round is written
-    to the checkpoint folder, so that lineage stays short. As labels meet, many rows have one root, and a hub has many
-    edges: such keys are dealt to several tasks.
+    to the checkpoint folder, so that lineage stays short, and removed when the next one is whole. As labels meet, many rows
+    have one root, and a hub has many edges: such keys are dealt to several tasks.
     """
-    both = edges.select("a", "b").union(edges.select("b", "a")).distinct()
-    both = checkpointed(both)
-    roots = checkpointed(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("root")).withColumnRenamed("a", "id"))
+    spark = edges.sparkSession
+    both, links = stored(edges.select("a", "b").union(edges.select("b", "a")).distinct())
+    roots, path = stored(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("root")).withColumnRenamed("a", "id"))
     while True:  # labels only fall, and a path's length halves each round
         near = by_key(both, roots.select(F.col("id").alias("b"), "root"), "b", "a").groupBy(F.col("a").alias("id")).agg(F.min("root").alias("near"))
-        spread = checkpointed(roots.join(near, "id").select("id", F.least("root", "near").alias("root")))
-        jump = by_key(spread, roots.select(F.col("id").alias("root"), F.col("root").alias("far")), "root", "id").select("id", F.least("root", "far").alias("root"))
-        after = checkpointed(jump)
-        changed = after.join(roots.withColumnRenamed("root", "old"), "id").where("root != old")
-        roots, done = after, changed.isEmpty()
+        spread, middle = stored(roots.join(near.hint("merge"), "id").select("id", F.least("root", "near").alias("root"), F.col("root").alias("old")))
+        jump = by_key(spread, roots.select(F.col("id").alias("root"), F.col("root").alias("far")), "root", "id").select("id", F.least("root", "far").alias("root"), "old")
+        after, next_ = stored(jump)
+        forget(spark, path, middle)
+        roots, path, done = after.select("id", "root"), next_, after.where("root != old").isEmpty()
         if done:
+            forget(spark, links)
             return roots
 
 

@@ -2,6 +2,7 @@
 
 import io
 import json
+import re
 import zipfile
 
 import pytest
@@ -345,3 +346,17 @@ def test_identities_against_what_is_stored(spark):
     state = lambda stored, gone: {tuple(x) for x in people.identity_state(groups, stored, gone).collect()}
     assert state(pair((3, 2), (4, 5), (3, 2)), pair((7, 6))) == {(2, 3, "confirmed"), (4, 5, "unfounded"), (1, 2, "open"), (6, 7, "dismissed")}
     assert state(pair((1, 3), (2, 3), (6, 7)), pair()) == {(1, 3, "confirmed"), (2, 3, "confirmed"), (6, 7, "confirmed")}
+
+
+def estimated(df, capsys):
+    """What Spark takes a table's size for, as text."""
+    capsys.readouterr()
+    df.explain("cost")
+    return re.search(r"sizeInBytes=([^,)]*)", capsys.readouterr().out)[1]
+
+
+def test_closure_of_a_long_path_with_hot_labels_keeps_estimates_small(spark, capsys):
+    """A size that doubles its digits each round takes the driver's memory at some twenty rounds."""
+    roots = graph.closure(spark.range(1500).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b")))
+    assert estimated(roots, capsys).endswith("KiB")
+    assert sorted(map(tuple, roots.collect())) == [(k, 0) for k in range(1501)]
