@@ -153,13 +153,13 @@ def identity_state(groups: DataFrame, stored: DataFrame, dismissed: DataFrame) -
     c = F.col
     low, high = F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")
     pairs = stored.select(low, high).where("a < b").distinct()
-    of = lambda key: groups.select(c("id").alias(key), c("root").alias(f"{key}_root"))
+    of = lambda key: groups.select(c("id").alias(key), c("root").alias(f"{key}_root")).hint("merge")  # noqa: E731  # a row for each person: not through the driver
     held = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left").select("a", "b", F.when(c("a_root") == c("b_root"), "confirmed").otherwise("unfounded").alias("state"))
     parts = closure(pairs).withColumnRenamed("root", "part")
-    members = groups.join(parts, "id", "left").withColumn("part", F.coalesce("part", "id"))
+    members = groups.join(parts.hint("merge"), "id", "left").withColumn("part", F.coalesce("part", "id"))
     leads = members.groupBy("root", "part").agg(F.min("id").alias("lead"))
     proposed = leads.join(leads.groupBy("root").agg(F.min("lead").alias("first")), "root").where("lead != first").select(c("first").alias("a"), c("lead").alias("b"))
-    gone = dismissed.select(low, high, F.lit(True).alias("gone")).distinct()
+    gone = dismissed.select(low, high, F.lit(True).alias("gone")).distinct().hint("merge")
     return held.unionByName(proposed.join(gone, ["a", "b"], "left").select("a", "b", F.when(c("gone"), "dismissed").otherwise("open").alias("state")))
 
 

@@ -496,13 +496,14 @@ ld AS (SELECT root, part, min(id) AS lead FROM pt GROUP BY ALL)"""
 @query(STATE + """ SELECT a, b, CASE WHEN b = a + 1000000 THEN 'unfounded' ELSE 'confirmed' END AS state FROM st
 UNION ALL SELECT root, lead, CASE WHEN lead % 10 = 0 THEN 'dismissed' ELSE 'open' END FROM ld WHERE lead <> root""")
 def id_state(spark, sf_dir):
-    """All of part are persons; what is stored links most of them with the next one of their name."""
-    c = F.col
+    """All of part are persons; what is stored links most of them with the next one of their name, and some with strangers, who
+    are no persons of the table however long it is: while states are found, their ids lie beyond its own."""
+    c, beyond = F.col, 10**15
     groups = graph.checkpointed(people.evidence_groups(persons(spark, sf_dir)))
     follows = groups.withColumn("b", F.lead("id").over(Window.partitionBy("root").orderBy("id"))).where("b is not null and id % 3 != 0").select(c("id").alias("a"), "b")
-    strangers = table(spark, sf_dir, "part").where("p_partkey % 50 = 7").select(c("p_partkey").alias("a"), (c("p_partkey") + 10**6).alias("b"))
+    strangers = table(spark, sf_dir, "part").where("p_partkey % 50 = 7").select(c("p_partkey").alias("a"), (c("p_partkey") + 10**6 + beyond).alias("b"))
     gone = groups.where("id % 10 = 0").select(c("id").alias("a"), c("root").alias("b"))
-    return people.identity_state(groups, follows.union(strangers), gone)
+    return people.identity_state(groups, follows.union(strangers), gone).withColumn("b", F.when(c("b") > beyond, c("b") - beyond).otherwise(c("b")))
 
 
 @query("SELECT o_custkey AS person, nullif(count(*) FILTER (o_orderstatus = 'F'), 0) AS assigned, nullif(count(*) FILTER (o_orderstatus = 'O'), 0) AS authored, nullif(count(*) FILTER (o_orderstatus = 'P'), 0) AS reviewed FROM orders GROUP BY o_custkey")

@@ -1,10 +1,12 @@
 """Every query of the fact graph that has SQL, against DuckDB on the smallest tables."""
 
 import os
+import re
 
 import duckdb
 import pytest
 
+from factloom.operators import people
 from factloom.plans import queries as plans
 
 
@@ -58,3 +60,20 @@ def test_sets_as_of_the_middle_of_instants_with_fractions(spark, tmp_path, ends)
 def test_values_as_of_the_middle_of_instants_with_fractions(spark, tmp_path, ends):
     got, want = held_at_ends(spark, tmp_path, "g_asof_one", ends)
     assert got == want
+
+
+def test_strangers_of_stored_links_are_no_persons_however_long_the_table_is(spark, tmp_path):
+    rows = [(7, "hot bolt", 1), (8, "hot bolt", 2), (1_000_007, "hot bolt", 2), (1_000_008, "hot bolt", 4)]
+    spark.createDataFrame(rows, "p_partkey long, p_name string, p_size int").write.parquet(f"{tmp_path}/part.parquet")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW part AS FROM '{tmp_path}/part.parquet/*.parquet'")
+    want = con.sql(plans.SQL["id_state"] + " ORDER BY ALL")
+    assert ("a", "b", "state") == tuple(want.columns) and (7, 1_000_007, "unfounded") in want.fetchall()
+    assert sorted(map(tuple, plans.QUERIES["id_state"](spark, str(tmp_path)).collect())) == want.fetchall()
+
+
+def test_groups_of_evidence_keep_estimates_small(spark, sf_dir, capsys):
+    found = people.evidence_groups(plans.persons(spark, sf_dir))
+    capsys.readouterr()
+    found.explain("cost")
+    assert re.search(r"sizeInBytes=[\d.]+ (B|KiB)", capsys.readouterr().out)
