@@ -75,8 +75,9 @@ def intervals(facts: DataFrame) -> DataFrame:
 
 
 def expand(facts: DataFrame, predicate: str, symmetric: bool = False) -> DataFrame:
-    """(subject, object): current elements of a predicate, both ways if it is symmetric."""
-    edges = current(raw_head(facts.where(F.col("predicate") == predicate), ELEMENT)).select("subject", "object")
+    """(subject, object): current elements of a predicate, both ways if it is symmetric: those whose last write asserts them."""
+    last = facts.where(F.col("predicate") == predicate).groupBy(*ELEMENT).agg(F.max("seq").alias("last"), F.max(F.when(F.col("op") == "assert", F.col("seq"))).alias("said"))
+    edges = last.where("said = last").select("subject", "object")
     return edges.union(edges.select(F.col("object").alias("subject"), F.col("subject").alias("object"))).distinct() if symmetric else edges
 
 

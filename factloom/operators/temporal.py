@@ -13,14 +13,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import facts
+from .graph import checkpointed
 
 BUCKET = 30 * 86400
 
 
-def histories(log: DataFrame, many: bool = False) -> DataFrame:
-    """The intervals of a log; those that end before they begin, as a later write of the same instant replaces them, go."""
+def histories(log: DataFrame, many: bool | Column = False) -> DataFrame:
+    """The intervals of a log; those that end before they begin, as a later write of the same instant replaces them, go.
+    ``many`` may tell of each row whether its predicate is one of many."""
     began = F.coalesce("valid_from", F.lit(0)).cast("long")
-    w = Window.partitionBy(*(facts.ELEMENT if many else facts.KEYS)).orderBy(began, "seq")
+    keys = [*facts.KEYS, F.when(many, F.col("object"))] if isinstance(many, Column) else facts.ELEMENT if many else facts.KEYS
+    w = Window.partitionBy(*keys).orderBy(began, "seq")
     rows = log.select("op", *facts.ELEMENT, began.alias("began"), F.least(F.lead(began).over(w), F.col("valid_to")).cast("long").alias("until"))
     return rows.where("op = 'assert' and (until is null or until > began)").drop("op")
 
@@ -115,18 +118,54 @@ def conformance(log: DataFrame, rule: Rule, subjects: DataFrame) -> DataFrame:
 
 
 MONTHS, COVERAGE = 36, 0.8
+BITS = 60
 
 
-def held_months(intervals: DataFrame, of: DataFrame) -> DataFrame:
-    """(pattern_id, at, id, object): each interval at the months of each candidate of which its event is one.
+def _spans(intervals: DataFrame, of: DataFrame, own: DataFrame) -> DataFrame:
+    """(pattern_id, id, object, hit, low, high): each interval that holds at any month of a candidate of which its event is one,
+    as the places in the candidate's ``months`` that it holds at, from ``low`` up to, without, ``high``.
 
-    ``of`` has (id, pattern_id, months, predicate); the months in an interval are cut out of the candidate's list, so no
-    month is compared with intervals that it isn't in.
+    ``own`` is (pattern_id, predicate, months, targets), its months in order; ``of`` (id, pattern_id). A row costs two counts of
+    months, not a row for each month.
     """
     c = F.col
-    rows = intervals.withColumnRenamed("subject", "id").join(of, ["id", "predicate"])
-    inside = F.filter("months", lambda m: (m >= c("began")) & (c("until").isNull() | (m < c("until"))))
-    return rows.select("pattern_id", "id", "object", F.explode(inside).alias("at"))
+    rows = intervals.withColumnRenamed("subject", "id").join(of, "id").join(own, ["pattern_id", "predicate"])
+    before = lambda at: F.size(F.filter("months", lambda m: m < at))
+    rows = rows.select("pattern_id", "id", "object", F.array_contains("targets", c("object")).alias("hit"), before(c("began")).alias("low"), F.when(c("until").isNull(), F.size("months")).otherwise(before(c("until"))).alias("high"))
+    return rows.where("low < high")
+
+
+def _counts(spans: DataFrame) -> DataFrame:
+    """(pattern_id, place, population, covered): events with any span at a place, and those with one that is a hit.
+
+    An event's spans are united as bits of words, ``BITS`` places each; events with the same words are counted before words
+    are read bit by bit.
+    """
+    c = F.col
+    words = spans.withColumn("word", F.explode(F.sequence(F.expr(f"low div {BITS}"), F.expr(f"(high - 1) div {BITS}"))))
+    start = c("word") * BITS
+    bits = F.expr(f"shiftleft(1L, cast(least(high - word * {BITS}, {BITS}) as int)) - shiftleft(1L, cast(greatest(low - word * {BITS}, 0) as int))")
+    each = words.select("id", "pattern_id", "word", bits.alias("bits"), "hit").groupBy("id", "pattern_id", "word").agg(F.bit_or("bits").alias("any"), F.bit_or(F.when(c("hit"), c("bits")).otherwise(F.lit(0).cast("long"))).alias("hits"))
+    same = each.groupBy("pattern_id", "word", "any", "hits").agg(F.count(F.lit(1)).alias("n"))
+    placed = same.withColumn("bit", F.explode(F.sequence(F.lit(0), F.lit(BITS - 1)))).where("getbit(any, bit) = 1")
+    return placed.groupBy("pattern_id", (start + c("bit")).cast("int").alias("place")).agg(F.sum("n").alias("population"), F.sum(F.when(F.getbit("hits", "bit") == 1, c("n")).otherwise(0)).alias("covered"))
+
+
+def _most(spans: DataFrame, asked: DataFrame) -> DataFrame:
+    """(pattern_id, place, most): the object on most events at each place of ``asked`` (pattern_id, places, in order), of equals
+    the least. An object's spans in an event don't overlap, so that it is on as many as spans begin up to a place, less those
+    that end up to it: a span is two changes, and changes are summed before they are read place by place."""
+    c = F.col
+    until = lambda at: F.size(F.filter("places", lambda p: p < at))
+    rows = spans.select("pattern_id", "object", "low", "high").join(asked, "pattern_id").select("pattern_id", "object", until(c("low")).alias("low"), until(c("high")).alias("high"), F.size("places").alias("all")).where("low < high")
+    change = lambda at, n: F.struct(c(at).alias("at"), F.lit(n).cast("long").alias("n"))
+    changes = rows.select("pattern_id", "object", "all", F.inline(F.when(c("high") < c("all"), F.array(change("low", 1), change("high", -1))).otherwise(F.array(change("low", 1)))))
+    summed = changes.groupBy("pattern_id", "object", "at").agg(F.sum("n").alias("n"), F.first("all").alias("all"))
+    w = Window.partitionBy("pattern_id", "object").orderBy("at")
+    runs = summed.select("pattern_id", "object", "at", F.sum("n").over(w).alias("n"), F.coalesce(F.lead("at").over(w), "all").alias("end")).where("n > 0")
+    each = runs.select("pattern_id", "object", "n", F.explode(F.sequence(c("at"), c("end") - 1)).alias("k"))
+    best = each.groupBy("pattern_id", "k").agg(F.max(F.struct("n", -c("object"))).alias("m"))
+    return best.join(asked, "pattern_id").select("pattern_id", F.get("places", "k").alias("place"), (-c("m.col2")).alias("most"))
 
 
 def traces(log: DataFrame, events: DataFrame, candidates: DataFrame, months_of: DataFrame, coverage: float = COVERAGE) -> DataFrame:
@@ -138,23 +177,21 @@ def traces(log: DataFrame, events: DataFrame, candidates: DataFrame, months_of:
     month that doesn't hold, of equals the least. ``measured`` counts the candidate's months with a population,
     ``months_held`` those of them that hold. Candidates of who has nearly every document are of all documents.
 
-    All events of all candidates are read in one plan: intervals meet their event, then a month each. Population and
-    covered events are sums of what tasks add up by month first, as are the targets.
+    All events of all candidates are read in one plan: what is said of an event, its history and its candidates meet by its
+    id, and no interval becomes a row for each month. Targets are counted only for months that don't hold.
     """
     c = F.col
-    own = candidates.select("pattern_id", "template", "group", "predicate", F.array_compact(F.array("first", "second")).alias("targets")).join(months_of, "pattern_id")
-    wide = own.where("template = 'doc-access-scope'").select("pattern_id", "predicate", "months").withColumn("template", F.lit("doc-access"))
-    of = events.select("template", "group", "id").join(own.where("template != 'doc-access-scope'").drop("targets"), ["template", "group"]).select("id", "pattern_id", "predicate", "months")
-    of = of.unionByName(events.select("template", "id").join(wide, "template").select("id", "pattern_id", "predicate", "months"))
-    said = log.where(c("predicate").isin("assigned-to", "commented-by", "can-access"))
-    every = histories(said.where("predicate != 'can-access'")).unionByName(histories(said.where("predicate = 'can-access'"), many=True))
-    met = held_months(every.withColumn("object", c("object").cast("long")), of)
-    each = met.join(own.select("pattern_id", "targets"), "pattern_id").groupBy("pattern_id", "at", "id").agg(F.max(F.array_contains("targets", c("object"))).alias("hit"))
-    counts = each.groupBy("pattern_id", "at").agg(F.count(F.lit(1)).alias("population"), F.count_if("hit").alias("covered"))
-    votes = met.distinct().groupBy("pattern_id", "at", "object").agg(F.count(F.lit(1)).alias("n"))
-    most = votes.groupBy("pattern_id", "at").agg(F.max(F.struct("n", -c("object"))).alias("m")).select("pattern_id", "at", (-c("m.col2")).alias("most"))
-    points = own.select("pattern_id", F.explode("months").alias("at")).join(counts, ["pattern_id", "at"], "left").join(most, ["pattern_id", "at"], "left")
+    own = candidates.select("pattern_id", "template", "group", "predicate", F.array_compact(F.array("first", "second")).alias("targets")).join(months_of.select("pattern_id", F.array_sort(F.array_distinct("months")).alias("months")), "pattern_id")
+    wide = own.where("template = 'doc-access-scope'").select("pattern_id").withColumn("template", F.lit("doc-access"))
+    of = events.select("template", "group", "id").join(own.where("template != 'doc-access-scope'").select("template", "group", "pattern_id"), ["template", "group"]).select("id", "pattern_id")
+    of = of.unionByName(events.select("template", "id").join(wide, "template").select("id", "pattern_id")).repartition("id").distinct()
+    said = log.where(c("predicate").isin("assigned-to", "commented-by", "can-access")).repartition("subject")  # of an event at once: for its history, its candidates, its words
+    every = histories(said, c("predicate") == "can-access").withColumn("object", c("object").cast("long"))
+    spans = checkpointed(_spans(every, of, own.select("pattern_id", "predicate", "months", "targets")))  # read twice, an event's next to each other
+    points = own.select("pattern_id", F.posexplode("months").alias("place", "at"))
     held = F.coalesce(c("covered") / c("population") >= coverage, F.lit(False))
-    rows = points.select("pattern_id", "at", F.coalesce("population", F.lit(0)).alias("population"), F.coalesce("covered", F.lit(0)).alias("covered"), held.alias("held"), F.when(~held, c("most")).alias("top"))
-    totals = Window.partitionBy("pattern_id")  # at most 36 rows
+    counts = checkpointed(points.join(_counts(spans), ["pattern_id", "place"], "left").withColumn("held", held))
+    most = _most(spans, counts.where("not held and population > 0").groupBy("pattern_id").agg(F.array_sort(F.collect_list("place")).alias("places")))
+    rows = counts.join(most, ["pattern_id", "place"], "left").select("pattern_id", "at", F.coalesce("population", F.lit(0)).alias("population"), F.coalesce("covered", F.lit(0)).alias("covered"), "held", c("most").alias("top"))
+    totals = Window.partitionBy("pattern_id")  # a row for each of a candidate's months
     return rows.withColumn("measured", F.count_if(c("population") > 0).over(totals)).withColumn("months_held", F.count_if("held").over(totals))

@@ -154,7 +154,8 @@ def moved(spark: SparkSession, sf_dir: str) -> DataFrame:
     c, lit = F.col, F.lit
     o = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer"), c("o_custkey") == c("c_custkey")).select(c("o_orderkey").alias("k"), c("c_nationkey").cast("long").alias("n"), seconds("o_orderdate").alias("at"))
     s = table(spark, sf_dir, "lineitem").groupBy(c("l_partkey").alias("p"), c("l_suppkey").alias("s")).agg(F.min(seconds("l_shipdate")).alias("at"))
-    d = s.join(table(spark, sf_dir, "part"), c("p_partkey") == c("p")).groupBy("p", c("p_size").alias("f")).agg(F.min("at").alias("at"))
+    o, s = graph.checkpointed(o), graph.checkpointed(s)  # each is read by several of the writes below, by filters of its own
+    d = graph.checkpointed(s.join(table(spark, sf_dir, "part"), c("p_partkey") == c("p")).groupBy("p", c("p_size").alias("f")).agg(F.min("at").alias("at")))
     issue, doc, at = c("k") + ISSUE, c("p") + DOCUMENT, c("at")
     lead, reader = c("n") * 10 + PERSON, c("f") + (DRIVE + 10**6)
     return graph.union_all([

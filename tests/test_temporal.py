@@ -86,3 +86,42 @@ def test_traces(spark):
     told = {k: (r["population"], r["covered"], r["held"], r["top"]) for k, r in got.items()}
     assert told == {("p", 0): (0, 0, False, None), ("p", 100): (5, 4, True, None), ("p", 200): (4, 1, False, 6), ("p", 300): (0, 0, False, None), ("p", 400): (0, 0, False, None), ("w", 100): (1, 1, True, None)}
     assert {(r["measured"], r["months_held"]) for k, r in got.items() if k[0] == "p"} == {(2, 1)}
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_traces_of_many_months_are_those_of_month_by_month(spark, seed):
+    """130 months, which are three words of bits; events without targets, closes, ends, ties of targets."""
+    r = random.Random(seed)
+    some = [month(k) for k in range(130)]
+    end = lambda at: r.choice([None, None, at + r.randrange(6000)])
+    writes = [(r.choice(["assert", "assert", "close"]), i, "can-access", r.choice("5678"), at := r.randrange(13000), end(at), None) for i in range(10, 14) for _ in range(7)]
+    writes += [(op := r.choice(["assert", "assert", "close"]), i, "assigned-to", r.choice("567") if op == "assert" else None, at := r.randrange(13000), end(at), None) for i in range(20, 26) for _ in range(5)]
+    events = [("doc-access", 1 + i % 2, i) for i in range(10, 15)] + [("issue-assignee", 7, i) for i in range(20, 27)]
+    candidates = [("d", "doc-access", 1, "can-access", 5, 6), ("w", "doc-access-scope", 8, "can-access", 7, None), ("i", "issue-assignee", 7, "assigned-to", 6, None), ("n", "issue-assignee", 9, "assigned-to", 6, None)]
+    said = log(spark, *writes)
+    spans = {(x["subject"], x["predicate"], x["object"], x["began"], x["until"]) for p, many in (("can-access", True), ("assigned-to", False)) for x in temporal.histories(said.where(F.col("predicate") == p), many).collect()}
+    want = {}
+    for p, template, group, predicate, *targets in candidates:
+        ids = {i for t, g, i in events if (template == "doc-access-scope" and t == "doc-access") or (t, g) == (template, group)}
+        rows = []
+        for at in some:
+            held = {(i, int(o)) for i, q, o, began, until in spans if i in ids and q == predicate and began <= at and (until is None or until > at)}
+            population, covered = len({i for i, _ in held}), len({i for i, o in held if o in targets})
+            ok = population > 0 and covered / population >= 0.8
+            votes = [o for _, o in held]
+            rows.append((at, population, covered, ok, None if ok or not votes else min(votes, key=lambda o: (-votes.count(o), o))))
+        counts = sum(x[1] > 0 for x in rows), sum(x[3] for x in rows)
+        want |= {(p, x[0]): (*x[1:], *counts) for x in rows}
+    months = spark.createDataFrame([(x[0], some) for x in candidates], "pattern_id string, months array<long>")
+    made = temporal.traces(said, spark.createDataFrame(events, "template string, group long, id long"), spark.createDataFrame(candidates, "pattern_id string, template string, group long, predicate string, first long, second long"), months)
+    assert {(x["pattern_id"], x["at"]): (x["population"], x["covered"], x["held"], x["top"], x["measured"], x["months_held"]) for x in made.collect()} == want
+    assert any(x[3] for x in want.values()) and any(x[2] for x in want.values())
+
+
+def test_an_interval_is_one_row_however_many_months_it_holds_at(spark):
+    """A row for each interval and month is what took the time of an_stability."""
+    intervals = spark.createDataFrame([(k, "p", 5, 0, None) for k in range(40)], "subject long, predicate string, object long, began long, until long")
+    of = spark.createDataFrame([(k, "c") for k in range(40)], "id long, pattern_id string")
+    own = spark.createDataFrame([("c", "p", [month(k) for k in range(36)], [5])], "pattern_id string, predicate string, months array<long>, targets array<long>")
+    rows = temporal._spans(intervals, of, own).collect()
+    assert len(rows) == 40 and {(x["low"], x["high"], x["hit"]) for x in rows} == {(0, 36, True)}
